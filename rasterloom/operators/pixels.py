@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalars import clip, stretch
+from rasterloom.operators.ordered import sliding
 from rasterloom.operators.quantiles import array_percentile, exact_percentiles
 from rasterloom.operators.sampling import take_by_hash
 
@@ -106,21 +107,11 @@ def row_signal(px: DataFrame, value: str = "v") -> DataFrame:
 
 def databar_top(px: DataFrame, frames: DataFrame, value: str = "v", search_frac: float = 0.25, window: int = 10,
                 sd_ratio: float = 0.4, mean_ratio: float = 0.85) -> DataFrame:
-    """First row in the lower part of a frame where both deviation and mean drop against the rows above.
-
-    The trailing maximum only looks back ``window`` rows, so rows are cut into overlapping
-    blocks and no frame has to be ordered in one task.
-    """
+    """First row in the lower part of a frame where both deviation and mean drop against the rows above."""
     start = F.floor(F.col("height") * (1 - search_frac)).cast("int")
-    block = 4096
     sig = row_signal(px, value).join(frames.select("image_id", "height"), "image_id").filter(F.col("y") >= start)
-    rel = F.col("y") - start
-    own = F.floor(rel / block)
-    also = F.floor((rel + window) / block)
-    sig = sig.withColumn("_rel", rel).withColumn("_own", own).withColumn(
-        "_blk", F.explode(F.array_distinct(F.array(own, also))))
-    w = Window.partitionBy("image_id", "_blk").orderBy("y").rowsBetween(-window, -1)
-    sig = sig.withColumn("_bs", F.max("sd").over(w)).withColumn("_bm", F.max("mean").over(w)).filter("_blk = _own")
+    sig = sig.withColumn("_rel", F.col("y") - start)
+    sig = sliding(sig, ["image_id"], "y", window, -1, {"_bs": F.max("sd"), "_bm": F.max("mean")})
     drop = (F.col("_bs") > 3) & (F.col("sd") < F.col("_bs") * sd_ratio) & (F.col("mean") < F.col("_bm") * mean_ratio)
     first = sig.filter((F.col("_rel") >= window) & drop).groupBy("image_id").agg(F.min("y").alias("_bar"))
     long_enough = F.col("height") - start >= window + 5

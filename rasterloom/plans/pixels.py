@@ -198,7 +198,7 @@ def border_blank(spark, root):
     sig AS (SELECT image_id, y, avg(v) AS m, stddev_pop(v) AS sd, any_value(h) AS h FROM px JOIN fr USING (image_id)
         WHERE y >= floor(h * 0.75) GROUP BY 1, 2),
     trail AS (SELECT *, max(sd) OVER w AS bs, max(m) OVER w AS bm FROM sig
-        WINDOW w AS (PARTITION BY image_id ORDER BY y ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+        WINDOW w AS (PARTITION BY image_id ORDER BY y RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING)),
     bar AS (SELECT image_id, min(y) AS b FROM trail WHERE y - floor(h * 0.75) >= 10 AND bs > 3 AND sd < bs * 0.4
         AND m < bm * 0.85 GROUP BY 1),
     top AS (SELECT image_id, h, w, CASE WHEN h - floor(h * 0.75) >= 15 THEN coalesce(b, h) ELSE h END AS bar

@@ -15,6 +15,7 @@ def get_session(app: str = "rasterloom", cpus: str | int = "*", shuffle: int = 8
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RASTERLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")

@@ -90,6 +90,31 @@ def judged(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def live_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of four-pixel frames (four consecutive documents), as loaded now."""
+    state = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return table(spark, root, "labels").select(
+        F.floor(F.col("doc_id") / 4).cast("long").alias("image_id"), F.lit(0).alias("y"),
+        (F.col("doc_id") % 4).cast("int").alias("x"), state.alias("state")).filter("state IS NOT NULL")
+
+
+def archived_labels(spark: SparkSession, root: str) -> DataFrame:
+    """An earlier snapshot of the same frames, with its own coverage."""
+    d = table(spark, root, "documents").select("doc_id")
+    return d.filter(unit_hash("arch", "doc_id") < 0.3).select(
+        F.floor(F.col("doc_id") / 4).cast("long").alias("image_id"), F.lit(0).alias("y"),
+        (F.col("doc_id") % 4).cast("int").alias("x"),
+        F.when(unit_hash("truth", "doc_id") < 0.35, 1).otherwise(2).alias("state"))
+
+
+def loaded_frames(spark: SparkSession, root: str) -> DataFrame:
+    """Frames present in the application: blocks with at least one English document."""
+    d = table(spark, root, "documents").select("doc_id", "lang", "source")
+    return (d.groupBy(F.floor(F.col("doc_id") / 4).cast("long").alias("image_id"))
+            .agg(F.count_if(F.col("lang") == "en").alias("_en"), F.min("source").alias("grp"))
+            .filter("_en > 0").select("image_id", "grp", F.lit(1).alias("height"), F.lit(4).alias("width")))
+
+
 def doc_pixel() -> list:
     return [
         F.floor(F.col("doc_id") / DOC_WIDTH).cast("int").alias("y"),
@@ -140,7 +165,7 @@ def history(spark: SparkSession, root: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("model"), F.col("o_orderdate").alias("created"),
         F.col("o_orderpriority").alias("recipe"), F.col("o_orderstatus").alias("status"),
-        (F.col("o_totalprice") / 600000.0).alias("iou"),
+        (F.col("o_totalprice") / 612345.678).alias("iou"),
         (unit_hash("fp", "o_orderkey") * 0.05).alias("clean_fp"),
     )
 
@@ -160,6 +185,13 @@ SQL_VIEWS = {
     "judged": """judged AS (SELECT * FROM (SELECT d.source AS image_id, CAST(l.doc_id // 64 AS INT) AS y,
         CAST(l.doc_id % 64 AS INT) AS x, CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END AS state
         FROM labels l JOIN documents d USING (doc_id)) WHERE state IS NOT NULL)""",
+    "live": """live AS (SELECT * FROM (SELECT doc_id // 4 AS image_id, 0 AS y, CAST(doc_id % 4 AS INT) AS x,
+        CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END AS state FROM labels) WHERE state IS NOT NULL)""",
+    "archive": f"""archive AS (SELECT doc_id // 4 AS image_id, 0 AS y, CAST(doc_id % 4 AS INT) AS x,
+        CASE WHEN {_sql_hash('truth', 'doc_id')} < 0.35 THEN 1 ELSE 2 END AS state FROM documents
+        WHERE {_sql_hash('arch', 'doc_id')} < 0.3)""",
+    "loaded": """loaded AS (SELECT doc_id // 4 AS image_id, min(source) AS grp, 1 AS height, 4 AS width FROM documents
+        GROUP BY 1 HAVING count(*) FILTER (lang = 'en') > 0)""",
     "scores": f"""scores AS (SELECT image_id, lang, doc_id, y, x, n_chars, is_pos,
         ua * 0.7 + (CASE WHEN is_pos THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.3 AS pa,
         ub * 0.8 + (CASE WHEN is_pos THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.2 AS pb FROM (
@@ -176,7 +208,7 @@ SQL_VIEWS = {
         ELSE 'erase' END AS mode, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
         1 + CAST(floor(value) AS INT) % 3 AS radius FROM events))""",
     "history": f"""history AS (SELECT o_orderkey AS seq, o_custkey AS model, o_orderdate AS created,
-        o_orderpriority AS recipe, o_orderstatus AS status, o_totalprice / 600000.0 AS iou,
+        o_orderpriority AS recipe, o_orderstatus AS status, o_totalprice / 612345.678 AS iou,
         CAST({_sql_hash('fp', 'o_orderkey')} AS DOUBLE) * 0.05 AS clean_fp FROM orders)""",
 }
 
