@@ -76,3 +76,83 @@ def class_weights(df: DataFrame, label: str = "label", source_weight: Column | N
     per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).withColumn("_w", total / (2.0 * F.col("_c")))
     weight = F.col("_w") * (source_weight if source_weight is not None else F.lit(1.0))
     return df.join(F.broadcast(per_class.select(label, "_w")), label).withColumn("weight", weight).drop("_w")
+
+
+def tile_allotment(df: DataFrame, n: int, seed: str | int, ident: Sequence[str], tile: int = 1024, label: str = "label") -> DataFrame:
+    """``n`` pixels per class spread evenly over the occupied tiles of each frame."""
+    tiled = df.withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile))
+    n_tiles = tiled.groupBy("image_id").agg(F.countDistinct("ty", "tx").alias("_tiles"))
+    capped = tiled.join(n_tiles, "image_id").withColumn("_share", F.greatest(F.floor(F.lit(n) / F.col("_tiles")), F.lit(1)))
+    return take_by_hash(capped, ["image_id", "ty", "tx", label], hash_order(seed, *ident), F.col("_share")).drop("_tiles", "_share")
+
+
+def candidate_corners(frames: DataFrame, want: int, tile: int, seed: str | int, tries_per_tile: int = 200) -> DataFrame:
+    """``want * tries_per_tile`` hashed tile corners per frame that is at least one tile large."""
+    def draw(axis: str, size: str) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(axis), F.col("image_id").cast("string"), F.col("try").cast("string")))
+        room = F.greatest(F.col(size) - tile, F.lit(1))
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % room).cast("int")
+
+    fits = frames.filter((F.col("height") >= tile) & (F.col("width") >= tile))
+    tries = fits.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(want * tries_per_tile))))
+    return tries.select("image_id", "try", draw("y", "height").alias("y"), draw("x", "width").alias("x"))
+
+
+def sample_tiles(frames: DataFrame, support: DataFrame, want: int, tile: int, seed: str | int, min_on: float = 0.9,
+                 tries_per_tile: int = 200) -> DataFrame:
+    """Up to ``want`` tiles per frame, at least ``min_on`` on the specimen and never within half a tile.
+
+    Coverage is counted by joining candidates to support pixels on the coarse cell both
+    touch; the greedy pass sees at most ``want * tries_per_tile`` candidates of a frame.
+    """
+    cand = candidate_corners(frames, want, tile, seed, tries_per_tile)
+    span = F.sequence(F.lit(0), F.lit(1))
+    cells = (cand.withColumn("_a", F.explode(span)).withColumn("_b", F.explode(span))
+             .withColumn("_cy", F.floor(F.col("y") / tile) + F.col("_a")).withColumn("_cx", F.floor(F.col("x") / tile) + F.col("_b")))
+    px = support.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"),
+                        F.floor(F.col("y") / tile).alias("_cy"), F.floor(F.col("x") / tile).alias("_cx"))
+    inside = ((F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + tile)
+              & (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + tile))
+    covered = (cells.join(px, ["image_id", "_cy", "_cx"]).filter(inside).groupBy("image_id", "try", "y", "x")
+               .agg(F.count(F.lit(1)).alias("n_on")).filter(F.col("n_on") >= min_on * tile * tile))
+
+    def pick(pdf):
+        pdf = pdf.sort_values("try")
+        ys, xs, keep = [], [], []
+        for i, (y, x) in enumerate(zip(pdf["y"].to_numpy(), pdf["x"].to_numpy())):
+            if len(keep) == want:
+                break
+            if all(abs(y - a) >= tile // 2 or abs(x - b) >= tile // 2 for a, b in zip(ys, xs)):
+                ys.append(y)
+                xs.append(x)
+                keep.append(i)
+        return pdf.iloc[keep]
+
+    return covered.groupBy("image_id").applyInPandas(pick, covered.schema)
+
+
+def grouped_folds(df: DataFrame, group: str, k: int, exact_limit: int = 1_000_000) -> DataFrame:
+    """Fold of every group: largest group first, each into the lightest fold so far.
+
+    Rows of one group never split.  The greedy pass reads one row per group; beyond
+    ``exact_limit`` groups the sizes are dealt out by size class instead.
+    """
+    import numpy as np
+    import pandas as pd
+
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    if sizes.limit(exact_limit + 1).count() > exact_limit:
+        w = Window.partitionBy(F.floor(F.log2("n")), F.pmod(F.xxhash64(group), F.lit(4096))).orderBy(F.desc("n"), group)
+        deal = F.row_number().over(w) + F.pmod(F.xxhash64(group), F.lit(4096))
+        return sizes.withColumn("fold", F.pmod(deal, F.lit(k)).cast("int"))
+
+    def greedy(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        pdf = pdf.sort_values(["n", group], ascending=[False, True], ignore_index=True)
+        load, fold = np.zeros(k, dtype=np.int64), np.empty(len(pdf), dtype=np.int32)
+        for i, n in enumerate(pdf["n"].to_numpy()):
+            fold[i] = int(np.argmin(load))
+            load[fold[i]] += n
+        yield pdf.assign(fold=fold)
+
+    return sizes.coalesce(1).mapInPandas(greedy, f"{group} {dict(df.dtypes)[group]}, n bigint, fold int")
