@@ -1 +1,193 @@
-"""placeholder"""
+"""Connected-region queries."""
+
+from pyspark.sql import functions as F
+
+from rasterloom.functions import scalars as S
+from rasterloom.operators import regions as G
+from rasterloom.operators import runs as R
+from rasterloom.operators.components import label_runs
+from rasterloom.plans.registry import query
+from rasterloom.sources import tables as T
+
+GRID_TILE = 256
+
+FRAMES = """, frames AS (SELECT image_id, max(y) + 1 AS fh, 30 AS fw FROM grid GROUP BY 1)"""
+OFFS8 = "(VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1))"
+OFFS4 = "(VALUES (-1,0),(0,-1),(0,1),(1,0))"
+
+
+def lab(name, src, where, conn):
+    """Oracle CTEs: ``name`` has every pixel of the mask with its region's smallest packed position."""
+    offs = OFFS8 if conn == 8 else OFFS4
+    return f""", {name}_m AS (SELECT image_id, y, x, y::BIGINT * {T.PACK} + x AS id FROM {src} WHERE {where}),
+    {name}_r AS (SELECT image_id, y, x, id, id AS root FROM {name}_m UNION SELECT n.image_id, n.y, n.x, n.id, r.root FROM {name}_r r,
+    {offs} o(dy, dx) JOIN {name}_m n ON n.image_id = r.image_id AND n.y = r.y + o.dy AND n.x = r.x + o.dx AND r.root < n.id),
+    {name} AS (SELECT image_id, y, x, min(root) AS region_id FROM {name}_r GROUP BY ALL)"""
+
+
+def grid_frames(g):
+    return g.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("fh")).withColumn("fw", F.lit(T.GRID_WIDTH))
+
+
+def grid_runs(spark, root, where=None):
+    """Runs of the event grid's occupied cells, or of those that satisfy ``where``."""
+    g = T.grid(spark, root)
+    px = g.join(grid_frames(g), "image_id")
+    return R.from_pixels(px.filter(where) if where else px)
+
+
+def grid_frame_table(spark, root):
+    e = T.table(spark, root, "events")
+    return e.groupBy(F.col("event_type").alias("image_id")).agg((F.max("user_id") + 1).cast("int").alias("fh")).withColumn(
+        "fw", F.lit(T.GRID_WIDTH))
+
+
+def labelled(spark, root, where=None, conn=8):
+    return label_runs(grid_runs(spark, root, where), conn, tile=GRID_TILE)
+
+
+@query("d01_label_components_8", "grid", lab("l", "grid", "true", 8) + " SELECT image_id, y, x, region_id FROM l")
+def label_components_8(spark, root):
+    return R.to_pixels(labelled(spark, root), "region_id")
+
+
+@query("d01_label_components_4", "grid", lab("l", "grid", "true", 4) + " SELECT image_id, y, x, region_id FROM l")
+def label_components_4(spark, root):
+    return R.to_pixels(labelled(spark, root, conn=4), "region_id")
+
+
+@query("d02_remove_small", "grid", lab("l", "grid", "true", 4) + """, a AS (SELECT image_id, region_id FROM l GROUP BY 1, 2
+    HAVING count(*) >= 6) SELECT image_id, y, x FROM l SEMI JOIN a USING (image_id, region_id)""")
+def remove_small(spark, root):
+    return R.to_pixels(G.remove_small(grid_runs(spark, root), 6, 4, tile=GRID_TILE))
+
+
+PROPS = """, s AS (SELECT image_id, region_id, count(*) AS area, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1, avg(y) AS cy,
+    avg(x) AS cx, round(var_pop(y), 10) AS vy, round(var_pop(x), 10) AS vx, round(covar_pop(y, x), 10) + 0.0 AS cov FROM l GROUP BY 1, 2),
+    e AS (SELECT *, (vy + vx) / 2 + sqrt(((vy - vx) / 2) ** 2 + cov * cov) AS l1,
+    greatest((vy + vx) / 2 - sqrt(((vy - vx) / 2) ** 2 + cov * cov), 0) AS l2 FROM s),
+    props AS (SELECT image_id, region_id, area, y0, y1, x0, x1, cy, cx, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor,
+    CASE WHEN l1 > 0 THEN sqrt(greatest(1 - l2 / l1, 0)) ELSE 0 END AS ecc, CASE WHEN vy = vx THEN CASE WHEN cov > 0 THEN pi() / 4
+    ELSE -pi() / 4 END ELSE atan2(2 * cov, vy - vx) / 2 END AS orientation, area / ((y1 - y0) * (x1 - x0)) AS extent FROM e)"""
+
+
+@query("d03_region_props", "grid", lab("l", "grid", "true", 8) + PROPS + """ SELECT image_id, region_id, area, y0, y1, x0, x1,
+    round(cy, 4) AS cy, round(cx, 4) AS cx, round(major, 4) AS major, round(minor, 4) AS minor, round(ecc, 4) AS ecc,
+    round(orientation, 4) AS orientation, round(extent, 4) AS extent FROM props""")
+def region_props(spark, root):
+    p = G.region_props(labelled(spark, root))
+    return p.select("image_id", "region_id", "area", "y0", "y1", "x0", "x1",
+                    *[F.round(c, 4).alias(c) for c in ("cy", "cx", "major", "minor", "ecc", "orientation", "extent")])
+
+
+EULER = """, q AS (SELECT DISTINCT image_id, region_id, y + dy AS y, x + dx AS x FROM l, (VALUES (0,0),(0,-1),(-1,0),(-1,-1)) o(dy, dx)),
+    qq AS (SELECT q.image_id, q.region_id, (a.y IS NOT NULL)::INT AS a, (b.y IS NOT NULL)::INT AS b, (c.y IS NOT NULL)::INT AS c,
+    (d.y IS NOT NULL)::INT AS d FROM q LEFT JOIN l a ON a.image_id = q.image_id AND a.region_id = q.region_id AND a.y = q.y AND a.x = q.x
+    LEFT JOIN l b ON b.image_id = q.image_id AND b.region_id = q.region_id AND b.y = q.y AND b.x = q.x + 1
+    LEFT JOIN l c ON c.image_id = q.image_id AND c.region_id = q.region_id AND c.y = q.y + 1 AND c.x = q.x
+    LEFT JOIN l d ON d.image_id = q.image_id AND d.region_id = q.region_id AND d.y = q.y + 1 AND d.x = q.x + 1),
+    euler AS (SELECT image_id, region_id, CAST((count(*) FILTER (a + b + c + d = 1) - count(*) FILTER (a + b + c + d = 3)
+    - 2 * count(*) FILTER (a + b + c + d = 2 AND a = d)) / 4 AS BIGINT) AS euler FROM qq GROUP BY 1, 2)"""
+PERIM = """, bp AS (SELECT l.image_id, l.region_id, l.y, l.x FROM l LEFT JOIN (SELECT l.image_id, l.y, l.x, count(*) AS c FROM l,
+    (VALUES (-1,0),(0,-1),(0,1),(1,0)) o(dy, dx) JOIN l n ON n.image_id = l.image_id AND n.y = l.y + o.dy AND n.x = l.x + o.dx GROUP BY 1, 2, 3) k
+    USING (image_id, y, x) WHERE coalesce(c, 0) < 4),
+    code AS (SELECT b.image_id, b.region_id, b.y, b.x, 1 + CAST(sum(CASE WHEN dy = 0 OR dx = 0 THEN 2 ELSE 10 END) AS INT) AS code FROM bp b,
+    (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dy, dx) JOIN bp n ON n.image_id = b.image_id
+    AND n.region_id = b.region_id AND n.y = b.y + o.dy AND n.x = b.x + o.dx GROUP BY 1, 2, 3, 4),
+    per AS (SELECT image_id, region_id, sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1.0::DOUBLE WHEN code IN (21, 33) THEN sqrt(2)
+    WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS p FROM code GROUP BY 1, 2)"""
+
+
+@query("d04_euler_perimeter_circularity", "grid", lab("l", "grid", "true", 8) + EULER + PERIM + """, a AS (SELECT image_id, region_id,
+    count(*) AS area FROM l GROUP BY 1, 2)
+    SELECT image_id, region_id, euler, round(coalesce(p, 0), 4) AS perimeter, round(least(1.0, 4 * pi() * area /
+    (CASE WHEN coalesce(p, 0) > 0 THEN p ELSE 1 END) ** 2), 4) AS circularity
+    FROM a JOIN euler USING (image_id, region_id) LEFT JOIN per USING (image_id, region_id)""")
+def euler_perimeter_circularity(spark, root):
+    lb = labelled(spark, root)
+    j = G.perimeters(lb).join(G.euler_numbers(lb), G.KEY)
+    return j.select("image_id", "region_id", "euler", F.round("perimeter", 4).alias("perimeter"),
+                    F.round(G.circularity(F.col("area"), F.col("perimeter")), 4).alias("circularity"))
+
+
+@query("d05_border_touching", "grid", FRAMES + lab("l", "grid", "true", 8) + """
+    SELECT image_id, region_id, count(*) AS area FROM l JOIN frames USING (image_id) GROUP BY 1, 2
+    HAVING bool_or(y = 0 OR x = 0 OR y = fh - 1 OR x = fw - 1) AND count(*) > 0.002 * any_value(fh * fw)""")
+def border_touching(spark, root):
+    return G.border_touching(labelled(spark, root), 0.002)
+
+
+@query("d06_largest_component", "grid", lab("l", "grid", "true", 8) + """, a AS (SELECT image_id, region_id, count(*) AS area FROM l GROUP BY 1, 2)
+    SELECT image_id, arg_max(region_id, (area, -region_id)) AS region_id, max(area) AS area, round(max(area) / sum(area), 6) AS dominance,
+    max(area) / sum(area) >= 0.10 AS coherent FROM a GROUP BY 1""")
+def largest_component(spark, root):
+    out = G.largest(labelled(spark, root))
+    return out.select("image_id", "region_id", "area", S.r6("dominance").alias("dominance"), (F.col("dominance") >= 0.10).alias("coherent"))
+
+
+@query("d07_shape_filter", "grid", lab("l", "grid", "true", 8) + PROPS + EULER + """
+    SELECT image_id, region_id, area FROM props JOIN euler USING (image_id, region_id)
+    WHERE NOT (area < 40 AND euler < 1) AND NOT (area <= 30 AND round(ecc, 9) < 0.5)""")
+def shape_filter(spark, root):
+    return G.areas(G.shape_filter(labelled(spark, root), hole_max=40, round_max=30))
+
+
+DISK3 = ", ".join(f"({dy},{dx})" for dy in range(-3, 4) for dx in range(-3, 4) if dy * dy + dx * dx <= 9)
+
+
+@query("d08_validated_hysteresis", "grid", lab("l", "grid", "p > 0.6", 8) + f""", kept AS (SELECT image_id, y, x FROM l
+    WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM l GROUP BY image_id, region_id HAVING count(*) >= 3))
+    SELECT image_id, y, x FROM kept UNION SELECT g.image_id, g.y, g.x FROM kept k, (VALUES {DISK3}) o(dy, dx)
+    JOIN grid g ON g.image_id = k.image_id AND g.y = k.y + o.dy AND g.x = k.x + o.dx WHERE g.p >= 0.35""")
+def validated_hysteresis(spark, root):
+    kept = G.remove_small(grid_runs(spark, root, "p > 0.6"), 3, 8, tile=GRID_TILE)
+    return R.to_pixels(G.grow_into(kept, grid_runs(spark, root, "p >= 0.35"), 3))
+
+
+@query("d11_tile_phase_reject", "grid", lab("l", "grid", "true", 8) + PROPS + """, r AS (SELECT *, floor((cy % 20) / 20 * 8) AS b1,
+    floor((cx % 10) / 10 * 8) AS b2 FROM props WHERE area >= 2), c AS (SELECT image_id, b1, b2, count(*) AS n FROM r GROUP BY ALL),
+    t AS (SELECT image_id, sum(n) AS tot FROM c GROUP BY 1), hot AS (SELECT image_id, b1, b2 FROM c JOIN t USING (image_id)
+    WHERE tot >= 12 AND n > tot / 64.0 * 2.0)
+    SELECT image_id, region_id FROM r SEMI JOIN hot USING (image_id, b1, b2) WHERE round(ecc, 9) < 0.9""")
+def tile_phase_reject(spark, root):
+    lb = labelled(spark, root)
+    props = G.region_props(lb).withColumn("ecc", F.round("ecc", 9))
+    pitch = grid_frame_table(spark, root).select("image_id", F.lit(20).alias("pitch_y"), F.lit(10).alias("pitch_x"))
+    return G.phase_reject(lb, props, pitch, min_area=2, excess=2.0)
+
+
+@query("d12_relabel_dense", "grid", lab("l", "grid", "true", 8) + """, a AS (SELECT image_id, region_id, count(*) AS area FROM l GROUP BY 1, 2
+    HAVING count(*) >= 5) SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY region_id) AS label FROM a""")
+def relabel_dense(spark, root):
+    return G.relabel_dense(labelled(spark, root), 5)
+
+
+@query("d15_probability_of_detection", "grid", lab("l", "grid", "p > 0.4", 8) + """, h AS (SELECT l.image_id, l.region_id, count(*) AS area,
+    bool_or(g.n > 1) AS hit FROM l JOIN grid g USING (image_id, y, x) GROUP BY 1, 2),
+    b AS (SELECT CASE WHEN area < 2 THEN 0 WHEN area < 5 THEN 1 WHEN area < 20 THEN 2 ELSE 3 END AS bin, * FROM h)
+    SELECT bin, count(*) FILTER (hit) AS found, count(*) AS total, CAST(sum(area) AS BIGINT) AS pixels,
+    round(count(*) FILTER (hit) / count(*), 6) AS rate, round(sum(area) / (SELECT sum(area) FROM b), 6) AS pixel_share FROM b GROUP BY 1""")
+def probability_of_detection(spark, root):
+    out = G.detection_probability(labelled(spark, root, "p > 0.4"), grid_runs(spark, root, "n > 1"), (2, 5, 20))
+    return out.withColumns({"rate": S.r6("rate"), "pixel_share": S.r6("pixel_share")})
+
+
+@query("d16_spontaneous_regions", "grid", FRAMES + lab("l", "grid", "p > 0.5", 8) + """, h AS (SELECT l.image_id, l.region_id, count(*) AS area,
+    bool_or(g.n > 1) AS hit FROM l JOIN grid g USING (image_id, y, x) GROUP BY 1, 2)
+    SELECT f.image_id, CAST(coalesce(sum(area) FILTER (NOT hit), 0) AS BIGINT) AS new_area,
+    round(coalesce(sum(area) FILTER (NOT hit), 0) / any_value(fh * fw), 6) AS fraction,
+    coalesce(sum(area) FILTER (NOT hit), 0) / any_value(fh * fw) > 0.02 AS flagged
+    FROM frames f LEFT JOIN h USING (image_id) GROUP BY 1""")
+def spontaneous_regions(spark, root):
+    out = G.spontaneous(grid_runs(spark, root, "p > 0.5"), grid_runs(spark, root, "n > 1"), grid_frame_table(spark, root))
+    return out.withColumn("fraction", S.r6("fraction"))
+
+
+@query("d17_false_indications", "grid", FRAMES + lab("f", "grid", "p > 0.4", 4) + """, pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN
+    (SELECT (image_id, region_id) FROM f GROUP BY image_id, region_id HAVING count(*) >= 4))""" + lab("l", "pr", "true", 8) + """
+    SELECT fr.image_id, count(DISTINCT region_id) AS indications, round(count(l.y) / any_value(fh * fw), 6) AS area_fraction
+    FROM frames fr LEFT JOIN l USING (image_id) WHERE contains(fr.image_id, 'c') OR contains(fr.image_id, 'e') GROUP BY 1""")
+def false_indications(spark, root):
+    clean = S.contains_any(F.col("image_id"), ("C", "E"))
+    out = G.false_indications(grid_runs(spark, root, F.col("p") > 0.4).filter(clean), grid_frame_table(spark, root).filter(clean), 4, tile=GRID_TILE)
+    return out
