@@ -1 +1,125 @@
-"""placeholder"""
+"""Neighbourhood queries: filters, features, morphology, lookups and profiles."""
+
+from pyspark.sql import functions as F
+
+from rasterloom.functions import kernels as K
+from rasterloom.functions import scalars as S
+from rasterloom.operators import halo as H
+from rasterloom.operators import pixels as P
+from rasterloom.operators.quantiles import array_percentile
+from rasterloom.plans.registry import query
+from rasterloom.sources import tables as T
+
+
+def as_rows(tiles, columns, names, kind="long"):
+    px = P.tile_pixels(tiles, columns, names)
+    return px.select(F.col("image_id").cast(kind).alias("image_id"), "y", "x", *[F.round(n, 5).alias(n) for n in names])
+
+
+def taps(sigma, order):
+    off, w = K.gaussian_taps(sigma, order)
+    return ", ".join(f"({o}, {float(v)!r}::DOUBLE)" for o, v in zip(off.tolist(), w.tolist()))
+
+
+def reflect8(expr):
+    """SQL index of an 8-wide axis under the reflecting border."""
+    return f"(CASE WHEN ((({expr}) % 16) + 16) % 16 < 8 THEN ((({expr}) % 16) + 16) % 16 ELSE 15 - ((({expr}) % 16) + 16) % 16 END)"
+
+
+def sql_filter(name, src, value, sy, oy, sx, ox, border="reflect"):
+    """Oracle CTEs of a separable filter over 8x8 frames."""
+    idx = reflect8 if border == "reflect" else (lambda e: f"greatest(least({e}, 7), 0)")
+    return f""", {name}_y AS (SELECT a.image_id, t.y, a.x, sum(k.w * a.{value}) AS v FROM (SELECT unnest(range(8)) AS y) t,
+    (VALUES {taps(sy, oy)}) k(o, w) JOIN {src} a ON a.y = {idx('t.y + k.o')} GROUP BY ALL),
+    {name} AS (SELECT a.image_id, a.y, t.x, sum(k.w * a.v) AS v FROM (SELECT unnest(range(8)) AS x) t,
+    (VALUES {taps(sx, ox)}) k(o, w) JOIN {name}_y a ON a.x = {idx('t.x + k.o')} GROUP BY ALL)"""
+
+
+def out_sql(expr, name, joins):
+    return f" SELECT a.image_id, CAST(a.y AS INT) AS y, CAST(a.x AS INT) AS x, round({expr}, 5) + 0.0 AS {name} FROM {joins}"
+
+
+def px8_bands(spark, root, bands, halo=32):
+    return H.apply_bands(T.px8_tiles(spark, root), halo, bands, T.PX_SIDE)
+
+
+@query("c01_gaussian", "px8", sql_filter("g", "px8", "v", 2, 0, 2, 0) + out_sql("a.v", "smooth", "g a"))
+def gaussian(spark, root):
+    return as_rows(px8_bands(spark, root, {"smooth": lambda w: K.gaussian(w, 2)}), ["smooth"], ["smooth"])
+
+
+@query("c02_gradient_magnitude", "px8", sql_filter("a_", "px8", "v", 1, 1, 1, 0) + sql_filter("b_", "px8", "v", 1, 0, 1, 1)
+       + out_sql("sqrt(a.v * a.v + b.v * b.v)", "grad", "a_ a JOIN b_ b USING (image_id, y, x)"))
+def gradient_magnitude(spark, root):
+    return as_rows(px8_bands(spark, root, {"grad": lambda w: K.gradient_magnitude(w, 1)}), ["grad"], ["grad"])
+
+
+@query("c03_laplacian", "px8", sql_filter("a_", "px8", "v", 1, 2, 1, 0) + sql_filter("b_", "px8", "v", 1, 0, 1, 2)
+       + out_sql("a.v + b.v", "lap", "a_ a JOIN b_ b USING (image_id, y, x)"))
+def laplacian(spark, root):
+    return as_rows(px8_bands(spark, root, {"lap": lambda w: K.laplacian(w, 1)}), ["lap"], ["lap"])
+
+
+@query("c04_local_std", "px8", ", sq AS (SELECT image_id, y, x, v * v AS v FROM px8)" + sql_filter("a_", "px8", "v", 2, 0, 2, 0)
+       + sql_filter("b_", "sq", "v", 2, 0, 2, 0) + out_sql("sqrt(greatest(b.v - a.v * a.v, 0))", "texture", "a_ a JOIN b_ b USING (image_id, y, x)"))
+def local_std(spark, root):
+    return as_rows(px8_bands(spark, root, {"texture": lambda w: K.local_std(w, 2)}), ["texture"], ["texture"])
+
+
+@query("c05_feature_stack")
+def feature_stack(spark, root):
+    return as_rows(H.feature_stack(T.px8_tiles(spark, root)), list(H.FEATURE_NAMES), list(H.FEATURE_NAMES))
+
+
+@query("c06_tiled_features")
+def tiled_features(spark, root):
+    """Feature stack of the event grid, cut into tiles with a full halo around each."""
+    g = T.grid(spark, root)
+    frames = g.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("fh")).withColumn("fw", F.lit(T.GRID_WIDTH))
+    tiles = H.tiles_from_pixels(g, frames, 64, "p")
+    return as_rows(H.feature_stack(tiles, 64), list(H.FEATURE_NAMES), list(H.FEATURE_NAMES), "string")
+
+
+@query("c07_flatfield", "px8", """, u AS (SELECT image_id, y, x, greatest(v + 0.2, 0) AS v FROM px8),
+    ref AS (SELECT image_id, quantile_cont(v, 0.5) AS r FROM u WHERE v > 0 GROUP BY 1),
+    val AS (SELECT image_id, y, x, u.v, CAST(u.v >= greatest(0.05 * r, 1e-6) AS DOUBLE) AS ok, r FROM u JOIN ref USING (image_id)),
+    nn AS (SELECT image_id, y, x, v * ok AS v FROM val), dd AS (SELECT image_id, y, x, ok AS v FROM val)"""
+       + sql_filter("num", "nn", "v", 1, 0, 2, 0, "nearest") + sql_filter("den", "dd", "v", 1, 0, 2, 0, "nearest")
+       + out_sql("CASE WHEN a.ok = 0 THEN 0 ELSE a.v / greatest(n.v / greatest(d.v, 1e-3), greatest(1e-3 * r, 1e-9)) END", "flat",
+                 "val a JOIN num n USING (image_id, y, x) JOIN den d USING (image_id, y, x)"))
+def flatfield(spark, root):
+    t = T.px8_tiles(spark, root).withColumn("data", F.transform("data", lambda v: F.greatest(v + 0.2, F.lit(0.0))))
+    return as_rows(flatfield_tiles(t, 1, 2, T.PX_SIDE), ["flat"], ["flat"])
+
+
+def flatfield_tiles(tiles, sigma_y, sigma_x, tile):
+    """Flat-field of frames held in one tile each; the reference is the median of positive pixels."""
+    positive = F.array_sort(F.filter("data", lambda v: v > 0))
+    ref = F.when(F.size(positive) > 0, array_percentile(positive, 0.5)).otherwise(1.0)
+    halo = int(K.TRUNCATE * max(sigma_y, sigma_x) + 0.5)
+    return H.apply_bands(tiles.withColumn("ref", ref), halo, {"flat": lambda w, ref: K.flat_field(w, ref, sigma_y, sigma_x)}, tile, ["ref"])
+
+
+@query("c08_subtract_background")
+def subtract_background(spark, root):
+    t = px8_bands(spark, root, {"flat": lambda w: w.centre() - w.gauss(40)}, halo=160)
+    flat = P.normalize_tiles(t, 0.005, 0.995, "flat")
+    px = P.tile_pixels(flat, ["flat"], ["v"])
+    return px.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", F.floor(F.col("v") * 255).cast("int").alias("v8"))
+
+
+@query("c09_local_contrast", "px8", """, u AS (SELECT image_id, y, x, v + 0.6 AS v FROM px8),
+    o AS (SELECT a.d AS dy, b.d AS dx FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)),
+    n AS (SELECT c.image_id, c.y, c.x, avg(u.v) AS m, avg(u.v * u.v) AS m2 FROM u c, o JOIN u ON u.image_id = c.image_id
+    AND u.y = greatest(least(c.y + o.dy, 7), 0) AND u.x = greatest(least(c.x + o.dx, 7), 0) GROUP BY ALL)"""
+       + out_sql("sqrt(greatest(m2 - m * m, 0)) / greatest(m, 0.02)", "contrast", "n a"))
+def local_contrast(spark, root):
+    t = T.px8_tiles(spark, root).withColumn("data", F.transform("data", lambda v: v + 0.6))
+    return as_rows(H.apply_bands(t, 2, {"contrast": lambda w: K.local_contrast(w, 3)}, T.PX_SIDE), ["contrast"], ["contrast"])
+
+
+@query("c28_ridge_response")
+def ridge_response(spark, root):
+    t = px8_bands(spark, root, {"ridge": lambda w: K.ridge(w, range(1, 6))}, halo=20)
+    top = F.greatest(F.array_max("ridge"), F.lit(1e-12))
+    return as_rows(t.withColumn("ridge", F.transform("ridge", lambda v: v / top)), ["ridge"], ["ridge"])

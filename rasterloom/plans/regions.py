@@ -19,10 +19,13 @@ OFFS4 = "(VALUES (-1,0),(0,-1),(0,1),(1,0))"
 def lab(name, src, where, conn):
     """Oracle CTEs: ``name`` has every pixel of the mask with its region's smallest packed position."""
     offs = OFFS8 if conn == 8 else OFFS4
-    return f""", {name}_m AS (SELECT image_id, y, x, y::BIGINT * {T.PACK} + x AS id FROM {src} WHERE {where}),
-    {name}_r AS (SELECT image_id, y, x, id, id AS root FROM {name}_m UNION SELECT n.image_id, n.y, n.x, n.id, r.root FROM {name}_r r,
-    {offs} o(dy, dx) JOIN {name}_m n ON n.image_id = r.image_id AND n.y = r.y + o.dy AND n.x = r.x + o.dx AND r.root < n.id),
-    {name} AS (SELECT image_id, y, x, min(root) AS region_id FROM {name}_r GROUP BY ALL)"""
+    return f""", {name}_m AS MATERIALIZED (SELECT image_id, y, x, y::BIGINT * {T.PACK} + x AS id FROM {src} WHERE {where}),
+    {name}_e AS MATERIALIZED (SELECT a.image_id, a.id AS a, b.id AS b FROM {name}_m a, {offs} o(dy, dx) JOIN {name}_m b
+    ON b.image_id = a.image_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+    {name}_r AS (SELECT image_id, id, id AS root FROM {name}_m UNION SELECT e.image_id, e.b, r.root FROM {name}_r r
+    JOIN {name}_e e ON e.image_id = r.image_id AND e.a = r.id AND r.root < e.b),
+    {name} AS (SELECT image_id, CAST(id // {T.PACK} AS INT) AS y, CAST(id % {T.PACK} AS INT) AS x, min(root) AS region_id
+    FROM {name}_r GROUP BY ALL)"""
 
 
 def grid_frames(g):
@@ -33,7 +36,7 @@ def grid_runs(spark, root, where=None):
     """Runs of the event grid's occupied cells, or of those that satisfy ``where``."""
     g = T.grid(spark, root)
     px = g.join(grid_frames(g), "image_id")
-    return R.from_pixels(px.filter(where) if where else px)
+    return R.from_pixels(px if where is None else px.filter(where))
 
 
 def grid_frame_table(spark, root):

@@ -43,7 +43,7 @@ def type_class(value):
 def compare(spark_df, con, sql):
     cols = sorted(spark_df.columns)
     got_rows = spark_df.select(*[f"`{c}`" for c in cols]).collect()
-    cur = con.execute(f"SELECT * FROM ({sql})") if not sql.lstrip().upper().startswith("WITH") else con.execute(sql)
+    cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want_raw = cur.fetchall()
     if sorted(names) != cols:
