@@ -111,19 +111,27 @@ def flat_field(win: Window, ref: np.ndarray, sigma_y: float, sigma_x: float, bla
     return np.where(win.centre(valid) == 0, 0.0, out)
 
 
-def ridge(win: Window, sigmas) -> np.ndarray:
-    """Dark-ridge strength: Hessian anisotropy and energy, greatest over the scales."""
+def _hessian(win: Window, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scale-normalised Hessian eigenvalues, smaller magnitude first."""
+    hyy, hxx = win.gauss(sigma, (2, 0)) * sigma**2, win.gauss(sigma, (0, 2)) * sigma**2
+    hxy = win.gauss(sigma, (1, 1)) * sigma**2
+    mean, disc = (hyy + hxx) / 2, np.sqrt(((hyy - hxx) / 2) ** 2 + hxy**2)
+    a, b = mean + disc, mean - disc
+    return np.where(np.abs(a) < np.abs(b), a, b), np.where(np.abs(a) < np.abs(b), b, a)
+
+
+def hessian_energy(win: Window, sigma: float) -> np.ndarray:
+    return np.hypot(*_hessian(win, sigma))
+
+
+def ridge(win: Window, sigmas, energy_max) -> np.ndarray:
+    """Dark-ridge strength, greatest over the scales; ``energy_max`` is the frame's largest energy per scale."""
     best = None
-    for s in sigmas:
-        hyy, hxx = win.gauss(s, (2, 0)) * s * s, win.gauss(s, (0, 2)) * s * s
-        hxy = win.gauss(s, (1, 1)) * s * s
-        mean, disc = (hyy + hxx) / 2, np.sqrt(((hyy - hxx) / 2) ** 2 + hxy**2)
-        a, b = mean + disc, mean - disc
-        small, large = np.where(np.abs(a) < np.abs(b), a, b), np.where(np.abs(a) < np.abs(b), b, a)
+    for s, top in zip(sigmas, energy_max):
+        small, large = _hessian(win, s)
         blob = np.abs(small) / np.maximum(np.abs(large), 1e-10)
-        energy = np.hypot(small, large)
-        gamma = np.maximum(energy.max(axis=(1, 2), keepdims=True) / 2, 1e-10)
-        r = np.exp(-blob**2 / 0.5) * (1 - np.exp(-energy**2 / (2 * gamma**2)))
+        gamma = np.maximum(top[:, None, None] / 2, 1e-10)
+        r = np.exp(-blob**2 / 0.5) * (1 - np.exp(-(small**2 + large**2) / (2 * gamma**2)))
         r = np.where(large > 0, r, 0.0)
         best = r if best is None else np.maximum(best, r)
     return best

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels as K
 from rasterloom.functions import scalars as S
+from rasterloom.operators import composites as C
 from rasterloom.operators import halo as H
 from rasterloom.operators import lookup as E
 from rasterloom.operators import pixels as P
@@ -125,9 +126,7 @@ def local_contrast(spark, root):
 
 @query("c28_ridge_response")
 def ridge_response(spark, root):
-    t = px8_bands(spark, root, {"ridge": lambda w: K.ridge(w, range(1, 6))}, halo=20)
-    top = F.greatest(F.array_max("ridge"), F.lit(1e-12))
-    return as_rows(t.withColumn("ridge", F.transform("ridge", lambda v: v / top)), ["ridge"], ["ridge"])
+    return as_rows(C.ridge_response(T.px8_tiles(spark, root), T.PX_SIDE), ["ridge"], ["ridge"])
 
 
 def border_sql(src, line, pos, band, ref):
@@ -335,3 +334,57 @@ def pick_level(spark, root):
     lv = T.table(spark, root, "part").select(F.col("p_brand").alias("encoder"), F.col("p_partkey").alias("level"), F.lit(1024).alias("tile_px"),
                                              (F.col("p_size") * 3 - 2).alias("cells"))
     return E.pick_level(lv).withColumn("stride", S.r6("stride"))
+
+
+GRID_CUT = 64
+
+
+def grid_tiles(spark, root, value="p"):
+    return H.tiles_from_pixels(T.grid(spark, root), grid_frame_table(spark, root), GRID_CUT, value)
+
+
+def mask_rows(runs):
+    return R.to_pixels(runs).select("image_id", "y", "x")
+
+
+@query("c22_specimen_support")
+def specimen_support(spark, root):
+    tiles = grid_tiles(spark, root)
+    coarse = C.specimen_support(tiles, GRID_CUT, step=2, open_radius=1, close_radius=2)
+    return mask_rows(C.refine(coarse, C.frames_of(tiles), 2))
+
+
+@query("d09_legacy_postprocess")
+def legacy_postprocess(spark, root):
+    return mask_rows(C.legacy_postprocess(grid_tiles(spark, root), GRID_CUT, sigma=1.0, threshold=0.3, close=1, min_size=6, hole_max=40,
+                                          round_max=20, low=0.2, grow=2, fill=5, border=1))
+
+
+OFF = {"sigma": 2.0, "dark_max": 0.12, "min_fraction": 0.002, "grow": 1}
+
+
+@query("d20_off_specimen")
+def off_specimen(spark, root):
+    return mask_rows(C.off_specimen(grid_tiles(spark, root), GRID_CUT, **OFF))
+
+
+@query("d21_allowed_region")
+def allowed_region(spark, root):
+    return mask_rows(C.allowed_region(grid_tiles(spark, root), GRID_CUT, sigma=1.5, bright_min=0.15, close=2, inset=1, border=1, wedge_fraction=0.002))
+
+
+@query("d22_false_positive_zone")
+def false_positive_zone(spark, root):
+    return mask_rows(C.false_positive_zone(grid_tiles(spark, root), grid_mask(spark, root), GRID_CUT, sigma=1.0, dark_max=0.05, wedge_margin=1,
+                                           edge_ring=2, speckle_area=6, off_args=OFF))
+
+
+@query("d23_crack_cores")
+def crack_cores(spark, root):
+    return mask_rows(C.crack_cores(grid_tiles(spark, root), GRID_CUT, sigma=3.0, k=0.6, min_area=8, min_ecc=0.6, max_fraction=0.9, off_args=OFF))
+
+
+@query("d23_thick_cracks")
+def thick_cracks(spark, root):
+    return mask_rows(C.thick_cracks(grid_tiles(spark, root), GRID_CUT, bright_min=0.1, close=3, min_area=3, min_ecc=0.3, dominance=0.0,
+                                    max_fraction=0.9, open_radius=1))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalars as S
 from rasterloom.operators import regions as G
 from rasterloom.operators import runs as R
+from rasterloom.operators import shapes as H
 from rasterloom.operators.components import label_runs
 from rasterloom.plans.registry import query
 from rasterloom.sources import tables as T
@@ -194,3 +195,23 @@ def false_indications(spark, root):
     clean = S.contains_any(F.col("image_id"), ("C", "E"))
     out = G.false_indications(grid_runs(spark, root, F.col("p") > 0.4).filter(clean), grid_frame_table(spark, root).filter(clean), 4, tile=GRID_TILE)
     return out
+
+
+TILING = {"tile": 128, "halo": 32}
+
+
+@query("d13_skeleton_stats")
+def skeleton_stats(spark, root):
+    lb = labelled(spark, root)
+    out = G.areas(lb).join(H.skeleton_stats(H.skeleton(lb, **TILING)), G.KEY, "left")
+    return out.fillna(0, ["skeleton_length", "branch_points", "endpoints"]).withColumn("tortuosity", F.round("tortuosity", 4))
+
+
+@query("d14_shape_measurements")
+def shape_measurements(spark, root):
+    return H.shape_measurements(labelled(spark, root, "p > 0.4"), **TILING)
+
+
+@query("d10_curvilinear_gate")
+def curvilinear_gate(spark, root):
+    return R.to_pixels(H.curvilinear(labelled(spark, root), min_area=8, min_skeleton=10, **TILING))
