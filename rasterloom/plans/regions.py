@@ -3,10 +3,16 @@
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalars as S
+from rasterloom.operators import aggregates as A
+from rasterloom.operators import clicks as K
+from rasterloom.operators import fragments as M
+from rasterloom.operators import proposals as B
 from rasterloom.operators import regions as G
 from rasterloom.operators import runs as R
 from rasterloom.operators import shapes as H
 from rasterloom.operators.components import label_runs
+from rasterloom.operators.labels import label_counts
+from rasterloom.operators.quantiles import exact_percentiles
 from rasterloom.plans.registry import query
 from rasterloom.sources import tables as T
 
@@ -215,3 +221,307 @@ def shape_measurements(spark, root):
 @query("d10_curvilinear_gate")
 def curvilinear_gate(spark, root):
     return R.to_pixels(H.curvilinear(labelled(spark, root), min_area=8, min_skeleton=10, **TILING))
+
+
+def grid_pixels(spark, root):
+    """Occupied cells as pixels with their frame size and displayed value."""
+    g = T.grid(spark, root)
+    return g.join(grid_frames(g), "image_id").select("image_id", "fh", "fw", "y", "x", "p", "n", "s", F.col("p").alias("v"))
+
+
+def clicks(spark, root):
+    """One click per frame and day: on the strongest cell of odd days, on the weakest of even days."""
+    g = T.grid(spark, root)
+    pick = F.when(F.col("x") % 2 == 1, F.max_by("y", F.struct("s", "y"))).otherwise(F.min_by("y", F.struct("s", "y")))
+    per = g.groupBy("image_id", "x").agg(pick.alias("y"))
+    mode = F.when(F.col("x") % 3 == 0, "remove").when(F.col("x") % 3 == 1, "confirm").otherwise("toggle")
+    return per.select(F.concat_ws("/", "image_id", "x").alias("click_id"), "image_id", "y", "x", mode.alias("mode"))
+
+
+CLICKS = """, clicks AS (SELECT concat(image_id, '/', x) AS click_id, image_id, x, CASE WHEN x % 2 = 1 THEN arg_max(y, (s, y)) ELSE arg_min(y, (s, y)) END AS y,
+    CASE x % 3 WHEN 0 THEN 'remove' WHEN 1 THEN 'confirm' ELSE 'toggle' END AS mode FROM grid GROUP BY image_id, x),
+    tol AS (SELECT image_id, greatest(0.02, stddev_pop(p) * 0.75) AS tol FROM grid GROUP BY 1)"""
+FLOOD = """, fm AS (SELECT c.click_id AS image_id, g.y, g.x FROM {src} c JOIN grid s ON s.image_id = c.image_id AND s.y = c.y AND s.x = c.x
+    JOIN tol t ON t.image_id = c.image_id JOIN grid g ON g.image_id = c.image_id AND abs(g.p - s.p) <= tol)""" + lab("fl", "fm", "true", 8) + """,
+    home AS (SELECT fl.image_id, fl.region_id FROM fl JOIN {src} c ON c.click_id = fl.image_id AND c.y = fl.y AND c.x = fl.x),
+    fa AS (SELECT fl.image_id AS click_id, count(*) AS c FROM fl SEMI JOIN home USING (image_id, region_id) GROUP BY 1)"""
+
+
+@query("d19_flood", "grid", CLICKS + FLOOD.format(src="clicks") + " SELECT click_id, c AS area FROM fa")
+def flood(spark, root):
+    px = grid_pixels(spark, root)
+    runs = K.flood(clicks(spark, root), px, K.frame_tolerance(px), tile=GRID_TILE)
+    return runs.groupBy(F.col("image_id").alias("click_id")).agg(F.sum(G.run_length()).alias("area"))
+
+
+@query("d18_region_at_point", "grid", CLICKS + lab("l1", "grid", "p > 0.6", 8) + lab("l2", "grid", "p > 0.15", 8) + """,
+    a1 AS (SELECT image_id, region_id, count(*) AS n FROM l1 GROUP BY 1, 2), a2 AS (SELECT image_id, region_id, count(*) AS n FROM l2 GROUP BY 1, 2),
+    j AS (SELECT c.*, a1.n AS a, a2.n AS b FROM clicks c LEFT JOIN l1 USING (image_id, y, x) LEFT JOIN a1 ON a1.image_id = c.image_id AND a1.region_id = l1.region_id
+    LEFT JOIN l2 ON l2.image_id = c.image_id AND l2.y = c.y AND l2.x = c.x LEFT JOIN a2 ON a2.image_id = c.image_id AND a2.region_id = l2.region_id),
+    opn AS (SELECT * FROM j WHERE a IS NULL AND b IS NULL)""" + FLOOD.format(src="opn") + FRAMES + """,
+    k AS (SELECT j.*, fa.c, fh * fw AS n, CASE WHEN a IS NOT NULL THEN 'prediction' WHEN b IS NOT NULL THEN 'weak activation' WHEN fa.c IS NOT NULL THEN 'darkness' END
+    AS source, g.n >= 2 AND g.s < 60 AS neg FROM j LEFT JOIN fa USING (click_id) JOIN frames USING (image_id) JOIN grid g ON g.image_id = j.image_id AND g.y = j.y AND g.x = j.x)
+    SELECT click_id, image_id, y, x, mode, source, coalesce(a, b, c) AS region_px, source = 'darkness' AND c > 0.02 * n AS refused,
+    CASE WHEN source = 'darkness' AND c > 0.02 * n THEN NULL WHEN mode = 'confirm' THEN 1 WHEN mode = 'remove' THEN 2 WHEN neg THEN 1 ELSE 2 END AS new_state FROM k""")
+def region_at_point(spark, root):
+    px = grid_pixels(spark, root)
+    labels = px.filter("n >= 2 AND s < 60").select("image_id", "y", "x", F.lit(2).alias("state"))
+    return K.resolve_clicks(clicks(spark, root), px, grid_runs(spark, root, "p > 0.6"), grid_runs(spark, root, "p > 0.15"), labels,
+                            max_fraction=0.02, tile=GRID_TILE)
+
+
+@query("d24_near_pairs", "grid", lab("l", "grid", "p > 0.4", 8) + """, a AS (SELECT image_id, region_id FROM l GROUP BY 1, 2 HAVING count(*) >= 8),
+    k AS (SELECT l.* FROM l SEMI JOIN a USING (image_id, region_id)),
+    d AS (SELECT p.image_id, p.region_id AS u, q.region_id AS v, (p.y - q.y) ** 2 + (p.x - q.x) ** 2 AS d2 FROM k p JOIN k q ON p.image_id = q.image_id
+    AND p.region_id < q.region_id AND abs(p.y - q.y) <= 8 AND abs(p.x - q.x) <= 8)
+    SELECT image_id, u, v, round(sqrt(min(d2)), 6) AS gap FROM d WHERE d2 <= 64 GROUP BY ALL""")
+def near_pairs(spark, root):
+    lb = labelled(spark, root, "p > 0.4")
+    large = G.keep_regions(lb, G.areas(lb).filter("area >= 8"))
+    return M.near_pairs(large, 8).select("image_id", "u", "v", S.r6("gap").alias("gap"))
+
+
+@query("d24_merge_fragments")
+def merge_fragments(spark, root):
+    lb = labelled(spark, root, "p > 0.4")
+    px = grid_pixels(spark, root).withColumn("v", F.lit(1.0) - F.col("p"))
+    groups, _ = M.merge_fragments(lb, px, min_area=8, max_gap=8, max_bridge=0.9, margin=4, fill=1.0)
+    return groups
+
+
+CAND = """, dark AS (SELECT l.image_id, l.region_id, avg(255 - floor(g.p * 255)) AS d FROM l JOIN grid g USING (image_id, y, x) GROUP BY 1, 2)"""
+
+
+def candidates(labelled_runs, px, min_area):
+    """Shape and intensity columns of every candidate region, with dense labels."""
+    dark = R.to_pixels(labelled_runs, "region_id").join(px.select("image_id", "y", "x", "v8"), ["image_id", "y", "x"]).groupBy(*G.KEY).agg(
+        F.avg(255 - F.col("v8")).alias("mean_darkness"))
+    p = G.region_props(labelled_runs).filter(F.col("area") >= min_area)
+    label = G.relabel_dense(labelled_runs, min_area).select(*G.KEY, "label")
+    per = G.perimeters(labelled_runs).select(*G.KEY, "perimeter")
+    j = p.join(label, G.KEY).join(dark, G.KEY).join(per, G.KEY)
+    minor = F.when(F.col("minor") > 0, F.col("minor")).otherwise(0.5)
+    h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    return j.select("image_id", "label", "area", w.alias("width"), h.alias("height"), *[F.round(c, 4).alias(c) for c in (
+        "cx", "cy", "major", "minor", "ecc", "extent", "mean_darkness")], F.round(F.col("major") / minor, 3).alias("elongation"),
+        F.round(G.circularity(F.col("area"), F.col("perimeter")), 4).alias("circularity"), F.round(F.log10("area"), 6).alias("log_area"),
+        F.round(100.0 * F.col("area") / (F.col("fh") * F.col("fw")), 6).alias("coverage_pct"), F.round(h / w, 6).alias("hw_ratio"))
+
+
+@query("d25_candidate_table", "grid", FRAMES + lab("l", "grid", "true", 8) + PROPS + PERIM + CAND + """,
+    c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY region_id) AS label FROM props WHERE area >= 4)
+    SELECT c.image_id, label, area, x1 - x0 AS width, y1 - y0 AS height, round(cx, 4) AS cx, round(cy, 4) AS cy, round(major, 4) AS major, round(minor, 4) AS minor,
+    round(ecc, 4) AS ecc, round(extent, 4) AS extent, round(d, 4) AS mean_darkness, round(major / CASE WHEN minor > 0 THEN minor ELSE 0.5 END, 3) AS elongation,
+    round(least(1.0, 4 * pi() * area / (CASE WHEN coalesce(p, 0) > 0 THEN p ELSE 1 END) ** 2), 4) AS circularity, round(log10(area), 6) AS log_area,
+    round(100.0::DOUBLE * area / (fh * fw), 6) AS coverage_pct, round((y1 - y0) / (x1 - x0), 6) AS hw_ratio
+    FROM c JOIN frames USING (image_id) JOIN dark ON dark.image_id = c.image_id AND dark.region_id = c.region_id
+    LEFT JOIN per ON per.image_id = c.image_id AND per.region_id = c.region_id""")
+def candidate_table(spark, root):
+    px = grid_pixels(spark, root).withColumn("v8", F.floor(F.col("p") * 255))
+    return candidates(labelled(spark, root), px, 4)
+
+
+@query("d26_top_boxes", "grid", lab("l", "grid", "true", 8) + PROPS + """ SELECT image_id, region_id, area, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER
+    (PARTITION BY image_id ORDER BY area DESC, region_id) AS rn FROM props WHERE area >= 10) WHERE rn <= 8""")
+def top_boxes(spark, root):
+    return B.top_boxes(G.region_props(labelled(spark, root)), k=8, min_area=10)
+
+
+@query("d26_region_points", "grid", """SELECT image_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
+    md5(concat_ws(':', '0', image_id, y, x))) AS rn FROM grid WHERE p > 0.5) WHERE rn <= 32""")
+def region_points(spark, root):
+    return B.sampled_points(T.grid(spark, root).filter("p > 0.5"), 32, 0)
+
+
+@query("d26_grid_points", "grid", FRAMES + """ SELECT image_id, round(4 + i * (fh - 1 - 8) / 31.0::DOUBLE, 6) AS y, round(4 + j * (fw - 1 - 8) / 31.0::DOUBLE, 6) AS x
+    FROM frames, range(32) a(i), range(32) b(j)""")
+def grid_points(spark, root):
+    return B.grid_points(grid_frame_table(spark, root), 32, 4).withColumns({"y": S.r6("y"), "x": S.r6("x")})
+
+
+PROPOSALS = """, pr AS (SELECT image_id, concat(t, '/', y // 12) AS proposal, y, x FROM grid, (VALUES (1), (2), (3)) v(t) WHERE p > 0.2 * t + 0.1)"""
+
+
+def proposals(spark, root):
+    g = T.grid(spark, root).withColumn("t", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter(F.col("p") > F.col("t") * 0.2 + 0.1)
+    return g.select("image_id", F.concat_ws("/", "t", F.floor(F.col("y") / 12)).alias("proposal"), "y", "x")
+
+
+@query("d27_select_by_darkness", "grid", FRAMES + PROPOSALS + """, q AS (SELECT image_id, quantile_cont(1 - p, 0.3) AS q FROM grid GROUP BY 1),
+    a AS (SELECT image_id, proposal, avg(1 - p) AS m, count(*) AS n FROM pr JOIN grid USING (image_id, y, x) GROUP BY 1, 2),
+    k AS (SELECT image_id, proposal FROM a JOIN q USING (image_id) JOIN frames USING (image_id) WHERE m < q AND n <= 0.02 * fh * fw)
+    SELECT DISTINCT image_id, y, x FROM pr SEMI JOIN k USING (image_id, proposal)""")
+def select_by_darkness(spark, root):
+    px = grid_pixels(spark, root).withColumn("v", F.lit(1.0) - F.col("p"))
+    return B.select_by_darkness(proposals(spark, root), px, grid_frame_table(spark, root), 0.3, 0.02)
+
+
+@query("d28_proposal_purity", "grid", PROPOSALS + """ SELECT image_id, proposal, count(*) AS area, count(*) FILTER (n > 1) AS overlap,
+    round(count(*) FILTER (n > 1) / count(*), 6) AS purity FROM pr JOIN grid USING (image_id, y, x) GROUP BY 1, 2""")
+def proposal_purity(spark, root):
+    return B.proposal_purity(proposals(spark, root), T.grid(spark, root).filter("n > 1")).withColumn("purity", S.r6("purity"))
+
+
+@query("d28_greedy_union")
+def greedy_union(spark, root):
+    return B.greedy_union(proposals(spark, root), T.grid(spark, root).filter("n > 1")).withColumn("iou", S.r6("iou"))
+
+
+STATES = "SELECT image_id, y, x, CASE WHEN n >= 3 THEN 1 ELSE 2 END AS state FROM grid WHERE n >= 3 OR (n = 2 AND s < 60)"
+
+
+def grid_labels(spark, root):
+    g = T.grid(spark, root).filter("n >= 3 OR (n = 2 AND s < 60)")
+    return g.select("image_id", "y", "x", F.when(F.col("n") >= 3, 1).otherwise(2).alias("state"))
+
+
+def effective_mask(prob_runs, labels, frames, min_area=2000, prune=True, **opts):
+    """Pruned prediction with the labels on top, as runs; labels are applied last, so painted pixels never vanish."""
+    base = G.remove_small(prob_runs, min_area, 4, **opts) if prune else prob_runs
+    lab = labels.join(frames, "image_id")
+    pos, neg = R.from_pixels(lab.filter("state = 1")), R.from_pixels(lab.filter("state = 2"))
+    return R.subtract(R.union(base, pos), neg)
+
+
+EFFECTIVE = lab("f", "grid", "p > 0.5", 4) + f""", pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM f
+    GROUP BY image_id, region_id HAVING count(*) >= 4)), st AS ({STATES}),
+    eff AS (SELECT image_id, y, x FROM pr FULL JOIN st USING (image_id, y, x) WHERE CASE state WHEN 1 THEN true WHEN 2 THEN false ELSE true END)"""
+
+
+def grid_effective(spark, root):
+    return effective_mask(grid_runs(spark, root, "p > 0.5"), grid_labels(spark, root), grid_frame_table(spark, root), 4, tile=GRID_TILE)
+
+
+@query("b07_effective_mask", "grid", EFFECTIVE + " SELECT image_id, y, x FROM eff")
+def effective_mask_query(spark, root):
+    return R.to_pixels(grid_effective(spark, root))
+
+
+@query("b07_effective_mask_without_prediction", "grid", f", st AS ({STATES}) SELECT image_id, y, x FROM st WHERE state = 1")
+def effective_mask_without_prediction(spark, root):
+    """A frame without a prediction starts from an empty mask, so only forced pixels show."""
+    none = grid_runs(spark, root, "p > 2")
+    return R.to_pixels(effective_mask(none, grid_labels(spark, root), grid_frame_table(spark, root), prune=False))
+
+
+def frame_counts(mask, frames, **opts):
+    """Positive pixels, area fraction and 8-connected regions per frame."""
+    per = label_runs(mask, 8, **opts).groupBy("image_id").agg(
+        F.sum(G.run_length()).alias("positive_px"), F.countDistinct("region_id").alias("n_regions"))
+    j = frames.join(per, "image_id", "left").fillna(0, ["positive_px", "n_regions"])
+    return j.withColumn("area_fraction", F.round(F.col("positive_px") / (F.col("fh") * F.col("fw")), 6))
+
+
+COUNTS = EFFECTIVE + lab("l", "eff", "true", 8) + FRAMES + """, cnt AS (SELECT f.image_id, fh, fw, count(l.y) AS positive_px, count(DISTINCT region_id) AS n_regions,
+    round(count(l.y) / (fh * fw), 6) AS area_fraction FROM frames f LEFT JOIN l USING (image_id) GROUP BY 1, 2, 3)"""
+
+
+@query("f02_frame_counts", "grid", COUNTS + " SELECT image_id, positive_px, n_regions, area_fraction FROM cnt")
+def frame_counts_query(spark, root):
+    out = frame_counts(grid_effective(spark, root), grid_frame_table(spark, root), tile=GRID_TILE)
+    return out.select("image_id", "positive_px", "n_regions", "area_fraction")
+
+
+@query("a10_export_regions", "grid", EFFECTIVE + lab("l", "eff", "true", 8) + FRAMES + """ SELECT l.image_id, region_id, count(*) AS area_px, round(100.0::DOUBLE * count(*) / any_value(fh * fw), 4)
+    AS area_pct, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM l JOIN frames USING (image_id) GROUP BY 1, 2 HAVING count(*) >= 5""")
+def export_regions(spark, root):
+    p = G.region_props(label_runs(grid_effective(spark, root), 8, tile=GRID_TILE)).filter("area >= 5")
+    pct = F.round(100.0 * F.col("area") / (F.col("fh") * F.col("fw")), 4)
+    return p.select("image_id", "region_id", F.col("area").alias("area_px"), pct.alias("area_pct"), F.round("cx", 3).alias("cx"),
+                    F.round("cy", 3).alias("cy")).orderBy("image_id", F.desc("area_px"), "region_id")
+
+
+@query("a11_export_summary", "grid", COUNTS + """, lc AS (SELECT image_id, count(*) FILTER (state = 1) AS p, count(*) FILTER (state = 2) AS n FROM st GROUP BY 1)
+    SELECT image_id, fh AS height_px, fw AS width_px, round(fh * fw / 1e6, 3) AS megapixels, positive_px, area_fraction, n_regions, coalesce(p, 0) AS corrected_pos,
+    coalesce(n, 0) AS corrected_neg FROM cnt LEFT JOIN lc USING (image_id)""")
+def export_summary(spark, root):
+    out = frame_counts(grid_effective(spark, root), grid_frame_table(spark, root), tile=GRID_TILE)
+    j = out.join(label_counts(grid_labels(spark, root)), "image_id", "left").fillna(0, ["n_pos", "n_neg"])
+    return j.select("image_id", F.col("fh").alias("height_px"), F.col("fw").alias("width_px"), F.round(F.col("fh") * F.col("fw") / 1e6, 3).alias("megapixels"),
+                    "positive_px", "area_fraction", "n_regions", F.col("n_pos").alias("corrected_pos"), F.col("n_neg").alias("corrected_neg"))
+
+
+@query("r06_batch_apply", "px8", """, fr AS (SELECT image_id, any_value(grp) AS grp FROM px8 GROUP BY 1)""" + lab("f", "px8", "v > 0.08", 4) + """,
+    pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM f GROUP BY image_id, region_id HAVING count(*) >= 2))"""
+       + lab("l", "pr", "true", 8) + """, c AS (SELECT fr.image_id, grp, count(l.y) AS a, count(DISTINCT region_id) AS n FROM fr LEFT JOIN l USING (image_id) GROUP BY 1, 2)
+    SELECT grp, count(*) AS n_frames, round(quantile_cont(a / 64, 0.5), 6) AS median_area, round(quantile_cont(n, 0.5), 6) AS median_regions FROM c GROUP BY 1""")
+def batch_apply(spark, root):
+    """Every frame scored, pruned and counted in one job, then group medians."""
+    px = T.px8(spark, root)
+    size = [F.lit(T.PX_SIDE).alias("fh"), F.lit(T.PX_SIDE).alias("fw")]
+    mask = R.from_pixels(px.filter("v > 0.08").select("image_id", *size, "y", "x"))
+    frames = T.table(spark, root, "embeddings").select(F.col("vec_id").alias("image_id"), *size, F.col("label").alias("grp"))
+    per = frame_counts(G.remove_small(mask, 2, 4, tile=GRID_TILE), frames, tile=GRID_TILE).withColumn("a", F.col("positive_px") / 64)
+    med = exact_percentiles(per, ["grp"], "a", {"median_area": 0.5}).join(exact_percentiles(per, ["grp"], "n_regions", {"median_regions": 0.5}), "grp")
+    n = frames.groupBy("grp").agg(F.count(F.lit(1)).alias("n_frames"))
+    return n.join(med, "grp").withColumns({"median_area": S.r6("median_area"), "median_regions": S.r6("median_regions")})
+
+
+def deploy_checks(candidate, production, truth, labels, frames, bands, iou_tol=0.03, ratio_max=2.0, density_min=0.03, new_max=0.02, area_min=0.005,
+                  area_max=0.80, **opts):
+    """The five deployment checks as rows (check, passed, flagged, detail)."""
+    px = lambda runs: R.to_pixels(runs).select("image_id", "y", "x")
+
+    def mean_iou(mask):
+        j = px(mask).withColumn("_m", F.lit(1)).join(truth.select("image_id", "y", "x").withColumn("_t", F.lit(1)), ["image_id", "y", "x"], "full")
+        per = j.groupBy("image_id").agg((F.sum(F.when(F.col("_m").isNotNull() & F.col("_t").isNotNull(), 1).otherwise(0)) / F.count(F.lit(1))).alias("iou"))
+        return per.agg(F.avg("iou").alias("v"))
+
+    c, p = mean_iou(candidate).scalar(), mean_iou(production).scalar()
+    one = frames.limit(1)
+    accuracy = one.select(F.lit("accuracy").alias("check"), (c >= p - iou_tol).alias("passed"), F.lit(0).cast("long").alias("flagged"), (c - p).alias("detail"))
+    size = frames.select("image_id", F.col("fh").alias("height"), F.col("fw").alias("width"))
+    ring = A.ring_density(px(candidate), size, bands).withColumnRenamed("density", "a").join(
+        A.ring_density(px(production), size, bands).withColumnRenamed("density", "b"), ["image_id", "band"])
+    hot = (F.col("a") >= density_min) & (F.col("a") > F.col("b") * ratio_max)
+    border = ring.agg(F.count_if(hot).alias("flagged"), F.max("a").alias("detail"))
+    new = G.spontaneous(candidate, production, frames, new_max).agg(F.count_if("flagged").alias("flagged"), F.max("fraction").alias("detail"))
+    cnt = frame_counts(candidate, frames, **opts)
+    frac = F.col("positive_px") / (F.col("fh") * F.col("fw"))
+    bad = (F.col("n_regions") == 0) | (frac > area_max) | (frac < area_min)
+    degenerate = cnt.agg(F.count_if(bad).alias("flagged"), F.max(frac).alias("detail"))
+    j = labels.join(px(candidate).withColumn("_c", F.lit(True)), ["image_id", "y", "x"], "left").join(
+        px(production).withColumn("_p", F.lit(True)), ["image_id", "y", "x"], "left")
+    moved = F.coalesce("_c", F.lit(False)) != F.coalesce("_p", F.lit(False))
+    changed = j.agg(F.count_if(moved).alias("flagged"), F.avg(moved.cast("int")).alias("detail"))
+    row = lambda name, df, always=False: df.select(
+        F.lit(name).alias("check"), (F.lit(True) if always else F.col("flagged") == 0).alias("passed"), "flagged", "detail")
+    return accuracy.union(row("border", border)).union(row("spontaneous", new)).union(row("degenerate", degenerate)).union(row("changed", changed, True))
+
+
+GATE = FRAMES + f""", c AS (SELECT image_id, y, x FROM grid WHERE p > 0.5), pd AS (SELECT image_id, y, x FROM grid WHERE n > 1), tr AS (SELECT image_id, y, x FROM grid WHERE p > 0.45),
+    st AS ({STATES}), ia AS (SELECT avg(i) AS v FROM (SELECT image_id, count(*) FILTER (c.y IS NOT NULL AND tr.y IS NOT NULL) / count(*) AS i FROM c FULL JOIN tr USING (image_id, y, x) GROUP BY 1)),
+    ip AS (SELECT avg(i) AS v FROM (SELECT image_id, count(*) FILTER (pd.y IS NOT NULL AND tr.y IS NOT NULL) / count(*) AS i FROM pd FULL JOIN tr USING (image_id, y, x) GROUP BY 1)),
+    bands AS (SELECT * FROM (VALUES (0, 5), (5, 10)) t(lo, hi)), cells AS (SELECT image_id, lo, hi, unnest(range(fh)) AS y, fw, fh FROM frames, bands),
+    ring AS (SELECT * FROM (SELECT *, unnest(range(fw)) AS x FROM cells) WHERE (y >= lo AND y < hi) OR (y >= fh - hi AND y < fh - lo) OR (x >= lo AND x < hi) OR (x >= fw - hi AND x < fw - lo)),
+    dens AS (SELECT r.image_id, lo, avg((c.y IS NOT NULL)::INT) AS a, avg((pd.y IS NOT NULL)::INT) AS b FROM ring r LEFT JOIN c ON c.image_id = r.image_id AND c.y = r.y AND c.x = r.x
+    LEFT JOIN pd ON pd.image_id = r.image_id AND pd.y = r.y AND pd.x = r.x GROUP BY 1, 2)""" + lab("l", "grid", "p > 0.5", 8) + """,
+    hit AS (SELECT l.image_id, l.region_id, count(*) AS area, bool_or(g.n > 1) AS hit FROM l JOIN grid g USING (image_id, y, x) GROUP BY 1, 2),
+    nw AS (SELECT f.image_id, coalesce(sum(area) FILTER (NOT hit), 0) / any_value(fh * fw) AS fr FROM frames f LEFT JOIN hit USING (image_id) GROUP BY 1),
+    dg AS (SELECT f.image_id, count(l.y) / any_value(fh * fw) AS fr, count(DISTINCT region_id) AS n FROM frames f LEFT JOIN l USING (image_id) GROUP BY 1),
+    ch AS (SELECT (c.y IS NOT NULL) <> (pd.y IS NOT NULL) AS moved FROM st LEFT JOIN c USING (image_id, y, x) LEFT JOIN pd USING (image_id, y, x)),
+    checks AS (SELECT 'accuracy' AS "check", ia.v >= ip.v - 0.03 AS passed, 0::BIGINT AS flagged, ia.v - ip.v AS detail FROM ia, ip
+    UNION ALL SELECT 'border', count(*) FILTER (a >= 0.03 AND a > b * 2) = 0, count(*) FILTER (a >= 0.03 AND a > b * 2), max(a) FROM dens
+    UNION ALL SELECT 'spontaneous', count(*) FILTER (fr > 0.02) = 0, count(*) FILTER (fr > 0.02), max(fr) FROM nw
+    UNION ALL SELECT 'degenerate', count(*) FILTER (n = 0 OR fr > 0.8 OR fr < 0.005) = 0, count(*) FILTER (n = 0 OR fr > 0.8 OR fr < 0.005), max(fr) FROM dg
+    UNION ALL SELECT 'changed', true, count(*) FILTER (moved), avg(moved::INT) FROM ch)"""
+
+
+def grid_deploy_checks(spark, root):
+    g = T.grid(spark, root)
+    return deploy_checks(grid_runs(spark, root, "p > 0.5"), grid_runs(spark, root, "n > 1"), g.filter("p > 0.45"), grid_labels(spark, root),
+                         grid_frame_table(spark, root), [(0, 5), (5, 10)], tile=GRID_TILE)
+
+
+@query("q03_deploy_checks", "grid", GATE + ' SELECT "check", passed, flagged, round(detail, 6) + 0.0 AS detail FROM checks')
+def deploy_checks_query(spark, root):
+    return grid_deploy_checks(spark, root).withColumn("detail", S.r6("detail"))
+
+
+@query("r11_candidate_report", "grid", GATE + """ SELECT bool_and(passed) AS would_deploy, count(*) FILTER (NOT passed) AS n_failed,
+    string_agg("check", ',' ORDER BY "check") FILTER (NOT passed) AS failed FROM checks""")
+def candidate_report(spark, root):
+    c = grid_deploy_checks(spark, root)
+    failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("check")))), ",")
+    return c.agg(F.bool_and("passed").alias("would_deploy"), F.count_if(~F.col("passed")).alias("n_failed"), failed.alias("failed")).withColumn(
+        "failed", F.when(F.col("n_failed") > 0, F.col("failed")))
