@@ -39,6 +39,24 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
+class Streamed:
+    """Stands in for the session so that a view reads its table as a stream.
+
+    The path is a pattern, since a file stream takes a folder or a pattern but no single file.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._reader = spark.readStream
+        self.read = self
+
+    def schema(self, ddl: str) -> "Streamed":
+        self._reader = self._reader.schema(ddl)
+        return self
+
+    def parquet(self, path: str) -> DataFrame:
+        return self._reader.option("maxFilesPerTrigger", 8).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def unit_hash(seed: str, *cols) -> F.Column:
     """Deterministic fraction in [0, 1) from a seeded md5, equal in every SQL engine."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
