@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators.ordered import running_total
 from rasterloom.operators.quantiles import bounded_percentiles
+from rasterloom.session import materialize
 
 LINE = ["image_id", "axis"]
 FLOOR_HALF, FLOOR_SKIP = 30, 3
@@ -82,14 +83,16 @@ def analyze(profile: DataFrame, min_period: int = 80, base_win: int = 251, tol:
             harmonic_snr: float = 3.0, max_harmonics: int = 4, max_freq: float = 0.48, harmonic_band: float = 0.10) -> DataFrame:
     """Validated period of each (image_id, axis): period, snr and the harmonics that pass the same tests on their own."""
     top = F.greatest(F.lit(min_period + 1), F.floor(F.col("n") / 3))
-    base = stable_period(profile, LINE, F.lit(min_period), top, base_win, tol)
+    profile = materialize(profile, "profile")
+    base = materialize(stable_period(profile, LINE, F.lit(min_period), top, base_win, tol), "period")
     orders = base.select(*LINE, "period", F.explode(F.sequence(F.lit(1), F.lit(max_harmonics))).alias("h"))
     orders = orders.withColumn("freq", F.col("h") / F.col("period")).filter((F.col("h") == 1) | (F.col("freq") < max_freq))
     goal = F.col("period") / F.col("h")
     orders = orders.withColumns({"goal": goal, "lo": F.greatest(F.lit(float(min_period)), goal * (1 - harmonic_band)),
                                  "hi": F.least(F.floor(F.col("period") * 1e6), goal * (1 + harmonic_band))})
     keys = LINE + ["h"]
-    asked = profile.join(orders, LINE)
+    asked = materialize(profile.join(orders, LINE), "asked")
+    orders = asked.select(*keys, "period", "freq", "goal").distinct()
     snr = peak_snr(asked, keys, "freq", base_win)
     again = asked.filter("h > 1 AND hi > lo")
     own = stable_period(again, keys, F.col("lo"), F.col("hi"), base_win, tol).withColumnRenamed("period", "own")

@@ -10,7 +10,7 @@ from rasterloom.plans.regions import grid_frame_table
 from rasterloom.plans.registry import query
 from rasterloom.sources import tables as T
 
-RIPPLE = 12
+RIPPLE = 10
 OPTS = {"min_period": 6, "base_win": 25, "pad_min": 10}
 
 
@@ -30,7 +30,7 @@ def row_profile(spark, root):
 
 
 @query("c12_stable_period", "grid", """, fr AS (SELECT image_id, max(y) + 1 AS n FROM grid GROUP BY 1), rows1 AS (SELECT image_id, n, unnest(range(n)) AS pos FROM fr),
-    prof AS (SELECT r.image_id, pos, n, coalesce(sum(p), 0) / 30 + 0.6 + 0.25 * cos(6.283185307179586 / 12 * pos) AS v FROM rows1 r LEFT JOIN grid g ON g.image_id = r.image_id AND g.y = r.pos GROUP BY 1, 2, 3),
+    prof AS (SELECT r.image_id, r.pos, r.n, coalesce(sum(p), 0) / 30 + 0.6 + 0.25 * cos(6.283185307179586 / 10 * r.pos) AS v FROM rows1 r LEFT JOIN grid g ON g.image_id = r.image_id AND g.y = r.pos GROUP BY 1, 2, 3),
     ws AS (SELECT p.*, win, least(w, (n // 2) | 1) AS w FROM prof p, (VALUES (0, 15), (1, 25), (2, 41)) t(win, w)),
     base AS (SELECT a.image_id, a.win, a.pos, a.n, any_value(a.v) AS v, sum(b.v) / any_value(a.w) AS base FROM ws a JOIN prof b ON a.image_id = b.image_id
     AND b.pos BETWEEN a.pos - a.w // 2 AND a.pos + a.w // 2 GROUP BY 1, 2, 3, 4),
