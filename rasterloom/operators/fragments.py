@@ -79,7 +79,7 @@ def route_brightness(pairs: DataFrame, px: DataFrame, value: str = "v", margin:
         import pandas as pd
 
         if len(pair) == 0 or len(pdf) == 0:
-            return pd.DataFrame({"image_id": [], "u": [], "v": [], "bridge": []})
+            return pair.iloc[:0][["image_id", "u", "v"]].assign(bridge=0.0)
         r = pair.iloc[0]
         r1, c1 = min(int(r.r1), int(pdf["fh"].iloc[0]) - 1), min(int(r.c1), int(pdf["fw"].iloc[0]) - 1)
         cost = np.full((r1 - int(r.r0) + 1, c1 - int(r.c0) + 1), fill)

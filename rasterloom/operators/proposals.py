@@ -47,7 +47,7 @@ def greedy_union(proposals: DataFrame, truth: DataFrame) -> DataFrame:
         member = np.array([[p in set(r.sig) for r in rows] for p in names]).reshape(len(names), len(rows))
         n, pos = np.array([r.n for r in rows], dtype=float), np.array([r.pos for r in rows], dtype=float)
         if not names:
-            return pd.DataFrame({"image_id": [], "proposal": [], "iou": []})
+            return pdf.iloc[:0][["image_id"]].assign(proposal=None, iou=0.0)
         purity = (member @ pos) / (member @ n)
 
         def score(pick):

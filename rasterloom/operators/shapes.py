@@ -127,7 +127,7 @@ def _measure(tile: int, halo: int):
         import pandas as pd
 
         if len(pts) == 0 or len(pdf) == 0:
-            return pd.DataFrame({"image_id": [], "region_id": [], "d": []})
+            return pts.iloc[:0][["image_id", "region_id"]].assign(d=0.0)
         a, _, oy, ox = _paint(pdf, tile, halo)
         inside = a > 0
         fh, fw = int(pdf["fh"].iloc[0]), int(pdf["fw"].iloc[0])
