@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.runs import RUN
-from rasterloom.session import materialize
+from rasterloom.session import by_key_stream, materialize
 from rasterloom.sources.tables import PACK
 
 TILE = 1024
 FRAME_EDGE_LIMIT = 2_000_000
 
 
-def _local_labels(y, x0, x1, reach):
-    """Smallest packed (y, x) among the runs connected to each run of one tile."""
+def _local_labels(tile_code, y, x0, x1, reach):
+    """Smallest packed (y, x) among the runs connected to each run, for the runs of many tiles at once."""
     import numpy as np
 
-    order = np.lexsort((x0, y))
-    ys, a, b = y[order].astype(np.int64), x0[order].astype(np.int64), x1[order].astype(np.int64)
-    starts, ends = ys * PACK + a, ys * PACK + b
+    order = np.lexsort((x0, y, tile_code))
+    code, ys = tile_code[order].astype(np.int64), y[order].astype(np.int64)
+    a, b = x0[order].astype(np.int64), x1[order].astype(np.int64)
+    new_row = np.r_[False, (code[1:] != code[:-1]) | (ys[1:] != ys[:-1])]
+    skip = np.r_[False, (code[1:] != code[:-1]) | (ys[1:] - ys[:-1] > 1)]
+    row = np.cumsum(new_row.astype(np.int64) + skip)  # rows that do not touch are two apart
+    starts, ends = row * PACK + a, row * PACK + b
     first = np.searchsorted(ends, starts + PACK - reach, side="left")
     last = np.searchsorted(starts, ends + PACK + reach, side="right")
     n = np.maximum(last - first, 0)
@@ -43,7 +47,7 @@ def _local_labels(y, x0, x1, reach):
             break
         label = new
     out = np.empty(len(ys), dtype=np.int64)
-    out[order] = starts[label]
+    out[order] = (ys * PACK + a)[label]
     return out
 
 
@@ -104,7 +108,11 @@ def framewise_contraction(edges: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        nodes, code = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+        frame = pdf.groupby("image_id", sort=False).ngroup().to_numpy()
+        ends = pd.DataFrame({"f": np.r_[frame, frame], "n": np.r_[pdf["u"].to_numpy(), pdf["v"].to_numpy()]})
+        code = ends.groupby(["f", "n"], sort=True).ngroup().to_numpy()
+        nodes = pd.DataFrame({"image_id": np.r_[pdf["image_id"].to_numpy(), pdf["image_id"].to_numpy()], "node": ends["n"], "c": code})
+        nodes = nodes.drop_duplicates("c").sort_values("c", ignore_index=True)
         u, v = code[: len(pdf)], code[len(pdf):]
         label = np.arange(len(nodes))
         while True:
@@ -116,9 +124,9 @@ def framewise_contraction(edges: DataFrame) -> DataFrame:
             if np.array_equal(new, label):
                 break
             label = new
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "node": nodes, "root": nodes[label]})
+        return nodes[["image_id", "node"]].assign(root=nodes["node"].to_numpy()[label])
 
-    return edges.groupBy("image_id").applyInPandas(solve, f"image_id {kind}, node bigint, root bigint")
+    return by_key_stream(edges.select("image_id", "u", "v"), ["image_id"], solve, f"image_id {kind}, node bigint, root bigint")
 
 
 def contract(edges: DataFrame, frame_limit: int = FRAME_EDGE_LIMIT) -> DataFrame:
@@ -140,11 +148,11 @@ def label_runs(runs: DataFrame, connectivity: int, tile: int = TILE, frame_limit
     schema = f"image_id {kind}, fh int, fw int, y int, x0 int, x1 int, rx0 int, tx int, ty int, lid bigint"
 
     def local(pdf):
-        return pdf.assign(lid=_local_labels(pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), reach))
+        code = pdf.groupby(["image_id", "ty", "tx"], sort=False).ngroup().to_numpy()
+        return pdf.assign(lid=_local_labels(code, pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), reach))
 
     cols = ["image_id", "fh", "fw", "y", "x0", "x1", "rx0", "tx", "ty"]
-    labelled = cut.select(*cols).groupBy("image_id", "ty", "tx").applyInPandas(local, schema)
-    pieces = materialize(labelled, "pieces")
+    pieces = materialize(by_key_stream(cut.select(*cols), ["image_id", "ty", "tx"], local, schema), "pieces")
     roots = contract(_seam_edges(pieces, reach, tile), frame_limit).withColumnRenamed("node", "lid")
     named = pieces.join(roots, ["image_id", "lid"], "left")
     named = named.withColumn("region_id", F.coalesce("root", "lid"))

@@ -1,8 +1,8 @@
 """Deterministic sampling by seeded md5 order.
 
 A rank over a whole frame or class would sort one hot group in one task.  Here the
-digest prefix splits every group into 4096 even buckets; only the bucket in which the
-cap falls is ranked, all buckets before it are kept whole and all after it dropped.
+digest prefix splits every group into 4096 even buckets: buckets past the cap are dropped
+before any shuffle, and the rest are ranked bucket by bucket, so no group meets in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], order: Column, cap: Column
         keys = ["_all"]
         df = df.withColumn("_all", F.lit(0))
     cap = F.lit(cap) if isinstance(cap, int) else cap
-    hashed = df.withColumn("_h", order).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    hashed = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
     hashed = hashed.withColumn("_cap", cap.cast("long"))
     counts = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_cap").alias("_cap"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -37,12 +37,10 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], order: Column, cap: Column
         counts.filter("_end > _cap AND _end - _c <= _cap")
         .groupBy(*keys).agg(F.min("_b").alias("_cut"), F.max(F.col("_cap") - (F.col("_end") - F.col("_c"))).alias("_rest"))
     )
-    marked = hashed.join(cut, keys, "left")
-    kept = marked.filter("_cut IS NULL OR _b < _cut")
-    edge = marked.filter("_b = _cut").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h")))
-    edge = edge.filter("_rn <= _rest").drop("_rn")
-    out = kept.unionByName(edge).drop("_h", "_b", "_cap", "_cut", "_rest")
+    kept = hashed.join(cut, keys, "left").filter("_cut IS NULL OR _b <= _cut")
+    kept = kept.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h")))
+    kept = kept.filter("_cut IS NULL OR _b < _cut OR _rn <= _rest")
+    out = kept.drop("_h", "_b", "_cap", "_cut", "_rest", "_rn")
     return out.drop("_all") if whole else out
 
 

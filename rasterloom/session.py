@@ -52,3 +52,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_key_stream(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """Apply ``fn`` to batches that each hold many whole key groups.
+
+    Rows are co-located and sorted by ``keys``; a group that runs past the end of a batch is
+    held back for the next one.  Unlike one call per group, thousands of small tiles cost
+    one call, and memory stays at one batch plus one group.
+    """
+    def stream(batches):
+        import pandas as pd
+
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+            held = pdf[last]
+            if not last.all():
+                yield fn(pdf[~last])
+        if held is not None and len(held):
+            yield fn(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
