@@ -100,7 +100,7 @@ def ring_density(masks: DataFrame, frames: DataFrame, bands: Sequence[tuple[int,
         r, c = lines(h, lo, hi), lines(w, lo, hi)
         area = r * w + c * h - r * c
         cells.append(F.struct(F.lit(f"{lo}-{hi}").alias("band"),
-                              (F.coalesce(F.col(f"_n{i}"), F.lit(0)) / area).alias("density")))
+                              F.coalesce(F.try_divide(F.coalesce(F.col(f"_n{i}"), F.lit(0)), area), F.lit(0.0)).alias("density")))
     return j.select("image_id", F.inline(F.array(*cells)))
 
 
@@ -109,5 +109,5 @@ def raster_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.join(b.withColumnRenamed("v", "u"), ["image_id", "y", "x"])
     s = j.groupBy("image_id").agg(F.avg("v").alias("mv"), F.stddev_pop("v").alias("sv"), F.avg("u").alias("mu"),
                                   F.stddev_pop("u").alias("su"), F.corr("v", "u").alias("corr"))
-    z = F.abs((F.col("v") - F.col("mv")) / F.col("sv") - (F.col("u") - F.col("mu")) / F.col("su"))
+    z = F.abs(F.try_divide(F.col("v") - F.col("mv"), F.col("sv")) - F.try_divide(F.col("u") - F.col("mu"), F.col("su")))
     return j.join(s, "image_id").groupBy("image_id").agg(F.first("corr").alias("corr"), F.avg(z).alias("mean_z_diff"))

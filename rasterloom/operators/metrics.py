@@ -35,15 +35,16 @@ def threshold_free(df: DataFrame, keys: Sequence[str], score: str, actual: Colum
             F.sum(F.col("_pos") * (F.col("n_neg") - F.col("fp") + F.col("_neg") / 2)).alias("_area")]
     at = F.struct("fp", "tp")
     for i, t in enumerate(targets):
-        rate = F.col("fp") / F.col("n_neg")
+        rate = F.try_divide(F.col("fp"), F.col("n_neg"))
         aggs += [F.max(F.when(rate <= t, at)).alias(f"_a{i}"), F.min(F.when(rate > t, at)).alias(f"_b{i}")]
     out = j.groupBy(*keys).agg(*aggs)
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    cols = [F.when(both, F.col("_area") / (F.col("n_pos") * F.col("n_neg"))).alias("auc")]
+    cols = [F.when(both, F.try_divide(F.col("_area"), F.col("n_pos") * F.col("n_neg"))).alias("auc")]
     for i, t in enumerate(targets):
-        fa, ta = F.coalesce(F.col(f"_a{i}.fp"), F.lit(0)) / F.col("n_neg"), F.coalesce(F.col(f"_a{i}.tp"), F.lit(0)) / F.col("n_pos")
-        fb, tb = F.col(f"_b{i}.fp") / F.col("n_neg"), F.col(f"_b{i}.tp") / F.col("n_pos")
-        value = F.when(F.col(f"_b{i}").isNull(), ta).otherwise(ta + (tb - ta) * (F.lit(t) - fa) / (fb - fa))
+        fa = F.try_divide(F.coalesce(F.col(f"_a{i}.fp"), F.lit(0)), F.col("n_neg"))
+        ta = F.try_divide(F.coalesce(F.col(f"_a{i}.tp"), F.lit(0)), F.col("n_pos"))
+        fb, tb = F.try_divide(F.col(f"_b{i}.fp"), F.col("n_neg")), F.try_divide(F.col(f"_b{i}.tp"), F.col("n_pos"))
+        value = F.when(F.col(f"_b{i}").isNull(), ta).otherwise(ta + F.try_divide((tb - ta) * (F.lit(t) - fa), fb - fa))
         cols.append(F.when(both, value).alias(f"r{int(round(t * 100)):02d}"))
     return out.select(*keys, *cols)
 

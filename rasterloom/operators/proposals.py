@@ -81,6 +81,6 @@ def sampled_points(px: DataFrame, n: int, seed) -> DataFrame:
 def grid_points(frames: DataFrame, n: int = 32, margin: int = 16) -> DataFrame:
     """Uniform n x n prompt grid of every frame."""
     steps = F.sequence(F.lit(0), F.lit(n - 1))
-    at = lambda size, i: F.lit(margin) + F.col(i) * ((F.col(size) - 1 - 2 * margin) / F.lit(float(n - 1)))
+    at = lambda size, i: F.lit(margin) + F.col(i) * ((F.col(size) - 1 - 2 * margin) / F.lit(float(max(n - 1, 1))))
     g = frames.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
     return g.select("image_id", at("fh", "_i").alias("y"), at("fw", "_j").alias("x"))
