@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.session import ship_package
 from rasterloom.sources.tables import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +20,13 @@ def query(name: str, views: str | None = None, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, root)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(views, sql) if views else sql
         return fn
