@@ -25,6 +25,7 @@ RANK = 8
 PER_CLASS = 1500  # expected rows of each label in the fit
 EPOCHS = 6
 RATE = 0.1
+WORD_WEIGHT = 0.25  # length of the vector of all words, against 1 for each statistic
 DECAY = 1e-4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -58,7 +59,7 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     hashed = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) & ((1 << WORD_BITS) - 1)
     index = np.concatenate([np.unique(hashed), (1 << WORD_BITS) + BINS * np.arange(len(bins)) + np.array(bins, np.int64)])
     value = np.ones(len(index))
-    value[:-len(bins)] = 1 / np.sqrt(max(1, len(index) - len(bins)))
+    value[:-len(bins)] = WORD_WEIGHT / np.sqrt(max(1, len(index) - len(bins)))
     return index, value
 
 
