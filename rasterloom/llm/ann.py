@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.vectors import VECTOR_ROWS, usable
 from rasterloom.session import materialize
 
-TABLES = 3
-PROBES = 0.3  # share of a table's cells that a query looks into
+TABLES = 4
+PROBES = 0.28  # share of a table's cells that a query looks into
 ROUNDS = 3
 TOP = 20
 EVERY = 20  # rows whose id it divides are queries
