@@ -7,49 +7,19 @@ from functools import lru_cache
 import numpy as np
 
 
-def padding(size: int, frac: float, least: int) -> int:
-    return max(least, int(round(frac * size)))
-
-
-@lru_cache(maxsize=256)
-def line_terms(size: int, pad: int, start: int, count: int) -> np.ndarray:
-    """(count x size) weights of each frame line in the bins ``start..``, its padded mirror images included."""
+@lru_cache(maxsize=8)
+def line_terms(size: int, pad: int, bins: tuple[int, ...]) -> np.ndarray:
+    """(bins x size) weights of each frame line in the given bins, its padded mirror images included."""
     total = size + 2 * pad
-    p = np.arange(total)
-    if size == 1:
-        src = np.zeros(total, dtype=int)
-    else:
-        t = np.mod(p - pad, 2 * (size - 1))
-        src = np.where(t < size, t, 2 * (size - 1) - t)
-    bins = start + np.arange(count)
-    wave = np.exp(-2j * np.pi * (np.outer(bins, p) % total) / total)
-    out = np.zeros((count, size), dtype=complex)
-    for b in range(count):
-        out[b] = np.bincount(src, wave[b].real, size) + 1j * np.bincount(src, wave[b].imag, size)
-    return out
+    place = np.arange(total)
+    turn = np.mod(place - pad, 2 * (size - 1)) if size > 1 else np.zeros(total, int)
+    source = np.where(turn < size, turn, 2 * (size - 1) - turn)
+    wave = np.exp(-2j * np.pi * (np.outer(bins, place) % total) / total)
+    return np.stack([np.bincount(source, w.real, size) + 1j * np.bincount(source, w.imag, size) for w in wave])
 
 
-@lru_cache(maxsize=256)
-def inverse_terms(size: int, pad: int, start: int, count: int) -> np.ndarray:
-    """(size x count) inverse waves at the unpadded lines, scaled by the padded length."""
+@lru_cache(maxsize=8)
+def inverse_terms(size: int, pad: int, bins: tuple[int, ...]) -> np.ndarray:
+    """(size x bins) inverse waves at the unpadded lines, scaled by the padded length."""
     total = size + 2 * pad
-    bins = start + np.arange(count)
     return np.exp(2j * np.pi * (np.outer(np.arange(size) + pad, bins) % total) / total) / total
-
-
-def signed(bins: np.ndarray, total: int) -> np.ndarray:
-    """Frequencies in cycles per pixel, in [-0.5, 0.5)."""
-    return (np.mod(bins + total // 2, total) - total // 2) / total
-
-
-def lowpass(fr: np.ndarray, fc: np.ndarray, cut_r: float, cut_c: float) -> np.ndarray:
-    return np.exp(-0.5 * ((fr[:, None] / cut_r) ** 2 + (fc[None, :] / cut_c) ** 2))
-
-
-def notch_loss(fr: np.ndarray, fc: np.ndarray, targets, sigma_r: float, sigma_c: float) -> np.ndarray:
-    """One minus the product of the Gaussian notches."""
-    keep = np.ones((len(fr), len(fc)))
-    for tr, tc in targets:
-        d2 = ((fr[:, None] - tr) / sigma_r) ** 2 + ((fc[None, :] - tc) / sigma_c) ** 2
-        keep *= 1.0 - np.exp(-0.5 * d2)
-    return 1.0 - keep

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalars as S
+from rasterloom.operators import axisnotch as X
 from rasterloom.operators import destitch as D
 from rasterloom.operators import periodic as Q
 from rasterloom.plans.raster import GRID_CUT, as_rows, grid_tiles
@@ -68,18 +69,18 @@ def protected_blend(spark, root):
 
 @query("c16_repeat_passes")
 def repeat_passes(spark, root):
-    _, log = D.repeat_passes(rippled(spark, root), max_passes=2, **PASS)
+    _, log = D.repeat_passes(rippled(spark, root), **PASS)
     return log.select("image_id", "n_passes", "stopped", S.r6("row0").alias("row0"))
 
 
 @query("c17_destitch")
 def destitch(spark, root):
     opts = {k: v for k, v in PASS.items() if k != "tile"}
-    fixed, _ = D.destitch(rippled(spark, root), GRID_CUT, max_band=2, ref_window=3, min_hits=9, max_passes=1, **opts)
+    fixed, _ = D.destitch(rippled(spark, root), GRID_CUT, max_band=2, ref_window=3, min_hits=9, **opts)
     return as_rows(fixed, ["data"], ["v"], "string")
 
 
 @query("c18_axis_peak_notch")
 def axis_peak_notch(spark, root):
-    _, stats = D.axis_peak_notch(rippled(spark, root), dc=2)
+    _, stats = X.axis_peak_notch(rippled(spark, root), dc=2)
     return stats.select("image_id", "peaks_x", "peaks_y", "n_notched", S.r6("corr").alias("corr"), S.r6("energy_removed").alias("energy_removed"))

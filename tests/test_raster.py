@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from rasterloom.functions import fourier as W
 from rasterloom.functions import kernels as K
+from rasterloom.operators import axisnotch as X
 from rasterloom.operators import composites as C
 from rasterloom.operators import destitch as D
 from rasterloom.operators import halo as H
@@ -66,20 +66,24 @@ def test_sparse_notch_equals_full_transform(spark):
     r = report.first()
     assert r.applied and r.row_p == pytest.approx(per, rel=0.03)
     o = {**D.DEFAULTS, **opts}
-    ph, pw = W.padding(h, o["pad_frac"], 10), W.padding(w, o["pad_frac"], 10)
+    ph, pw = (max(10, round(o["pad_frac"] * n)) for n in (h, w))
     full = np.fft.fft2(np.pad(a, ((ph, ph), (pw, pw)), mode="reflect"))
-    fr, fc = np.fft.fftfreq(h + 2 * ph), np.fft.fftfreq(w + 2 * pw)
-    *_, cr, cc, rp, cp = D._geometry(r, o)
-    low = W.lowpass(fr, fc, cr, cc)
-    targets = D._axis_targets(r, rp, cp) + [tuple(c) for c in r.checkers]
-    keep = 1 - W.notch_loss(fr, fc, targets, o["sigma_bins"] / len(fr), o["sigma_bins"] / len(fc))
+    hp, wp = full.shape
+    fr, fc = np.fft.fftfreq(hp)[:, None], np.fft.fftfreq(wp)[None, :]
+    spread = [o["macro_k"] * p if p else n / 6 for p, n in ((r.row_p, h), (r.col_p, w))]
+    low = np.exp(-2 * np.pi ** 2 * ((fr * spread[0]) ** 2 + (fc * spread[1]) ** 2))
+    keep = np.ones(full.shape)
+    points = [(s * k / r.row_p, 0) for k in [1, *(r.row_h or [])] for s in (1, -1)] + [tuple(c) for c in r.checkers or []]
+    points += [(0, s * k / r.col_p) for k in [1, *(r.col_h or [])] for s in (1, -1)] if r.col_p else []
+    for tr, tc in points:
+        keep *= 1 - np.exp(-0.5 * (((fr - tr) * hp / o["sigma_bins"]) ** 2 + ((fc - tc) * wp / o["sigma_bins"]) ** 2))
     keep[0, 0] = 1
     inner = (slice(ph, ph + h), slice(pw, pw + w))
     want = np.real(np.fft.ifft2(full * (low + (1 - low) * keep)))[inner]
     macro = np.real(np.fft.ifft2(full * low))[inner]
     want = np.clip(np.where(a < np.maximum(o["blank_frac"] * macro, 1e-6), a, want), a.min(), a.max())
     got = frame(fixed, "data")
-    assert np.abs(got - want).max() < 2e-3
+    assert np.abs(got - want).max() < 1e-9
     assert np.ptp(np.median(got, axis=1)) < 0.6 * np.ptp(np.median(a, axis=1))
 
 
@@ -87,3 +91,20 @@ def test_frames_without_banding_are_left_alone(spark):
     a = rng.random((40, 40))
     fixed, log = D.repeat_passes(tiles_of(spark, {"a": a}, 64), max_passes=1, tile=64, min_period=6, base_win=25, pad_min=10, win_min=3, win_max=9, edge_margin=3)
     assert frame(fixed, "data").shape == a.shape and log.count() == 1
+
+
+def test_axis_peaks_go_whole(spark):
+    h, w = 48, 60
+    y, x = np.mgrid[:h, :w]
+    a = 2 + 0.5 * np.cos(2 * np.pi * 8 * y / h) + 0.3 * np.cos(2 * np.pi * 15 * x / w) + 0.01 * rng.random((h, w))
+    fixed, stats = X.axis_peak_notch(tiles_of(spark, {"a": a}, 20), band=2, peak_k=30.0, dc=3)
+    z = np.fft.fft2(a)
+    for row in (8, h - 8):
+        for d in (-1, 0, 1):
+            z[row + d, [-2, -1, 0, 1, 2]] = 0
+    for col in (15, w - 15):
+        for d in (-1, 0, 1):
+            z[[-2, -1, 0, 1, 2], col + d] = 0
+    r = stats.first()
+    assert (r.peaks_x, r.peaks_y, r.n_notched) == (2, 2, 12)
+    assert np.abs(frame(fixed, "data") - np.real(np.fft.ifft2(z))).max() < 1e-9
