@@ -72,7 +72,7 @@ def flatness_check(df: DataFrame, keys: Sequence[str], value: str, specimen_min:
     iqr = F.col("p75") - F.col("p25")
     small = F.col("n_body") < min_pixels
     reason = F.concat_ws("; ", F.when(iqr > iqr_max, "iqr"), F.when(F.col("p50") < bright_min, "dark"))
-    reason = F.when(small, "almost no specimen interior").otherwise(F.when(reason != "", reason))
+    reason = F.when(small, "too few interior pixels").otherwise(F.when(reason != "", reason))
     return j.select(*keys, "n_body", F.when(~small, F.col("p50")).alias("brightness"),
                     F.when(~small, iqr).alias("iqr"), reason.alias("reason"), reason.isNull().alias("ok"))
 

@@ -49,8 +49,8 @@ def resolve_clicks(clicks: DataFrame, px: DataFrame, predicted: DataFrame, weak:
     filled = flood(open_, px, frame_tolerance(px, value), value, **opts).groupBy(F.col("image_id").alias("click_id")).agg(
         F.sum(G.run_length()).alias("c"), F.first(F.col("fh") * F.col("fw")).alias("_n"))
     j = j.join(filled, "click_id", "left").join(labels.select("image_id", "y", "x", "state"), ["image_id", "y", "x"], "left")
-    source = F.when(F.col("a").isNotNull(), "prediction").when(F.col("b").isNotNull(), "weak activation").when(F.col("c").isNotNull(), "darkness")
-    refused = (source == "darkness") & (F.col("c") > max_fraction * F.col("_n"))
+    source = F.when(F.col("a").isNotNull(), "predicted region").when(F.col("b").isNotNull(), "weak region").when(F.col("c").isNotNull(), "similar values")
+    refused = (source == "similar values") & (F.col("c") > max_fraction * F.col("_n"))
     was_negative = F.coalesce(F.col("state") == 2, F.lit(False))
     state = F.when(F.col("mode") == "confirm", 1).when(F.col("mode") == "remove", 2).when(was_negative, 1).otherwise(2)
     found = source.isNotNull() & ~F.coalesce(refused, F.lit(False))

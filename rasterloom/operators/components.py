@@ -15,7 +15,6 @@ from rasterloom.session import by_key_stream, materialize
 from rasterloom.sources.tables import PACK
 
 TILE = 1024
-FRAME_EDGE_LIMIT = 2_000_000
 
 
 def _local_labels(tile_code, y, x0, x1, reach):
@@ -83,6 +82,8 @@ def star_contraction(edges: DataFrame) -> DataFrame:
     grouped minimum and an equi-join, so a hub node is split like any skewed key.
     """
     cur = materialize(edges.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    if cur.isEmpty():
+        return cur.select("image_id", F.col("u").alias("node"), F.col("v").alias("root"))
     signature = None
     while True:
         both = cur.union(cur.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -100,42 +101,7 @@ def star_contraction(edges: DataFrame) -> DataFrame:
         signature = now
 
 
-def framewise_contraction(edges: DataFrame) -> DataFrame:
-    """Same result for frames whose seam graph is known to fit one task."""
-    kind = dict(edges.dtypes)["image_id"]
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-
-        frame = pdf.groupby("image_id", sort=False).ngroup().to_numpy()
-        ends = pd.DataFrame({"f": np.r_[frame, frame], "n": np.r_[pdf["u"].to_numpy(), pdf["v"].to_numpy()]})
-        code = ends.groupby(["f", "n"], sort=True).ngroup().to_numpy()
-        nodes = pd.DataFrame({"image_id": np.r_[pdf["image_id"].to_numpy(), pdf["image_id"].to_numpy()], "node": ends["n"], "c": code})
-        nodes = nodes.drop_duplicates("c").sort_values("c", ignore_index=True)
-        u, v = code[: len(pdf)], code[len(pdf):]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[u], label[v])
-            new = label.copy()
-            np.minimum.at(new, label[u], low)
-            np.minimum.at(new, label[v], low)
-            new = new[new]
-            if np.array_equal(new, label):
-                break
-            label = new
-        return nodes[["image_id", "node"]].assign(root=nodes["node"].to_numpy()[label])
-
-    return by_key_stream(edges.select("image_id", "u", "v"), ["image_id"], solve, f"image_id {kind}, node bigint, root bigint")
-
-
-def contract(edges: DataFrame, frame_limit: int = FRAME_EDGE_LIMIT) -> DataFrame:
-    stored = materialize(edges, "seams")
-    worst = stored.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
-    return framewise_contraction(stored) if worst <= frame_limit else star_contraction(stored)
-
-
-def label_runs(runs: DataFrame, connectivity: int, tile: int = TILE, frame_limit: int = FRAME_EDGE_LIMIT) -> DataFrame:
+def label_runs(runs: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame:
     """Runs with ``region_id``, the packed position of the region's first pixel in scan order.
 
     ``connectivity`` is 4 or 8 and has no default: counting and pruning differ in it.
@@ -153,7 +119,7 @@ def label_runs(runs: DataFrame, connectivity: int, tile: int = TILE, frame_limit
 
     cols = ["image_id", "fh", "fw", "y", "x0", "x1", "rx0", "tx", "ty"]
     pieces = materialize(by_key_stream(cut.select(*cols), ["image_id", "ty", "tx"], local, schema), "pieces")
-    roots = contract(_seam_edges(pieces, reach, tile), frame_limit).withColumnRenamed("node", "lid")
+    roots = star_contraction(_seam_edges(pieces, reach, tile)).withColumnRenamed("node", "lid")
     named = pieces.join(roots, ["image_id", "lid"], "left")
     named = named.withColumn("region_id", F.coalesce("root", "lid"))
     # A region's first pixel is the smallest root, and pieces of one run share a region.

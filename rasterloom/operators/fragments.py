@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators.components import contract
+from rasterloom.operators.components import star_contraction
 from rasterloom.operators.regions import KEY, border_pixels
 from rasterloom.session import materialize
 
@@ -101,7 +101,7 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
         offers = left.select("image_id", F.explode(F.array("gu", "gv")).alias("g"), F.struct("gap", "u", "v").alias("e"))
         picked = offers.groupBy("image_id", "g").agg(F.min("e").alias("e")).select("image_id", "e.u", "e.v", "e.gap").distinct()
         tree = materialize(picked if tree is None else tree.unionByName(picked).distinct(), "mst")
-        root = contract(tree.select("image_id", "u", "v"))
+        root = star_contraction(tree.select("image_id", "u", "v"))
         ru, rv = root.toDF("image_id", "u", "gu"), root.toDF("image_id", "v", "gv")
         nxt = left.select("image_id", "u", "v", "gap").join(ru, ["image_id", "u"], "left").join(rv, ["image_id", "v"], "left")
         nxt = nxt.withColumns({"gu": F.coalesce("gu", "u"), "gv": F.coalesce("gv", "v")}).filter("gu <> gv")
@@ -118,5 +118,5 @@ def merge_fragments(labelled: DataFrame, px: DataFrame, min_area: int = 1000, ma
     pairs = materialize(near_pairs(large, max_gap), "pairs")
     ok = materialize(route_brightness(pairs, px, value, margin, fill=fill).filter(F.col("bridge") <= max_bridge), "bridges")
     bridges = spanning_tree(ok.select("image_id", "u", "v", "gap"))
-    groups = contract(ok.select("image_id", "u", "v")).select("image_id", F.col("node").alias("region_id"), F.col("root").alias("group_id"))
+    groups = star_contraction(ok.select("image_id", "u", "v")).select("image_id", F.col("node").alias("region_id"), F.col("root").alias("group_id"))
     return groups, bridges

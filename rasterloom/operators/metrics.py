@@ -70,11 +70,13 @@ def sign_test(deltas: DataFrame, keys: Sequence[str], delta: str = "delta") -> D
     return c.withColumn("p_sign", F.when(n == 0, 1.0).otherwise(p))
 
 
-def wilcoxon(deltas: DataFrame, keys: Sequence[str], delta: str = "delta", exact_limit: int = 50) -> DataFrame:
-    """Signed-rank test: exact null distribution without ties up to ``exact_limit`` pairs, normal beyond.
+def wilcoxon(deltas: DataFrame, keys: Sequence[str], delta: str = "delta", method: str = "exact") -> DataFrame:
+    """Signed-rank test with p from the exact null distribution, or from the normal one if ``method`` is "normal".
 
-    Pairs are one row per frame and key, so the ranks of a key are few.
+    The exact distribution knows no ties: where absolute deltas tie, its p is null.  The method is a column of the result.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError("method must be exact or normal")
     keys = list(keys)
     d = deltas.filter(F.col(delta) != 0).withColumn("_a", F.abs(delta))
     w = Window.partitionBy(*keys)
@@ -86,16 +88,17 @@ def wilcoxon(deltas: DataFrame, keys: Sequence[str], delta: str = "delta", exact
         F.sum("_r").alias("_all"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
     n = F.col("n")
     stat = F.least(F.col("_plus"), F.col("_all") - F.col("_plus"))
+    if method == "normal":
+        sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
+        p = normal_two_sided(F.abs((stat - n * (n + 1) / 4) / sd))
+        return s.select(*keys, "n", stat.alias("statistic"), p.alias("p_wilcoxon"), F.lit(method).alias("method"))
     size = (n * (n + 1) / 2).cast("int")
     zero = F.transform(F.sequence(F.lit(0), size), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
     ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), zero, lambda acc, i: F.transform(
         acc, lambda v, j: v + F.when(j >= i, F.get(acc, j - i)).otherwise(0.0)))
     tail = F.aggregate(F.slice(ways, F.lit(1), stat.cast("int") + 1), F.lit(0.0), lambda a, v: a + v)
     exact = F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n))
-    sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
-    z = F.abs((stat - n * (n + 1) / 4) / sd)
-    use_exact = (n <= exact_limit) & (F.col("_ties") == 0)
-    return s.select(*keys, "n", stat.alias("statistic"), F.when(use_exact, exact).otherwise(normal_two_sided(z)).alias("p_wilcoxon"))
+    return s.select(*keys, "n", stat.alias("statistic"), F.when(F.col("_ties") == 0, exact).alias("p_wilcoxon"), F.lit(method).alias("method"))
 
 
 def normal_two_sided(z: Column) -> Column:

@@ -32,7 +32,7 @@ def sliding(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: in
 
 def previous_value(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str,
                    out: str = "previous") -> DataFrame:
-    """Value of the row before, in ``order``, within each group.
+    """Last non-null value of the rows before, in ``order``, within each group.
 
     ``bucket`` must grow with ``order`` (a month, a day); only the last value of each bucket
     crosses bucket borders, so no group is ordered whole.
@@ -40,12 +40,13 @@ def previous_value(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     keys = list(keys)
     src = df.withColumn("_k", bucket)
     rank = F.struct(*order)
-    tail = src.groupBy(*keys, "_k").agg(F.max_by(value, rank).alias("_tail"))
-    tail = tail.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_k"))).drop("_tail")
-    w = Window.partitionBy(*keys, "_k").orderBy(*order)
-    j = src.join(tail, keys + ["_k"])
-    first = F.row_number().over(w) == 1
-    return j.withColumn(out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(w))).drop("_k", "_carry")
+    seen = F.when(F.col(value).isNotNull(), rank)
+    tail = src.groupBy(*keys, "_k").agg(F.max_by(value, seen).alias("_tail"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last("_tail", ignorenulls=True).over(earlier(Window.partitionBy(*keys).orderBy("_k")))
+    tail = tail.withColumn("_carry", carry).drop("_tail")
+    near = F.last(value, ignorenulls=True).over(earlier(Window.partitionBy(*keys, "_k").orderBy(*order)))
+    return src.join(tail, keys + ["_k"]).withColumn(out, F.coalesce(near, "_carry")).drop("_k", "_carry")
 
 
 def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:

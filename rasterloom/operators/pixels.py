@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rasterloom.functions.scalars import clip, stretch
 from rasterloom.operators.ordered import sliding
 from rasterloom.operators.quantiles import array_percentile, exact_percentiles
-from rasterloom.operators.sampling import take_by_hash
 
 PIXEL = ("image_id", "y", "x")
 
@@ -61,11 +60,10 @@ def display_limits(px: DataFrame, support: Column, value: str = "v", min_pixels:
                     F.when(flat, 1.0).otherwise(hi).alias("hi"))
 
 
-def common_window(px: DataFrame, order: Column, cap: int = 400_000, value: str = "v") -> DataFrame:
+def common_window(px: DataFrame, value: str = "v") -> DataFrame:
     """One display window pooled over frames, and how each frame sits in it."""
     live = px.filter(F.col(value) != 0)
-    sample = take_by_hash(live, ["image_id"], order, cap)
-    window = exact_percentiles(sample, [], value, {"lo": 0.01, "hi": 0.99})
+    window = exact_percentiles(live, [], value, {"lo": 0.01, "hi": 0.99})
     lo, hi = window.select("lo").scalar(), window.select("hi").scalar()
     spread = exact_percentiles(live, ["image_id"], value, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     clipped = live.groupBy("image_id").agg(

@@ -21,7 +21,7 @@ KEY = ["image_id", "region_id"]
 
 def origin() -> tuple[Column, Column]:
     """Row and column of the region's first pixel."""
-    return F.floor(F.col("region_id") / PACK), F.col("region_id") % PACK
+    return F.expr(f"region_id div {PACK}"), F.col("region_id") % PACK
 
 
 def run_length() -> Column:

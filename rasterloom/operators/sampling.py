@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.ordered import running_total
+
 
 def hash_order(seed: str | int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
@@ -37,7 +39,9 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], order: Column, cap: Column
         counts.filter("_end > _cap AND _end - _c <= _cap")
         .groupBy(*keys).agg(F.min("_b").alias("_cut"), F.max(F.col("_cap") - (F.col("_end") - F.col("_c"))).alias("_rest"))
     )
-    kept = hashed.join(cut, keys, "left").filter("_cut IS NULL OR _b <= _cut")
+    # Joined by bucket as well, so that a hot group's rows stay spread and rows past the cut drop in the join.
+    within = counts.join(cut, keys, "left").filter("_cut IS NULL OR _b <= _cut").select(*keys, "_b", "_cut", "_rest")
+    kept = hashed.join(within, [*keys, "_b"])
     kept = kept.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h")))
     kept = kept.filter("_cut IS NULL OR _b < _cut OR _rn <= _rest")
     out = kept.drop("_h", "_b", "_cap", "_cut", "_rest", "_rn")
@@ -73,7 +77,7 @@ def class_weights(df: DataFrame, label: str = "label", source_weight: Column | N
     total = F.sum("_c").over(Window.partitionBy())
     per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).withColumn("_w", total / (2.0 * F.col("_c")))
     weight = F.col("_w") * (source_weight if source_weight is not None else F.lit(1.0))
-    return df.join(F.broadcast(per_class.select(label, "_w")), label).withColumn("weight", weight).drop("_w")
+    return df.join(per_class.select(label, "_w"), label).withColumn("weight", weight).drop("_w")
 
 
 def tile_allotment(df: DataFrame, n: int, seed: str | int, ident: Sequence[str], tile: int = 1024, label: str = "label") -> DataFrame:
@@ -129,28 +133,14 @@ def sample_tiles(frames: DataFrame, support: DataFrame, want: int, tile: int, se
     return covered.groupBy("image_id").applyInPandas(pick, covered.schema)
 
 
-def grouped_folds(df: DataFrame, group: str, k: int, exact_limit: int = 1_000_000) -> DataFrame:
-    """Fold of every group: largest group first, each into the lightest fold so far.
+def grouped_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Fold of every group, so that rows of one group never split.
 
-    Rows of one group never split.  The greedy pass reads one row per group; beyond
-    ``exact_limit`` groups the sizes are dealt out by size class instead.
+    Groups in falling order of size (ties by digest) are dealt to and fro over the folds: 0 .. k-1, k-1 .. 0, and
+    so on.  Ranks come from counts by size and digest prefix, so no task orders all groups.
     """
-    import numpy as np
-    import pandas as pd
-
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.limit(exact_limit + 1).count() > exact_limit:
-        w = Window.partitionBy(F.floor(F.log2("n")), F.pmod(F.xxhash64(group), F.lit(4096))).orderBy(F.desc("n"), group)
-        deal = F.row_number().over(w) + F.pmod(F.xxhash64(group), F.lit(4096))
-        return sizes.withColumn("fold", F.pmod(deal, F.lit(k)).cast("int"))
-
-    def greedy(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["n", group], ascending=[False, True], ignore_index=True)
-        load, fold = np.zeros(k, dtype=np.int64), np.empty(len(pdf), dtype=np.int32)
-        for i, n in enumerate(pdf["n"].to_numpy()):
-            fold[i] = int(np.argmin(load))
-            load[fold[i]] += n
-        yield pdf.assign(fold=fold)
-
-    return sizes.coalesce(1).mapInPandas(greedy, f"{group} {dict(df.dtypes)[group]}, n bigint, fold int")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_h", F.md5(F.col(group).cast("string").cast("binary")))
+    sizes = sizes.withColumn("_b", F.substring("_h", 1, 3)).withColumn("_one", F.lit(1))
+    ranked = running_total(sizes, [], F.struct((-F.col("n")).alias("n"), F.col("_b").alias("b")), [F.desc("n"), F.asc("_h")], {"_rank": "_one"})
+    turn = (F.col("_rank") - 1) % (2 * k)
+    return ranked.select(group, "n", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))

@@ -123,7 +123,7 @@ def median_mad_threshold(spark, root):
     quantile_cont(u, 0.75) AS c FROM b WHERE u > 0.7 GROUP BY 1),
     r AS (SELECT *, concat_ws('; ', CASE WHEN c - a > 0.09 THEN 'iqr' END, CASE WHEN b < 0.80 THEN 'dark' END) AS rs FROM q)
     SELECT image_id, n_body, CASE WHEN n_body >= 40 THEN round(b, 6) END AS brightness,
-    CASE WHEN n_body >= 40 THEN round(c - a, 6) END AS iqr, CASE WHEN n_body < 40 THEN 'almost no specimen interior'
+    CASE WHEN n_body >= 40 THEN round(c - a, 6) END AS iqr, CASE WHEN n_body < 40 THEN 'too few interior pixels'
     WHEN rs <> '' THEN rs END AS reason, n_body >= 40 AND rs = '' AS ok FROM r""")
 def flatfield_qc(spark, root):
     px = T.px8(spark, root).select("image_id", (F.lit(0.75) + F.col("v") * 0.6).alias("u"))

@@ -56,15 +56,19 @@ def rollback(spark, root):
     return other.groupBy("recipe").agg(F.max_by("model", "last").alias("current"), F.first("rolled_back").alias("rolled_back"))
 
 
-@query("r03_rollback_history", "history", """, l AS (SELECT recipe, model, max((created, seq)) AS last FROM history GROUP BY 1, 2)
-    SELECT recipe, model FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY last DESC) AS rn FROM l) WHERE rn <= 20""")
+@query("r03_rollback_history", "history", """, l AS (SELECT recipe, model, max((created, seq)) AS last FROM history GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY last DESC) AS age FROM l)
+    SELECT recipe, model FROM k WHERE age = 1 OR age BETWEEN 3 AND 21""")
 def rollback_history(spark, root):
-    """Registry history bounded to its 20 latest entries."""
+    """Registry history after a rollback, bounded to its 20 latest entries.
+
+    The model that became current (the second latest) leaves history and the one it replaced joins it as the latest.
+    """
     from pyspark.sql import Window
 
     per = T.history(spark, root).groupBy("recipe", "model").agg(F.max(F.struct("created", "seq")).alias("last"))
     w = Window.partitionBy("recipe").orderBy(F.desc("last"))
-    return per.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("recipe", "model")
+    return per.withColumn("age", F.row_number().over(w)).filter("age = 1 OR age BETWEEN 3 AND 21").select("recipe", "model")
 
 
 @query("r04_switch_plan", None, f"""WITH {FRAMES_SQL} SELECT f.image_id, CASE WHEN EXISTS (SELECT 1 FROM preds p WHERE p.image_id = f.image_id

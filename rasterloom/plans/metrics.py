@@ -119,7 +119,7 @@ def sign_test(spark, root):
     dist AS (SELECT 0::BIGINT AS i, 0::BIGINT AS t, 1.0::DOUBLE AS c UNION ALL SELECT i, t, sum(c) FROM (
     SELECT i + 1 AS i, t, c FROM dist WHERE i < 25 UNION ALL SELECT i + 1, t + i + 1, c FROM dist WHERE i < 25) GROUP BY 1, 2)
     SELECT lang, n, least(plus, total - plus)::DOUBLE AS statistic, round(least(1.0, 2.0 * (SELECT sum(c) FROM dist WHERE i = n
-    AND t <= least(plus, total - plus)) / 2 ** n), 6) AS p_wilcoxon FROM s""")
+    AND t <= least(plus, total - plus)) / 2 ** n), 6) AS p_wilcoxon, 'exact' AS method FROM s""")
 def wilcoxon(spark, root):
     from pyspark.sql import Window
 

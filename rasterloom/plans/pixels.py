@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import scalars as S
 from rasterloom.operators import pixels as P
-from rasterloom.operators.sampling import hash_order
 from rasterloom.plans.registry import query
 from rasterloom.sources import tables as T
 
@@ -44,15 +43,14 @@ def display_limits(spark, root):
     return out.select("image_id", "n_support", S.r6("lo").alias("lo"), S.r6("hi").alias("hi"))
 
 
-@query("b03_common_window", "grid", """, live AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY
-    md5(concat_ws(':', 'window', image_id, y, x))) AS rn FROM grid WHERE s <> 0),
-    win AS (SELECT quantile_cont(s, 0.01) AS lo, quantile_cont(s, 0.99) AS hi FROM live WHERE rn <= 1000)
+@query("b03_common_window", "grid", """, live AS (SELECT * FROM grid WHERE s <> 0),
+    win AS (SELECT quantile_cont(s, 0.01) AS lo, quantile_cont(s, 0.99) AS hi FROM live)
     SELECT image_id, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi,
     round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) AS iqr,
     round(avg(CAST(s < lo OR s > hi AS INT)), 6) AS clipped FROM live, win GROUP BY image_id""")
 def common_window(spark, root):
     g = T.grid(spark, root)
-    out = P.common_window(g, hash_order("window", "image_id", "y", "x"), cap=1000, value="s")
+    out = P.common_window(g, "s")
     return out.select("image_id", *[S.r6(c).alias(c) for c in ("lo", "hi", "median", "iqr", "clipped")])
 
 

@@ -259,10 +259,10 @@ def flood(spark, root):
     j AS (SELECT c.*, a1.n AS a, a2.n AS b FROM clicks c LEFT JOIN l1 USING (image_id, y, x) LEFT JOIN a1 ON a1.image_id = c.image_id AND a1.region_id = l1.region_id
     LEFT JOIN l2 ON l2.image_id = c.image_id AND l2.y = c.y AND l2.x = c.x LEFT JOIN a2 ON a2.image_id = c.image_id AND a2.region_id = l2.region_id),
     opn AS (SELECT * FROM j WHERE a IS NULL AND b IS NULL)""" + FLOOD.format(src="opn") + FRAMES + """,
-    k AS (SELECT j.*, fa.c, fh * fw AS n, CASE WHEN a IS NOT NULL THEN 'prediction' WHEN b IS NOT NULL THEN 'weak activation' WHEN fa.c IS NOT NULL THEN 'darkness' END
+    k AS (SELECT j.*, fa.c, fh * fw AS n, CASE WHEN a IS NOT NULL THEN 'predicted region' WHEN b IS NOT NULL THEN 'weak region' WHEN fa.c IS NOT NULL THEN 'similar values' END
     AS source, g.n >= 2 AND g.s < 60 AS neg FROM j LEFT JOIN fa USING (click_id) JOIN frames USING (image_id) JOIN grid g ON g.image_id = j.image_id AND g.y = j.y AND g.x = j.x)
-    SELECT click_id, image_id, y, x, mode, source, coalesce(a, b, c) AS region_px, source = 'darkness' AND c > 0.02 * n AS refused,
-    CASE WHEN source = 'darkness' AND c > 0.02 * n THEN NULL WHEN mode = 'confirm' THEN 1 WHEN mode = 'remove' THEN 2 WHEN neg THEN 1 ELSE 2 END AS new_state FROM k""")
+    SELECT click_id, image_id, y, x, mode, source, coalesce(a, b, c) AS region_px, source = 'similar values' AND c > 0.02 * n AS refused,
+    CASE WHEN source = 'similar values' AND c > 0.02 * n THEN NULL WHEN mode = 'confirm' THEN 1 WHEN mode = 'remove' THEN 2 WHEN neg THEN 1 ELSE 2 END AS new_state FROM k""")
 def region_at_point(spark, root):
     px = grid_pixels(spark, root)
     labels = px.filter("n >= 2 AND s < 60").select("image_id", "y", "x", F.lit(2).alias("state"))

@@ -77,12 +77,9 @@ def class_weights(spark, root):
     return w.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("weight"), 4).alias("total_weight"))
 
 
-@query("l10_grouped_folds", "rows", """, s AS (SELECT image_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, image_id) AS i
-    FROM rows_ GROUP BY 1), go AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS image_id, NULL::BIGINT AS n,
-    NULL::INT AS fold UNION ALL SELECT s.i, list_transform(range(5), lambda j: CASE WHEN j + 1 = list_position(load, list_min(load))
-    THEN load[j + 1] + s.n ELSE load[j + 1] END), s.image_id, s.n, CAST(list_position(load, list_min(load)) - 1 AS INT)
-    FROM go JOIN s ON s.i = go.i + 1)
-    SELECT image_id, n, fold FROM go WHERE i > 0""")
+@query("l10_grouped_folds", "rows", """, s AS (SELECT image_id, count(*) AS n FROM rows_ GROUP BY 1),
+    t AS (SELECT *, (row_number() OVER (ORDER BY n DESC, md5(image_id::VARCHAR)) - 1) % 10 AS t FROM s)
+    SELECT image_id, n, CASE WHEN t < 5 THEN t ELSE 9 - t END::INT AS fold FROM t""")
 def grouped_folds(spark, root):
     return K.grouped_folds(T.rows(spark, root), "image_id", 5)
 

@@ -32,11 +32,13 @@ def prediction_cache(spark, root):
     return recent.select("model", "seq").union(current.select("model", "seq")).distinct()
 
 
-@query("g03_same_recipe_baseline", "history", """SELECT seq, round(lag(iou) OVER (PARTITION BY recipe ORDER BY created, seq), 6)
-    AS baseline, CASE WHEN lag(iou) OVER w IS NULL THEN iou >= 0.60 ELSE iou >= lag(iou) OVER w - 0.01 END AS heldout_ok
-    FROM history WINDOW w AS (PARTITION BY recipe ORDER BY created, seq)""")
+@query("g03_same_recipe_baseline", "history", """, s AS (SELECT *, last_value(CASE WHEN status <> 'P' THEN iou END IGNORE NULLS)
+    OVER (PARTITION BY recipe ORDER BY created, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM history)
+    SELECT seq, round(b, 6) AS baseline, CASE WHEN b IS NULL THEN iou >= 0.60 ELSE iou >= b - 0.01 END AS heldout_ok FROM s""")
 def same_recipe_baseline(spark, root):
-    out = previous_value(T.history(spark, root), ["recipe"], F.date_trunc("month", "created"), ["created", "seq"], "iou")
+    """Pending runs (status P) have no score yet and are no baseline."""
+    scored = T.history(spark, root).withColumn("scored", F.when(F.col("status") != "P", F.col("iou")))
+    out = previous_value(scored, ["recipe"], F.date_trunc("month", "created"), ["created", "seq"], "scored")
     ok = F.when(F.col("previous").isNull(), F.col("iou") >= 0.60).otherwise(F.col("iou") >= F.col("previous") - 0.01)
     return out.select("seq", S.r6("previous").alias("baseline"), ok.alias("heldout_ok"))
 

@@ -32,7 +32,7 @@ SCHEMAS = {
 PX_SIDE = 8          # embeddings are read as 8x8 frames
 DOC_WIDTH = 64       # documents of one source are laid out 64 to a row
 GRID_WIDTH = 30      # event grids have one column per day
-PACK = 1 << 20       # row-major packing of (y, x) into one BIGINT; x must stay below it
+PACK = 1 << 31       # row-major packing of (y, x) into one BIGINT; an INT column cannot reach it
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

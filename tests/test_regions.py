@@ -43,17 +43,25 @@ def test_morphology(spark, shape):
 
 
 @pytest.mark.parametrize("conn", [4, 8])
-@pytest.mark.parametrize("tile,limit", [(1024, 10**6), (4, 10**6), (4, 0)])
-def test_components_on_seams(spark, conn, tile, limit):
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_components_on_seams(spark, conn, tile):
     masks = {"a": A, "b": B, "full": np.ones((9, 9), bool), "diag": np.eye(9, dtype=bool)}
-    lab = C.label_runs(R.from_pixels(mask_frame(spark, masks)), conn, tile, limit)
+    lab = C.label_runs(R.from_pixels(mask_frame(spark, masks)), conn, tile)
     got = R.to_pixels(lab, "region_id").toPandas()
     for name, m in masks.items():
         want, part = components(m, conn), got[got.image_id == name]
         assert len(part) == m.sum()
         for label, g in part.groupby(want[part.y, part.x]):
             first = g.sort_values(["y", "x"]).iloc[0]
-            assert (g.region_id == first.y * (1 << 20) + first.x).all()
+            assert (g.region_id == first.y * (1 << 31) + first.x).all()
+
+
+def test_wide_frames_keep_regions_apart(spark):
+    far = 1 << 20
+    px = spark.createDataFrame([("a", 2, 3 * far, 0, far), ("a", 2, 3 * far, 1, 0), ("a", 2, 3 * far, 1, 2 * far + 5), ("a", 2, 3 * far, 0, 2 * far + 4)],
+                               "image_id string, fh int, fw int, y int, x int")
+    lab = R.to_pixels(C.label_runs(R.from_pixels(px), 8), "region_id").toPandas()
+    assert lab.region_id.nunique() == 3 and (lab.groupby("region_id").size().sort_values() == [1, 1, 2]).all()
 
 
 def test_connectivity_must_be_named(spark):

@@ -42,11 +42,20 @@ def test_hash_cap_is_exact(spark, cap):
     assert set(got.id) == want and len(got) == len(want)
 
 
-def test_folds_never_split_a_group_and_match_the_large_path(spark):
-    df = spark.range(1000).withColumn("g", (F.col("id") % 37).cast("long"))
-    for limit in (10**6, 0):
-        f = K.grouped_folds(df, "g", 5, exact_limit=limit).toPandas()
-        assert len(f) == 37 and f.g.is_unique and f.fold.between(0, 4).all()
+def test_folds_never_split_a_group_and_stay_even(spark):
+    df = spark.range(3000).withColumn("g", F.floor(F.sqrt("id")).cast("long"))  # groups of 1, 3, 5, ... rows
+    f = K.grouped_folds(df, "g", 5).toPandas()
+    assert len(f) == 55 and f.g.is_unique and f.fold.between(0, 4).all()
+    load = f.groupby("fold").n.sum()
+    assert load.max() - load.min() <= 2 * f.n.max()
+    assert f.groupby("fold").size().max() == 11
+
+
+def test_a_missing_value_is_passed_over(spark):
+    df = spark.createDataFrame([(i, float(i) if i % 4 == 0 else None) for i in range(30)], "t int, v double")
+    prev = O.previous_value(df, [], F.floor(F.col("t") / 5), ["t"], "v").toPandas().sort_values("t")
+    want = df.toPandas().sort_values("t").v.ffill().shift(1)
+    assert np.allclose(prev.previous.to_numpy(float), want.to_numpy(float), equal_nan=True)
 
 
 def test_ordered_helpers_match_one_partition(spark):
