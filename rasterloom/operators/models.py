@@ -7,13 +7,14 @@ stands in for them).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator, Transformer
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,26 +22,33 @@ from pyspark.sql import functions as F
 from rasterloom.operators.aggregates import confusion
 from rasterloom.operators.metrics import overlap_scores
 from rasterloom.operators.sampling import hash_order, stratified_cap, take_by_hash
-from rasterloom.session import materialize
+from rasterloom.session import materialize, scratch_dir
 
 SEED = 0
-TRAIN_CAP, TEST_CAP, MAX_FOLDS = 90_000, 250_000, 5
+TRAIN_CAP, MAX_FOLDS = 90_000, 5
+MLP_TOLERANCE = 1e-4  # stands in for early stopping, which MLlib's perceptron has not
 
 
-def estimators(n_features: int, weight: str | None = None, quick: bool = False) -> dict[str, Estimator]:
-    """The single registry of architectures, by name; ``quick`` shortens the fits for small data."""
+def scaled(estimator: Estimator) -> Pipeline:
+    """The estimator behind a scaler that is fitted with it, so on the training rows only."""
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    return Pipeline(stages=[scaler, estimator.setFeaturesCol("scaled")])
+
+
+def estimators(n_features: int, weight: str | None = None) -> dict[str, Pipeline]:
+    """The single registry of architectures, by name."""
     w = {"weightCol": weight} if weight else {}
-    common = {"featuresCol": "features", "labelCol": "label"}
-    return {
-        "mlp": MultilayerPerceptronClassifier(layers=[n_features, 16, 8, 2] if quick else [n_features, 64, 32, 2], maxIter=20 if quick else 300, seed=SEED, **common),
-        "hybrid_mlp": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], maxIter=300, seed=SEED, **common),
-        "hgb": GBTClassifier(maxIter=5 if quick else 100, maxDepth=3 if quick else 5, seed=SEED, **common, **w),
-        "forest": RandomForestClassifier(numTrees=10 if quick else 200, maxDepth=5 if quick else 12, seed=SEED, **common, **w),
-        "extra_trees": RandomForestClassifier(numTrees=10 if quick else 200, maxDepth=5 if quick else 12, bootstrap=False,
-                                              featureSubsetStrategy="sqrt", seed=SEED, **common, **w),
-        "logistic": LogisticRegression(maxIter=20 if quick else 100, **common, **w),
-        "tree3": DecisionTreeClassifier(maxDepth=3, seed=SEED, **common, **w),
-    }
+    mlp = {"maxIter": 300, "tol": MLP_TOLERANCE, "seed": SEED, "labelCol": "label"}
+    forest = {"numTrees": 200, "maxDepth": 12, "seed": SEED, "labelCol": "label", **w}
+    return {name: scaled(e) for name, e in {
+        "mlp": MultilayerPerceptronClassifier(layers=[n_features, 64, 32, 2], **mlp),
+        "hybrid_mlp": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], **mlp),
+        "hgb": GBTClassifier(maxIter=100, maxDepth=5, seed=SEED, labelCol="label", **w),
+        "forest": RandomForestClassifier(**forest),
+        "extra_trees": RandomForestClassifier(bootstrap=False, featureSubsetStrategy="sqrt", **forest),
+        "logistic": LogisticRegression(maxIter=100, labelCol="label", **w),
+        "tree3": DecisionTreeClassifier(maxDepth=3, seed=SEED, labelCol="label", **w),
+    }.items()}
 
 
 def assemble(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -60,7 +68,7 @@ def standardize(rows: DataFrame, columns: Sequence[str], train: Column | None =
 
 def score(model: Transformer, rows: DataFrame) -> DataFrame:
     """Adds ``p``, the probability of the positive class, in one narrow pass."""
-    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "scaled")
 
 
 def ensemble_score(models: dict[str, tuple[Transformer, Sequence[int] | None]], rows: DataFrame) -> DataFrame:
@@ -82,23 +90,49 @@ def evaluate(scored: DataFrame, keys: Sequence[str], threshold: float = 0.5) ->
                     (F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), F.lit(1))).alias("fpr"))
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, group: str, ident: Sequence[str], make: Callable[[], Estimator],
-                   train_cap: int = TRAIN_CAP, test_cap: int = TEST_CAP, on_fold: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+class Pair:
+    """The deployed architecture: a model on a subset of the features and one on all, by mean probability."""
+
+    def __init__(self, subset: Sequence[int], n_features: int, name: str = "mlp"):
+        self.subset, self.n_features, self.name = list(subset), n_features, name
+
+    def fit(self, rows: DataFrame) -> "FittedPair":
+        some = VectorSlicer(inputCol="features", outputCol="_some", indices=self.subset).transform(rows).drop("features").withColumnRenamed("_some", "features")
+        return FittedPair({"subset": (estimators(len(self.subset))[self.name].fit(some), self.subset), "all": (estimators(self.n_features)[self.name].fit(rows), None)})
+
+
+class FittedPair:
+    def __init__(self, models):
+        self.models = models
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return ensemble_score(self.models, rows).drop(*[f"p_{n}" for n in self.models])
+
+
+def score_with(model, rows: DataFrame) -> DataFrame:
+    """Probability of the positive class by a fitted pipeline or pair."""
+    return model.score(rows) if isinstance(model, FittedPair) else score(model, rows)
+
+
+def cross_validate(rows: DataFrame, folds: DataFrame, group: str, ident: Sequence[str], make: Callable[[], Estimator | Pair],
+                   train_cap: int = TRAIN_CAP, on_fold: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """One refit per fold on rows that share no group with the test rows; returns the scored test rows of all folds.
 
-    ``folds`` maps a group to its fold.  Each fold's rows are capped by hash order, and
-    ``on_fold`` sees every fold's scored rows.
+    ``folds`` maps a group to its fold.  A fit reads at most ``train_cap`` rows in hash order; every test row is
+    scored.  Scored rows go to one table partitioned by fold, and ``on_fold`` sees each fold's.
     """
+    spark = rows.sparkSession
     tagged = materialize(rows.join(folds.select(group, "fold"), group), "folds")
-    out = None
-    for f in [r["fold"] for r in tagged.select("fold").distinct().orderBy("fold").toLocalIterator()]:
+    path = f"{scratch_dir(spark)}/scored-{uuid.uuid4().hex}"
+    schema = None
+    for f in [r["fold"] for r in tagged.select("fold").distinct().orderBy("fold").collect()]:
         train = take_by_hash(tagged.filter(F.col("fold") != f), [], hash_order(f"train{f}", *ident), train_cap)
-        test = take_by_hash(tagged.filter(F.col("fold") == f), [], hash_order(f"test{f}", *ident), test_cap)
-        part = materialize(score(make().fit(train), test).drop("features"), "fold")
+        part = score_with(make().fit(materialize(train, "train")), tagged.filter(F.col("fold") == f)).drop("features")
+        schema = part.schema
+        part.write.mode("append").partitionBy("fold").parquet(path)
         if on_fold:
-            on_fold(f, part)
-        out = part if out is None else out.unionByName(part)
-    return out
+            on_fold(f, spark.read.schema(schema).parquet(path).filter(F.col("fold") == f))
+    return spark.read.schema(schema).parquet(path) if schema else tagged.drop("features").withColumn("p", F.lit(None).cast("double"))
 
 
 def summarize_folds(scored: DataFrame) -> DataFrame:
@@ -118,13 +152,14 @@ def importance_table(model, names: Sequence[str], families: dict[str, str] | Non
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    rows = [(n, float(v), (families or {}).get(n, n.split("_")[0])) for n, v in zip(names, model.featureImportances.toArray())]
+    rows = [(n, float(v), (families or {}).get(n, n.split("_")[0])) for n, v in zip(names, model.stages[-1].featureImportances.toArray())]
     return spark.createDataFrame(rows, "feature string, importance double, family string")
 
 
 def logistic_equation(model, names: Sequence[str]) -> str:
-    terms = " ".join(f"{'+' if c >= 0 else '-'} {abs(c):.4f}*{n}" for c, n in zip(model.coefficients.toArray(), names))
-    return f"logit(p) = {model.intercept:.4f} {terms}"
+    fit = model.stages[-1]
+    terms = " ".join(f"{'+' if c >= 0 else '-'} {abs(c):.4f}*z({n})" for c, n in zip(fit.coefficients.toArray(), names))
+    return f"logit(p) = {fit.intercept:.4f} {terms}"
 
 
 def mixture_split(cand: DataFrame, features: Sequence[str], keep_length: float = 150, keep_area: float = 50_000) -> DataFrame:
