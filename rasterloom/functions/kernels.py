@@ -1,8 +1,8 @@
-"""Small numpy kernels used inside tile tasks: separable filters as banded matrices.
+"""Small numpy kernels used inside tile tasks: separable filters by banded blocks.
 
-A filter along one axis of a tile is the product with a (core x window) matrix that
-already contains the frame's border rule, so tiled and untiled results agree and a whole
-batch of equal tiles is one matrix product.
+The frame's border rule is applied by taking the lines that stand in for missing ones, so tiled and untiled
+results agree.  A filter along one axis then goes block by block: a block of lines is the product of one
+small band matrix, which depends on the taps alone, with the lines that the block can see.
 """
 
 from __future__ import annotations
@@ -40,17 +40,34 @@ def border_index(i: np.ndarray, n: int, mode: str) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
-@lru_cache(maxsize=512)
-def axis_matrix(core0: int, n_core: int, win0: int, n_win: int, frame: int, kind: tuple, mode: str) -> np.ndarray:
-    """Filter matrix for core positions ``core0..core0+n_core`` over window positions from ``win0``."""
-    offs, weights = gaussian_taps(kind[1], kind[2]) if kind[0] == "gauss" else box_taps(kind[1])
-    m = np.zeros((n_core, n_win))
-    rows = np.repeat(np.arange(n_core), len(offs))
-    src = border_index(core0 + np.arange(n_core)[:, None] + offs[None, :], frame, mode).ravel() - win0
-    np.add.at(m, (rows, src), np.tile(weights, n_core))
+def filter_taps(kind: tuple) -> tuple[np.ndarray, np.ndarray]:
+    return gaussian_taps(kind[1], kind[2]) if kind[0] == "gauss" else box_taps(kind[1])
+
+
+@lru_cache(maxsize=64)
+def band_block(kind: tuple, size: int) -> np.ndarray:
+    """(size x size + taps - 1) matrix of a filter over consecutive lines; under 1 MB for sigmas up to 64."""
+    weights = filter_taps(kind)[1]
+    m = np.zeros((size, size + len(weights) - 1))
+    for i in range(size):
+        m[i, i:i + len(weights)] = weights
     return m
 
 
+def filter_axis(data: np.ndarray, axis: int, core0: int, n_core: int, win0: int, frame: int, kind: tuple, mode: str) -> np.ndarray:
+    """Filtered lines ``core0..core0+n_core`` of a stack whose axis begins at frame line ``win0``."""
+    offs = filter_taps(kind)[0]
+    more = len(offs) - 1
+    seen = np.take(data, border_index(core0 + offs[0] + np.arange(n_core + more), frame, mode) - win0, axis)
+    size = min(n_core, max(32, len(offs) // 2))
+    band, parts = band_block(kind, size), []
+    for s in range(0, n_core, size):
+        n = min(size, n_core - s)
+        m = band[:n, :n + more]
+        parts.append(m @ seen[:, s:s + n + more] if axis == 1 else seen[:, :, s:s + n + more] @ m.T)
+    return np.concatenate(parts, axis)
+
+
 class Window:
     """A stack of equal windows with the position of their common core."""
 
@@ -66,9 +83,7 @@ class Window:
         data = self.data if src is None else src
         y, x, h, w = self.core
         oy, ox = self.origin
-        my = axis_matrix(y, h, oy, data.shape[1], self.frame[0], ky, mode)
-        mx = axis_matrix(x, w, ox, data.shape[2], self.frame[1], kx, mode)
-        return my @ data @ mx.T
+        return filter_axis(filter_axis(data, 1, y, h, oy, self.frame[0], ky, mode), 2, x, w, ox, self.frame[1], kx, mode)
 
     def gauss(self, sigma, order=(0, 0), src=None, mode="reflect"):
         sy, sx = sigma if isinstance(sigma, tuple) else (sigma, sigma)

@@ -200,6 +200,13 @@ def false_indications(prob_mask: DataFrame, frames: DataFrame, min_area: int, **
                     F.round(F.coalesce("_a", F.lit(0)) / (F.col("fh") * F.col("fw")), 6).alias("area_fraction"))
 
 
+def false_indication_summary(per_frame: DataFrame) -> DataFrame:
+    """One row over clean frames: frames, mean and worst of both measures, and frames without any indication."""
+    return per_frame.agg(
+        F.count(F.lit(1)).alias("n_frames"), F.avg("area_fraction").alias("mean_area"), F.max("area_fraction").alias("max_area"),
+        F.avg("indications").alias("mean_indications"), F.max("indications").alias("max_indications"), F.count_if(F.col("indications") == 0).alias("n_clear"))
+
+
 def phase_reject(labelled: DataFrame, props: DataFrame, pitch: DataFrame, min_area: int, bins: int = 8, excess: float = 2.5,
                  keep_ecc: float = 0.9, min_regions: int = 12) -> DataFrame:
     """Regions locked to one phase of the tile pitch; frames with few regions are left alone."""

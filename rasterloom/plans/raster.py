@@ -11,9 +11,10 @@ from rasterloom.operators import pixels as P
 from rasterloom.operators import profiles as L
 from rasterloom.operators import regions as G
 from rasterloom.operators import runs as R
-from rasterloom.operators.quantiles import array_percentile
+from rasterloom.operators.quantiles import exact_percentiles
 from rasterloom.plans.regions import FRAMES, GRID_TILE, grid_frame_table, grid_runs, lab
 from rasterloom.plans.registry import query
+from rasterloom.session import materialize
 from rasterloom.sources import tables as T
 
 
@@ -99,19 +100,24 @@ def flatfield(spark, root):
 
 
 def flatfield_tiles(tiles, sigma_y, sigma_x, tile):
-    """Flat-field of frames held in one tile each; the reference is the median of positive pixels."""
-    positive = F.array_sort(F.filter("data", lambda v: v > 0))
-    ref = F.when(F.size(positive) > 0, array_percentile(positive, 0.5)).otherwise(1.0)
+    """Flat-field of tiled frames; the reference is the median of a frame's positive pixels, 1 if it has none."""
+    px = C.pixels(tiles, "data").filter("data > 0").select("image_id", "data")
+    ref = exact_percentiles(px, ["image_id"], "data", {"ref": 0.5})
     halo = int(K.TRUNCATE * max(sigma_y, sigma_x) + 0.5)
-    return H.apply_bands(tiles.withColumn("ref", ref), halo, {"flat": lambda w, ref: K.flat_field(w, ref, sigma_y, sigma_x)}, tile, ["ref"])
+    return H.apply_bands(tiles.join(ref, "image_id", "left").withColumn("ref", F.coalesce("ref", F.lit(1.0))), halo, {"flat": lambda w, ref: K.flat_field(w, ref, sigma_y, sigma_x)}, tile, ["ref"])
 
 
 @query("c08_subtract_background")
 def subtract_background(spark, root):
-    t = px8_bands(spark, root, {"flat": lambda w: w.centre() - w.gauss(40)}, halo=160)
-    flat = P.normalize_tiles(t, 0.005, 0.995, "flat")
-    px = P.tile_pixels(flat, ["flat"], ["v"])
-    return px.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", F.floor(F.col("v") * 255).cast("int").alias("v8"))
+    return background_free(T.px8_tiles(spark, root), 40, T.PX_SIDE).select(F.col("image_id").cast("long").alias("image_id"), "y", "x", "v8")
+
+
+def background_free(tiles, sigma, tile):
+    """Pixels less their blurred background, stretched between two percentiles of the whole frame, as 0..255."""
+    halo = int(K.TRUNCATE * sigma + 0.5)
+    flat = H.apply_bands(tiles, halo, {"flat": lambda w: w.centre() - w.gauss(sigma)}, tile)
+    px = materialize(P.tile_pixels(flat, ["flat"], ["v"]), "background")
+    return P.normalize_rows(px, plo=0.005, phi=0.995).withColumn("v8", F.floor(F.col("v") * 255).cast("int"))
 
 
 @query("c09_local_contrast", "px8", """, u AS (SELECT image_id, y, x, v + 0.6 AS v FROM px8),

@@ -66,6 +66,12 @@ def label_components_4(spark, root):
     return R.to_pixels(labelled(spark, root, conn=4), "region_id")
 
 
+@query("d01_label_components_small_tiles", "grid", lab("l", "grid", "true", 8) + " SELECT image_id, y, x, region_id FROM l")
+def label_components_small_tiles(spark, root):
+    """The same over 16-cell tiles, so that most regions cross seams."""
+    return R.to_pixels(label_runs(grid_runs(spark, root), 8, tile=16), "region_id")
+
+
 @query("d02_remove_small", "grid", lab("l", "grid", "true", 4) + """, a AS (SELECT image_id, region_id FROM l GROUP BY 1, 2
     HAVING count(*) >= 6) SELECT image_id, y, x FROM l SEMI JOIN a USING (image_id, region_id)""")
 def remove_small(spark, root):
@@ -193,14 +199,33 @@ def spontaneous_regions(spark, root):
     return out.withColumn("fraction", S.r6("fraction"))
 
 
-@query("d17_false_indications", "grid", FRAMES + lab("f", "grid", "p > 0.4", 4) + """, pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN
-    (SELECT (image_id, region_id) FROM f GROUP BY image_id, region_id HAVING count(*) >= 4))""" + lab("l", "pr", "true", 8) + """
-    SELECT fr.image_id, count(DISTINCT region_id) AS indications, round(count(l.y) / any_value(fh * fw), 6) AS area_fraction
-    FROM frames fr LEFT JOIN l USING (image_id) WHERE contains(fr.image_id, 'c') OR contains(fr.image_id, 'e') GROUP BY 1""")
-def false_indications(spark, root):
+FALSE_CALLS = FRAMES + lab("f", "grid", "p > 0.4", 4) + """, pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN
+    (SELECT (image_id, region_id) FROM f GROUP BY image_id, region_id HAVING count(*) >= 4))""" + lab("l", "pr", "true", 8) + """,
+    calls AS (SELECT fr.image_id, count(DISTINCT region_id) AS indications, round(count(l.y) / any_value(fh * fw), 6) AS area_fraction
+    FROM frames fr LEFT JOIN l USING (image_id) WHERE contains(fr.image_id, 'c') OR contains(fr.image_id, 'e') GROUP BY 1)"""
+
+
+def false_calls(spark, root, tile):
     clean = S.contains_any(F.col("image_id"), ("C", "E"))
-    out = G.false_indications(grid_runs(spark, root, F.col("p") > 0.4).filter(clean), grid_frame_table(spark, root).filter(clean), 4, tile=GRID_TILE)
-    return out
+    return G.false_indications(grid_runs(spark, root, F.col("p") > 0.4).filter(clean), grid_frame_table(spark, root).filter(clean), 4, tile=tile)
+
+
+@query("d17_false_indications", "grid", FALSE_CALLS + " SELECT * FROM calls")
+def false_indications(spark, root):
+    return false_calls(spark, root, GRID_TILE)
+
+
+@query("d17_false_indications_small_tiles", "grid", FALSE_CALLS + " SELECT * FROM calls")
+def false_indications_small_tiles(spark, root):
+    """The same over 16-cell tiles, so that most regions cross seams."""
+    return false_calls(spark, root, 16)
+
+
+@query("d17_false_indication_summary", "grid", FALSE_CALLS + """ SELECT count(*) AS n_frames, round(avg(area_fraction), 6) AS mean_area, max(area_fraction) AS max_area,
+    round(avg(indications), 6) AS mean_indications, max(indications) AS max_indications, count(*) FILTER (indications = 0) AS n_clear FROM calls""")
+def false_indication_summary(spark, root):
+    out = G.false_indication_summary(false_calls(spark, root, GRID_TILE))
+    return out.withColumns({"mean_area": S.r6("mean_area"), "mean_indications": S.r6("mean_indications")})
 
 
 TILING = {"tile": 128, "halo": 32}

@@ -52,6 +52,16 @@ def test_feature_stack_does_not_depend_on_tiling(spark):
     assert len(H.FEATURE_NAMES) == 17
 
 
+def test_frame_statistics_do_not_depend_on_tiling(spark):
+    from rasterloom.plans import raster as A
+
+    a = rng.random((16, 16)) * np.linspace(0.2, 2, 16)[:, None]
+    small, whole = (A.flatfield_tiles(tiles_of(spark, {"a": a}, t), 1, 2, t) for t in (8, 16))
+    assert np.allclose(frame(small, "flat"), frame(whole, "flat"), atol=1e-12)
+    small, whole = ({(r.y, r.x): r.v8 for r in A.background_free(tiles_of(spark, {"a": a}, t), 3, t).collect()} for t in (8, 16))
+    assert small == whole and len(small) == 256
+
+
 def test_ridge_scale_is_per_frame(spark):
     a = rng.random((30, 30))
     small, whole = (C.ridge_response(tiles_of(spark, {"a": a}, t), t, range(1, 3)) for t in (10, 64))
