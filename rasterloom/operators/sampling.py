@@ -100,23 +100,31 @@ def candidate_corners(frames: DataFrame, want: int, tile: int, seed: str | int,
     return tries.select("image_id", "try", draw("y", "height").alias("y"), draw("x", "width").alias("x"))
 
 
+def covered_corners(cand: DataFrame, support: DataFrame, tile: int, min_on: float) -> DataFrame:
+    """Candidates with at least ``min_on`` of their pixels on the support, and how many.
+
+    Support pixels are counted per row between the columns where some candidate of the frame begins or ends; a candidate
+    adds up the counts of its rows, so no pixel meets a candidate.
+    """
+    ends = cand.select("image_id", F.explode(F.array("x", F.col("x") + tile)).alias("edge")).distinct()
+    edges = ends.groupBy("image_id").agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # two per candidate of a frame at most
+    slot = F.size(F.filter("edges", lambda e: e <= F.col("x")))
+    per = support.select("image_id", "y", "x").join(edges, "image_id").groupBy("image_id", "y", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    lines = per.groupBy("image_id", F.col("y").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("held"))
+    rows = cand.join(edges, "image_id").select(
+        "image_id", "try", "y", "x", F.array_position("edges", F.col("x")).cast("int").alias("a"), F.array_position("edges", F.col("x") + tile).cast("int").alias("b"),
+        F.explode(F.sequence(F.col("y"), F.col("y") + tile - 1)).alias("row"))
+    inside = F.aggregate(F.sequence(F.col("a"), F.col("b") - 1), F.lit(0).cast("bigint"), lambda s, i: s + F.coalesce(F.try_element_at("held", i), F.lit(0).cast("bigint")))
+    return rows.join(lines, ["image_id", "row"]).groupBy("image_id", "try", "y", "x").agg(F.sum(inside).alias("n_on")).filter(F.col("n_on") >= min_on * tile * tile)
+
+
 def sample_tiles(frames: DataFrame, support: DataFrame, want: int, tile: int, seed: str | int, min_on: float = 0.9,
                  tries_per_tile: int = 200) -> DataFrame:
     """Up to ``want`` tiles per frame, at least ``min_on`` on the specimen and never within half a tile.
 
-    Coverage is counted by joining candidates to support pixels on the coarse cell both
-    touch; the greedy pass sees at most ``want * tries_per_tile`` candidates of a frame.
+    The greedy pass sees at most ``want * tries_per_tile`` candidates of a frame.
     """
-    cand = candidate_corners(frames, want, tile, seed, tries_per_tile)
-    span = F.sequence(F.lit(0), F.lit(1))
-    cells = (cand.withColumn("_a", F.explode(span)).withColumn("_b", F.explode(span))
-             .withColumn("_cy", F.floor(F.col("y") / tile) + F.col("_a")).withColumn("_cx", F.floor(F.col("x") / tile) + F.col("_b")))
-    px = support.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"),
-                        F.floor(F.col("y") / tile).alias("_cy"), F.floor(F.col("x") / tile).alias("_cx"))
-    inside = ((F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + tile)
-              & (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + tile))
-    covered = (cells.join(px, ["image_id", "_cy", "_cx"]).filter(inside).groupBy("image_id", "try", "y", "x")
-               .agg(F.count(F.lit(1)).alias("n_on")).filter(F.col("n_on") >= min_on * tile * tile))
+    covered = covered_corners(candidate_corners(frames, want, tile, seed, tries_per_tile), support, tile, min_on)
 
     def pick(pdf):
         pdf = pdf.sort_values("try")

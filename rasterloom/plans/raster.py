@@ -73,6 +73,43 @@ def local_std(spark, root):
     return as_rows(px8_bands(spark, root, {"texture": lambda w: K.local_std(w, 2)}), ["texture"], ["texture"])
 
 
+def sql_grid_filter(name, src, sy, oy, sx, ox):
+    """Oracle CTEs of a separable filter over dense grid frames of any height, reflected at their borders."""
+    idx = lambda e, n: f"(CASE WHEN ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) < {n} THEN ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) ELSE 2 * {n} - 1 - ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) END)"
+    return f""", {name}_y AS (SELECT t.image_id, t.fh, t.y, t.x, sum(k.w * a.v) AS v FROM {src} t, (VALUES {taps(sy, oy)}) k(o, w)
+    JOIN {src} a ON a.image_id = t.image_id AND a.x = t.x AND a.y = {idx('t.y + k.o', 't.fh')} GROUP BY ALL),
+    {name} AS (SELECT t.image_id, t.y, t.x, sum(k.w * a.v) AS v FROM {name}_y t, (VALUES {taps(sx, ox)}) k(o, w)
+    JOIN {name}_y a ON a.image_id = t.image_id AND a.y = t.y AND a.x = {idx('t.x + k.o', 30)} GROUP BY ALL)"""
+
+
+DENSE = FRAMES + """, cells AS (SELECT image_id, fh, y, unnest(range(30)) AS x FROM (SELECT image_id, fh, unnest(range(fh)) AS y FROM frames)),
+    dense AS (SELECT c.image_id, c.fh, c.y, c.x, coalesce(g.p, 0.0) AS v FROM cells c LEFT JOIN grid g USING (image_id, y, x))"""
+SEAM_TILE = 32
+
+
+def grid_bands(spark, root, bands, halo):
+    """Bands of the event grid cut into 32-cell tiles, so that every tile takes its halo from its neighbours."""
+    tiles = H.tiles_from_pixels(T.grid(spark, root), grid_frame_table(spark, root), SEAM_TILE, "p")
+    return H.apply_bands(tiles, halo, bands, SEAM_TILE)
+
+
+@query("c01_gaussian_tiled", "grid", DENSE + sql_grid_filter("g", "dense", 2, 0, 2, 0) + out_sql("a.v", "smooth", "g a"))
+def gaussian_tiled(spark, root):
+    return as_rows(grid_bands(spark, root, {"smooth": lambda w: K.gaussian(w, 2)}, 8), ["smooth"], ["smooth"], "string")
+
+
+@query("c03_laplacian_tiled", "grid", DENSE + sql_grid_filter("a_", "dense", 1, 2, 1, 0) + sql_grid_filter("b_", "dense", 1, 0, 1, 2)
+       + out_sql("a.v + b.v", "lap", "a_ a JOIN b_ b USING (image_id, y, x)"))
+def laplacian_tiled(spark, root):
+    return as_rows(grid_bands(spark, root, {"lap": lambda w: K.laplacian(w, 1)}, 4), ["lap"], ["lap"], "string")
+
+
+@query("c04_local_std_tiled", "grid", DENSE + ", sq AS (SELECT image_id, fh, y, x, v * v AS v FROM dense)" + sql_grid_filter("a_", "dense", 2, 0, 2, 0)
+       + sql_grid_filter("b_", "sq", 2, 0, 2, 0) + out_sql("sqrt(greatest(b.v - a.v * a.v, 0))", "texture", "a_ a JOIN b_ b USING (image_id, y, x)"))
+def local_std_tiled(spark, root):
+    return as_rows(grid_bands(spark, root, {"texture": lambda w: K.local_std(w, 2)}, 8), ["texture"], ["texture"], "string")
+
+
 @query("c05_feature_stack")
 def feature_stack(spark, root):
     return as_rows(H.feature_stack(T.px8_tiles(spark, root)), list(H.FEATURE_NAMES), list(H.FEATURE_NAMES))

@@ -51,6 +51,18 @@ def global_cap(spark, root):
     return K.take_by_hash(T.rows(spark, root), [], K.hash_order("cap", "row_key"), 9000).select("row_key")
 
 
+@query("k05_candidate_coverage", "grid", """, f AS (SELECT image_id, max(y) + 1 AS height FROM grid GROUP BY 1),
+    d AS (SELECT image_id, height, t AS "try", CAST('0x' || substr(md5(concat_ws(':', '17', 'y', image_id, t)), 1, 8) AS BIGINT) AS hy,
+    CAST('0x' || substr(md5(concat_ws(':', '17', 'x', image_id, t)), 1, 8) AS BIGINT) AS hx FROM f, range(1, 801) r(t) WHERE height >= 6),
+    c AS (SELECT image_id, "try", hy % greatest(height - 6, 1) AS y, hx % 24 AS x FROM d)
+    SELECT c.image_id, "try", c.y::INT AS y, c.x::INT AS x, count(*) AS n_on FROM c JOIN grid g ON g.image_id = c.image_id AND g.y BETWEEN c.y AND c.y + 5
+    AND g.x BETWEEN c.x AND c.x + 5 GROUP BY ALL HAVING count(*) >= 0.4 * 36""")
+def candidate_coverage(spark, root):
+    g = T.grid(spark, root)
+    frames = g.groupBy("image_id").agg((F.max("y") + 1).alias("height")).withColumn("width", F.lit(T.GRID_WIDTH))
+    return K.covered_corners(K.candidate_corners(frames, 4, 6, 17), g, 6, 0.4)
+
+
 @query("k05_rejection_tiles")
 def rejection_tiles(spark, root):
     g = T.grid(spark, root)
