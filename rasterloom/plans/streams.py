@@ -18,21 +18,23 @@ def stroke_labels(spark, root):
     return W.stroke_labels(T.strokes(spark, root), 10, 10)
 
 
+BATCHES = 4
+
+
 def stroke_source(spark, root):
-    return T.strokes(T.Streamed(spark), root)
+    """Strokes that arrive in four micro-batches by stroke number, so that many come late."""
+    return W.arrivals(T.strokes(spark, root), F.pmod("stroke_id", F.lit(BATCHES)), "arrivals")
 
 
 @query("s01_stroke_stream", "strokes", LABELS)
 def stroke_stream(spark, root):
-    s = W.stroke_stream(stroke_source(spark, root), 10, 10)
-    schema = "image_id bigint, version bigint, ys array<int>, xs array<int>, states array<int>, undo_depth int"
-    return W.latest_labels(W.run_to_table(s, schema, "update", "strokes"))
+    return W.latest_labels(W.run_to_table(W.stroke_stream(stroke_source(spark, root), 10, 10, tile=8), W.CHANGES, "update", "strokes"))
 
 
 @query("s02_file_drop_stream", None, """WITH i AS (SELECT concat('drop__', substr(sha1(text), 1, 8)) AS ident FROM documents) SELECT DISTINCT ident FROM i""")
 def file_drop_stream(spark, root):
-    d = T.table(T.Streamed(spark), root, "documents").select(F.lit("drop.png").alias("name"), F.col("text").alias("content"))
-    return W.run_to_table(W.dropped_files(d).select("ident"), "ident string", "append", "drops").select("ident")
+    d = T.table(spark, root, "documents").select("doc_id", F.lit("drop.png").alias("name"), F.col("text").alias("content"))
+    return W.ingest_drops(W.arrivals(d, F.pmod("doc_id", F.lit(BATCHES)), "files")).select("ident")
 
 
 @query("s03_live_counters", "strokes", """SELECT image_id, count(*) FILTER (mode = 'crack') AS n_pos, count(*) FILTER (mode = 'erase') AS n_neg FROM strokes GROUP BY 1""")

@@ -1,14 +1,14 @@
 """Brush strokes to label state: batch form, stateful stream with undo, file drops and live counters.
 
-Late strokes: by default a stream is unbounded and ordered by (ts, stroke_id); a watermark
-is an option of the caller, not a rule of the operator.
+Strokes are ordered by (ts, stroke_id) whenever they arrive; a watermark is an option of the caller, not a rule of the
+operator.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalars import content_id
@@ -40,50 +40,95 @@ def stroke_labels(strokes: DataFrame, height: int, width: int) -> DataFrame:
     return px.groupBy("image_id", F.col("py").alias("y"), F.col("px").alias("x")).agg(F.max_by(state, at).alias("state"))
 
 
-def _apply(labels: dict, undo: list, rows, height: int, width: int) -> None:
-    """Replay ordered strokes; each pushes the previous states of the pixels it changed."""
-    for r in rows:
-        if r.mode == "undo":
-            if undo:
-                for key, old in undo.pop():
-                    labels.pop(key, None) if old == 0 else labels.__setitem__(key, old)
-            continue
-        if r.mode == "clear":
-            keys, val = list(labels), 0
-        else:
-            rad, val = int(r.radius), 1 if r.mode == "crack" else 2
-            keys = [(y, x) for y in range(max(0, r.y - rad), min(height, r.y + rad + 1)) for x in range(max(0, r.x - rad), min(width, r.x + rad + 1))
-                    if (y - r.y) ** 2 + (x - r.x) ** 2 <= rad * rad]
-        undo.append([(k, labels.get(k, 0)) for k in keys])
-        del undo[:-UNDO_DEPTH]
-        for k in keys:
-            labels.pop(k, None) if val == 0 else labels.__setitem__(k, val)
+class TileLabels:
+    """Label state of one tile: a raster of settled strokes, each pixel with its writer's (ts, id), and the newest strokes of the frame.
 
+    The newest ``UNDO_DEPTH`` strokes stay live, in event order, so that an undo can take one back and a late stroke finds its
+    place; older ones settle, and there a pixel keeps its latest writer.
+    """
 
-def stroke_stream(strokes: DataFrame, height: int, width: int) -> DataFrame:
-    """Streaming label state per frame with an undo stack of the last 30 strokes.
+    def __init__(self, h: int, w: int, y0: int, x0: int, saved=None):
+        import numpy as np
 
-    Emits, per frame and micro-batch, the version and all labelled pixels of the frame.
+        self.shape, self.y0, self.x0 = (h, w), y0, x0
+        self.live: list[tuple] = []  # (ts, id, mode, y, x, radius)
+        if saved is None:
+            self.value, self.at = np.zeros((h, w), np.uint8), np.full((h, w, 2), np.iinfo(np.int64).min)
+        else:
+            self.value = np.frombuffer(saved[0], np.uint8).reshape(h, w).copy()
+            self.at = np.frombuffer(saved[1], np.int64).reshape(h, w, 2).copy()
+            self.live = [tuple(r) for r in zip(*saved[2:])]
+
+    def saved(self) -> tuple:
+        columns = list(zip(*self.live)) if self.live else [()] * 6
+        return (self.value.tobytes(), self.at.tobytes(), *[list(c) for c in columns])
+
+    def _covered(self, stroke):
+        import numpy as np
+
+        _, _, mode, y, x, radius = stroke
+        if mode == "clear":
+            return np.ones(self.shape, bool), 0
+        dy, dx = np.arange(self.shape[0]) + self.y0 - y, np.arange(self.shape[1]) + self.x0 - x
+        return dy[:, None] ** 2 + dx[None, :] ** 2 <= radius * radius, 1 if mode == "crack" else 2
+
+    def add(self, stroke: tuple) -> None:
+        """One event; undo takes the newest live stroke before it."""
+        if stroke[2] == "undo":
+            before = [i for i, s in enumerate(self.live) if s[:2] < stroke[:2]]
+            if before:
+                del self.live[before[-1]]
+            return
+        self.live = sorted([*self.live, stroke])
+        while len(self.live) > UNDO_DEPTH:
+            oldest = self.live.pop(0)
+            hit, value = self._covered(oldest)
+            ts, ident = oldest[:2]
+            hit &= (self.at[..., 0] < ts) | ((self.at[..., 0] == ts) & (self.at[..., 1] < ident))
+            self.value[hit], self.at[hit] = value, (ts, ident)
+
+    def raster(self):
+        out = self.value.copy()
+        for stroke in self.live:
+            hit, value = self._covered(stroke)
+            # A late stroke may be older than what has settled below it.
+            out[hit & ((self.at[..., 0] < stroke[0]) | ((self.at[..., 0] == stroke[0]) & (self.at[..., 1] < stroke[1])))] = value
+        return out
+
+
+STATE = ("version bigint, value binary, at binary, ts array<bigint>, ids array<bigint>, modes array<string>, ys array<int>, xs array<int>, radii array<int>")
+CHANGES = "image_id bigint, version bigint, y int, x int, state int"
+
+
+def stroke_stream(strokes: DataFrame, height: int, width: int, tile: int = 256) -> DataFrame:
+    """Streaming label state with undo of a frame's last 30 strokes.
+
+    State is held per tile and every stroke goes to all tiles of its frame as one small row.  A stroke that arrives late takes its
+    place by (ts, stroke_id), as in the batch form.  Emits the changed pixels of each micro-batch; state 0 is no label.
     """
-    out = "image_id bigint, version bigint, ys array<int>, xs array<int>, states array<int>, undo_depth int"
-
     def update(key, batches, state):
-        import pickle
-
+        import numpy as np
         import pandas as pd
 
+        _, ty, tx = (int(k) for k in key)
+        y0, x0 = ty * tile, tx * tile
+        h, w = min(tile, height - y0), min(tile, width - x0)
+        version, saved = (state.get[0], state.get[1:]) if state.exists else (0, None)
+        held = TileLabels(h, w, y0, x0, saved)
+        before = held.raster()
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "stroke_id"])
-        version, labels, undo = (0, {}, [])
-        if state.exists:
-            version, blob = state.get
-            labels, undo = pickle.loads(bytes(blob))
-        _apply(labels, undo, pdf.itertuples(index=False), height, width)
-        state.update((version + 1, pickle.dumps((labels, undo))))
-        keys = sorted(labels)
-        yield pd.DataFrame({"image_id": [key[0]], "version": [version + 1], "ys": [[k[0] for k in keys]], "xs": [[k[1] for k in keys]],
-                            "states": [[labels[k] for k in keys]], "undo_depth": [len(undo)]})
+        stamps = pdf["ts"].astype("datetime64[us]").astype("int64")
+        for ts, r in zip(stamps.tolist(), pdf.itertuples(index=False)):
+            held.add((ts, int(r.stroke_id), r.mode, int(r.y), int(r.x), int(r.radius)))
+        after = held.raster()
+        state.update((version + 1, *held.saved()))
+        ys, xs = np.nonzero(before != after)
+        yield pd.DataFrame({"image_id": key[0], "version": version + 1, "y": (ys + y0).astype("int32"), "x": (xs + x0).astype("int32"),
+                            "state": after[ys, xs].astype("int32")})
 
-    return strokes.groupBy("image_id").applyInPandasWithState(update, out, "version bigint, blob binary", "update", "NoTimeout")
+    spread = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit((size - 1) // tile))).alias(name)
+    tiled = strokes.select("*", spread("ty", height)).select("*", spread("tx", width))
+    return tiled.groupBy("image_id", "ty", "tx").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
 
 
 def run_to_table(stream: DataFrame, schema: str, mode: str, label: str) -> DataFrame:
@@ -99,19 +144,39 @@ def run_to_table(stream: DataFrame, schema: str, mode: str, label: str) -> DataF
     return spark.read.schema(schema + ", epoch bigint").parquet(f"{base}/rows")
 
 
-def latest_labels(versions: DataFrame) -> DataFrame:
-    """Label rows of the newest version of every frame."""
-    last = versions.groupBy("image_id").agg(F.max_by(F.struct("ys", "xs", "states"), "version").alias("s"))
-    rows = last.select("image_id", F.explode(F.arrays_zip("s.ys", "s.xs", "s.states")).alias("p"))
-    return rows.select("image_id", F.col("p.ys").alias("y"), F.col("p.xs").alias("x"), F.col("p.states").alias("state"))
+def latest_labels(changes: DataFrame) -> DataFrame:
+    """Label rows left by the last change of every pixel."""
+    last = changes.groupBy("image_id", "y", "x").agg(F.max_by("state", "version").alias("state"))
+    return last.filter("state > 0")
+
+
+def arrivals(df: DataFrame, batch: Column, label: str) -> DataFrame:
+    """``df`` as a stream of one micro-batch per value of ``batch``, in rising order of the values."""
+    spark = df.sparkSession
+    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for (value,) in df.select(batch.alias("b")).distinct().orderBy("b").collect():
+        df.filter(batch == value).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
 
+def ingest_drops(files: DataFrame, label: str = "drops") -> DataFrame:
+    """Drains a file-drop stream into a table with one row per content id.
+
+    Each micro-batch is compared with what the table holds, so no ids are kept in stream state; a batch writes its own
+    folder, so a retried batch reads the others' rows only.
+    """
+    spark = files.sparkSession
+    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    schema = "ident string, epoch bigint"
+    spark.createDataFrame([], "ident string").write.parquet(f"{base}/rows/epoch=-1")
+
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        held = spark.read.schema(schema).parquet(f"{base}/rows").filter(F.col("epoch") != epoch)
+        new = batch.select(content_id(F.col("name"), F.col("content")).alias("ident")).distinct().join(held, "ident", "left_anti")
+        new.write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
 
-def dropped_files(files: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """File-drop stream with one row per content id; with a watermark the remembered ids are bounded in time."""
-    ident = files.withColumn("ident", content_id(F.col("name"), F.col("content")))
-    if watermark:
-        return ident.withWatermark(*watermark).dropDuplicatesWithinWatermark(["ident"])
-    return ident.dropDuplicates(["ident"])
+    files.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/rows")
 
 
 def live_counters(strokes: DataFrame) -> DataFrame:

@@ -60,24 +60,41 @@ def test_stream_replays_like_the_batch_and_can_undo(spark, tmp_path):
     batch = stroke_rows(spark, rows)
     want = {tuple(r) for r in W.stroke_labels(batch, 10, 10).select("image_id", "y", "x", "state").collect()}
 
-    def drain(df, name):
-        path = str(tmp_path / name)
-        df.write.parquet(path)
-        s = spark.readStream.schema(df.schema).parquet(path)
-        out = W.run_to_table(W.stroke_stream(s, 10, 10), "image_id bigint, version bigint, ys array<int>, xs array<int>, states array<int>, undo_depth int", "update", name)
+    def drain(df, name, batch):
+        out = W.run_to_table(W.stroke_stream(W.arrivals(df, batch, name), 10, 10, tile=4), W.CHANGES, "update", name)
         return {tuple(r) for r in W.latest_labels(out).select("image_id", "y", "x", "state").collect()}
 
-    assert drain(batch, "plain") == want
+    assert drain(batch, "plain", F.lit(0)) == want
+    assert drain(batch, "late", -F.col("stroke_id")) == want  # newest first, one by one
     undone = stroke_rows(spark, rows + [(2, "undo", 0, 0, 1)])
-    assert drain(undone, "undo") == {tuple(r) for r in W.stroke_labels(stroke_rows(spark, rows[:-1]), 10, 10).select("image_id", "y", "x", "state").collect()}
+    assert drain(undone, "undo", F.col("stroke_id")) == {tuple(r) for r in W.stroke_labels(stroke_rows(spark, rows[:-1]), 10, 10).select("image_id", "y", "x", "state").collect()}
+
+
+def test_settled_and_live_strokes_replay_alike():
+    rng = np.random.default_rng(3)
+    events = [(t, t, rng.choice(["crack", "erase", "clear"], p=[0.5, 0.45, 0.05]), int(rng.integers(8)), int(rng.integers(8)), int(rng.integers(1, 4))) for t in range(120)]
+    want = np.zeros((8, 8), int)
+    for _, _, mode, y, x, r in events:
+        hit = (np.arange(8) - y)[:, None] ** 2 + (np.arange(8) - x)[None, :] ** 2 <= r * r
+        want = np.zeros((8, 8), int) if mode == "clear" else np.where(hit, 1 if mode == "crack" else 2, want)
+    for order in (events, rng.permutation(np.array(events, dtype=object)).tolist()):
+        held = W.TileLabels(8, 8, 0, 0)
+        for e in order:
+            held.add(tuple(e))
+            held = W.TileLabels(8, 8, 0, 0, held.saved())
+        assert (held.raster() == want).all() and len(held.live) == W.UNDO_DEPTH
+
+
+def test_undo_takes_back_the_newest_stroke_before_it():
+    held = W.TileLabels(5, 5, 0, 0)
+    for e in [(1, 1, "crack", 1, 1, 1), (2, 2, "erase", 3, 3, 1), (5, 5, "crack", 0, 4, 1), (3, 3, "undo", 0, 0, 1)]:
+        held.add(e)
+    assert [s[0] for s in held.live] == [1, 5] and held.raster()[3, 3] == 0
+    for k in range(40):
+        held.add((10 + k, 10 + k, "undo", 0, 0, 1))
+    assert not held.live and not held.raster().any()
 
 
-def test_undo_depth_is_bounded():
-    labels, undo = {}, []
-    rows = pd.DataFrame([("crack", 1, 1, 1)] * 50, columns=["mode", "y", "x", "radius"]).itertuples(index=False)
-    W._apply(labels, undo, rows, 5, 5)
-    assert len(undo) == W.UNDO_DEPTH
-
 
 def png(path, a):
     """Minimal 8-bit RGB file."""
