@@ -191,7 +191,7 @@ def border_blank(spark, root):
 
 
 @query("b17_field_of_view", "grid", """, px AS (SELECT image_id, y, x, least(255.0, s) * CASE WHEN y > 140 THEN 0.2
-    ELSE 1.0 END AS v FROM grid WHERE x > 4),
+    ELSE 1.0 END * CASE WHEN x <= 4 THEN 0.02 ELSE 1.0 END AS v FROM grid),
     fr AS (SELECT image_id, max(y) + 1 AS h, 30 AS w FROM grid GROUP BY 1),
     sig AS (SELECT image_id, y, avg(v) AS m, stddev_pop(v) AS sd, any_value(h) AS h FROM px JOIN fr USING (image_id)
         WHERE y >= floor(h * 0.75) GROUP BY 1, 2),
@@ -220,7 +220,8 @@ def border_blank(spark, root):
 def field_of_view(spark, root):
     g = T.grid(spark, root)
     frames = g.groupBy("image_id").agg((F.max("y") + 1).alias("height")).withColumn("width", F.lit(T.GRID_WIDTH))
-    shade = F.when(F.col("y") > 140, 0.2).otherwise(1.0)
-    px = g.filter("x > 4").select("image_id", "y", "x", (F.least(F.lit(255.0), F.col("s")) * shade).alias("v"))
+    # A dark bar below and a dark margin on the left.
+    shade = F.when(F.col("y") > 140, 0.2).otherwise(1.0) * F.when(F.col("x") <= 4, 0.02).otherwise(1.0)
+    px = g.select("image_id", "y", "x", (F.least(F.lit(255.0), F.col("s")) * shade).alias("v"))
     return P.field_of_view(px, frames).select("image_id", *[F.col(c).cast("int").alias(c)
                                                             for c in ("bar_top", "x0", "y0", "x1", "y1")])

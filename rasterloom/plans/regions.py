@@ -447,15 +447,26 @@ def frame_counts_query(spark, root):
     return out.select("image_id", "positive_px", "n_regions", "area_fraction")
 
 
-@query("a10_export_regions", "grid", EFFECTIVE + lab("l", "eff", "true", 8) + FRAMES + """ SELECT l.image_id, region_id, count(*) AS area_px, round(100.0::DOUBLE * count(*) / any_value(fh * fw), 4)
-    AS area_pct, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM l JOIN frames USING (image_id) GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("a10_export_regions", "grid", EFFECTIVE + lab("l", "eff", "true", 8) + PROPS + FRAMES + """ SELECT image_id, region_id, area AS area_px,
+    round(100.0::DOUBLE * area / (fh * fw), 4) AS area_pct, round(major, 2) AS major_px, round(minor, 2) AS minor_px, round(degrees(orientation), 2) AS orientation_deg,
+    round(cx, 3) AS cx, round(cy, 3) AS cy FROM props JOIN frames USING (image_id) WHERE area >= 5""")
 def export_regions(spark, root):
     p = G.region_props(label_runs(grid_effective(spark, root), 8, tile=GRID_TILE)).filter("area >= 5")
     pct = F.round(100.0 * F.col("area") / (F.col("fh") * F.col("fw")), 4)
-    return p.select("image_id", "region_id", F.col("area").alias("area_px"), pct.alias("area_pct"), F.round("cx", 3).alias("cx"),
+    return p.select("image_id", "region_id", F.col("area").alias("area_px"), pct.alias("area_pct"), F.round("major", 2).alias("major_px"),
+                    F.round("minor", 2).alias("minor_px"), F.round(F.degrees("orientation"), 2).alias("orientation_deg"), F.round("cx", 3).alias("cx"),
                     F.round("cy", 3).alias("cy")).orderBy("image_id", F.desc("area_px"), "region_id")
 
 
+@query("a10_export_measurements")
+def export_measurements(spark, root):
+    """The full measurement table of the effective mask, one row per region, largest first within a frame."""
+    m = H.shape_measurements(label_runs(grid_effective(spark, root), 8, tile=GRID_TILE), **TILING)
+    named = {"image_id": "source_image", "area": "area_px", "skeleton_length": "skeleton_length_px", "mean_width": "mean_width_px", "max_width": "max_width_px",
+             "major": "major_px", "minor": "minor_px", "cx": "centroid_x_px", "cy": "centroid_y_px"}
+    return m.filter("area >= 5").drop("solidity").withColumnsRenamed(named).orderBy("source_image", F.desc("area_px"), "region_id")
+
+
 @query("a11_export_summary", "grid", COUNTS + """, lc AS (SELECT image_id, count(*) FILTER (state = 1) AS p, count(*) FILTER (state = 2) AS n FROM st GROUP BY 1)
     SELECT image_id, fh AS height_px, fw AS width_px, round(fh * fw / 1e6, 3) AS megapixels, positive_px, area_fraction, n_regions, coalesce(p, 0) AS corrected_pos,
     coalesce(n, 0) AS corrected_neg FROM cnt LEFT JOIN lc USING (image_id)""")

@@ -53,7 +53,7 @@ def test_components_on_seams(spark, conn, tile):
         assert len(part) == m.sum()
         for label, g in part.groupby(want[part.y, part.x]):
             first = g.sort_values(["y", "x"]).iloc[0]
-            assert (g.region_id == first.y * (1 << 31) + first.x).all()
+            assert (g.region_id == int(first.y) * (1 << 31) + int(first.x)).all()
 
 
 def test_wide_frames_keep_regions_apart(spark):
