@@ -176,13 +176,16 @@ def ensemble_fusion(spark, root):
                                      fused(F.least(a, b)).alias("iou_min"))
 
 
-@query("l17_model_routing", "scores", """SELECT image_id, y, x, round(CASE lang WHEN 'en' THEN pa WHEN 'fr' THEN pb ELSE (pa + pb) / 2 END, 6)
-    AS p FROM scores""")
+@query("l17_model_routing", "scores", """, r AS (SELECT lang, avg(((pa > 0.5) = is_pos)::INT) AS a, avg(((pb > 0.5) = is_pos)::INT) AS b FROM scores GROUP BY 1)
+    SELECT image_id, y, x, round(CASE WHEN a > b THEN pa WHEN b > a THEN pb ELSE (pa + pb) / 2 END, 6) AS p FROM scores JOIN r USING (lang)""")
 def model_routing(spark, root):
-    routes = F.create_map(F.lit("en"), F.lit("a"), F.lit("fr"), F.lit("b"))
-    use = F.coalesce(F.try_element_at(routes, F.col("lang")), F.lit("mean"))
-    p = F.when(use == "a", F.col("pa")).when(use == "b", F.col("pb")).otherwise((F.col("pa") + F.col("pb")) / 2)
-    return T.scores(spark, root).select(*L.PIXEL, S.r6(p).alias("p"))
+    """Each group is read by the model that agrees more with its truth; a routing table of one row per group says which."""
+    s = T.scores(spark, root)
+    right = lambda p: F.avg(((F.col(p) > 0.5) == F.col("is_pos")).cast("int"))
+    score = s.groupBy("lang").agg(right("pa").alias("a"), right("pb").alias("b"))
+    routes = score.select("lang", F.when(F.col("a") > F.col("b"), "a").when(F.col("b") > F.col("a"), "b").otherwise("mean").alias("use"))
+    p = F.when(F.col("use") == "a", F.col("pa")).when(F.col("use") == "b", F.col("pb")).otherwise((F.col("pa") + F.col("pb")) / 2)
+    return s.join(routes, "lang").select(*L.PIXEL, S.r6(p).alias("p"))
 
 
 @query("l01_standardise", "rows", """, s AS (SELECT avg(f1) AS m1, stddev_pop(f1) AS s1, avg(f2) AS m2, stddev_pop(f2) AS s2 FROM rows_)
