@@ -12,8 +12,9 @@ from rasterloom.operators import runs as R
 from rasterloom.operators import shapes as H
 from rasterloom.operators.components import label_runs
 from rasterloom.operators.labels import label_counts
-from rasterloom.operators.quantiles import exact_percentiles
+from rasterloom.operators.pixels import overlay
 from rasterloom.plans.registry import query
+from rasterloom.session import materialize
 from rasterloom.sources import tables as T
 
 GRID_TILE = 256
@@ -477,20 +478,33 @@ def export_summary(spark, root):
                     "positive_px", "area_fraction", "n_regions", F.col("n_pos").alias("corrected_pos"), F.col("n_neg").alias("corrected_neg"))
 
 
-@query("r06_batch_apply", "px8", """, fr AS (SELECT image_id, any_value(grp) AS grp FROM px8 GROUP BY 1)""" + lab("f", "px8", "v > 0.08", 4) + """,
-    pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM f GROUP BY image_id, region_id HAVING count(*) >= 2))"""
-       + lab("l", "pr", "true", 8) + """, c AS (SELECT fr.image_id, grp, count(l.y) AS a, count(DISTINCT region_id) AS n FROM fr LEFT JOIN l USING (image_id) GROUP BY 1, 2)
+SCORE_SLOPE, SCORE_SHIFT = 12.0, 1.0  # of the stored logistic model on a pixel's excess over its frame's mean
+
+
+@query("r06_batch_apply", "px8", f""", fr AS (SELECT image_id, any_value(grp) AS grp, avg(v) AS m FROM px8 GROUP BY 1),
+    scored AS (SELECT image_id, y, x, 1 / (1 + exp({SCORE_SHIFT} - {SCORE_SLOPE} * (v - m))) AS p FROM px8 JOIN fr USING (image_id))""" + lab("f", "scored", "p > 0.5", 4) + """,
+    pr AS (SELECT image_id, y, x FROM f WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM f GROUP BY image_id, region_id HAVING count(*) >= 2)),
+    hand AS (SELECT doc_id AS image_id, CAST(doc_id // 8 % 8 AS INT) AS y, CAST(doc_id % 8 AS INT) AS x, CASE WHEN toxic = 1 THEN 1 ELSE 2 END AS state
+    FROM labels JOIN fr ON doc_id = image_id WHERE toxic = 1 OR quality = 1),
+    eff AS (SELECT image_id, y, x FROM pr ANTI JOIN (FROM hand WHERE state = 2) h USING (image_id, y, x) UNION SELECT image_id, y, x FROM hand WHERE state = 1)"""
+       + lab("l", "eff", "true", 8) + """, c AS (SELECT fr.image_id, grp, count(l.y) AS a, count(DISTINCT region_id) AS n FROM fr LEFT JOIN l USING (image_id) GROUP BY 1, 2)
     SELECT grp, count(*) AS n_frames, round(quantile_cont(a / 64, 0.5), 6) AS median_area, round(quantile_cont(n, 0.5), 6) AS median_regions FROM c GROUP BY 1""")
 def batch_apply(spark, root):
-    """Every frame scored, pruned and counted in one job, then group medians."""
-    px = T.px8(spark, root)
+    """Every frame scored by the stored model, thresholded, pruned, overlaid with hand labels and counted; then group medians."""
+    px, labels = T.px8(spark, root), T.table(spark, root, "labels")
     size = [F.lit(T.PX_SIDE).alias("fh"), F.lit(T.PX_SIDE).alias("fw")]
-    mask = R.from_pixels(px.filter("v > 0.08").select("image_id", *size, "y", "x"))
     frames = T.table(spark, root, "embeddings").select(F.col("vec_id").alias("image_id"), *size, F.col("label").alias("grp"))
-    per = frame_counts(G.remove_small(mask, 2, 4, tile=GRID_TILE), frames, tile=GRID_TILE).withColumn("a", F.col("positive_px") / 64)
-    med = exact_percentiles(per, ["grp"], "a", {"median_area": 0.5}).join(exact_percentiles(per, ["grp"], "n_regions", {"median_regions": 0.5}), "grp")
-    n = frames.groupBy("grp").agg(F.count(F.lit(1)).alias("n_frames"))
-    return n.join(med, "grp").withColumns({"median_area": S.r6("median_area"), "median_regions": S.r6("median_regions")})
+    mean = px.groupBy("image_id").agg(F.avg("v").alias("m"))
+    p = 1 / (1 + F.exp(SCORE_SHIFT - SCORE_SLOPE * (F.col("v") - F.col("m"))))
+    found = R.from_pixels(px.join(mean, "image_id").filter(p > 0.5).select("image_id", *size, "y", "x"))
+    pruned = R.to_pixels(G.remove_small(found, 2, 4, tile=GRID_TILE)).withColumn("is_pos", F.lit(True))
+    state = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    hand = labels.select(F.col("doc_id").alias("image_id"), (F.expr("doc_id div 8") % 8).cast("int").alias("y"), (F.col("doc_id") % 8).cast("int").alias("x"), state.alias("state"))
+    hand = hand.filter("state is not null").join(frames.select("image_id"), "image_id", "left_semi")
+    mask = R.from_pixels(overlay(pruned, hand).filter("is_pos").select("image_id", *size, "y", "x"))
+    per = materialize(frame_counts(mask, frames, tile=GRID_TILE).withColumn("a", F.col("positive_px") / 64), "counts")
+    med = per.groupBy("grp").agg(F.count(F.lit(1)).alias("n_frames"), F.percentile("a", 0.5).alias("median_area"), F.percentile("n_regions", 0.5).alias("median_regions"))
+    return med.withColumns({"median_area": S.r6("median_area"), "median_regions": S.r6("median_regions")})
 
 
 def deploy_checks(candidate, production, truth, labels, frames, bands, iou_tol=0.03, ratio_max=2.0, density_min=0.03, new_max=0.02, area_min=0.005,
