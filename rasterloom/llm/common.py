@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.session import materialize, ship_package
 
+SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but blank and line feed
 BATCH_ROWS = 500  # texts per Arrow batch: bounds a Python worker's memory
 
 
@@ -42,7 +46,18 @@ def sampled(labelled: DataFrame, key: str, per_class: int) -> DataFrame:
     """
     counts = labelled.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(counts, key).filter(u * F.col("_rows") < per_class).drop("_rows")
+    # A row per class; the model that is fitted holds at least as much for each, so it fits wherever the model does.
+    return labelled.join(F.broadcast(counts), key).filter(u * F.col("_rows") < per_class).drop("_rows")
+
+
+def split_at_spaces(text: str) -> list[str]:
+    """``text`` cut at its single spaces between visible characters, which are left out.
+
+    Byte-level vocabularies' pattern starts a new piece at each of them, so the parts are encoded apart.
+    """
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or RARE_SPACE.search(text):
+        return SAFE_SPACE.split(text)
+    return text.split(" ")
 
 
 def add_columns(df: DataFrame, text: str, fn, fields: list[T.StructField]) -> DataFrame:

@@ -76,7 +76,7 @@ def license_templates(spark, sf_dir):
 def token_files(spark, sf_dir):
     out = f"{scratch_dir(spark)}/token-files-{uuid4().hex}"
     tokens.write_tokens(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return tokens.checksums(tokens.read_tokens(spark, out))
+    return tokens.read_checksums(spark, out)
 
 
 @query("op9_line_dedup", lines.SQL)

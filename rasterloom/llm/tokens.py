@@ -10,19 +10,26 @@ written again.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 8192  # ids
+from rasterloom.llm.common import split_at_spaces
+
+BLOCK = 1 << 15  # ids
 SEGMENT = 1 << 17  # ids at which a segment ends; a longer document is a segment
-MEMO = 500_000  # remembered words of a worker
+MEMO = 250_000  # words of each of two generations that a worker remembers
+GROUP = 500  # new words that the library encodes as one text
+STOPS = ".,"
+SPACE = "\u0120"  # stands for a space in a byte-level vocabulary
 RAW, RUN = 0, 1  # escape selectors
-LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))  # (ids, bits) of selectors 2, 3, ...
+LAYOUTS = ((1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1))  # (ids, bits) of selectors 2, 3, ...
+LEVEL_IDS = np.array([1, *[held for held, _ in LAYOUTS]])  # by the number of layouts that fit; none: a raw value
+LEVEL_SELECTOR = np.array([RAW, *range(2, 2 + len(LAYOUTS))])
 RUN_LIMIT = (1 << 28) - 1
 
 
@@ -32,24 +39,22 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return ids
-    width = np.zeros(n, np.int64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        more = (ids >> (width + shift).astype(np.uint64)) > 0
-        width[more] += shift
-    width += 1  # 0 takes one bit
-    tops = {1: np.concatenate([width, np.full(64, 99)])}  # widest id among the next 1, 2, 4, ... ids
+    width = np.maximum(np.frexp(ids.astype(float))[1], 1).astype(np.uint8)  # bits; from 2^53 on maybe one more
+    tops = {1: np.concatenate([width, np.full(64, 99, np.uint8)])}  # widest id among the next 1, 2, 4, ... ids
     for p in (2, 4, 8, 16, 32):
         half = tops[p // 2]
-        tops[p] = np.maximum(half, np.concatenate([half[p // 2:], np.full(p // 2, 99)]))
-    count, kind = np.ones(n, np.int64), np.zeros(n, np.int64)
-    for selector, (held, bits) in reversed(list(enumerate(LAYOUTS, 2))):
+        tops[p] = np.maximum(half, np.concatenate([half[p // 2:], np.full(p // 2, 99, np.uint8)]))
+    level = np.zeros(n, np.uint8)  # layouts of more ids fit only where those of fewer do
+    for held, bits in LAYOUTS:
         p = 1 << (held.bit_length() - 1)
-        fits = np.maximum(tops[p][:n], tops[p][held - p:held - p + n]) <= bits
-        count[fits], kind[fits] = held, selector
-    change = np.nonzero(np.concatenate([ids[1:] != ids[:-1], [True]]))[0]
-    run = np.minimum(change[np.searchsorted(change, np.arange(n))] - np.arange(n) + 1, RUN_LIMIT)
-    runs = (run > count) & (width <= 32)
-    count[runs], kind[runs] = run[runs], RUN
+        level += np.maximum(tops[p][:n], tops[p][held - p:held - p + n]) <= bits
+    count, kind = LEVEL_IDS[level], LEVEL_SELECTOR[level]
+    ends = np.nonzero(np.concatenate([ids[1:] != ids[:-1], [True]]))[0]
+    lengths = np.diff(ends, prepend=-1)
+    if lengths.max() > 3:
+        run = np.minimum(np.repeat(ends + 1, lengths) - np.arange(n), RUN_LIMIT)
+        runs = (run > count) & (width <= 32)
+        count[runs], kind[runs] = run[runs], RUN
     nxt, starts, i = (np.arange(n) + count).tolist(), [], 0
     while i < n:
         starts.append(i)
@@ -115,10 +120,6 @@ def unpack_blocks(words: np.ndarray, offsets: list[int]) -> np.ndarray:
     return np.concatenate([unpack(words[a:b]) for a, b in zip(offsets, ends)]) if offsets else np.zeros(0, np.uint64)
 
 
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r"\s | \s")
-
-
 class Tokens:
     """The tokenizers library with a memory of words.
 
@@ -135,26 +136,56 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        opens = {i for piece, i in self.library.get_vocab().items() if piece.startswith(SPACE)}
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids that begin with a space
+        self.opens[list(opens)] = True
+        self.stops: dict[str, bytes] = {}
+        self._each(self.stops, list(STOPS), "")
+        self.heads: dict[str, bytes] = {}  # what a text begins with
+        self.words: dict[str, bytes] = {}  # what follows a space, without it
+        self.older: dict[str, bytes] = {}  # the generation of words before
+
+    def _each(self, memo: dict[str, bytes], units: list[str], before: str) -> None:
+        for unit, made in zip(units, self.library.encode_batch_fast([before + u for u in units], add_special_tokens=False)):
+            memo[unit] = array("I", made.ids).tobytes()
+
+    def _learn_words(self, units: set[str]) -> None:
+        """Encodes new words many at a time; a word's ids run from one id with a space to the next.
+
+        Letters with one full stop or comma behind them are two pieces of the pattern, so their ids are put together.
+        """
+        new = units.difference(self.words)
+        met = new.intersection(self.older)
+        self.words.update(zip(met, map(self.older.__getitem__, met)))
+        new.difference_update(met)
+        ended = [u for u in new if u and u[-1] in STOPS and u[:-1].isalpha()]
+        new.difference_update(ended)
+        new.update({u[:-1] for u in ended}.difference(self.words))
+        plain = [u for u in new if " " not in u and not u[:1].isspace() and not u[-1:].isspace() and u]
+        groups = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
+        for group, made in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(group) and starts[0] == 0:
+                data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
+                self.words.update(zip(group, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        self._each(self.words, [u for u in new if u not in self.words], " ")
+        words, stops = self.words, self.stops
+        for u in ended:
+            words[u] = words[u[:-1]] + stops[u[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit words."""
-        if len(self.known) > MEMO:
-            self.known.clear()
-        known, split, missing = self.known, [], {}
-        for text in texts:
-            text = text or ""
-            units = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
-            units[1:] = [" " + u for u in units[1:]]
-            split.append(units)
-            for u in units:
-                if u not in known:
-                    missing[u] = None
-        if missing:
-            new = list(missing)
-            for unit, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[unit] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join([known[u] for u in units]) for units in split]
+        if len(self.heads) > MEMO:
+            self.heads.clear()
+        if len(self.words) > MEMO:
+            self.older, self.words = self.words, {}
+        split = [split_at_spaces(t or "") for t in texts]
+        heads = [units.pop(0) for units in split]
+        self._each(self.heads, list(set(heads).difference(self.heads)), "")
+        self._learn_words(set().union(*split))
+        word = self.words.__getitem__
+        return [self.heads[head] + b"".join(map(word, units)) for head, units in zip(heads, split)]
 
 
 _LOADED: dict[str, Tokens] = {}
@@ -212,8 +243,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> None
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(out)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids array<int>) of every document in the files; start counts all ids before it."""
+def _read(spark: SparkSession, path: str, field: T.StructField, make) -> DataFrame:
+    """(doc_id, start, n_tokens, field): ``make`` turns a segment's ids and its documents' ends into the field's column."""
     stored = spark.read.parquet(path)
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("held"))  # a row per file
     before = totals.select("shard", (F.sum("held").over(Window.orderBy("shard")) - F.col("held")).alias("before"))
@@ -226,25 +257,33 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack_blocks(np.frombuffer(words.as_py(), "<u8"), offsets.as_py())
                 n = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.cumsum(n)
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), shard.as_py(), np.int32)), doc_ids.values, pa.array(ends - n + first.as_py()), pa.array(n), listed],
-                    names=["shard", "doc_id", "at", "n_tokens", "ids"])
+                    pa.array(np.full(len(n), shard.as_py(), np.int32)), doc_ids.values, pa.array(ends - n + first.as_py()), pa.array(n), make(ids, ends)],
+                    names=["shard", "doc_id", "at", "n_tokens", field.name])
 
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc_id", stored.schema["doc_ids"].dataType.elementType),
-                           *T.StructType.fromDDL("at bigint, n_tokens bigint, ids array<int>").fields])
+                           *T.StructType.fromDDL("at bigint, n_tokens bigint").fields, field])
     docs = stored.select("shard", "first", "doc_ids", "lengths", "offsets", "words").mapInArrow(run, schema)
-    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # One small row per file, so the ids themselves need no exchange.
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", field.name)
 
 
-def checksums(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): unsigned crc32 of the ids as little-endian 32-bit integers."""
-    def run(batches):
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids array<int>) of every document in the files; start counts all ids before it."""
+    def listed(ids, ends):
         import pyarrow as pa
 
-        for batch in batches:
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+    return _read(spark, path, T.StructField("ids", T.ArrayType(T.IntegerType())), listed)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32): as ``read_tokens``, with the unsigned crc32 of the ids as little-endian 32-bit integers."""
+    def summed(ids, ends):
+        import pyarrow as pa
+
+        data, stops = memoryview(ids.astype("<u4").tobytes()), (4 * ends).tolist()
+        return pa.array([zlib.crc32(data[a:b]) for a, b in zip([0, *stops], stops)], pa.int64())
 
-    schema = T.StructType([*[read.schema[c] for c in ("doc_id", "start", "n_tokens")], T.StructField("ids_crc32", T.LongType())])
-    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, schema)
+    return _read(spark, path, T.StructField("ids_crc32", T.LongType()), summed)

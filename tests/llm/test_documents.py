@@ -175,7 +175,9 @@ def test_token_files(spark, docs, rows, tmp_path):
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     tokens.write_tokens(clash(docs), str(tmp_path / "t"), path, 2)
-    got = [tuple(r) for r in tokens.checksums(tokens.read_tokens(spark, str(tmp_path / "t"))).collect()]
+    got = [tuple(r) for r in tokens.read_checksums(spark, str(tmp_path / "t")).collect()]
+    stored = {(r["doc_id"], r["start"]): r["ids"] for r in tokens.read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert all(zlib.crc32(np.array(stored[i, at], "<u4").tobytes()) == crc for i, at, _, crc in got)
     coded = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
     assert sorted((r[0] or -1, r[2], r[3]) for r in got) == sorted((i or -1, len(coded(t)), zlib.crc32(coded(t).tobytes())) for i, t, *_ in rows)
     at = 0
@@ -185,7 +187,7 @@ def test_token_files(spark, docs, rows, tmp_path):
     order = [r[0] if r[0] is not None else -1 for r in sorted(got, key=lambda r: r[1])]
     assert order == sorted(order)
     tokens.write_tokens(docs.limit(0), str(tmp_path / "none"), path, 2)
-    assert tokens.checksums(tokens.read_tokens(spark, str(tmp_path / "none"))).count() == 0
+    assert tokens.read_checksums(spark, str(tmp_path / "none")).count() == 0 and tokens.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_simple8b_round_trips():
