@@ -95,12 +95,11 @@ def _meets_here(here, keys_a, keys_b) -> np.ndarray:
     return cells[np.arange(len(cells)), (at_a | at_b).argmax(1)] == here
 
 
-def block_links(here: int, ids, x, home, left, right, near: float, tables: int, probes: int):
+def block_links(here: int, ids, unit, home, left, right, near: float, tables: int, probes: int):
     """Links of a block: (row, other row) positions of the pairs of rows ``left`` by rows ``right``, and which count here.
 
     At least one of two rows has its home here.  A pair that meets in several cells counts in the first.
     """
-    unit = unit_rows(x)
     found = []
     step = max(1, (1 << 22) // max(1, len(right)))
     for at in range(0, len(left), step):
@@ -160,46 +159,68 @@ def _visits(nodes: DataFrame, tables: int, probes: int) -> DataFrame:
     return nodes.select("vec_id", "dim", "e").mapInArrow(run, "dim int, cell bigint, home boolean, vec_id bigint")
 
 
+COLUMNS = ("cell", "c1", "c2", "chunk", "home", "vec_id", "weight")
+
+
+def _stretches(batch):
+    """(dim, columns, unit vectors) of each stretch of rows with vectors of one length."""
+    dims = batch.column(0).to_numpy()
+    values = np.asarray(batch.column(len(COLUMNS) + 1).flatten().to_numpy(zero_copy_only=False), float)
+    ends = np.concatenate([[0], np.cumsum(dims)])
+    cuts = [0, *(np.nonzero(dims[1:] != dims[:-1])[0] + 1).tolist(), len(dims)]
+    for s, t in zip(cuts, cuts[1:]):
+        if t > s:
+            cols = {c: batch.column(i).to_numpy(zero_copy_only=False)[s:t] for i, c in enumerate(COLUMNS, 1)}
+            yield int(dims[s]), cols, unit_rows(values[ends[s]:ends[t]].reshape(t - s, int(dims[s])))
+
+
 def _compared(blocks: DataFrame, near: float, tables: int, probes: int) -> DataFrame:
     """(vec_id, n, low): link counts and block components of the rows that link with any; rows come sorted by block."""
+    def solve(cols, unit, s, t):
+        """Links of the block in rows s..t, if it has any."""
+        one = cols["c1"][s] == cols["c2"][s]
+        part = unit[s:t]
+        if t - s < 2 or one and t - s <= VECTOR_ROWS and np.count_nonzero(part @ part.T >= near - 1e-9) <= t - s:
+            return None  # each row is near itself alone
+        ids, chunk, weight = (cols[c][s:t] for c in ("vec_id", "chunk", "weight"))
+        left = np.nonzero(chunk == cols["c1"][s])[0]
+        right = left if one else np.nonzero(chunk == cols["c2"][s])[0]
+        a, b, first = block_links(int(cols["cell"][s]), ids, part, cols["home"][s:t], left, right, near, tables, probes)
+        if not len(a):
+            return None
+        count = np.zeros(len(ids), np.int64)
+        np.add.at(count, a[first], weight[b[first]])
+        np.add.at(count, b[first], weight[a[first]])
+        linked = np.zeros(len(ids), bool)
+        linked[a] = linked[b] = True
+        return ids[linked], count[linked], star(ids, a, b)[linked]
+
     def run(batches):
-        import pandas as pd
         import pyarrow as pa
 
-        def solve(part):
-            head = part.iloc[0]
-            ids, chunk = part["vec_id"].to_numpy(), part["chunk"].to_numpy()
-            x = np.array(part["e"].tolist(), float)
-            left = np.nonzero(chunk == head["c1"])[0]
-            right = left if head["c1"] == head["c2"] else np.nonzero(chunk == head["c2"])[0]
-            a, b, first = block_links(int(head["cell"]), ids, x, part["home"].to_numpy(), left, right, near, tables, probes)
-            if not len(a):
-                return None
-            weight, count = part["weight"].to_numpy(), np.zeros(len(ids), np.int64)
-            np.add.at(count, a[first], weight[b[first]])
-            np.add.at(count, b[first], weight[a[first]])
-            low = star(ids, a, b)
-            linked = np.zeros(len(ids), bool)
-            linked[a] = linked[b] = True
-            return pd.DataFrame({"vec_id": ids[linked], "n": count[linked], "low": low[linked]})
-
-        held = None
+        def rows_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["vec_id", "n", "low"])
+
+        dim, held, unit = None, None, None
         for batch in batches:
-            pdf = batch.to_pandas() if held is None else pd.concat([held, batch.to_pandas()], ignore_index=True)
-            key = pdf[["dim", "cell", "c1", "c2"]].to_numpy()
-            edges = np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1
-            bounds = [0, *edges.tolist()]
-            out = [solve(pdf.iloc[s:t]) for s, t in zip(bounds, bounds[1:]) if t - s > 1]
-            held = pdf.iloc[bounds[-1]:]
-            out = [o for o in out if o is not None]
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-        if held is not None and len(held) > 1:
-            last = solve(held)
-            if last is not None:
-                yield pa.RecordBatch.from_pandas(last, preserve_index=False)
-
-    return blocks.mapInArrow(run, "vec_id bigint, n bigint, low bigint")
+            found = []
+            for new_dim, cols, vectors in _stretches(batch):
+                if held is not None and new_dim == dim:
+                    cols, vectors = {c: np.concatenate([held[c], cols[c]]) for c in COLUMNS}, np.concatenate([unit, vectors])
+                elif held is not None:
+                    found.append(solve(held, unit, 0, len(unit)))
+                key = np.stack([cols[c] for c in ("cell", "c1", "c2")])
+                bounds = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1).tolist()]
+                found += [solve(cols, vectors, s, t) for s, t in zip(bounds, bounds[1:])]
+                dim, held, unit = new_dim, {c: cols[c][bounds[-1]:] for c in COLUMNS}, vectors[bounds[-1]:]
+            found = [f for f in found if f is not None]
+            if found:
+                yield rows_of(found)
+        last = solve(held, unit, 0, len(unit)) if held is not None else None
+        if last is not None:
+            yield rows_of([last])
+
+    return blocks.select("dim", *COLUMNS, "e").mapInArrow(run, "vec_id bigint, n bigint, low bigint")
 
 
 def near_copies(vectors: DataFrame, near: float = NEAR, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
