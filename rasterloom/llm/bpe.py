@@ -9,19 +9,18 @@ sequence is the identity; decoding concatenates up the same tree.
 
 from __future__ import annotations
 
-import re
 from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.llm.common import split_at_spaces
+
 LEAF = 6  # bytes that are merged directly
-MEMO = 400_000  # entries at which a memo is emptied
+MEMO = 200_000  # entries of each of two generations of remembered words, pairs and halves
 REMEMBERED = 12  # bytes up to which an encoded half is remembered
 DECODE_LEAF = 1 << 16
-SAFE = re.compile(r"(?<=\S) (?=\S)")  # a space between two visible characters starts a new match of the pattern
-UNSAFE = re.compile(r"\s | \s")
 
 
 class ByteBpe:
@@ -33,7 +32,7 @@ class ByteBpe:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pairs, self.halves, self.units = {}, {}, {}
+        self.pairs, self.halves, self.units, self.older = {}, {}, {}, {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "ByteBpe":
@@ -138,6 +137,15 @@ class ByteBpe:
             ids.extend(self.encode_bytes(piece.encode("utf-8", "surrogatepass")))
         return ids.tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word behind a space; letters with one full stop or comma behind them are two pieces."""
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            stem = self.units.get(word[:-1]) or self.older.get(word[:-1])
+            if stem is None:
+                stem = self.units[word[:-1]] = self._unit(" " + word[:-1])
+            return stem + self._unit(word[-1])
+        return self._unit(" " + word)
+
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian 32-bit words.
 
@@ -146,16 +154,18 @@ class ByteBpe:
         """
         if not text:
             return b""
-        for memo in (self.pairs, self.halves, self.units):
-            if len(memo) > MEMO:
+        for memo in (self.pairs, self.halves):
+            if len(memo) > 2 * MEMO:
                 memo.clear()
-        first, *rest = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
-        units = self.units
+        if len(self.units) > MEMO:
+            self.older, self.units = self.units, {}
+        first, *rest = split_at_spaces(text)
+        units, older = self.units, self.older
         out = [self._unit(first)]
         for word in rest:
             ids = units.get(word)
             if ids is None:
-                ids = units[word] = self._unit(" " + word)
+                ids = units[word] = older.get(word) or self._word(word)
             out.append(ids)
         return b"".join(out)
 
