@@ -22,7 +22,7 @@ from rasterloom.llm.common import split_at_spaces
 
 BLOCK = 1 << 15  # ids
 SEGMENT = 1 << 17  # ids at which a segment ends; a longer document is a segment
-MEMO = 250_000  # words of each of two generations that a worker remembers
+MEMO = 600_000  # words of each of two generations that a worker remembers
 GROUP = 500  # new words that the library encodes as one text
 STOPS = ".,"
 SPACE = "\u0120"  # stands for a space in a byte-level vocabulary
