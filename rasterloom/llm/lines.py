@@ -4,10 +4,16 @@ A rolling hash over the hashes of two neighbouring lines nominates a line as a c
 nominee counts if the line before it is none, so every chunk but a document's last has two lines or
 more, and an inserted line moves only the borders next to it.  Chunks of two lines or more that
 occur elsewhere are removed, all but the first occurrence in (doc_id, place) order.
+
+One chunking leaves most short passages, since few of them hold a whole chunk.  ``passages_of`` takes every
+pair of neighbouring lines and every long line instead, so no repeated passage depends on borders; the
+pipeline uses it, the op9 query keeps the chunks that its SQL states.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +24,8 @@ from rasterloom.session import materialize
 DIVISOR = 2  # one line in so many is nominated
 FACTOR = 31  # of the earlier line's hash in the rolling hash
 LINE_HASH_DIGITS = 8  # hexadecimal digits of md5 that make a line's hash
+LONG_WORDS = 50  # a single line of more words is a passage
+Spans = Callable[[list[str]], list[tuple[int, int]]]  # of lines: (first line, past the last line) of what may be removed
 
 
 def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
@@ -32,8 +40,23 @@ def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, seq, mark, body) of every chunk of two lines or more; mark is a 64-bit hash of body."""
+def whole_chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """Chunks of two lines or more."""
+    return [(a, b) for a, b in chunks_of(lines) if b - a > 1] if len(lines) > 1 else []
+
+
+def passages_of(lines: list[str]) -> list[tuple[int, int]]:
+    """Every two neighbouring lines that are not both blank, then every line of more than ``LONG_WORDS`` words.
+
+    A removed line always has an equal one before it that stays: its pair's first occurrence comes earlier, and so on.
+    """
+    filled = [bool(x.strip()) for x in lines]
+    pairs = [(i, i + 2) for i in range(len(lines) - 1) if filled[i] or filled[i + 1]]
+    return pairs + [(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG_WORDS and len(x.split()) > LONG_WORDS]
+
+
+def _chunk_rows(docs: DataFrame, spans: Spans) -> DataFrame:
+    """(doc_id, version, seq, mark, body) of every span; seq is its number in the text, mark a 64-bit hash of body."""
     def run(batches):
         import pyarrow as pa
         import xxhash
@@ -42,14 +65,13 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
             ids, versions, seqs, marks, bodies = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 lines = [] if text is None else text.split("\n")
-                for seq, (a, b) in enumerate(chunks_of(lines) if len(lines) > 1 else ()):
-                    if b - a > 1:
-                        body = "\n".join(lines[a:b])
-                        ids.append(i)
-                        seqs.append(seq)
-                        bodies.append(body)
-                        mark = xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass"), 9)
-                        marks.append(mark - (1 << 64) if mark >> 63 else mark)
+                for seq, (a, b) in enumerate(spans(lines)):
+                    body = "\n".join(lines[a:b])
+                    ids.append(i)
+                    seqs.append(seq)
+                    bodies.append(body)
+                    mark = xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass"), 9)
+                    marks.append(mark - (1 << 64) if mark >> 63 else mark)
             at = pa.array(ids, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(seqs, pa.int32()), pa.array(marks, pa.int64()), pa.array(bodies, pa.string())],
@@ -59,13 +81,13 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, gone: sorted chunk numbers to remove), for documents that lose any.
+def repeats(docs: DataFrame, spans: Spans = whole_chunks) -> DataFrame:
+    """(doc_id, version, gone: sorted span numbers to remove), for documents that lose any.
 
     Chunks are grouped by hash and then by their bytes: a hash whose chunks are all byte-equal
     decides by hash alone; chunks whose hashes collide are told apart by their bodies.
     """
-    chunks = _chunk_rows(docs)
+    chunks = _chunk_rows(docs, spans)
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "version", "seq")
     same = chunks.groupBy("mark", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     by_mark = same.groupBy("mark").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
@@ -81,24 +103,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("seq")).alias("gone"))
 
 
-def without(text: str, gone: list[int]) -> tuple[str, int]:
-    """``text`` without its chunks numbered in ``gone``, and how many lines went."""
+def without(text: str, gone: list[int], spans: Spans = whole_chunks) -> tuple[str, int]:
+    """``text`` without its spans numbered in ``gone``, and how many lines went."""
     lines = text.split("\n")
-    dead = set(gone)
-    parts = [(a, b) for seq, (a, b) in enumerate(chunks_of(lines)) if seq not in dead]
-    kept = [x for a, b in parts for x in lines[a:b]]
-    return "\n".join(kept), len(lines) - len(kept)
+    parts = spans(lines)
+    dead = {i for seq in gone for i in range(*parts[seq])}
+    return "\n".join(x for i, x in enumerate(lines) if i not in dead), len(dead)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with globally repeated chunks of lines removed from text; adds n_lines and lines_removed.
+def dedup_lines(docs: DataFrame, spans: Spans = whole_chunks) -> DataFrame:
+    """``docs`` with globally repeated spans of lines removed from text; adds n_lines and lines_removed.
 
     A null text stays null with 0 lines; an empty text is one line.  Rows with the same id and text are one
     document: they keep the same chunks.  Within a document, a chunk that repeats loses its later
     copies.  A null id sorts first.  If every chunk goes, text is empty; no row is dropped.
     Columns named n_lines or lines_removed are replaced; other columns pass through.
     """
-    lost = repeats(docs).select(F.col("doc_id").alias("_lost_id"), F.col("version").alias("_lost_version"), "gone")
+    lost = repeats(docs, spans).select(F.col("doc_id").alias("_lost_id"), F.col("version").alias("_lost_version"), "gone")
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "lines_removed")]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_version"), "text")
     joined = keyed.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_version") == F.col("_lost_version")), "left")
@@ -111,7 +132,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for cell in cells:
             text, gone = cell["text"], cell["gone"]
             counts.append(0 if text is None else text.count("\n") + 1)
-            text, n = without(text, gone) if gone else (text, 0)
+            text, n = without(text, gone, spans) if gone else (text, 0)
             texts.append(text)
             removed.append(n)
         return [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
@@ -122,9 +143,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks of lines removed and n_chars, where present, brought up to date."""
+    """``docs`` with every repeated passage removed and n_chars, where present, brought up to date."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
-    out = dedup_lines(packed)
+    out = dedup_lines(packed, passages_of)
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -136,6 +136,25 @@ def test_chunk_borders_resist_shifts():
     assert all(b - a > 1 for a, b in lines.chunks_of(body)[:-1]) and lines.chunks_of([]) == [] and lines.chunks_of(["a"]) == [(0, 1)]
 
 
+def test_every_repeated_passage_goes(spark):
+    """Two shared lines, or one long one, leave wherever they stand; borders don't matter, and no line is lost."""
+    rng = random.Random(12)
+    body, data = [], []
+    for k in range(40):  # passages of two lines, three lines and one long line, between lines of their own
+        shared = [f"{prose(rng, 30)} {k} {j}" for j in range(2 + k % 2)] if k % 3 else [f"{prose(rng, 60)} {k}"]
+        body.append(shared)
+        for copy in range(2):
+            data.append((2 * k + copy, "\n".join([f"{prose(rng, 6)} own {k} {copy} {j}" for j in range(2)] + shared + [f"{prose(rng, 6)} last {k} {copy}"])))
+    data += [(900, "a b\n\n\nc d"), (901, "e f\n\n\ng h"), (902, "same\nsame\nsame"), (903, None), (904, ""), (905, "short"), (906, "short")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.deduped_documents(df).collect()}
+    for k, shared in enumerate(body):
+        assert set(shared) <= set(got[2 * k].split("\n")) and not set(shared) & set(got[2 * k + 1].split("\n"))
+        assert len(got[2 * k + 1].split("\n")) == 3
+    assert {i: got[i] for i in range(900, 907)} == {**dict(data[-7:]), 902: "same"}
+    assert {x for t in got.values() if t for x in t.split("\n")} == {x for _, t in data if t for x in t.split("\n")}
+
+
 def test_bpe_equals_the_library(spark, docs, rows):
     import tiktoken
 
