@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are scaled to the largest norm and lifted to the unit sphere by one more coordinate, so that the
-largest inner product is the nearest direction.  A table turns them by three rounds of random signs and
+Rows are cut into bands of similar norm.  Each band is scaled to its own largest norm and lifted to the unit
+sphere by one more coordinate, so that the largest inner product is the nearest direction and the lifting
+coordinate stays small, however uneven the norms of the table are; a query looks into every band.  A table turns them by three rounds of random signs and
 a fast Hadamard transform; a vector's cell is the signed axis that it is nearest to.  A query
 looks into the ``PROBES`` cells of each of ``TABLES`` tables whose axes it is nearest to, and what it finds is ranked by the
 exact inner product of the original vectors.  Cells are cut into blocks of bounded size; a query that
@@ -24,6 +25,7 @@ TOP = 20
 EVERY = 20  # rows whose id it divides are queries
 SEED = 11
 GROUP = 32  # cells that travel together
+BAND = 1.2  # largest norm of a band over its smallest
 
 
 def padded(dim: int) -> int:
@@ -46,8 +48,11 @@ def turned(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def lifted(x: np.ndarray, longest: float | None) -> np.ndarray:
-    """Unit vectors of the padded size: rows with the lifting coordinate, or queries (``longest`` None) with 0 there."""
+def lifted(x: np.ndarray, longest: np.ndarray | float | None) -> np.ndarray:
+    """Unit vectors of the padded size: rows with the lifting coordinate, or queries (``longest`` None) with 0 there.
+
+    ``longest`` is the largest norm of each row's band, as a column.
+    """
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     out = np.zeros((len(x), padded(x.shape[1])))
     out[:, :x.shape[1]] = x / (norm if longest is None else longest)
@@ -67,10 +72,21 @@ def cells(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argpartition(-both, probes - 1, axis=1)[:, :probes]
 
 
-def _hashed(vectors: DataFrame, longest: float, tables: int, probes: float, query: bool) -> DataFrame:
-    """(dim, group, cells, query, vec_id, e): a row per table, or per group of cells with a probed one.
+def _banded(base: DataFrame) -> DataFrame:
+    """``base`` with its norm band, cut by value so that norms about 1 share one, and the band's largest norm."""
+    norm = F.sqrt(F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    band = F.floor(F.log("norm") / float(np.log(BAND)) + 0.5).cast("int")
+    rows = base.withColumn("norm", F.greatest(norm, F.lit(5e-324))).withColumn("band", band)
+    # A row per band and length of vectors: doubles span under 3700 bands.
+    longest = F.broadcast(materialize(rows.groupBy("dim", "band").agg(F.max("norm").alias("longest")), "bands"))
+    return rows.drop("norm").join(longest, ["dim", "band"])
+
+
+def _hashed(vectors: DataFrame, tables: int, probes: float, query: bool) -> DataFrame:
+    """(dim, band, group, cells, query, vec_id, e): a row per table, or per group of cells with a probed one.
 
-    ``cells`` is the cell's place in its group, or, for a query, the bits of its probed cells there.
+    ``cells`` is the cell's place in its group, or, for a query, the bits of its probed cells there.  A query's cells
+    are the same in every band; its own band is not used.
     """
     def run(batches):
         import pyarrow as pa
@@ -81,7 +97,8 @@ def _hashed(vectors: DataFrame, longest: float, tables: int, probes: float, quer
                 at = np.nonzero(dims == dim)[0]
                 e = batch.column(2).take(pa.array(at))
                 x = np.array(e.flatten().to_numpy(zero_copy_only=False), "<f8").reshape(len(at), dim)
-                up, axes = lifted(x, None if query else longest), 2 * padded(dim)
+                bands = batch.column(3).to_numpy()[at]
+                up, axes = lifted(x, None if query else batch.column(4).to_numpy()[at][:, None]), 2 * padded(dim)
                 groups = -(-axes // GROUP)
                 for table in range(tables):
                     hit = cells(up, table, max(1, round(probes * axes)) if query else 1)
@@ -94,12 +111,12 @@ def _hashed(vectors: DataFrame, longest: float, tables: int, probes: float, quer
                     else:
                         rows, group, place = np.arange(len(at)), hit[:, 0] // GROUP, hit[:, 0] % GROUP
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(rows), dim, np.int32)), pa.array((group + table * groups).astype(np.int32)), pa.array(place.astype(np.int64)),
+                        pa.array(np.full(len(rows), dim, np.int32)), pa.array(bands[rows]), pa.array((group + table * groups).astype(np.int32)), pa.array(place.astype(np.int64)),
                         pa.array(np.full(len(rows), query)), pa.array(ids[at][rows]), e.take(pa.array(rows))],
-                        names=["dim", "group", "cells", "query", "vec_id", "e"])
+                        names=["dim", "band", "group", "cells", "query", "vec_id", "e"])
 
     kind = vectors.schema["e"].dataType.simpleString()
-    return vectors.select("vec_id", "dim", "e").mapInArrow(run, f"dim int, group int, cells bigint, query boolean, vec_id bigint, e {kind}")
+    return vectors.select("vec_id", "dim", "e", "band", "longest").mapInArrow(run, f"dim int, band int, group int, cells bigint, query boolean, vec_id bigint, e {kind}")
 
 
 def block_best(q_ids, q, bits, r_ids, r, cell, top: int):
@@ -154,7 +171,7 @@ def _best(hashed: DataFrame, top: int) -> DataFrame:
         held = None
         for batch in batches:
             pdf = batch.to_pandas() if held is None else pd.concat([held, batch.to_pandas()], ignore_index=True)
-            key = pdf[["dim", "group", "qs", "rs"]].to_numpy()
+            key = pdf[["dim", "band", "group", "qs", "rs"]].to_numpy()
             bounds = [0, *(np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1).tolist()]
             for s, t in zip(bounds, bounds[1:]):
                 solve(pdf.iloc[s:t])
@@ -169,18 +186,18 @@ def _best(hashed: DataFrame, top: int) -> DataFrame:
     return hashed.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
-def _found(rows: DataFrame, queries: DataFrame, longest: float, tables: int, probes: float, top: int) -> DataFrame:
-    index, asked = _hashed(rows, longest, tables, 1, False), _hashed(queries, longest, tables, probes, True)
-    # A row per group of cells: at most tables * 2 * padded(dim) / GROUP, rounded up, for each length of vectors.
-    held = index.groupBy("dim", "group").agg(F.ceil(F.count(F.lit(1)) / VECTOR_ROWS).cast("int").alias("nr"))
+def _found(rows: DataFrame, queries: DataFrame, tables: int, probes: float, top: int) -> DataFrame:
+    index, asked = _hashed(rows, tables, 1, False), _hashed(queries, tables, probes, True).drop("band")
+    # A row per group of cells: at most tables * 2 * padded(dim) / GROUP, rounded up, for each length of vectors and band.
+    held = index.groupBy("dim", "band", "group").agg(F.ceil(F.count(F.lit(1)) / VECTOR_ROWS).cast("int").alias("nr"))
     asks = asked.groupBy("dim", "group").agg(F.ceil(F.count(F.lit(1)) / VECTOR_ROWS).cast("int").alias("nq"))
     grid = F.broadcast(materialize(held.join(asks, ["dim", "group"]), "groups"))
     salt = F.xxhash64(F.lit("block"), "vec_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(grid, ["dim", "group"]).withColumn("rs", F.pmod(salt, F.col("nr")).cast("int")).withColumn("qs", every("nq"))
+    index = index.join(grid, ["dim", "band", "group"]).withColumn("rs", F.pmod(salt, F.col("nr")).cast("int")).withColumn("qs", every("nq"))
     asked = asked.join(grid, ["dim", "group"]).withColumn("qs", F.pmod(salt, F.col("nq")).cast("int")).withColumn("rs", every("nr"))
-    cols = ["dim", "group", "qs", "rs", "query", "cells", "vec_id", "e"]
-    key = cols[:4]
+    cols = ["dim", "band", "group", "qs", "rs", "query", "cells", "vec_id", "e"]
+    key = cols[:5]
     return _best(index.select(*cols).union(asked.select(*cols)).repartition(*key).sortWithinPartitions(*key), top)
 
 
@@ -198,17 +215,15 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, tables: int =
     or non-finite numbers take no part, nor do null ids; vectors of different lengths do not meet.
     A query with fewer than ``top`` candidates in all gets all of them.
     """
-    base = materialize(usable(vectors), "vectors")
-    norm = F.sqrt(F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    longest = base.agg(F.max(norm)).first()[0]
+    base = materialize(_banded(materialize(usable(vectors), "vectors")), "banded")
     queries = base.filter(F.col("vec_id") % every == 0)
-    first = materialize(_ranked(_found(base, queries, longest or 1.0, tables, probes, top), top), "found")
+    first = materialize(_ranked(_found(base, queries, tables, probes, top), top), "found")
     held = base.groupBy("dim").agg(F.count_distinct("vec_id").alias("n"))
     short = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
     wanting = queries.join(held, "dim").join(short, queries.vec_id == short.query_id, "left")
-    wanting = materialize(wanting.filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(top), F.col("n") - 1)).select("vec_id", "dim", "e"), "wanting")
+    wanting = materialize(wanting.filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(top), F.col("n") - 1)).select("vec_id", "dim", "e", "band", "longest"), "wanting")
     if wanting.isEmpty():
         return first
-    again = _ranked(_found(base, wanting, longest, 1, 1.0, top), top)
+    again = _ranked(_found(base, wanting, 1, 1.0, top), top)
     rest = first.join(wanting.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
     return rest.unionByName(again)

@@ -123,3 +123,26 @@ def test_search_returns_all_candidates_of_a_small_table(spark):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(50, 32))
     assert np.allclose((ann.turned(x, 3) ** 2).sum(1), (x ** 2).sum(1))
+
+
+@pytest.mark.parametrize("norms", ["one long row", "log-normal"])
+def test_search_on_uneven_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one long row":
+        x[1] *= 10
+    else:
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9 and min(recall) >= 0.5
