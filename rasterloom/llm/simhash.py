@@ -161,12 +161,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One document of each component, that of the smallest id, with its own columns.
 
+    ``found`` gives the components as (doc_id, version, root); by default they are those of the fingerprints.
     Of several rows with the smallest id, that of the smallest text hash stays; of identical ones, one.
     """
-    found = materialize(components(docs), "components")
+    found = materialize(components(docs) if found is None else found, "components")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")
     best = found.groupBy("root").agg(F.min(place).alias("best"))
     best = best.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.version").alias("_kept_version"))

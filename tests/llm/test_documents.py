@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, langid, license, lines, mixing, quality, simhash, tokens
+import corpus_pipeline
+from rasterloom.llm import bpe, langid, license, lines, mixing, quality, shingles, simhash, tokens
 from rasterloom.llm.common import connected, fold, prepare
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -258,6 +259,43 @@ def test_simhash_components(spark, docs, rows):
     assert simhash.near_copies(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_copies_by_shingles(spark):
+    """Components of five-word Jaccard 0.8 or more against all pairs: edits that fingerprints miss, a large group, odd rows."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    data = []
+
+    def edited(words, times):
+        out = list(words)
+        for at in rng.sample(range(len(out)), times):
+            out[at] = fresh(1)[0]
+        return out
+
+    for k in range(40):  # 200 words with 0 to 8 words changed: similarity from 1 to about 0.67
+        words = fresh(200)
+        data += [(2 * k, " ".join(words)), (2 * k + 1, "\n".join(edited(words, k % 9)).upper())]
+    hot = fresh(120)
+    data += [(200 + k, " ".join(edited(hot, 1))) for k in range(120)]
+    data += [(400, None), (401, ""), (402, " \n"), (403, "one two"), (404, "ONE  two"), (405, "one three"), (None, "one two"), (406, data[0][1]), (406, data[0][1])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    sets = [{" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in data]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = brute_components([(i, j) for j in range(len(data)) for i in range(j) if alike(sets[i], sets[j])], range(len(data)))
+    groups = defaultdict(set)
+    for n, (i, _) in enumerate(data):
+        groups[root[n]].add(i)
+    mine = defaultdict(set)
+    for r in shingles.components(df).collect():
+        mine[r["root"]].add(r["doc_id"])
+    assert sorted(map(str, map(sorted, [[-1 if i is None else i for i in g] for g in mine.values()]))) == sorted(
+        map(str, map(sorted, [[-1 if i is None else i for i in g] for g in groups.values()])))
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns and kept.count() == len(groups)
+    far = [(a, b) for a, b in zip(range(0, 80, 2), range(1, 80, 2)) if alike(sets[a], sets[b]) and (simhash.fingerprint(data[a][1]) ^ simhash.fingerprint(data[b][1])).bit_count() > 3]
+    assert len(far) > 5  # pairs that the fingerprints' radius does not reach
+    assert shingles.components(df.limit(0)).count() == 0
+
+
 def test_golay_keys_find_every_pair_within_three_bits(spark):
     table = simhash.error_table()
     assert (table >= 0).all() and {int(e).bit_count() for e in table} == {0, 1, 2, 3}
