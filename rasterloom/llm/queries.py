@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, bpe, langid, lattice, license, lines, mixing, quality, simhash, tokens
+from rasterloom.llm import ann, bpe, centroids, decontam, langid, lattice, license, lines, mixing, negatives, quality, simhash, tokens
 from rasterloom.llm.common import fold, prepare, table
 from rasterloom.session import scratch_dir
 
@@ -88,3 +88,18 @@ def line_dedup(spark, sf_dir):
 def source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_decontamination", decontam.SQL)
+def decontamination(spark, sf_dir):
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_centroids", centroids.SQL)
+def centroid_clusters(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", negatives.SQL)
+def hard_negatives(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"), negatives.relabelled(F.col("vec_id"), F.col("label")))
