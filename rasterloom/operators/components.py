@@ -1,8 +1,9 @@
 """Connected regions of run masks.
 
 Runs are cut at tile borders and joined up inside each tile (a bounded group); only the
-pieces that touch a seam enter the seam graph, whose components are then contracted.
-The number of rounds follows the seam graph, not the size of a region.
+pieces that touch a seam enter the seam graph.  Its edges are merged by a quadtree: first the seams inside
+each block of two by two tiles, then those between the blocks of four by four, and so on, so the number of rounds is
+the logarithm of a frame's side in tiles, and a group holds the edges on one cross of seams.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from rasterloom.sources.tables import PACK
 TILE = 1024
 
 
-def _local_labels(tile_code, y, x0, x1, reach):
+def local_labels(tile_code, y, x0, x1, reach):
     """Smallest packed (y, x) among the runs connected to each run, for the runs of many tiles at once."""
     import numpy as np
 
@@ -59,26 +60,85 @@ def _cut(runs: DataFrame, tile: int) -> DataFrame:
 
 
 def _seam_edges(pieces: DataFrame, reach: int, tile: int) -> DataFrame:
-    p = pieces.select("image_id", "y", "x0", "x1", "tx", "lid")
+    """(image_id, u, v, ty, tx, uy, ux): pieces that touch across a seam, with the tiles of both."""
+    p = pieces.select("image_id", "y", "x0", "x1", "ty", "tx", "lid")
     wide = F.sequence(F.floor((F.col("x0") - reach) / tile).cast("int"), F.floor((F.col("x1") + reach) / tile).cast("int"))
+    here = [F.col("lid").alias("u"), F.col("ty").alias("uy"), F.col("tx").alias("ux")]
     above = p.filter(F.col("y") % tile == tile - 1).select(
-        "image_id", (F.col("y") + 1).alias("y"), F.explode(wide).alias("tx"), F.col("x0").alias("a0"), F.col("x1").alias("a1"),
-        F.col("lid").alias("u"))
+        "image_id", (F.col("y") + 1).alias("y"), F.explode(wide).alias("tx"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), *here)
     below = p.filter(F.col("y") % tile == 0).withColumnRenamed("lid", "v")
     down = above.join(below, ["image_id", "y", "tx"]).filter(
         (F.col("x0") <= F.col("a1") + reach) & (F.col("x1") >= F.col("a0") - reach))
     left = p.filter(F.col("x1") % tile == tile - 1).select(
-        "image_id", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)).alias("y"), (F.col("x1") + 1).alias("x0"),
-        F.col("lid").alias("u"))
-    right = p.filter(F.col("x0") % tile == 0).select("image_id", "y", "x0", F.col("lid").alias("v"))
+        "image_id", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)).alias("y"), (F.col("x1") + 1).alias("x0"), *here)
+    right = p.filter(F.col("x0") % tile == 0).select("image_id", "y", "x0", "ty", "tx", F.col("lid").alias("v"))
     across = left.join(right, ["image_id", "y", "x0"])
-    return down.select("image_id", "u", "v").union(across.select("image_id", "u", "v")).filter("u <> v").distinct()
+    cols = ["image_id", "u", "v", "ty", "tx", "uy", "ux"]
+    return down.select(*cols).union(across.select(*cols)).filter("u <> v").distinct()
+
+
+def forest(u, v):
+    """(nodes, roots) of the components of the edges (u, v), the roots themselves left out."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def quadtree_roots(edges: DataFrame) -> DataFrame:
+    """(image_id, node, root) of every piece of the seam graph but the roots, merged level by level.
+
+    An edge is settled at the level of the smallest block that holds both its tiles.  What a block has merged is
+    renamed in the edges of the levels above, so a call sees one block's own seams only.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col("ty").bitwiseXOR(F.col("uy")), F.col("tx").bitwiseXOR(F.col("ux"))) + 1.0)).cast("int")
+    edges = materialize(edges.withColumn("level", level).select("image_id", "u", "v", "ty", "tx", "level"), "seams")
+    kind = dict(edges.dtypes)["image_id"]
+
+    def merge(pdf):
+        import pandas as pd
+
+        parts = []
+        for image, g in pdf.groupby("image_id", sort=False):  # blocks of one frame share no node, so they merge at once
+            nodes, roots = forest(g["u"].to_numpy(), g["v"].to_numpy())
+            parts.append(pd.DataFrame({"image_id": image, "node": nodes, "root": roots}))
+        return pd.concat(parts)
+
+    known = None
+    for k in sorted(r[0] for r in edges.select("level").distinct().collect()):  # at most the logarithm of a frame's side
+        now = edges.filter(F.col("level") == k).select("image_id", F.expr(f"shiftright(ty, {k})").alias("by"), F.expr(f"shiftright(tx, {k})").alias("bx"), "u", "v")
+        if known is not None:
+            for end in ("u", "v"):
+                name = known.select("image_id", F.col("node").alias(end), F.col("root").alias("_r"))
+                now = now.join(name, ["image_id", end], "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+            now = now.filter("u <> v")
+        new = by_key_stream(now, ["image_id", "by", "bx"], merge, f"image_id {kind}, node bigint, root bigint")
+        if known is not None:
+            new = materialize(new, "merged")
+            up = new.select("image_id", F.col("node").alias("root"), F.col("root").alias("_r"))
+            moved = known.join(up, ["image_id", "root"], "left").select("image_id", "node", F.coalesce("_r", "root").alias("root"))
+            new = moved.unionByName(new)
+        known = materialize(new, "merged")
+    return edges.select("image_id", F.col("u").alias("node"), F.col("v").alias("root")) if known is None else known
 
 
 def star_contraction(edges: DataFrame) -> DataFrame:
     """Components of ``(image_id, u, v)`` by alternating large-star and small-star rounds.
 
-    Returns ``(image_id, node, root)`` with the smallest node as root.  Every round is a
+    Returns ``(image_id, node, root)`` of every node but the roots, the smallest node of each component.  Every round is a
     grouped minimum and an equi-join, so a hub node is split like any skewed key.
     """
     cur = materialize(edges.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
@@ -115,11 +175,11 @@ def label_runs(runs: DataFrame, connectivity: int, tile: int = TILE) -> DataFram
 
     def local(pdf):
         code = pdf.groupby(["image_id", "ty", "tx"], sort=False).ngroup().to_numpy()
-        return pdf.assign(lid=_local_labels(code, pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), reach))
+        return pdf.assign(lid=local_labels(code, pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), reach))
 
     cols = ["image_id", "fh", "fw", "y", "x0", "x1", "rx0", "tx", "ty"]
     pieces = materialize(by_key_stream(cut.select(*cols), ["image_id", "ty", "tx"], local, schema), "pieces")
-    roots = star_contraction(_seam_edges(pieces, reach, tile)).withColumnRenamed("node", "lid")
+    roots = quadtree_roots(_seam_edges(pieces, reach, tile)).withColumnRenamed("node", "lid")
     named = pieces.join(roots, ["image_id", "lid"], "left")
     named = named.withColumn("region_id", F.coalesce("root", "lid"))
     # A region's first pixel is the smallest root, and pieces of one run share a region.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators.quantiles import exact_percentiles
 from rasterloom.operators.sampling import hash_order, take_by_hash
+from rasterloom.session import materialize
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -25,46 +26,66 @@ def proposal_purity(proposals: DataFrame, truth: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("area"), F.count("_t").alias("overlap")).withColumn("purity", F.col("overlap") / F.col("area"))
 
 
+AT_ONCE = 10  # proposals that a round decides on
+
+
+def _decide(pdf, size: int):
+    """One round of a frame: walks ``size`` proposals over the counts of at most 2^size sets of them."""
+    import numpy as np
+
+    state = pdf.iloc[0]
+    held, n, pos = pdf["mask"].to_numpy(np.int64), pdf["n"].to_numpy(float), pdf["pos"].to_numpy(float)
+    total, area, right, best, taken = float(state["total"]), float(state["area"]), float(state["right"]), float(state["best"]), 0
+    left = np.ones(len(pdf), bool)
+    for bit in range(size):
+        mine = left & (held >> bit & 1 == 1)
+        more, hits = area + n[mine].sum(), right + pos[mine].sum()
+        score = hits / max(total + more - hits, 1)
+        if score > best:
+            area, right, best, taken, left = more, hits, score, taken | 1 << bit, left & ~mine
+    return pdf.iloc[:1][["image_id"]].assign(area=int(area), right=int(right), best=best, taken=taken)
+
+
 def greedy_union(proposals: DataFrame, truth: DataFrame) -> DataFrame:
     """Best of purity-ordered greedy and majority selection: (image_id, proposal, iou).
 
-    Pixels covered by the same set of proposals are counted together first, so the greedy
-    pass of a frame reads those counts, not pixels.
+    Pixels covered by the same set of proposals are one row with their counts.  Proposals are walked in order of purity, ``AT_ONCE``
+    to a round: the uncovered rows are summed by which of the round's proposals hold them, so a frame's decision
+    reads at most 2^AT_ONCE sums whatever its size, and the rows that the accepted ones cover leave before the next round.
     """
-    kind, pkind = dict(proposals.dtypes)["image_id"], dict(proposals.dtypes)["proposal"]
+    kind = dict(proposals.dtypes)["image_id"]
     cover = proposals.groupBy(*PIXEL).agg(F.sort_array(F.collect_set("proposal")).alias("sig"))
     t = truth.select(*PIXEL).withColumn("_t", F.lit(True))
-    cells = cover.join(t, PIXEL, "full").groupBy("image_id", "sig").agg(
-        F.count(F.lit(1)).alias("n"), F.count("_t").alias("pos"))
-
-    def choose(pdf):
-        import numpy as np
-        import pandas as pd
-
-        total = int(pdf["pos"].sum())
-        rows = [r for r in pdf.itertuples(index=False) if r.sig is not None]
-        names = sorted({p for r in rows for p in r.sig})
-        member = np.array([[p in set(r.sig) for r in rows] for p in names]).reshape(len(names), len(rows))
-        n, pos = np.array([r.n for r in rows], dtype=float), np.array([r.pos for r in rows], dtype=float)
-        if not names:
-            return pdf.iloc[:0][["image_id"]].assign(proposal=None, iou=0.0)
-        purity = (member @ pos) / (member @ n)
-
-        def score(pick):
-            return (pos[pick].sum()) / max(total + n[pick].sum() - pos[pick].sum(), 1)
-
-        cur, best, chosen = np.zeros(len(rows), bool), 0.0, []
-        for i in sorted(range(len(names)), key=lambda k: (-purity[k], names[k])):
-            s = score(cur | member[i])
-            if s > best:
-                cur, best, chosen = cur | member[i], s, chosen + [names[i]]
-        pure = [i for i in range(len(names)) if purity[i] > 0.5]
-        major = member[pure].any(axis=0) if pure else np.zeros(len(rows), bool)
-        if score(major) > best:
-            best, chosen = score(major), [names[i] for i in pure]
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]] * len(chosen), "proposal": chosen, "iou": [best] * len(chosen)})
-
-    return cells.groupBy("image_id").applyInPandas(choose, f"image_id {kind}, proposal {pkind}, iou double")
+    cells = cover.join(t, PIXEL, "full").groupBy("image_id", "sig").agg(F.count(F.lit(1)).alias("n"), F.count("_t").alias("pos"))
+    cells = materialize(cells.withColumn("sid", F.monotonically_increasing_id()), "cells")
+    member = cells.select("image_id", "sid", "n", "pos", F.explode("sig").alias("proposal"))
+    pure = member.groupBy("image_id", "proposal").agg((F.sum("pos") / F.sum("n")).alias("purity"))
+    order = Window.partitionBy("image_id").orderBy(F.desc("purity"), "proposal")
+    ranked = materialize(pure.withColumn("at", F.row_number().over(order) - 1), "ranked")
+    left = materialize(member.join(ranked.select("image_id", "proposal", "at"), ["image_id", "proposal"]).drop("proposal"), "members")
+    zero = {"area": F.lit(0).cast("bigint"), "right": F.lit(0).cast("bigint"), "best": F.lit(0.0)}
+    start = cells.groupBy("image_id").agg(F.sum("pos").alias("total")).withColumns(zero)
+    state, accepted, rest = start, None, left
+    for first in range(0, (ranked.agg(F.max("at")).first()[0] if not ranked.isEmpty() else -1) + 1, AT_ONCE):
+        mine = rest.filter(F.col("at").between(first, first + AT_ONCE - 1))
+        sets = materialize(mine.groupBy("image_id", "sid").agg(F.bit_or(F.expr(f"shiftleft(1L, at - {first})")).alias("mask"), F.first("n").alias("n"), F.first("pos").alias("pos")), "sets")
+        sums = sets.groupBy("image_id", "mask").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).join(state, "image_id")
+        now = materialize(sums.groupBy("image_id").applyInPandas(lambda pdf: _decide(pdf, AT_ONCE), f"image_id {kind}, area bigint, right bigint, best double, taken bigint"), "taken")
+        picks = now.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(AT_ONCE - 1))).alias("bit"), "taken").filter(F.expr("shiftright(taken, bit) & 1 = 1"))
+        picks = picks.select("image_id", (F.col("bit") + first).alias("at"))
+        accepted = picks if accepted is None else accepted.unionByName(picks)
+        gone = sets.join(now.select("image_id", "taken"), "image_id").filter(F.col("mask").bitwiseAND(F.col("taken")) != 0).select("image_id", "sid")
+        rest = materialize(rest.filter(F.col("at") >= first + AT_ONCE).join(gone, ["image_id", "sid"], "left_anti"), "members")
+        fresh = now.select("image_id", F.col("area").alias("_a"), F.col("right").alias("_r"), F.col("best").alias("_b"))
+        state = materialize(state.join(fresh, "image_id", "left").select("image_id", "total", F.coalesce("_a", "area").alias("area"), F.coalesce("_r", "right").alias("right"), F.coalesce("_b", "best").alias("best")), "state")
+    major = left.join(ranked.filter("purity > 0.5").select("image_id", "at"), ["image_id", "at"], "left_semi").select("image_id", "sid", "n", "pos").distinct()
+    major = major.groupBy("image_id").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).join(start.select("image_id", "total"), "image_id")
+    major = major.select("image_id", (F.col("pos") / F.greatest(F.col("total") + F.col("n") - F.col("pos"), F.lit(1))).alias("_m"))
+    verdict = state.join(major, "image_id", "left").withColumn("_majority", F.coalesce(F.col("_m") > F.col("best"), F.lit(False)))
+    verdict = materialize(verdict.select("image_id", "_majority", F.when(F.col("_majority"), F.col("_m")).otherwise(F.col("best")).alias("iou")), "verdict")
+    greedy = ranked.filter("false").select("image_id", "at") if accepted is None else accepted
+    chosen = greedy.join(verdict.filter("NOT _majority"), "image_id").unionByName(ranked.filter("purity > 0.5").select("image_id", "at").join(verdict.filter("_majority"), "image_id"))
+    return chosen.join(ranked, ["image_id", "at"]).select("image_id", "proposal", "iou")
 
 
 def top_boxes(props: DataFrame, k: int = 32, min_area: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import runs as R
@@ -71,12 +71,17 @@ def euler_numbers(labelled: DataFrame) -> DataFrame:
 
 
 def border_pixels(labelled: DataFrame) -> DataFrame:
-    """Pixels of a region with a 4-neighbour outside it; the frame edge counts as outside."""
+    """Pixels of a region with a 4-neighbour outside it; the frame edge counts as outside.
+
+    Only the runs of edge pixels are expanded; each lies in the labelled run that starts last before it.
+    """
     inner = R.erode(labelled.select(*R.RUN), R.cross(), outside=False)
     edge = R.subtract(labelled.select(*R.RUN), inner)
-    px = R.to_pixels(edge)
-    own = R.to_pixels(labelled, "region_id")
-    return px.join(own, ["image_id", "y", "x"])
+    starts = labelled.select("image_id", "y", "x0", F.lit(None).cast("int").alias("x1"), "region_id").unionByName(
+        edge.select("image_id", "y", "x0", "x1", F.lit(None).cast("bigint").alias("region_id")))
+    w = Window.partitionBy("image_id", "y").orderBy("x0", F.col("x1").asc_nulls_first())
+    own = starts.withColumn("region_id", F.last("region_id", ignorenulls=True).over(w)).filter("x1 IS NOT NULL")
+    return R.to_pixels(own, "region_id")
 
 
 def perimeters(labelled: DataFrame) -> DataFrame:

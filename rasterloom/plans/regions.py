@@ -388,7 +388,20 @@ def proposal_purity(spark, root):
     return B.proposal_purity(proposals(spark, root), T.grid(spark, root).filter("n > 1")).withColumn("purity", S.r6("purity"))
 
 
-@query("d28_greedy_union")
+@query("d28_greedy_union", "grid", PROPOSALS + """, t AS (SELECT image_id, list(y * 100 + x) AS truth, count(*) AS total FROM grid WHERE n > 1 GROUP BY 1),
+    p AS (SELECT image_id, proposal, list(y * 100 + x) AS cells FROM pr GROUP BY 1, 2),
+    k AS MATERIALIZED (SELECT image_id, proposal, cells, coalesce(truth, []) AS truth, coalesce(total, 0) AS total, len(list_intersect(cells, coalesce(truth, []))) / len(cells) AS purity
+    FROM p LEFT JOIN t USING (image_id)),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY purity DESC, proposal) AS turn FROM k),
+    s AS (SELECT DISTINCT image_id, 0::BIGINT AS turn, [] :: BIGINT[] AS covered, 0.0::DOUBLE AS best, [] :: VARCHAR[] AS chosen FROM r
+      UNION ALL SELECT image_id, turn, CASE WHEN score > best THEN joint ELSE covered END, greatest(score, best), CASE WHEN score > best THEN list_append(chosen, proposal) ELSE chosen END
+      FROM (SELECT *, hits / greatest(total + len(joint) - hits, 1) AS score FROM (SELECT *, len(list_intersect(joint, truth)) AS hits
+        FROM (SELECT r.*, covered, best, chosen, list_distinct(list_concat(covered, cells)) AS joint FROM s JOIN r ON r.image_id = s.image_id AND r.turn = s.turn + 1) AS x1) AS x2) AS x3),
+    g AS (SELECT image_id, arg_max(best, turn) AS best, arg_max(chosen, turn) AS chosen FROM s GROUP BY 1),
+    m AS (SELECT image_id, list(proposal) AS chosen, any_value(total) AS total, any_value(truth) AS truth, list_distinct(flatten(list(cells))) AS joint FROM r WHERE purity > 0.5 GROUP BY 1),
+    w AS (SELECT g.image_id, m.chosen AS major, g.chosen, g.best, len(list_intersect(joint, truth)) / greatest(total + len(joint) - len(list_intersect(joint, truth)), 1) AS score
+    FROM g LEFT JOIN m USING (image_id))
+    SELECT image_id, unnest(CASE WHEN score > best THEN major ELSE chosen END) AS proposal, round(CASE WHEN score > best THEN score ELSE best END, 6) AS iou FROM w""")
 def greedy_union(spark, root):
     return B.greedy_union(proposals(spark, root), T.grid(spark, root).filter("n > 1")).withColumn("iou", S.r6("iou"))
 

@@ -126,16 +126,121 @@ def test_hull_of_an_l_shape(spark):
     assert m.sum() < h.hull_area < 64
 
 
-def test_spanning_tree_and_groups(spark):
+def test_spanning_tree(spark):
     e = spark.createDataFrame([("a", 1, 2, 1.0), ("a", 2, 3, 2.0), ("a", 1, 3, 3.0), ("a", 7, 8, 1.0), ("b", 1, 2, 5.0)], "image_id string, u long, v long, gap double")
     assert {(r.image_id, r.u, r.v) for r in M.spanning_tree(e).collect()} == {("a", 1, 2), ("a", 2, 3), ("a", 7, 8), ("b", 1, 2)}
 
 
-def test_cheapest_route_goes_round_a_wall():
-    cost = np.ones((5, 5))
-    cost[0:4, 2] = 100
-    path = M._route(cost, (0, 0), (0, 4))
-    assert path[0] == (0, 0) and path[-1] == (0, 4) and (4, 2) in path
+def dijkstra(cost, start):
+    import heapq
+
+    best, heap = {start: 0.0}, [(0.0, start)]
+    while heap:
+        d, (y, x) = heapq.heappop(heap)
+        if d > best[(y, x)]:
+            continue
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                q = (y + dy, x + dx)
+                if (dy or dx) and 0 <= q[0] < cost.shape[0] and 0 <= q[1] < cost.shape[1]:
+                    n = d + (cost[y, x] + cost[q]) / 2 * (2 ** 0.5 if dy and dx else 1)
+                    if n < best.get(q, np.inf):
+                        best[q] = n
+                        heapq.heappush(heap, (n, q))
+    return best
+
+
+def test_routes_cost_what_a_heap_finds():
+    wall = np.ones((9, 12))
+    wall[0:8, 2], wall[1:9, 5] = 100, 100
+    stack = [wall, rng.random((9, 12)), np.zeros((9, 12)), np.where(rng.random((9, 12)) < 0.5, 0.0, 5.0)]
+    cost = np.full((5, 9, 12), np.inf)
+    cost[:4], cost[4, :4, :3] = stack, rng.random((4, 3))
+    starts, ends = np.array([[0, 0], [8, 11], [4, 4], [0, 0], [0, 0]]), np.array([[0, 11], [0, 0], [4, 9], [8, 8], [3, 2]])
+    for k, path in enumerate(M.routes(cost, starts, ends.copy())):
+        shape = (9, 12) if k < 4 else (4, 3)
+        best = dijkstra(cost[k, :shape[0], :shape[1]], tuple(starts[k]))
+        assert path[0] == tuple(ends[k]) and path[-1] == tuple(starts[k])
+        total = 0.0
+        for p, q in zip(path, path[1:]):
+            assert max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1
+            total += (cost[k][p] + cost[k][q]) / 2 * np.hypot(p[0] - q[0], p[1] - q[1])
+        assert total == pytest.approx(best[tuple(ends[k])], abs=1e-3)
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_near_pairs(spark, tile):
+    masks = {"a": rng.random((40, 50)) < 0.12, "b": rng.random((30, 20)) < 0.3}
+    lab = C.label_runs(R.from_pixels(mask_frame(spark, masks)), 8)
+    px = R.to_pixels(lab, "region_id").toPandas()
+    want = {}
+    for name, g in px.groupby("image_id"):
+        p = g[["region_id", "y", "x"]].to_numpy()
+        d2 = ((p[:, None, 1:] - p[None, :, 1:]) ** 2).sum(2)
+        for i, j in np.argwhere(d2 <= 16):
+            if p[i, 0] < p[j, 0]:
+                key, val = (name, p[i, 0], p[j, 0]), (d2[i, j], *p[i, 1:], *p[j, 1:])
+                want[key] = min(want.get(key, val), val)
+    got = {(r.image_id, r.u, r.v): (round(r.gap ** 2), r.ay, r.ax, r.by, r.bx) for r in M.near_pairs(lab, 4, tile).collect()}
+    assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_groups_hold_their_first_region(spark, tile, monkeypatch):
+    monkeypatch.setattr(M, "NEAR_TILE", tile)
+    m = np.zeros((12, 40), bool)
+    m[2:4, 1:8], m[2:4, 10:18], m[3:5, 20:28], m[8:10, 32:39] = True, True, True, True
+    px = spark.createDataFrame([("a", 12, 40, y, x, 0.0) for y in range(12) for x in range(40)], "image_id string, fh int, fw int, y int, x int, v double")
+    groups, bridges = M.merge_fragments(C.label_runs(runs_of(spark, m), 8), px, min_area=8, max_gap=4, max_bridge=1, margin=3)
+    first = [2 * (1 << 31) + 1, 2 * (1 << 31) + 10, 3 * (1 << 31) + 20]
+    assert sorted((r.region_id, r.group_id) for r in groups.collect()) == [(f, first[0]) for f in first]
+    assert bridges.count() == 2
+
+
+@pytest.mark.parametrize("tile", [512, 5])
+def test_flood_against_a_fill(spark, tile):
+    from rasterloom.operators import clicks as K
+
+    v = np.cumsum(rng.normal(size=(23, 31)), axis=1) / 3
+    px = spark.createDataFrame([("a", 23, 31, y, x, float(v[y, x])) for y in range(23) for x in range(31)] + [("b", 2, 2, 0, 0, 1.0), ("b", 2, 2, 1, 1, 1.4)],
+                               "image_id string, fh int, fw int, y int, x int, v double")
+    seeds = [(f"a{i}", "a", int(y), int(x)) for i, (y, x) in enumerate(zip(rng.integers(0, 23, 12), rng.integers(0, 31, 12)))] + [("b0", "b", 0, 0), ("none", "b", 0, 1)]
+    tol = spark.createDataFrame([("a", 0.8), ("b", 0.5)], "image_id string, tol double")
+    for conn in (4, 8):
+        got = K.flood(spark.createDataFrame(seeds, "click_id string, image_id string, y int, x int"), px, tol, connectivity=conn, tile=tile)
+        for click, image, y, x in seeds[:12]:
+            lab = components(np.abs(v - v[y, x]) <= 0.8, conn)
+            assert (to_array(got, v.shape, click) == (lab == lab[y, x])).all()
+        assert to_array(got, (2, 2), "b0").sum() == (2 if conn == 8 else 1) and got.filter("image_id = 'none'").count() == 0
+
+
+def test_edge_pixels_and_perimeter(spark):
+    lab = C.label_runs(runs_of(spark, B), 8)
+    got = {(r.y, r.x): r.region_id for r in G.border_pixels(lab).collect()}
+    pad = np.pad(B, 1)
+    inner = pad[:-2, 1:-1] & pad[2:, 1:-1] & pad[1:-1, :-2] & pad[1:-1, 2:]
+    names = {(r.y, r.x): r.region_id for r in R.to_pixels(lab, "region_id").collect()}
+    assert got == {tuple(p): names[tuple(p)] for p in np.argwhere(B & ~inner).tolist()}
+
+
+def test_greedy_union_over_many_sets(spark):
+    from rasterloom.operators import proposals as P
+
+    masks = rng.random((27, 8, 9)) < 0.3
+    truth = rng.random((8, 9)) < 0.4
+    rows = [("a", f"p{k:02d}", int(y), int(x)) for k in range(27) for y, x in np.argwhere(masks[k])]
+    t = spark.createDataFrame([("a", int(y), int(x)) for y, x in np.argwhere(truth)], "image_id string, y int, x int")
+    got = {r.proposal: r.iou for r in P.greedy_union(spark.createDataFrame(rows, "image_id string, proposal string, y int, x int"), t).collect()}
+    iou = lambda m: (m & truth).sum() / max((m | truth).sum(), 1)
+    purity = [(masks[k] & truth).sum() / masks[k].sum() for k in range(27)]
+    now, best, chosen = np.zeros_like(truth), 0.0, set()
+    for k in sorted(range(27), key=lambda k: (-purity[k], k)):
+        if iou(now | masks[k]) > best:
+            now, best, chosen = now | masks[k], iou(now | masks[k]), chosen | {f"p{k:02d}"}
+    major = {k for k in range(27) if purity[k] > 0.5}
+    if major and iou(np.any([masks[k] for k in major], axis=0)) > best:
+        best, chosen = iou(np.any([masks[k] for k in major], axis=0)), {f"p{k:02d}" for k in major}
+    assert set(got) == chosen and all(v == pytest.approx(best) for v in got.values())
 
 
 def test_painted_pixels_survive_pruning(spark):
