@@ -50,6 +50,19 @@ def sampled(labelled: DataFrame, key: str, per_class: int) -> DataFrame:
     return labelled.join(F.broadcast(counts), key).filter(u * F.col("_rows") < per_class).drop("_rows")
 
 
+def cut_at_spaces(text: str, cut: str, glue: str) -> str:
+    """``text`` with ``cut`` for its single spaces between visible characters (see ``split_at_spaces``).
+
+    Where white space is single throughout, line feeds are cut off too; they and what follows them begin with ``glue``.
+    """
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or RARE_SPACE.search(text):
+        return SAFE_SPACE.sub(cut, text)
+    text = text.replace(" ", cut)
+    if "\n" in text and "\n\n" not in text and text[0] != "\n" and text[-1] != "\n":
+        text = text.replace("\n", f"{cut}{glue}\n{cut}{glue}")
+    return text
+
+
 def split_at_spaces(text: str) -> list[str]:
     """``text`` cut at its single spaces between visible characters, which are left out.
 

@@ -10,6 +10,7 @@ written again.
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 
@@ -18,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import split_at_spaces
+from rasterloom.llm.common import cut_at_spaces
 
 BLOCK = 1 << 15  # ids
 SEGMENT = 1 << 17  # ids at which a segment ends; a longer document is a segment
 MEMO = 600_000  # words of each of two generations that a worker remembers
 GROUP = 500  # new words that the library encodes as one text
-STOPS = ".,"
+TOGETHER = 16 << 20  # bytes of text whose words become one dictionary
+CUT = "\0"  # stands for a space between words
+GLUE = "\1"  # begins a word that follows no space; a text that holds either goes to the library whole
+MARKS = string.punctuation
 SPACE = "\u0120"  # stands for a space in a byte-level vocabulary
 RAW, RUN = 0, 1  # escape selectors
 LAYOUTS = ((1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1))  # (ids, bits) of selectors 2, 3, ...
@@ -55,11 +59,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
         run = np.minimum(np.repeat(ends + 1, lengths) - np.arange(n), RUN_LIMIT)
         runs = (run > count) & (width <= 32)
         count[runs], kind[runs] = run[runs], RUN
-    nxt, starts, i = (np.arange(n) + count).tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i = nxt[i]
-    at = np.array(starts)
+    at = chain(np.append(np.minimum(np.arange(n) + count, n), n))
     chosen = kind[at]
     place = np.cumsum(1 + (chosen == RAW)) - 1 - (chosen == RAW)
     words = np.zeros(int(place[-1]) + 1 + int(chosen[-1] == RAW), np.uint64)
@@ -77,6 +77,18 @@ def pack(ids: np.ndarray) -> np.ndarray:
     return words
 
 
+def chain(follows: np.ndarray) -> np.ndarray:
+    """The places 0, follows[0], follows[follows[0]], ... before the last one, which follows itself, found by doubling."""
+    end, jumps = len(follows) - 1, [follows]
+    while jumps[-1][0] < end:
+        jumps.append(jumps[-1][jumps[-1]])
+    at = np.zeros(1, np.int64)
+    for jump in reversed(jumps):
+        at = np.concatenate([at, jump[at]])
+        at = at[at < end]
+    return np.sort(at)
+
+
 def unpack(words: np.ndarray) -> np.ndarray:
     """Ids of one block's words."""
     selectors = (words >> np.uint64(60)).astype(np.int64)
@@ -123,9 +135,11 @@ def unpack_blocks(words: np.ndarray, offsets: list[int]) -> np.ndarray:
 class Tokens:
     """The tokenizers library with a memory of words.
 
-    The vocabulary's pattern always starts a new piece at a space that stands between two visible
-    characters, so what lies between such spaces is encoded once; words not met before go to the
-    library a batch of texts at a time.  Special tokens' strings in a text are ordinary text.
+    The vocabulary's pattern always starts a new piece at a space that stands between two visible characters and at both
+    sides of such a single line feed, and letters with ASCII punctuation behind them are two pieces.  So a text is cut there, a batch's
+    cuttings become a dictionary, punctuation is split from its entries, and only what is left is looked up; what was
+    not met before goes to the library many at a time.  Ids are then taken part by part in one step.  A text with the
+    string of an added token goes to the library whole, since such a string is one id wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -135,57 +149,99 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         opens = {i for piece, i in self.library.get_vocab().items() if piece.startswith(SPACE)}
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids that begin with a space
         self.opens[list(opens)] = True
-        self.stops: dict[str, bytes] = {}
-        self._each(self.stops, list(STOPS), "")
-        self.heads: dict[str, bytes] = {}  # what a text begins with
-        self.words: dict[str, bytes] = {}  # what follows a space, without it
+        self.marks: dict[str, bytes] = {}  # punctuation behind letters
+        self.words: dict[str, bytes] = {}  # what follows a space, without it; behind ``GLUE``, what follows no space
         self.older: dict[str, bytes] = {}  # the generation of words before
 
-    def _each(self, memo: dict[str, bytes], units: list[str], before: str) -> None:
-        for unit, made in zip(units, self.library.encode_batch_fast([before + u for u in units], add_special_tokens=False)):
-            memo[unit] = array("I", made.ids).tobytes()
-
-    def _learn_words(self, units: set[str]) -> None:
-        """Encodes new words many at a time; a word's ids run from one id with a space to the next.
-
-        Letters with one full stop or comma behind them are two pieces of the pattern, so their ids are put together.
-        """
-        new = units.difference(self.words)
-        met = new.intersection(self.older)
-        self.words.update(zip(met, map(self.older.__getitem__, met)))
-        new.difference_update(met)
-        ended = [u for u in new if u and u[-1] in STOPS and u[:-1].isalpha()]
-        new.difference_update(ended)
-        new.update({u[:-1] for u in ended}.difference(self.words))
-        plain = [u for u in new if " " not in u and not u[:1].isspace() and not u[-1:].isspace() and u]
+    def _each(self, memo: dict[str, bytes], names: list[str], units: list[str]) -> None:
+        for name, made in zip(names, self.library.encode_batch_fast(units, add_special_tokens=False)):
+            memo[name] = array("I", made.ids).tobytes()
+
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct words; of those not held, many are encoded as one text, a word's ids running from one id with a space to the next."""
+        words = self.words
+        made = list(map(words.get, units))
+        new = [i for i, held in enumerate(made) if held is None]
+        if self.older:
+            for i, held in zip(new, list(map(self.older.get, [units[i] for i in new]))):
+                if held is not None:
+                    made[i] = words[units[i]] = held
+            new = [i for i in new if made[i] is None]
+        unknown = [units[i] for i in new]
+        glued = [u for u in unknown if u[:1] == GLUE]
+        self._each(words, glued, [u[1:] for u in glued])
+        apart = [u for u in unknown if u[:1] != GLUE and (not u or " " in u or u[0].isspace() or u[-1].isspace())]
+        plain = [u for u in unknown if u[:1] != GLUE]
+        plain = list(set(plain).difference(apart)) if apart else plain
         groups = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
-        for group, made in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(made.ids, "<u4")
+        for group, found in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(group) and starts[0] == 0:
                 data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
-                self.words.update(zip(group, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        self._each(self.words, [u for u in new if u not in self.words], " ")
-        words, stops = self.words, self.stops
-        for u in ended:
-            words[u] = words[u[:-1]] + stops[u[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit words."""
-        if len(self.heads) > MEMO:
-            self.heads.clear()
+                words.update(zip(group, [data[a:b] for a, b in zip([0, *ends], ends)]))
+            else:
+                apart += group
+        self._each(words, apart, [" " + u for u in apart])
+        for i in new:
+            made[i] = words[units[i]]
+        return made
+
+    def _whole(self, text: str) -> bool:
+        return CUT in text or GLUE in text or any(a in text for a in self.added)
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id``, and how many each text has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.words) > MEMO:
             self.older, self.words = self.words, {}
-        split = [split_at_spaces(t or "") for t in texts]
-        heads = [units.pop(0) for units in split]
-        self._each(self.heads, list(set(heads).difference(self.heads)), "")
-        self._learn_words(set().union(*split))
-        word = self.words.__getitem__
-        return [self.heads[head] + b"".join(map(word, units)) for head, units in zip(heads, split)]
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        texts = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        apart = set(whole)
+        cut = pc.split_pattern(pa.array([GLUE if i in apart else GLUE + cut_at_spaces(t, CUT, GLUE) for i, t in enumerate(texts)], pa.large_string()), CUT)
+        offsets, coded = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        entries, code = coded.dictionary, coded.indices.to_numpy()
+        base = pc.utf8_rtrim(entries, MARKS)
+        size = pc.binary_length(base)
+        two = pc.and_(pc.less(size, pc.binary_length(entries)), pc.utf8_is_alpha(pc.utf8_ltrim(base, GLUE))).to_numpy(zero_copy_only=False)
+        # the words that are looked up, and the punctuation behind them
+        words = pc.if_else(pa.array(two), base, entries).dictionary_encode()
+        cut_off = [e[n:] for e, n in zip(entries.filter(pa.array(two)).to_pylist(), pc.utf8_length(base).filter(pa.array(two)).to_pylist())]
+        new = list(set(cut_off).difference(self.marks))
+        self._each(self.marks, new, new)
+        parts = self._ids_of(words.dictionary.to_pylist())
+        n_words, marks = len(parts), {m: i for i, m in enumerate(dict.fromkeys(cut_off))}
+        parts += [self.marks[m] for m in marks]
+        first_of, mark_of = words.indices.to_numpy().astype(np.int64), np.full(len(entries), -1)
+        mark_of[two] = [n_words + marks[m] for m in cut_off]
+        end = len(parts)
+        parts.append(np.array([end_id], "<u4").tobytes())
+        parts += [array("I", made.ids).tobytes() for made in self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)]
+        # parts in order: a word, the punctuation behind it, and the end behind a text's last
+        mark, last = mark_of[code], offsets[1:] - 1
+        k = 1 + (mark >= 0)
+        k[last] += 1
+        at = np.cumsum(k) - k
+        order = np.empty(int(k.sum()), np.int64)
+        order[at] = first_of[code]
+        order[at[mark >= 0] + 1] = mark[mark >= 0]
+        stop = at[last] + k[last] - 1
+        order[stop] = end
+        order[at[offsets[:-1][whole]]] = end + 1 + np.arange(len(whole))
+        pool, size = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin, n = np.cumsum(size) - size, size[order]
+        total = np.cumsum(n)
+        small = np.int32 if total[-1] < 1 << 31 else np.int64
+        ids = pool[np.repeat((begin[order] - (total - n)).astype(small), n) + np.arange(total[-1], dtype=small)]
+        return ids, np.diff(total[stop], prepend=0)
 
 
 _LOADED: dict[str, Tokens] = {}
@@ -197,6 +253,22 @@ def _tokens(path: str) -> Tokens:
     return _LOADED[path]
 
 
+def gathered(batches):
+    """(ids, texts) of several Arrow batches at once, up to about ``TOGETHER`` characters."""
+    import pyarrow as pa
+
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids.append(batch.column(0))
+        texts += batch.column(1).to_pylist()
+        size += batch.column(1).nbytes
+        if size >= TOGETHER:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> None:
     """Writes the ids of every whole text, each followed by ``end_id``, in ascending doc_id order.
 
@@ -212,30 +284,32 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> None
         from pyspark import TaskContext
 
         coder, shard = _tokens(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        held_ids, held, size, first, segment = [], [], 0, 0, 0
+        held_ids, held_n, held, size, first, segment = [], [], [], 0, 0, 0
+        id_type = None
 
-        def close(id_type):
-            words, offsets = pack_blocks(np.frombuffer(b"".join(held), "<u4"))
+        def close():
+            words, offsets = pack_blocks(np.concatenate(held))
             return pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()),
-                pa.array([held_ids], pa.list_(id_type)), pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int32())),
+                pa.array([held_ids], pa.list_(id_type)), pa.array([held_n], pa.list_(pa.int32())),
                 pa.array([offsets], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary())],
                 names=["shard", "segment", "first", "n_ids", "doc_ids", "lengths", "offsets", "words"])
 
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+        for doc_ids, texts in gathered(batches):
+            id_type = doc_ids.type
+            ids, lengths = coder.encode(texts, end_id)
+            at = 0
+            for doc_id, n in zip(doc_ids.to_pylist(), lengths.tolist()):
                 held_ids.append(doc_id)
-                held.append(ids + end)
-                size += len(ids) // 4 + 1
+                held_n.append(n)
+                held.append(ids[at:at + n])
+                at, size = at + n, size + n
                 if size >= SEGMENT:
-                    yield close(id_type)
+                    yield close()
                     first, segment = first + size, segment + 1
-                    held_ids, held, size = [], [], 0
+                    held_ids, held_n, held, size = [], [], [], 0
         if held:
-            yield close(id_type)
+            yield close()
 
     schema = T.StructType([
         *T.StructType.fromDDL("shard int, segment int, first bigint, n_ids bigint").fields, T.StructField("doc_ids", T.ArrayType(kind)),

@@ -193,7 +193,6 @@ def test_token_files(spark, docs, rows, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     tokens.write_tokens(clash(docs), str(tmp_path / "t"), path, 2)
     got = [tuple(r) for r in tokens.read_checksums(spark, str(tmp_path / "t")).collect()]
     stored = {(r["doc_id"], r["start"]): r["ids"] for r in tokens.read_tokens(spark, str(tmp_path / "t")).collect()}
@@ -210,6 +209,26 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert tokens.read_checksums(spark, str(tmp_path / "none")).count() == 0 and tokens.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_encoding_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), tokens.Tokens(path)
+    rng = np.random.default_rng(3)
+    bits = ["word", "Über", "don't", "it's,", "a.", "b!!!", "x_y", "42", "3rd.", "\n", "\n\n", " ", "  ", "\t", "...", "'s", "né", "日本", "\u00a0", "<|endoftext|>", "<|endof", "\0", "\1", "!\n", "e\u0301.", "ªº.", "'"]
+    texts = ["see <|endoftext|> here", "a\nb. c,\nd", "\n", None, "", " ", "a b\n", "x" * 300, "word. word.\nWord, 'quoted' (words)\nend"]
+    texts += ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(600)] + [" ".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(600)]
+    texts += ["\n".join(rng.choice(bits[:9], rng.integers(1, 12))) for _ in range(100)] + ["long text. " * 300_000]
+    for _ in range(2):
+        ids, n = coder.encode(texts, 2)
+        ends = np.cumsum(n)
+        for t, lo, hi in zip(texts, ends - n, ends):
+            assert ids[lo:hi].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2], t
+        coder.older, coder.words = coder.words, {}
+    assert ids[:n[0]].tolist() == [*library.encode(texts[0], add_special_tokens=False).ids, 2] and 50256 in ids[:n[0]].tolist()
+    assert coder.encode([], 2)[0].tolist() == []
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(0)
     for k in range(200):
