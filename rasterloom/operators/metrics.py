@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions.scalars import iou, ratio_or_zero
 from rasterloom.operators.ordered import running_total
@@ -73,7 +78,8 @@ def sign_test(deltas: DataFrame, keys: Sequence[str], delta: str = "delta") -> D
 def wilcoxon(deltas: DataFrame, keys: Sequence[str], delta: str = "delta", method: str = "exact") -> DataFrame:
     """Signed-rank test with p from the exact null distribution, or from the normal one if ``method`` is "normal".
 
-    The exact distribution knows no ties: where absolute deltas tie, its p is null.  The method is a column of the result.
+    The exact distribution is that of the ranks as they are, mid-ranks of ties included.  It takes a number of steps
+    of the pairs of a key times the statistic.  The method is a column of the result.
     """
     if method not in ("exact", "normal"):
         raise ValueError("method must be exact or normal")
@@ -85,20 +91,34 @@ def wilcoxon(deltas: DataFrame, keys: Sequence[str], delta: str = "delta", metho
     d = d.withColumn("_t", tied).withColumn("_r", low + (F.col("_t") - 1) / 2.0)
     s = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("_plus"),
-        F.sum("_r").alias("_all"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+        F.sum("_r").alias("_all"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"), *([F.collect_list("_r").alias("_ranks")] if method == "exact" else []))
     n = F.col("n")
     stat = F.least(F.col("_plus"), F.col("_all") - F.col("_plus"))
     if method == "normal":
         sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
         p = normal_two_sided(F.abs((stat - n * (n + 1) / 4) / sd))
         return s.select(*keys, "n", stat.alias("statistic"), p.alias("p_wilcoxon"), F.lit(method).alias("method"))
-    size = (n * (n + 1) / 2).cast("int")
-    zero = F.transform(F.sequence(F.lit(0), size), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), zero, lambda acc, i: F.transform(
-        acc, lambda v, j: v + F.when(j >= i, F.get(acc, j - i)).otherwise(0.0)))
-    tail = F.aggregate(F.slice(ways, F.lit(1), stat.cast("int") + 1), F.lit(0.0), lambda a, v: a + v)
-    exact = F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n))
-    return s.select(*keys, "n", stat.alias("statistic"), F.when(F.col("_ties") == 0, exact).alias("p_wilcoxon"), F.lit(method).alias("method"))
+    tail = signed_rank_tail(F.col("_ranks"), stat)
+    return s.select(*keys, "n", stat.alias("statistic"), F.least(F.lit(1.0), 2.0 * tail).alias("p_wilcoxon"), F.lit(method).alias("method"))
+
+
+@partial(F.pandas_udf, returnType=T.DoubleType())
+def signed_rank_tail(ranks: pd.Series, statistic: pd.Series) -> pd.Series:
+    """Probability that the positive ranks sum to at most the statistic, if every sign is a coin toss.
+
+    Sums are counted in half ranks, and each step halves the weights, so any number of pairs stays in range.
+    """
+    def tail(held, top):
+        top = int(round(2 * top))
+        ways = np.zeros(top + 1)
+        ways[0] = 1.0
+        for r in np.rint(2 * np.sort(np.asarray(held, float))).astype(int).tolist():
+            ways *= 0.5
+            if r <= top:
+                ways[r:] += ways[:top + 1 - r].copy()
+        return ways.sum()
+
+    return pd.Series([tail(h, t) for h, t in zip(ranks, statistic)], dtype=float)
 
 
 def normal_two_sided(z: Column) -> Column:

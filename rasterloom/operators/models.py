@@ -26,6 +26,8 @@ from rasterloom.session import materialize, scratch_dir
 
 SEED = 0
 TRAIN_CAP, MAX_FOLDS = 90_000, 5
+FOREST_MB = 512  # statistics of the nodes that one pass over the rows splits
+AT_ONCE = 5  # fits that run side by side
 MLP_TOLERANCE = 1e-4  # stands in for early stopping, which MLlib's perceptron has not
 
 
@@ -39,7 +41,7 @@ def estimators(n_features: int, weight: str | None = None) -> dict[str, Pipeline
     """The single registry of architectures, by name."""
     w = {"weightCol": weight} if weight else {}
     mlp = {"maxIter": 300, "tol": MLP_TOLERANCE, "seed": SEED, "labelCol": "label"}
-    forest = {"numTrees": 200, "maxDepth": 12, "seed": SEED, "labelCol": "label", **w}
+    forest = {"numTrees": 200, "maxDepth": 12, "maxMemoryInMB": FOREST_MB, "seed": SEED, "labelCol": "label", **w}
     return {name: scaled(e) for name, e in {
         "mlp": MultilayerPerceptronClassifier(layers=[n_features, 64, 32, 2], **mlp),
         "hybrid_mlp": MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], **mlp),
@@ -114,6 +116,19 @@ def score_with(model, rows: DataFrame) -> DataFrame:
     return model.score(rows) if isinstance(model, FittedPair) else score(model, rows)
 
 
+def fit_all(jobs: Sequence[tuple[Callable[[], Estimator | Pair], DataFrame]]) -> list:
+    """Fitted models of several (architecture, training rows), side by side: small fits leave most of a cluster idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    if not jobs:
+        return []
+    fit = inheritable_thread_target(jobs[0][1].sparkSession)(lambda job: job[0]().fit(job[1]))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(fit, jobs))
+
+
 def cross_validate(rows: DataFrame, folds: DataFrame, group: str, ident: Sequence[str], make: Callable[[], Estimator | Pair],
                    train_cap: int = TRAIN_CAP, on_fold: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """One refit per fold on rows that share no group with the test rows; returns the scored test rows of all folds.
@@ -125,9 +140,10 @@ def cross_validate(rows: DataFrame, folds: DataFrame, group: str, ident: Sequenc
     tagged = materialize(rows.join(folds.select(group, "fold"), group), "folds")
     path = f"{scratch_dir(spark)}/scored-{uuid.uuid4().hex}"
     schema = None
-    for f in [r["fold"] for r in tagged.select("fold").distinct().orderBy("fold").collect()]:
-        train = take_by_hash(tagged.filter(F.col("fold") != f), [], hash_order(f"train{f}", *ident), train_cap)
-        part = score_with(make().fit(materialize(train, "train")), tagged.filter(F.col("fold") == f)).drop("features")
+    folds_of = [r["fold"] for r in tagged.select("fold").distinct().orderBy("fold").collect()]
+    trains = [materialize(take_by_hash(tagged.filter(F.col("fold") != f), [], hash_order(f"train{f}", *ident), train_cap), "train") for f in folds_of]
+    for f, model in zip(folds_of, fit_all([(make, t) for t in trains])):
+        part = score_with(model, tagged.filter(F.col("fold") == f)).drop("features")
         schema = part.schema
         part.write.mode("append").partitionBy("fold").parquet(path)
         if on_fold:

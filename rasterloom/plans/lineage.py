@@ -117,20 +117,20 @@ def counterparts(raw, processed):
     return j.select("image_id", F.when(same, F.col("hit.path")).alias("counterpart"), outcome.alias("outcome"))
 
 
-@query("r07_counterpart", None, rf"""WITH raw AS (SELECT page_id, url AS path, length(html) % 97 AS height, 64 AS width, {T._sql_hash('ff', 'page_id')} AS u FROM pages),
-    pr AS (SELECT CASE WHEN u < 0.6 THEN regexp_replace(path, '^https?://', 'flat://') ELSE concat('other://', regexp_replace(path, '^.*/', '')) END AS path,
-    CASE WHEN u < 0.1 THEN height + 1 ELSE height END AS height, width FROM raw WHERE u < 0.85),
+@query("r07_counterpart", None, r"""WITH raw AS (SELECT page_id, url AS path, length(html) % 97 AS height, 64 AS width, length(html) AS n FROM pages),
+    pr AS (SELECT CASE WHEN path LIKE 'https%' THEN regexp_replace(path, '^https?://', 'flat://') ELSE concat('other://', regexp_replace(path, '^.*/', '')) END AS path,
+    CASE WHEN n % 10 = 0 THEN height + 1 ELSE height END AS height, width FROM raw WHERE NOT contains(path, '?')),
     bb AS (SELECT regexp_replace(path, '^.*/', '') AS base, min((path, height, width)) AS b FROM pr GROUP BY 1),
     j AS (SELECT page_id, r.height, r.width, p.path AS pp, coalesce(p.path, struct_extract_at(b, 1)) AS hp, coalesce(p.height, struct_extract_at(b, 2)) AS hh FROM raw r
     LEFT JOIN pr p ON p.path = regexp_replace(r.path, '^https?://', 'flat://') LEFT JOIN bb ON base = regexp_replace(r.path, '^.*/', ''))
     SELECT page_id AS image_id, CASE WHEN hh = height THEN hp END AS counterpart, CASE WHEN hp IS NULL THEN 'missing' WHEN hh <> height THEN 'shape'
     WHEN pp IS NOT NULL THEN 'path' ELSE 'name' END AS outcome FROM j""")
 def counterpart(spark, root):
-    u = T.unit_hash("ff", "page_id")
+    """Pages without a query string have a processed counterpart: beside their path if secure, else by name; some have another height."""
     raw = T.table(spark, root, "pages").select(F.col("page_id").alias("image_id"), F.col("url").alias("path"),
-                                               (F.length("html") % 97).alias("height"), F.lit(64).alias("width"), u.alias("u"))
-    path = F.when(F.col("u") < 0.6, F.regexp_replace("path", r"^https?://", "flat://")).otherwise(
+                                               (F.length("html") % 97).alias("height"), F.lit(64).alias("width"), F.length("html").alias("n"))
+    path = F.when(F.col("path").startswith("https"), F.regexp_replace("path", r"^https?://", "flat://")).otherwise(
         F.concat(F.lit("other://"), F.regexp_replace("path", r"^.*/", "")))
-    processed = raw.filter("u < 0.85").select(
-        path.alias("path"), F.when(F.col("u") < 0.1, F.col("height") + 1).otherwise(F.col("height")).alias("height"), "width")
-    return counterparts(raw.drop("u"), processed)
+    processed = raw.filter(~F.col("path").contains("?")).select(
+        path.alias("path"), F.when(F.col("n") % 10 == 0, F.col("height") + 1).otherwise(F.col("height")).alias("height"), "width")
+    return counterparts(raw.drop("n"), processed)

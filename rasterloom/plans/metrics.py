@@ -111,21 +111,16 @@ def sign_test(spark, root):
     return M.sign_test(pairs(spark, root), ["lang"]).withColumn("p_sign", S.r6("p_sign"))
 
 
-@query("n06_wilcoxon", "scores", PAIRS + """, e AS (SELECT lang, delta + image_rank * 1e-7 AS delta FROM (SELECT *,
-    row_number() OVER (PARTITION BY lang ORDER BY image_id) AS image_rank FROM d)),
-    r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY abs(delta)) AS r FROM e WHERE delta <> 0),
-    s AS (SELECT lang, count(*) AS n, CAST(sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS BIGINT) AS plus, CAST(sum(r) AS BIGINT) AS total
-    FROM r GROUP BY 1),
-    dist AS (SELECT 0::BIGINT AS i, 0::BIGINT AS t, 1.0::DOUBLE AS c UNION ALL SELECT i, t, sum(c) FROM (
-    SELECT i + 1 AS i, t, c FROM dist WHERE i < 25 UNION ALL SELECT i + 1, t + i + 1, c FROM dist WHERE i < 25) GROUP BY 1, 2)
-    SELECT lang, n, least(plus, total - plus)::DOUBLE AS statistic, round(least(1.0, 2.0 * (SELECT sum(c) FROM dist WHERE i = n
-    AND t <= least(plus, total - plus)) / 2 ** n), 6) AS p_wilcoxon, 'exact' AS method FROM s""")
+@query("n06_wilcoxon", "scores", PAIRS + """, r AS MATERIALIZED (SELECT lang, delta, CAST(2 * rank() OVER (PARTITION BY lang ORDER BY abs(delta)) + count(*) OVER (PARTITION BY lang, abs(delta)) - 1 AS BIGINT) AS r2,
+    row_number() OVER (PARTITION BY lang ORDER BY abs(delta), image_id) AS i FROM d WHERE delta <> 0),
+    s AS (SELECT lang, count(*) AS n, CAST(sum(CASE WHEN delta > 0 THEN r2 ELSE 0 END) AS BIGINT) AS plus, CAST(sum(r2) AS BIGINT) AS total FROM r GROUP BY 1),
+    dist AS (SELECT DISTINCT lang, 0::BIGINT AS i, 0::BIGINT AS t, 1.0::DOUBLE AS c FROM r UNION ALL SELECT lang, i, t, sum(c) FROM (
+    SELECT r.lang, r.i, t, c / 2 AS c FROM dist JOIN r ON r.lang = dist.lang AND r.i = dist.i + 1 UNION ALL
+    SELECT r.lang, r.i, t + r2, c / 2 FROM dist JOIN r ON r.lang = dist.lang AND r.i = dist.i + 1) GROUP BY 1, 2, 3)
+    SELECT lang, n, least(plus, total - plus) / 2 AS statistic, round(least(1.0, 2.0 * (SELECT sum(c) FROM dist WHERE dist.lang = s.lang AND i = n
+    AND t <= least(plus, total - plus))), 6) AS p_wilcoxon, 'exact' AS method FROM s""")
 def wilcoxon(spark, root):
-    from pyspark.sql import Window
-
-    d = pairs(spark, root)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("image_id"))
-    return M.wilcoxon(d.withColumn("delta", F.col("delta") + rank * 1e-7), ["lang"]).withColumn("p_wilcoxon", S.r6("p_wilcoxon"))
+    return M.wilcoxon(pairs(spark, root), ["lang"]).withColumn("p_wilcoxon", S.r6("p_wilcoxon"))
 
 
 @query("n07_paired_t", "scores", PAIRS + """ SELECT lang, round(avg(delta), 6) AS mean_delta, round(stddev_samp(delta), 6) AS sd_delta,

@@ -174,8 +174,8 @@ def balance_sweep(spark, root):
 def feature_importance(spark, root):
     """Importance by feature family, averaged over the fits of all folds."""
     rows = training_rows(spark, root)
-    parts = [M.importance_table(M.estimators(4)["forest"].fit(rows.filter(F.col("fold") != f)), COLS, {"f1": "size", "f2": "size", "f3": "rate", "f4": "rate"})
-             .groupBy("family").agg(F.sum("importance").alias("i")) for f in range(M.MAX_FOLDS)]
+    models = M.fit_all([(lambda: M.estimators(4)["forest"], rows.filter(F.col("fold") != f)) for f in range(M.MAX_FOLDS)])
+    parts = [M.importance_table(m, COLS, {"f1": "size", "f2": "size", "f3": "rate", "f4": "rate"}).groupBy("family").agg(F.sum("importance").alias("i")) for m in models]
     return reduce(DataFrame.union, parts).groupBy("family").agg(F.round(F.avg("i"), 4).alias("importance"))
 
 

@@ -63,11 +63,12 @@ def collapse_planes(spark, root):
     return R.collapse_planes(px).withColumn("v", S.r6("v"))
 
 
-@query("a04_discover_truth", None, f"""WITH i AS (SELECT concat('doc', doc_id) AS stem FROM documents WHERE {T._sql_hash('img', 'doc_id')} < 0.8
-    AND {T._sql_hash('gt', 'doc_id')} < 0.6) SELECT stem, false AS shipped FROM i WHERE stem NOT IN ('doc1', 'doc3') UNION ALL SELECT 'doc1', true UNION ALL SELECT 'doc3', true""")
+@query("a04_discover_truth", None, """WITH i AS (SELECT concat('doc', doc_id) AS stem FROM documents SEMI JOIN labels USING (doc_id)) SELECT stem, false AS shipped FROM i WHERE stem NOT IN ('doc1', 'doc3') UNION ALL SELECT 'doc1', true UNION ALL SELECT 'doc3', true""")
 def discover_truth(spark, root):
-    d = T.table(spark, root, "documents").select("doc_id", F.concat(F.lit("doc"), "doc_id").alias("stem"))
-    return R.discover_truth(d.filter(T.unit_hash("img", "doc_id") < 0.8), d.filter(T.unit_hash("gt", "doc_id") < 0.6), ("doc1", "doc3"))
+    """Documents stand for frames, and those with a row in ``labels`` have a truth file."""
+    stem = F.concat(F.lit("doc"), "doc_id").alias("stem")
+    frames, files = (T.table(spark, root, t).select("doc_id", stem) for t in ("documents", "labels"))
+    return R.discover_truth(frames, files, ("doc1", "doc3"))
 
 
 @query("a05_truth_from_probability", "scores", f""", s AS (SELECT image_id, y, x, pa * CASE WHEN {T._sql_hash('scale', 'image_id')} < 0.5 THEN 255.0 ELSE 1.0 END AS p

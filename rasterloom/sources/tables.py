@@ -117,12 +117,10 @@ def live_labels(spark: SparkSession, root: str) -> DataFrame:
 
 
 def archived_labels(spark: SparkSession, root: str) -> DataFrame:
-    """An earlier snapshot of the same frames, with its own coverage."""
-    d = table(spark, root, "documents").select("doc_id")
-    return d.filter(unit_hash("arch", "doc_id") < 0.3).select(
+    """An earlier snapshot of the same frames, from a pass that judged every labelled document by its quality alone."""
+    return table(spark, root, "labels").select(
         F.floor(F.col("doc_id") / 4).cast("long").alias("image_id"), F.lit(0).alias("y"),
-        (F.col("doc_id") % 4).cast("int").alias("x"),
-        F.when(unit_hash("truth", "doc_id") < 0.35, 1).otherwise(2).alias("state"))
+        (F.col("doc_id") % 4).cast("int").alias("x"), F.when(F.col("quality") == 1, 2).otherwise(1).alias("state"))
 
 
 def loaded_frames(spark: SparkSession, root: str) -> DataFrame:
@@ -205,9 +203,8 @@ SQL_VIEWS = {
         FROM labels l JOIN documents d USING (doc_id)) WHERE state IS NOT NULL)""",
     "live": """live AS (SELECT * FROM (SELECT doc_id // 4 AS image_id, 0 AS y, CAST(doc_id % 4 AS INT) AS x,
         CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END AS state FROM labels) WHERE state IS NOT NULL)""",
-    "archive": f"""archive AS (SELECT doc_id // 4 AS image_id, 0 AS y, CAST(doc_id % 4 AS INT) AS x,
-        CASE WHEN {_sql_hash('truth', 'doc_id')} < 0.35 THEN 1 ELSE 2 END AS state FROM documents
-        WHERE {_sql_hash('arch', 'doc_id')} < 0.3)""",
+    "archive": """archive AS (SELECT doc_id // 4 AS image_id, 0 AS y, CAST(doc_id % 4 AS INT) AS x,
+        CASE WHEN quality = 1 THEN 2 ELSE 1 END AS state FROM labels)""",
     "loaded": """loaded AS (SELECT doc_id // 4 AS image_id, min(source) AS grp, 1 AS height, 4 AS width FROM documents
         GROUP BY 1 HAVING count(*) FILTER (lang = 'en') > 0)""",
     "scores": f"""scores AS (SELECT image_id, lang, doc_id, y, x, n_chars, is_pos,
