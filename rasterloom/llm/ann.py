@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.vectors import VECTOR_ROWS, usable
+from rasterloom.llm.vectors import VECTOR_ROWS, tamed, usable
 from rasterloom.session import materialize
 
 TABLES = 4
@@ -48,16 +48,18 @@ def turned(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def lifted(x: np.ndarray, longest: np.ndarray | float | None) -> np.ndarray:
+def lifted(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
     """Unit vectors of the padded size: rows with the lifting coordinate, or queries (``longest`` None) with 0 there.
 
-    ``longest`` is the largest norm of each row's band, as a column.
+    ``longest`` is the logarithm of the largest norm of each row's band, as a column.
     """
-    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    near, power = tamed(x)
+    norm = np.sqrt((near * near).sum(1, keepdims=True))
+    share = 1.0 if longest is None else np.minimum(1.0, np.exp(np.log(norm) + power[:, None] * np.log(2.0) - longest))
     out = np.zeros((len(x), padded(x.shape[1])))
-    out[:, :x.shape[1]] = x / (norm if longest is None else longest)
+    out[:, :x.shape[1]] = near / norm * share
     if longest is not None:
-        out[:, x.shape[1]:x.shape[1] + 1] = np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
+        out[:, x.shape[1]:x.shape[1] + 1] = np.sqrt(np.maximum(0, 1 - share ** 2))
     return out
 
 
@@ -73,11 +75,12 @@ def cells(x: np.ndarray, table: int, probes: int) -> np.ndarray:
 
 
 def _banded(base: DataFrame) -> DataFrame:
-    """``base`` with its norm band, cut by value so that norms about 1 share one, and the band's largest norm."""
-    norm = F.sqrt(F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    band = F.floor(F.log("norm") / float(np.log(BAND)) + 0.5).cast("int")
-    rows = base.withColumn("norm", F.greatest(norm, F.lit(5e-324))).withColumn("band", band)
-    # A row per band and length of vectors: doubles span under 3700 bands.
+    """``base`` with its norm band, cut by value so that norms about 1 share one, and the logarithm of the band's largest norm."""
+    top = F.array_max(F.transform(F.col("e").cast("array<double>"), F.abs))  # taken out first: a square may be out of range
+    near = F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
+    rows = base.withColumn("top", top).withColumn("norm", F.log("top") + F.log(near) / 2).drop("top")
+    rows = rows.withColumn("band", F.floor(F.col("norm") / float(np.log(BAND)) + 0.5).cast("int"))
+    # A row per band and length of vectors: doubles span under 8000 bands.
     longest = F.broadcast(materialize(rows.groupBy("dim", "band").agg(F.max("norm").alias("longest")), "bands"))
     return rows.drop("norm").join(longest, ["dim", "band"])
 
@@ -131,11 +134,11 @@ def block_best(q_ids, q, bits, r_ids, r, cell, top: int):
     for a, b in zip(starts, [*starts[1:], len(cell)]):
         asks = np.nonzero(bits >> cell[a] & 1)[0]
         s[asks, a:b] = q[asks] @ r[a:b].T
-    s[q_ids[:, None] == r_ids[None, :]] = -np.inf
+    s[(q_ids[:, None] == r_ids[None, :]) | np.isnan(s)] = -np.inf  # a sum of infinite products of both signs has no place
     k = min(top, len(r))
     floor = np.partition(s, len(r) - k, axis=1)[:, len(r) - k]
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-    qi, ri = np.nonzero((s >= (floor - slack)[:, None]) & np.isfinite(s))
+    qi, ri = np.nonzero((s >= (floor - slack)[:, None]) & (s > -np.inf))
     exact = (q[qi] * r[ri]).sum(1)
     best = np.lexsort((r_ids[ri], -exact, qi))
     qi, ri, exact = qi[best], ri[best], exact[best]
@@ -211,7 +214,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, tables: int =
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each row whose id ``every`` divides.
 
     Nearness is the inner product in double precision; ties go to the smaller id; a row is no neighbour of
-    itself (rows that repeat an id are one another's self).  Vectors that are null, zero or hold null
+    itself (rows that repeat an id are one another's self).  Products beyond the range of doubles count as infinite, and pairs whose infinite products cancel do not meet.  Vectors that are null, zero or hold null
     or non-finite numbers take no part, nor do null ids; vectors of different lengths do not meet.
     A query with fewer than ``top`` candidates in all gets all of them.
     """

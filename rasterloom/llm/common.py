@@ -13,12 +13,14 @@ from rasterloom.session import materialize, ship_package
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but blank and line feed
 BATCH_ROWS = 500  # texts per Arrow batch: bounds a Python worker's memory
+BATCH_BYTES = 64 << 20  # bytes per Arrow batch, which long texts fill sooner
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the workers and bound the rows of an Arrow batch."""
+    """Ship this package to the workers and bound the rows and bytes of an Arrow batch."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

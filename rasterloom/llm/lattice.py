@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import connected
-from rasterloom.llm.vectors import VECTOR_ROWS, is_usable, usable
+from rasterloom.llm.vectors import VECTOR_ROWS, is_usable, tamed, usable
 from rasterloom.session import materialize
 
 NEAR = 0.95
@@ -84,6 +84,7 @@ def cell_keys(unit: np.ndarray, tables: int, probes: int) -> np.ndarray:
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    x, _ = tamed(x)
     return x / np.sqrt(dots(x * x, np.ones((x.shape[1], 1))))
 
 

@@ -146,3 +146,23 @@ def test_search_on_uneven_norms(spark, norms):
         assert len(got[q]) == 20
         recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
     assert np.mean(recall) >= 0.9 and min(recall) >= 0.5
+
+
+def test_norms_beyond_squares(spark):
+    """Vectors whose squares overflow or vanish are as near as any other."""
+    rng = np.random.default_rng(7)
+    prepare(spark)
+    scale = [1e200, 1.1e200, 1e-200, 2e-200, 1.0, 1e308, 5e-320]
+    rows = [(i, [s] * 16, 1) for i, s in enumerate(scale)] + [(i, rng.normal(size=16).tolist(), 1) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_copies(df).collect()}
+    assert all(got[i] == (len(scale) - 1, 0) for i in range(len(scale))) and all(got[i] == (0, i) for i in range(20, 60))
+    found = {}
+    for r in sorted(ann.search(df).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    x = {i: np.array(e) for i, e, _ in rows}
+    for q in (0, 20, 40):
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = {j: float((v * x[q]).sum()) for j, v in x.items() if j != q}
+        best = sorted((-s, j) for j, s in score.items() if s == s)[:20]
+        assert len(found[q]) == 20 and len(set(found[q]) & {j for _, j in best}) >= 18
