@@ -74,11 +74,25 @@ def cells(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argpartition(-both, probes - 1, axis=1)[:, :probes]
 
 
+def _measured(base: DataFrame) -> DataFrame:
+    """``base`` (vec_id, dim, e) with the logarithm of each vector's norm."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            dims, norm = batch.column(1).to_numpy(), np.zeros(batch.num_rows)
+            for dim in np.unique(dims).tolist():
+                at = np.nonzero(dims == dim)[0]
+                near, power = tamed(np.array(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), "<f8").reshape(len(at), dim))
+                norm[at] = np.log((near * near).sum(1)) / 2 + power * np.log(2.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], names=["vec_id", "dim", "e", "norm"])
+
+    return base.select("vec_id", "dim", "e").mapInArrow(run, f"vec_id bigint, dim int, e {base.schema['e'].dataType.simpleString()}, norm double")
+
+
 def _banded(base: DataFrame) -> DataFrame:
     """``base`` with its norm band, cut by value so that norms about 1 share one, and the logarithm of the band's largest norm."""
-    top = F.array_max(F.transform(F.col("e").cast("array<double>"), F.abs))  # taken out first: a square may be out of range
-    near = F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
-    rows = base.withColumn("top", top).withColumn("norm", F.log("top") + F.log(near) / 2).drop("top")
+    rows = materialize(_measured(base), "measured")
     rows = rows.withColumn("band", F.floor(F.col("norm") / float(np.log(BAND)) + 0.5).cast("int"))
     # A row per band and length of vectors: doubles span under 8000 bands.
     longest = F.broadcast(materialize(rows.groupBy("dim", "band").agg(F.max("norm").alias("longest")), "bands"))
@@ -218,7 +232,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, tables: int =
     or non-finite numbers take no part, nor do null ids; vectors of different lengths do not meet.
     A query with fewer than ``top`` candidates in all gets all of them.
     """
-    base = materialize(_banded(materialize(usable(vectors), "vectors")), "banded")
+    base = materialize(_banded(usable(vectors)), "banded")
     queries = base.filter(F.col("vec_id") % every == 0)
     first = materialize(_ranked(_found(base, queries, tables, probes, top), top), "found")
     held = base.groupBy("dim").agg(F.count_distinct("vec_id").alias("n"))
