@@ -158,9 +158,10 @@ def learning_curve(spark, root):
 
 @query("l15_self_training")
 def self_training(spark, root):
+    """One fold is labelled, the clean rows of another watch for false calls, and all other rows are the pool."""
     rows = training_rows(spark, root)
-    out = M.self_training(rows.filter("fold = 1"), rows.filter("fold > 1"), rows.filter("fold = 0 AND label = 0"), ["row_key"], logistic, generations=2,
-                          hi=0.4, lo=0.25)
+    watched = (F.col("fold") == 0) & (F.col("label") == 0)
+    out = M.self_training(rows.filter("fold = 1"), rows.filter((F.col("fold") != 1) & ~watched), rows.filter(watched), ["row_key"], logistic, generations=2)
     return out.withColumn("clean_fp", S.r6("clean_fp"))
 
 

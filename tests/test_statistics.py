@@ -93,6 +93,32 @@ def test_sign_test_small_sample(spark):
     assert (r.wins, r.n_nonzero, r.p_sign) == (4, 4, 0.125)
 
 
+def test_wilcoxon_with_ties_and_with_many_pairs(spark):
+    d = [0.3, -0.3, 0.3, 0.7, -0.2, 0.7, -0.2, 0.0]
+    r = M.wilcoxon(spark.createDataFrame([("x", v) for v in d], "k string, delta double"), ["k"]).first()
+    a = np.abs([v for v in d if v])
+    ranks = np.array([(a < v).sum() + ((a == v).sum() + 1) / 2 for v in a])
+    plus = ranks[np.array([v for v in d if v]) > 0].sum()
+    stat = min(plus, ranks.sum() - plus)
+    sums = [sum(k for k, b in zip(ranks, f"{i:07b}") if b == "1") for i in range(128)]
+    assert r.n == 7 and r.statistic == stat and r.p_wilcoxon == pytest.approx(min(1, 2 * sum(s <= stat for s in sums) / 128))
+    many = [("x", float(v)) for v in np.random.default_rng(1).normal(0.03, 1, 2000).round(2)]
+    frame = spark.createDataFrame(many, "k string, delta double")
+    exact, normal = (M.wilcoxon(frame, ["k"], method=m).first() for m in ("exact", "normal"))
+    assert exact.statistic == normal.statistic and exact.p_wilcoxon == pytest.approx(normal.p_wilcoxon, abs=2e-3)
+
+
+def test_fragments_with_one_beginning_in_common(spark):
+    from rasterloom.operators import labels as L
+
+    names = [(i, f"SPECIMEN_{i:03d}_scan") for i in range(60)] + [(100, "ab"), (101, "")]
+    fragments = ["specimen_017", "Specimen_059_SCAN", "specimen", "ab", "b", "specimen_777", "", "n_00"]
+    got = {r.fragment: (r.image_id, r.n_matches) for r in L.fragment_match(
+        spark.createDataFrame([(f,) for f in fragments], "fragment string"), spark.createDataFrame(names, "image_id long, name string")).collect()}
+    want = {f: [i for i, n in names if f.lower() in n.lower()] for f in fragments if f}
+    assert got == {f: (min(v), len(v)) for f, v in want.items() if v}
+
+
 def test_wilcoxon_by_enumeration(spark):
     d = [0.3, -0.1, 0.5, 0.7, -0.2, 0.9]
     r = M.wilcoxon(spark.createDataFrame([("x", v) for v in d], "k string, delta double"), ["k"]).first()
