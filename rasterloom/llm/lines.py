@@ -1,19 +1,20 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines nominates a line as a chunk's last; a
-nominee counts if the line before it is none, so every chunk but a document's last has two lines or
-more, and an inserted line moves only the borders next to it.  Chunks of two lines or more that
-occur elsewhere are removed, all but the first occurrence in (doc_id, place) order.
-
-One chunking leaves most short passages, since few of them hold a whole chunk.  ``passages_of`` takes every
-pair of neighbouring lines and every long line instead, so no repeated passage depends on borders; the
-pipeline uses it, the op9 query keeps the chunks that its SQL states.
+A rolling hash over the hashes of two neighbouring lines nominates, for each of several seeds, places where a chunk
+starts and places where one ends; a chunk runs from a start to the next end.  Both borders are decided by lines
+inside the chunk, so what stands around a passage moves none of its chunks.  A line of more than ``LONG_WORDS`` words
+is a chunk of its own as well.  Chunks that occur elsewhere are removed after their bytes were compared, all but the
+first occurrence in (doc_id, place) order.
+
+A two-line passage is a chunk under one seed with probability 3/8, so under one of eight with 0.977; longer passages
+are covered by the chunks inside them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,118 +22,156 @@ from pyspark.sql import types as T
 from rasterloom.llm.common import add_columns
 from rasterloom.session import materialize
 
-DIVISOR = 2  # one line in so many is nominated
+SEEDS = 8  # chunkings; each reads three bits of the rolling hash
 FACTOR = 31  # of the earlier line's hash in the rolling hash
 LINE_HASH_DIGITS = 8  # hexadecimal digits of md5 that make a line's hash
-LONG_WORDS = 50  # a single line of more words is a passage
-Spans = Callable[[list[str]], list[tuple[int, int]]]  # of lines: (first line, past the last line) of what may be removed
+LONG_WORDS = 50  # a single line of more words is a chunk
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
-    """Chunks as (first line, past the last line), in order; empty for no lines."""
+def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Distinct chunks of all chunkings as (first line, past the last line), sorted; chunks without a word are left out."""
     import hashlib
 
-    hashes = [int(hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest()[:LINE_HASH_DIGITS], 16) for x in lines]
-    named = [False] + [(FACTOR * a + b) % DIVISOR == 0 for a, b in zip(hashes, hashes[1:])]
-    ends = [i + 1 for i in range(1, len(lines)) if named[i] and not named[i - 1]]
-    if lines and (not ends or ends[-1] != len(lines)):
-        ends.append(len(lines))
-    return list(zip([0, *ends], ends))
+    found = {(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG_WORDS and len(WORD.findall(x)) > LONG_WORDS}
+    if len(lines) > 1:
+        hashes = np.array([int(hashlib.md5(x).hexdigest()[:LINE_HASH_DIGITS], 16) for x in lines], np.int64)
+        rolled = FACTOR * hashes[:-1] + hashes[1:]
+        words = np.concatenate([[0], np.cumsum([bool(x.strip(b" \t\n\v\f\r")) for x in lines])])
+        for seed in range(SEEDS):
+            bits = rolled >> (3 * seed)
+            starts, ends = np.nonzero(bits & 1 == 0)[0], np.nonzero(bits >> 1 & 3 != 0)[0]
+            at = np.searchsorted(ends, starts)
+            starts, at = starts[at < len(ends)], at[at < len(ends)]
+            past = ends[at] + 2
+            real = words[past] > words[starts]
+            found.update(zip(starts[real].tolist(), past[real].tolist()))
+    return sorted(found)
 
 
-def whole_chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """Chunks of two lines or more."""
-    return [(a, b) for a, b in chunks_of(lines) if b - a > 1] if len(lines) > 1 else []
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def passages_of(lines: list[str]) -> list[tuple[int, int]]:
-    """Every two neighbouring lines that are not both blank, then every line of more than ``LONG_WORDS`` words.
-
-    A removed line always has an equal one before it that stays: its pair's first occurrence comes earlier, and so on.
-    """
-    filled = [bool(x.strip()) for x in lines]
-    pairs = [(i, i + 2) for i in range(len(lines) - 1) if filled[i] or filled[i + 1]]
-    return pairs + [(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG_WORDS and len(x.split()) > LONG_WORDS]
+def _starts(lines: list[bytes]) -> list[int]:
+    """Byte offset of every line, and the offset past the last line and its line feed."""
+    return np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
 
 
-def _chunk_rows(docs: DataFrame, spans: Spans) -> DataFrame:
-    """(doc_id, version, seq, mark, body) of every span; seq is its number in the text, mark a 64-bit hash of body."""
+def _marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, a, b, mark) of every chunk; mark is a 64-bit hash of its bytes."""
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            ids, versions, seqs, marks, bodies = [], [], [], [], []
+            rows, firsts, pasts, marks = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                lines = [] if text is None else text.split("\n")
-                for seq, (a, b) in enumerate(spans(lines)):
-                    body = "\n".join(lines[a:b])
-                    ids.append(i)
-                    seqs.append(seq)
-                    bodies.append(body)
-                    mark = xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass"), 9)
-                    marks.append(mark - (1 << 64) if mark >> 63 else mark)
-            at = pa.array(ids, pa.int32())
+                data = _bytes(text or "")
+                lines = data.split(b"\n")
+                at = _starts(lines)
+                for a, b in chunks_of(lines):
+                    rows.append(i)
+                    firsts.append(a)
+                    pasts.append(b)
+                    marks.append(xxhash.xxh64_intdigest(data[at[a]:at[b] - 1], 9))
+            of = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(seqs, pa.int32()), pa.array(marks, pa.int64()), pa.array(bodies, pa.string())],
-                names=["doc_id", "version", "seq", "mark", "body"])
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(firsts, pa.int32()), pa.array(pasts, pa.int32()),
+                 pa.array(np.array(marks, "<u8").view("<i8"))], names=["doc_id", "version", "a", "b", "mark"])
 
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("version bigint, seq int, mark bigint, body string").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("version bigint, a int, b int, mark bigint").fields])
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, spans: Spans = whole_chunks) -> DataFrame:
-    """(doc_id, version, gone: sorted span numbers to remove), for documents that lose any.
+def _bodies(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunks`` with their bytes as column body; documents without any are not read further than the join."""
+    per = chunks.groupBy("doc_id", "version").agg(F.collect_set(F.struct("a", "b", "mark")).alias("_chunks"))
+    per = per.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_chunks")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))).select("doc_id", "version", "text", "_chunks")
+
+    def run(batches):
+        import pyarrow as pa
 
-    Chunks are grouped by hash and then by their bytes: a hash whose chunks are all byte-equal
-    decides by hash alone; chunks whose hashes collide are told apart by their bodies.
+        for batch in batches:
+            rows, cut, bodies = [], [], []
+            for i, (text, chunks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                data = _bytes(text)
+                at = _starts(data.split(b"\n"))
+                for c in chunks:
+                    rows.append(i)
+                    cut.append((c["a"], c["b"], c["mark"]))
+                    bodies.append(data[at[c["a"]]:at[c["b"]] - 1])
+            of = pa.array(rows, pa.int32())
+            a, b, marks = zip(*cut) if cut else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(a, pa.int32()), pa.array(b, pa.int32()),
+                                              pa.array(marks, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "version", "a", "b", "mark", "body"])
+
+    return joined.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("body", T.BinaryType())]))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, seen: chunks (a, b, n, kept)) of documents with chunks that occur n > 1 times; kept marks first occurrences.
+
+    Hashes are counted first; bytes are fetched only for those that occur twice.  A hash whose chunks are all byte-equal
+    decides by hash alone; chunks whose hashes collide are told apart by their bytes.
     """
-    chunks = _chunk_rows(docs, spans)
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "version", "seq")
-    same = chunks.groupBy("mark", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    by_mark = same.groupBy("mark").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
-    by_mark = materialize(by_mark, "marks")
-    where = chunks.select("mark", "doc_id", "version", "seq")
-    here = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "version", "seq")
-    gone = where.join(by_mark.filter("bodies = 1").select("mark", "first"), "mark").filter(here != F.col("first"))
-    gone = gone.select("doc_id", "version", "seq")
+    marks = materialize(_marks(docs), "marks")
+    often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    chunks = materialize(marks.join(often, "mark").select(*marks.columns), "often")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "version", "a")
+    bodies = _bodies(docs, chunks)
+    same = materialize(bodies.groupBy("mark", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "bodies")
+    by_mark = same.groupBy("mark").agg(F.count(F.lit(1)).alias("bodies"), F.first("n").alias("n"), F.first("first").alias("first"))
+    by_mark = materialize(by_mark.filter("bodies > 1 or n > 1"), "repeated")
+    columns = ["doc_id", "version", "a", "b", "n", (place == F.col("first")).alias("kept")]
+    seen = chunks.join(by_mark.filter("bodies = 1"), "mark").select(*columns)
     mixed = by_mark.filter("bodies > 1").select("mark")
     if not mixed.isEmpty():
-        true = same.join(mixed, "mark", "left_semi").filter("n > 1").select("mark", "body", "first")
-        gone = gone.union(chunks.join(true, ["mark", "body"]).filter(here != F.col("first")).select("doc_id", "version", "seq"))
-    return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("seq")).alias("gone"))
+        true = same.join(mixed, "mark", "left_semi").filter("n > 1")
+        seen = seen.union(bodies.join(true, ["mark", "body"]).select(*columns))
+    return seen.groupBy("doc_id", "version").agg(F.collect_set(F.struct("a", "b", "n", "kept")).alias("seen"))
 
 
-def without(text: str, gone: list[int], spans: Spans = whole_chunks) -> tuple[str, int]:
-    """``text`` without its spans numbered in ``gone``, and how many lines went."""
+def without(text: str, seen: list[dict]) -> tuple[str, int]:
+    """``text`` without its repeated chunks, and how many lines went.
+
+    A line of a later occurrence goes, unless a first occurrence that has it is of a chunk at least as frequent: so
+    no first occurrence is broken but by a passage that stands in more places.
+    """
     lines = text.split("\n")
-    parts = spans(lines)
-    dead = {i for seq in gone for i in range(*parts[seq])}
-    return "\n".join(x for i, x in enumerate(lines) if i not in dead), len(dead)
+    first, later = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    for c in seen:
+        part = (first if c["kept"] else later)[c["a"]:c["b"]]
+        np.maximum(part, c["n"], out=part)
+    gone = later > first
+    return "\n".join(x for x, dead in zip(lines, gone.tolist()) if not dead), int(gone.sum())
 
 
-def dedup_lines(docs: DataFrame, spans: Spans = whole_chunks) -> DataFrame:
-    """``docs`` with globally repeated spans of lines removed from text; adds n_lines and lines_removed.
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with globally repeated chunks of lines removed from text; adds n_lines and lines_removed.
 
     A null text stays null with 0 lines; an empty text is one line.  Rows with the same id and text are one
     document: they keep the same chunks.  Within a document, a chunk that repeats loses its later
-    copies.  A null id sorts first.  If every chunk goes, text is empty; no row is dropped.
+    copies.  A null id sorts first.  If every line goes, text is empty; no row is dropped.
     Columns named n_lines or lines_removed are replaced; other columns pass through.
     """
-    lost = repeats(docs, spans).select(F.col("doc_id").alias("_lost_id"), F.col("version").alias("_lost_version"), "gone")
+    lost = repeats(docs).select(F.col("doc_id").alias("_lost_id"), F.col("version").alias("_lost_version"), "seen")
+    lost = lost.filter(F.exists("seen", lambda c: ~c["kept"]))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "lines_removed")]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_version"), "text")
     joined = keyed.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_version") == F.col("_lost_version")), "left")
-    joined = joined.select("_row", F.struct("text", "gone").alias("_cut"))
+    joined = joined.select("_row", F.struct("text", "seen").alias("_cut"))
 
     def run(cells):
         import pyarrow as pa
 
         texts, counts, removed = [], [], []
         for cell in cells:
-            text, gone = cell["text"], cell["gone"]
+            text, seen = cell["text"], cell["seen"]
             counts.append(0 if text is None else text.count("\n") + 1)
-            text, n = without(text, gone, spans) if gone else (text, 0)
+            text, n = without(text, seen) if seen else (text, 0)
             texts.append(text)
             removed.append(n)
         return [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
@@ -143,9 +182,9 @@ def dedup_lines(docs: DataFrame, spans: Spans = whole_chunks) -> DataFrame:
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with every repeated passage removed and n_chars, where present, brought up to date."""
+    """``docs`` with repeated chunks of lines removed and n_chars, where present, brought up to date."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
-    out = dedup_lines(packed, passages_of)
+    out = dedup_lines(packed)
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -155,17 +194,22 @@ def deduped_documents(docs: DataFrame) -> DataFrame:
 
 #: DuckDB statement of the op9 query.
 SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-        FROM documents WHERE text IS NOT NULL)),
-named AS (SELECT *, coalesce((31 * lag(h) OVER w + h) % 2 = 0, false) AS nominee FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-cuts AS (SELECT *, nominee AND NOT coalesce(lag(nominee) OVER (PARTITION BY doc_id ORDER BY i), false) AS ends FROM named),
-parts AS (SELECT doc_id, i, line,
-                 coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM cuts),
-chunk AS (SELECT doc_id, seq, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM parts GROUP BY doc_id, seq),
-ranked AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, seq) > 1 AS gone FROM chunk),
-done AS (SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS lines_removed,
-                coalesce(string_agg(body, chr(10) ORDER BY seq) FILTER (WHERE NOT gone), '') AS text FROM ranked GROUP BY doc_id)
+WITH d AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS MATERIALIZED (SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
+w AS (SELECT doc_id, i, 31 * h + lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l),
+s AS (SELECT doc_id, i, seed, r >> (3 * seed)::INT AS bits FROM w, range(8) t(seed) WHERE r IS NOT NULL),
+e AS (SELECT doc_id, i, bits, min(CASE WHEN (bits >> 1) & 3 <> 0 THEN i END)
+        OVER (PARTITION BY doc_id, seed ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1 AS z FROM s),
+spans AS (SELECT DISTINCT doc_id, i AS a, z FROM e WHERE bits & 1 = 0 AND z IS NOT NULL
+          UNION SELECT doc_id, i, i FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
+chunk AS MATERIALIZED (SELECT doc_id, a, z, array_to_string(lines[a:z], chr(10)) AS body FROM spans JOIN d USING (doc_id)),
+ranked AS (SELECT doc_id, a, z, count(*) OVER (PARTITION BY body) AS n, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) = 1 AS kept
+           FROM chunk WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
+cover AS (SELECT doc_id, unnest(range(a, z + 1)) AS i, n, kept FROM ranked WHERE n > 1),
+gone AS (SELECT doc_id, i FROM cover GROUP BY doc_id, i
+         HAVING coalesce(max(n) FILTER (WHERE NOT kept), 0) > coalesce(max(n) FILTER (WHERE kept), 0)),
+done AS (SELECT doc_id, count(*) AS n_lines, count(gone.i) AS lines_removed,
+                coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.i IS NULL), '') AS text FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, done.text, coalesce(n_lines, 0) AS n_lines, coalesce(lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN done USING (doc_id)
 """
