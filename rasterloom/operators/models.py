@@ -37,10 +37,10 @@ def scaled(estimator: Estimator) -> Pipeline:
     return Pipeline(stages=[scaler, estimator.setFeaturesCol("scaled")])
 
 
-def estimators(n_features: int, weight: str | None = None) -> dict[str, Pipeline]:
-    """The single registry of architectures, by name."""
+def estimators(n_features: int, weight: str | None = None, max_iter: int = 300) -> dict[str, Pipeline]:
+    """The single registry of architectures, by name; ``max_iter`` is that of the perceptrons."""
     w = {"weightCol": weight} if weight else {}
-    mlp = {"maxIter": 300, "tol": MLP_TOLERANCE, "seed": SEED, "labelCol": "label"}
+    mlp = {"maxIter": max_iter, "tol": MLP_TOLERANCE, "seed": SEED, "labelCol": "label"}
     forest = {"numTrees": 200, "maxDepth": 12, "maxMemoryInMB": FOREST_MB, "seed": SEED, "labelCol": "label", **w}
     return {name: scaled(e) for name, e in {
         "mlp": MultilayerPerceptronClassifier(layers=[n_features, 64, 32, 2], **mlp),
@@ -93,14 +93,18 @@ def evaluate(scored: DataFrame, keys: Sequence[str], threshold: float = 0.5) ->
 
 
 class Pair:
-    """The deployed architecture: a model on a subset of the features and one on all, by mean probability."""
+    """The deployed architecture: a model on a subset of the features and one on all, by mean probability.
 
-    def __init__(self, subset: Sequence[int], n_features: int, name: str = "mlp"):
-        self.subset, self.n_features, self.name = list(subset), n_features, name
+    The model on all features is of architecture ``whole``, by default that of the other.
+    """
+
+    def __init__(self, subset: Sequence[int], n_features: int, name: str = "mlp", whole: str | None = None, max_iter: int = 300):
+        self.subset, self.n_features, self.name, self.whole, self.max_iter = list(subset), n_features, name, whole or name, max_iter
 
     def fit(self, rows: DataFrame) -> "FittedPair":
         some = VectorSlicer(inputCol="features", outputCol="_some", indices=self.subset).transform(rows).drop("features").withColumnRenamed("_some", "features")
-        return FittedPair({"subset": (estimators(len(self.subset))[self.name].fit(some), self.subset), "all": (estimators(self.n_features)[self.name].fit(rows), None)})
+        fit = lambda name, n, on: estimators(n, max_iter=self.max_iter)[name].fit(on)
+        return FittedPair({"subset": (fit(self.name, len(self.subset), some), self.subset), "all": (fit(self.whole, self.n_features, rows), None)})
 
 
 class FittedPair:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = ("pixels", "labels", "aggregates", "windows", "sampling", "metrics", "gates", "lineage", "raster",
-            "regions", "destitching", "models", "streams", "sources", "hooks")
+            "regions", "destitching", "models", "streams", "sources", "hooks", "retraining")
 
 
 def load_all() -> None:

@@ -504,13 +504,18 @@ SCORE_SLOPE, SCORE_SHIFT = 12.0, 1.0  # of the stored logistic model on a pixel'
     SELECT grp, count(*) AS n_frames, round(quantile_cont(a / 64, 0.5), 6) AS median_area, round(quantile_cont(n, 0.5), 6) AS median_regions FROM c GROUP BY 1""")
 def batch_apply(spark, root):
     """Every frame scored by the stored model, thresholded, pruned, overlaid with hand labels and counted; then group medians."""
-    px, labels = T.px8(spark, root), T.table(spark, root, "labels")
-    size = [F.lit(T.PX_SIDE).alias("fh"), F.lit(T.PX_SIDE).alias("fw")]
-    frames = T.table(spark, root, "embeddings").select(F.col("vec_id").alias("image_id"), *size, F.col("label").alias("grp"))
+    px = T.px8(spark, root)
     mean = px.groupBy("image_id").agg(F.avg("v").alias("m"))
     p = 1 / (1 + F.exp(SCORE_SHIFT - SCORE_SLOPE * (F.col("v") - F.col("m"))))
-    found = R.from_pixels(px.join(mean, "image_id").filter(p > 0.5).select("image_id", *size, "y", "x"))
-    pruned = R.to_pixels(G.remove_small(found, 2, 4, tile=GRID_TILE)).withColumn("is_pos", F.lit(True))
+    return apply_masks(spark, root, px.join(mean, "image_id").filter(p > 0.5).select("image_id", "y", "x"))
+
+
+def apply_masks(spark, root, found):
+    """Group medians of area and regions after the ``found`` pixels of every 8x8 frame are pruned and overlaid with hand labels."""
+    labels = T.table(spark, root, "labels")
+    size = [F.lit(T.PX_SIDE).alias("fh"), F.lit(T.PX_SIDE).alias("fw")]
+    frames = T.table(spark, root, "embeddings").select(F.col("vec_id").alias("image_id"), *size, F.col("label").alias("grp"))
+    pruned = R.to_pixels(G.remove_small(R.from_pixels(found.select("image_id", *size, "y", "x")), 2, 4, tile=GRID_TILE)).withColumn("is_pos", F.lit(True))
     state = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
     hand = labels.select(F.col("doc_id").alias("image_id"), (F.expr("doc_id div 8") % 8).cast("int").alias("y"), (F.col("doc_id") % 8).cast("int").alias("x"), state.alias("state"))
     hand = hand.filter("state is not null").join(frames.select("image_id"), "image_id", "left_semi")
