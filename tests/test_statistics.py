@@ -126,3 +126,26 @@ def test_wilcoxon_by_enumeration(spark):
     stat = min(ranks[np.array(d) > 0].sum(), ranks[np.array(d) < 0].sum())
     sums = [sum(k for k, b in zip(ranks, f"{i:06b}") if b == "1") for i in range(64)]
     assert r.statistic == stat and r.p_wilcoxon == pytest.approx(2 * sum(s <= stat for s in sums) / 64)
+
+
+def test_corrected_rows_and_their_columns(spark):
+    """All positives up to the cap, negatives up to the balance point; vectors are features, then the interpolated grid."""
+    from pyspark.ml.functions import vector_to_array
+
+    from rasterloom.operators import retrain as R
+
+    labels = [(f, y, x, 1 if (y, x) < (0, 3 + f) else 2) for f in range(2) for y in range(4) for x in range(4)]
+    df = spark.createDataFrame([(str(f), y, x, s) for f, y, x, s in labels], "image_id string, y int, x int, state int")
+    got = R.corrected_rows(df, "t", per_frame=3, floor=1).collect()
+    count = lambda f, v: sum(r["image_id"] == f and r["label"] == v for r in got)
+    assert [count(f, v) for f in "01" for v in (1, 0)] == [3, 3, 3, 3]  # six positives within the cap over two frames
+    assert {(r["image_id"], r["y"], r["x"], r["label"]) for r in got} <= {(str(f), y, x, int(s == 1)) for f, y, x, s in labels}
+    px = df.select("image_id", "y", "x", (F.col("y") * 10.0).alias("a"), (F.col("x") * 1.0).alias("b"))
+    grid = [float(c * 100 + i * 10 + j) for c in range(3) for i in range(2) for j in range(2)]
+    tiles = spark.createDataFrame([("0", 0, 0, 0, 3, 2, 2, grid)], "image_id string, tile_ord int, y0 int, x0 int, c int, gy int, gx int, e array<double>")
+    marked = df.select("image_id", "y", "x", (F.col("state") == 1).cast("int").alias("label"))
+    rows = R.hybrid_rows(marked, px, ["a", "b"], tiles, 4, 2.0).select("image_id", "y", "x", vector_to_array("features").alias("f")).collect()
+    assert len(rows) == 16 and {r["image_id"] for r in rows} == {"0"}  # a frame without an embedding has not the width
+    for r in rows:
+        i, j = (min(max(v / 2 - 0.5, 0), 1) for v in (r["y"], r["x"]))
+        assert r["f"] == pytest.approx([r["y"] * 10.0, r["x"], *[c * 100 + i * 10 + j for c in range(3)]])
