@@ -318,6 +318,28 @@ def merge_fragments(spark, root):
 CAND = """, dark AS (SELECT l.image_id, l.region_id, avg(255 - floor(g.p * 255)) AS d FROM l JOIN grid g USING (image_id, y, x) GROUP BY 1, 2)"""
 
 
+#: Per row of a region, the widest line between any point at or above and any at or below bounds its hull.
+SOLID = """, hr AS (SELECT image_id, region_id, y, min(x) AS a, max(x) AS b FROM l GROUP BY ALL),
+    hp AS (SELECT image_id, region_id, 2 * y + d AS t, min(a - CASE d WHEN 0 THEN 0.5 ELSE 0 END)::DOUBLE AS a, max(b + CASE d WHEN 0 THEN 0.5 ELSE 0 END)::DOUBLE AS b
+    FROM hr, (VALUES (-1), (0), (1)) v(d) GROUP BY ALL),
+    hh AS (SELECT r.image_id, r.region_id, r.y, min(p.a + (q.a - p.a) * (2 * r.y - p.t) / greatest(q.t - p.t, 1)) AS a,
+    max(p.b + (q.b - p.b) * (2 * r.y - p.t) / greatest(q.t - p.t, 1)) AS b FROM hr r
+    JOIN hp p ON p.image_id = r.image_id AND p.region_id = r.region_id AND p.t <= 2 * r.y
+    JOIN hp q ON q.image_id = r.image_id AND q.region_id = r.region_id AND q.t >= 2 * r.y GROUP BY ALL),
+    hull AS (SELECT image_id, region_id, sum(floor(b + 1e-10) - ceil(a - 1e-10) + 1) AS hull_area FROM hh GROUP BY ALL)"""
+
+
+@query("d25_candidate_solidity", "grid", FRAMES + lab("l", "grid", "true", 8) + PROPS + SOLID + """,
+    c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY region_id) AS label FROM props WHERE area >= 4)
+    SELECT c.image_id, label, area, round(area / hull_area, 4) AS solidity FROM c JOIN hull USING (image_id, region_id)""")
+def candidate_solidity(spark, root):
+    """Share of its convex hull that every candidate fills."""
+    lb = materialize(labelled(spark, root), "regions")
+    hull = H.hull_measures(lb).select(*G.KEY, "hull_area")
+    p = G.region_props(lb).filter("area >= 4").join(G.relabel_dense(lb, 4).select(*G.KEY, "label"), G.KEY).join(hull, G.KEY)
+    return p.select("image_id", "label", "area", F.round(F.col("area") / F.col("hull_area"), 4).alias("solidity"))
+
+
 def candidates(labelled_runs, px, min_area):
     """Shape and intensity columns of every candidate region, with dense labels."""
     dark = R.to_pixels(labelled_runs, "region_id").join(px.select("image_id", "y", "x", "v8"), ["image_id", "y", "x"]).groupBy(*G.KEY).agg(
