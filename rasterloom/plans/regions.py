@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalars as S
 from rasterloom.operators import aggregates as A
 from rasterloom.operators import clicks as K
+from rasterloom.operators import composites as C
 from rasterloom.operators import fragments as M
+from rasterloom.operators import halo as X
 from rasterloom.operators import proposals as B
 from rasterloom.operators import regions as G
 from rasterloom.operators import runs as R
 from rasterloom.operators import shapes as H
 from rasterloom.operators.components import label_runs
 from rasterloom.operators.labels import label_counts
-from rasterloom.operators.pixels import overlay
+from rasterloom.operators.pixels import overlay, tile_pixels
 from rasterloom.plans.registry import query
 from rasterloom.session import materialize
 from rasterloom.sources import tables as T
@@ -318,6 +320,9 @@ def merge_fragments(spark, root):
 CAND = """, dark AS (SELECT l.image_id, l.region_id, avg(255 - floor(g.p * 255)) AS d FROM l JOIN grid g USING (image_id, y, x) GROUP BY 1, 2)"""
 
 
+RIDGE_TILE = 64
+
+
 #: Per row of a region, the widest line between any point at or above and any at or below bounds its hull.
 SOLID = """, hr AS (SELECT image_id, region_id, y, min(x) AS a, max(x) AS b FROM l GROUP BY ALL),
     hp AS (SELECT image_id, region_id, 2 * y + d AS t, min(a - CASE d WHEN 0 THEN 0.5 ELSE 0 END)::DOUBLE AS a, max(b + CASE d WHEN 0 THEN 0.5 ELSE 0 END)::DOUBLE AS b
@@ -340,6 +345,17 @@ def candidate_solidity(spark, root):
     return p.select("image_id", "label", "area", F.round(F.col("area") / F.col("hull_area"), 4).alias("solidity"))
 
 
+@query("d25_candidate_ridge")
+def candidate_ridge(spark, root):
+    """Mean ridge strength of every candidate; frames are tiled and the strength is scaled by the frame's largest."""
+    lb = materialize(labelled(spark, root), "regions")
+    tiles = X.tiles_from_pixels(T.grid(spark, root), grid_frame_table(spark, root), RIDGE_TILE, "p")
+    strength = tile_pixels(C.ridge_response(tiles, RIDGE_TILE), ["ridge"], ["ridge"])
+    mean = R.to_pixels(lb, "region_id").join(strength, ["image_id", "y", "x"]).groupBy(*G.KEY).agg(F.avg("ridge").alias("ridge"))
+    label = G.relabel_dense(lb, 4).select(*G.KEY, "label")
+    return mean.join(label, G.KEY).select("image_id", "label", F.round("ridge", 4).alias("mean_ridge"))
+
+
 def candidates(labelled_runs, px, min_area):
     """Shape and intensity columns of every candidate region, with dense labels."""
     dark = R.to_pixels(labelled_runs, "region_id").join(px.select("image_id", "y", "x", "v8"), ["image_id", "y", "x"]).groupBy(*G.KEY).agg(
