@@ -337,6 +337,37 @@ def test_near_copies_by_shingles(spark):
     assert shingles.components(df.limit(0)).count() == 0
 
 
+def test_all_texts_of_a_key_meet(spark, monkeypatch):
+    """Groups in which each text is like two neighbours only: centres miss links, blocks find what shares a key; blocks of any size agree."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = fresh(165)  # a template: texts of one group share most keys
+    data = []
+    for g in range(30):
+        own = fresh(35)
+        for m in range(2):
+            words = list(own)
+            words[rng.randrange(35)] = fresh(1)[0]
+            data.append((len(data), " ".join(shared[:120 + g] + words)))
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    sets = [shingles.shingle_set(t) for _, t in data]
+    keys = [set(shingles.keys_of(s).tolist()) for s in sets]
+    alike = [(i, j) for j in range(len(data)) for i in range(j) if keys[i] & keys[j] and shingles._alike(np.sort(sets[i]), np.sort(sets[j]))]
+    want = defaultdict(set)
+    for n, r in brute_components(alike, range(len(data))).items():
+        want[r].add(n)
+
+    def groups():
+        out = defaultdict(set)
+        for r in shingles.components(df).collect():
+            out[r["root"]].add(r["doc_id"])
+        return sorted(map(sorted, out.values()))
+
+    assert groups() == sorted(map(sorted, want.values()))
+    monkeypatch.setattr(shingles, "BLOCK", 3)
+    assert groups() == sorted(map(sorted, want.values()))
+
+
 def test_golay_keys_find_every_pair_within_three_bits(spark):
     table = simhash.error_table()
     assert (table >= 0).all() and {int(e).bit_count() for e in table} == {0, 1, 2, 3}
