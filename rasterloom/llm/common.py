@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,16 +40,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sampled(labelled: DataFrame, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of every value of ``key``, chosen by a hash of doc_id.
+def sampled(labelled: DataFrame, key: str, per_class: int, total: int = 10_000) -> DataFrame:
+    """About ``per_class`` different rows of every value of ``key``, less if all classes together passed ``total``.
 
-    The share kept of a class is ``per_class`` over its row count, so the result is bounded
-    by the number of classes, whatever the size of the input.
+    Rows are chosen by a salted hash of all their columns and equal ones count once, so repeated ids neither empty nor
+    swell the sample.  It is bounded by ``total``, whatever the size of the input.
     """
-    counts = labelled.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.distinct()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.least(F.lit(float(per_class)), F.lit(float(total)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    counts = counts.withColumn("_share", share)
+    u = F.pmod(F.xxhash64(F.lit("sample"), *labelled.columns), F.lit(1 << 30)) / float(1 << 30)
     # A row per class; the model that is fitted holds at least as much for each, so it fits wherever the model does.
-    return labelled.join(F.broadcast(counts), key).filter(u * F.col("_rows") < per_class).drop("_rows")
+    return rows.join(F.broadcast(counts), key).filter(u * F.col("_rows") < F.col("_share")).select(*labelled.columns)
 
 
 def cut_at_spaces(text: str, cut: str, glue: str) -> str:
@@ -93,7 +96,7 @@ def add_columns(df: DataFrame, text: str, fn, fields: list[T.StructField]) -> Da
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """Components of ``(u, v)``: rows ``(node, root)``, root the smallest node reachable.
+    """Components of ``(u, v)``: rows ``(node, root)`` of all nodes but the roots, root the smallest node reachable.
 
     Alternates large-star and small-star steps (grouped minimum and equi-join) on tables
     written to the shared folder, until the edges no longer change.

@@ -128,12 +128,17 @@ def fit_rows(x: np.ndarray, languages: list[str]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learns from about ``per_language`` texts of each non-null language outside the held-out fold."""
+    """Learns from about ``per_language`` texts of each non-null language outside the held-out fold.
+
+    Repeated rows count once; texts without letters teach nothing, and an empty table gives a model that knows no language.
+    """
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    keys = sampled(known.select("doc_id", "lang"), "lang", per_language)
+    known = known.withColumn("version", F.xxhash64("text"))
+    keys = sampled(known.select("doc_id", "lang", "version"), "lang", per_language)
     # About per_language rows for each language, whatever the size of the table.
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rows = known.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("version").alias("_version"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("version") == F.col("_version"))
+    rows = known.join(F.broadcast(keys), same).groupBy("doc_id", "lang", "version").agg(F.first("text").alias("text")).select("doc_id", "lang", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -153,7 +158,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; held_out is the fold the fit leaves out.
 
-    Null texts and texts without letters are ``und``.  Only doc_id and text are read.
+    Null texts and texts without letters are ``und``, as is all if nothing was learned.  Ties go to the first family and
+    language by name.  Every row is judged by itself, repeated ones alike; texts of any length are read whole, in parts.
+    An empty table gives no rows.  Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH numbers per family and per pair of languages
 

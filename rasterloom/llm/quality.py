@@ -110,14 +110,20 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> Fa
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FactorMachine:
-    """Learns from labelled rows outside the held-out fold; labels other than 0 and 1 are ignored."""
+    """Learns from labelled rows outside the held-out fold; labels other than 0 and 1 are ignored.
+
+    Repeated labels count once, an id with both labels counts for both, and of several texts of one id that of the
+    smallest hash is learned from.  Without labels the model scores 0.5.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    known = known.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}  # two rows at most
     chosen = sampled(known, "quality", per_class).select(F.col("doc_id").alias("_chosen"), "quality")
     # The chosen labels are about 2 * per_class rows, whatever the size of the tables.
     texts = docs.select("doc_id", "text", F.col("n_chars").cast("bigint").alias("n_chars") if "n_chars" in docs.columns else F.lit(None).cast("bigint").alias("n_chars"))
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen")).select("doc_id", "text", "n_chars", "quality")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"))
+    one = F.min_by(F.struct("text", "n_chars"), F.xxhash64("text", "n_chars"))
+    rows = rows.groupBy("doc_id", "quality").agg(one.alias("_one")).select("doc_id", "_one.text", "_one.n_chars", "quality")
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Facto
 def score(docs: DataFrame, model: FactorMachine) -> DataFrame:
     """``docs`` with columns score and predicted; columns of these names are replaced.
 
-    A null or empty text is scored by its statistics, which are all at their lowest.
+    A null or empty text is scored by its statistics, which are all at their lowest.  Rows are independent, so repeated
+    rows and ties get equal scores; texts of any length are read whole, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH * (RANK + 1) numbers
     meta = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")

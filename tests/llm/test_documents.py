@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm import bpe, langid, license, lines, mixing, quality, shingles, simhash, tokens
-from rasterloom.llm.common import connected, fold, prepare
+from rasterloom.llm.common import connected, fold, prepare, sampled
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -366,6 +366,9 @@ def test_all_texts_of_a_key_meet(spark, monkeypatch):
     assert groups() == sorted(map(sorted, want.values()))
     monkeypatch.setattr(shingles, "BLOCK", 3)
     assert groups() == sorted(map(sorted, want.values()))
+    centred = shingles._centred
+    monkeypatch.setattr(shingles, "_centred", lambda keyed: centred(keyed).limit(0))  # the blocks alone find all links
+    assert groups() == sorted(map(sorted, want.values()))
 
 
 def test_golay_keys_find_every_pair_within_three_bits(spark):
@@ -460,6 +463,42 @@ def hash_start(language):
     return {"en": 0, "de": 1000, "fr": 2000, "es": 3000}[language]
 
 
+def test_samples_under_repeated_ids(spark):
+    """Few ids with many texts, one row repeated often, many classes: the sample is neither empty nor unbounded."""
+    few = spark.range(20000).select((F.col("id") % 3).alias("doc_id"), F.lit("en").alias("lang"), F.col("id").alias("version"))
+    assert 300 < sampled(few, "lang", 400).count() < 500
+    once = spark.range(20000).select(F.lit(7).alias("doc_id"), F.lit("en").alias("lang"), F.lit(1).alias("version"))
+    assert sampled(once, "lang", 400).count() == 1
+    many = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 200).alias("lang"), F.lit(1).alias("version"))
+    assert 1600 < sampled(many, "lang", 400, 2000).count() < 2400
+    assert sampled(few.limit(0), "lang", 400).count() == 0
+
+
+def test_svm_against_a_direct_solution(monkeypatch):
+    """Dual coordinate descent against gradient descent on the primal; rows that overlap in five dimensions take more epochs than texts."""
+    monkeypatch.setattr(langid, "EPOCHS", 3000)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    y = np.where(x @ rng.normal(size=5) + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    w, ones = np.zeros(6), np.hstack([x, np.ones((60, 1))])
+    for _ in range(60000):
+        gap = np.maximum(0, 1 - y * (ones @ w))
+        w -= 1e-4 * (w - 2 * langid.MARGIN_COST * ((gap * y) @ ones))
+    loss = lambda v: 0.5 * v @ v + langid.MARGIN_COST * (np.maximum(0, 1 - y * (ones @ v)) ** 2).sum()
+    assert loss(langid.svm(x, y, 0)) <= loss(w) * 1.01
+
+
+def test_votes_by_hand():
+    text, unit = "abc abd", langid.WIDTH + 1
+    bias = lambda b: np.concatenate([np.zeros(unit - 1), [b]])
+    model = langid.LanguageModel({"f": ["a", "b", "c"], "g": ["d"]}, {"f": bias(0.5), "g": bias(-0.5)}, {("a", "b"): bias(0.1), ("a", "c"): bias(-0.2), ("b", "c"): bias(0.3)})
+    p = lambda b: 1 / (1 + np.exp(-4 * b))
+    votes = {"a": p(0.1) + p(-0.2), "b": 1 - p(0.1) + p(0.3), "c": 2 - p(-0.2) - p(0.3)}
+    best = max(votes, key=votes.get)
+    lang, score = model.predict(text)
+    assert lang == best and abs(score - p(0.5) * votes[best] / 2) < 1e-12
+
+
 def test_factor_machine(spark):
     rng = random.Random(6)
     good = [(i, "\n".join(prose(rng, 10) for _ in range(4)), "en", "s", 200) for i in range(150)]
