@@ -8,7 +8,7 @@ from rasterloom.operators import pixels as P
 from rasterloom.plans.gates import FRAMES_SQL, frames, predictions
 from rasterloom.plans.registry import query
 from rasterloom.sources import frames as R
-from rasterloom.sources import sinks
+from rasterloom.sources import sinks, tiff
 from rasterloom.sources import tables as T
 
 
@@ -45,6 +45,26 @@ def decode_frames(spark, root):
     return P.tile_pixels(good).select("image_id", "y", "x", S.r6("v").alias("v"))
 
 
+def encoded_tiffs(spark, root):
+    """Every vector as a TIFF file in strips of three rows; about a tenth arrive truncated."""
+    files = tiff.encode(T.px8_tiles(spark, root).withColumn("image_id", F.col("image_id").cast("long")), 3)
+    bad = T.unit_hash("bad", "image_id") < 0.1
+    return files.withColumn("content", F.when(bad, F.expr("substring(content, 1, 100)")).otherwise(F.col("content")))
+
+
+@query("a02_decode_tiff", "px8", f"""SELECT image_id, y // 3 AS no, y, x, round(v, 6) AS v FROM px8 WHERE {DAMAGED.replace('vec_id', 'image_id')} >= 0.1""")
+def decode_tiff(spark, root):
+    good = tiff.decode(encoded_tiffs(spark, root)).filter("error IS NULL")
+    at = F.col("i")
+    return good.select("image_id", "no", "y0", "x0", "w", F.posexplode("data").alias("i", "v")).select(
+        "image_id", "no", (F.col("y0") + F.floor(at / F.col("w"))).cast("int").alias("y"), (F.col("x0") + at % F.col("w")).cast("int").alias("x"), S.r6("v").alias("v"))
+
+
+@query("a02_tiff_quarantine", None, f"SELECT vec_id AS image_id FROM embeddings WHERE {DAMAGED} < 0.1")
+def tiff_quarantine(spark, root):
+    return tiff.decode(encoded_tiffs(spark, root)).filter("error IS NOT NULL").select("image_id")
+
+
 @query("a02_quarantine", None, f"SELECT vec_id AS image_id FROM embeddings WHERE {DAMAGED} < 0.1")
 def quarantine(spark, root):
     return R.decode_arrays(encoded_frames(spark, root)).filter("error IS NOT NULL").select("image_id")

@@ -21,23 +21,25 @@ def stroke_labels(spark, root):
 BATCHES = 4
 
 
-def stroke_source(spark, root):
+def drained(spark, root, label, drain):
     """Strokes that arrive in four micro-batches by stroke number, so that many come late."""
-    return W.arrivals(T.strokes(spark, root), F.pmod("stroke_id", F.lit(BATCHES)), "arrivals")
+    return W.in_turn(T.strokes(spark, root), F.pmod("stroke_id", F.lit(BATCHES)), label, drain)
 
 
 @query("s01_stroke_stream", "strokes", LABELS)
 def stroke_stream(spark, root):
-    return W.latest_labels(W.run_to_table(W.stroke_stream(stroke_source(spark, root), 10, 10, tile=8), W.CHANGES, "update", "strokes"))
+    changes = drained(spark, root, "strokes", lambda stream, base: W.run_to_table(W.stroke_stream(stream, 10, 10, tile=8), W.CHANGES, "update", base))
+    return W.latest_labels(changes)
 
 
 @query("s02_file_drop_stream", None, """WITH i AS (SELECT concat('drop__', substr(sha1(text), 1, 8)) AS ident FROM documents) SELECT DISTINCT ident FROM i""")
 def file_drop_stream(spark, root):
     d = T.table(spark, root, "documents").select("doc_id", F.lit("drop.png").alias("name"), F.col("text").alias("content"))
-    return W.ingest_drops(W.arrivals(d, F.pmod("doc_id", F.lit(BATCHES)), "files")).select("ident")
+    return W.in_turn(d, F.pmod("doc_id", F.lit(BATCHES)), "drops", W.ingest_drops).select("ident")
 
 
 @query("s03_live_counters", "strokes", """SELECT image_id, count(*) FILTER (mode = 'crack') AS n_pos, count(*) FILTER (mode = 'erase') AS n_neg FROM strokes GROUP BY 1""")
 def live_counters(spark, root):
-    rows = W.run_to_table(W.live_counters(stroke_source(spark, root)), "image_id bigint, n_pos bigint, n_neg bigint", "update", "counters")
+    schema = "image_id bigint, n_pos bigint, n_neg bigint"
+    rows = drained(spark, root, "counters", lambda stream, base: W.run_to_table(W.live_counters(stream), schema, "update", base))
     return rows.groupBy("image_id").agg(F.max_by("n_pos", "epoch").alias("n_pos"), F.max_by("n_neg", "epoch").alias("n_neg"))

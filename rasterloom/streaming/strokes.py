@@ -63,6 +63,11 @@ class TileLabels:
         columns = list(zip(*self.live)) if self.live else [()] * 6
         return (self.value.tobytes(), self.at.tobytes(), *[list(c) for c in columns])
 
+    def _hits(self, stroke) -> bool:
+        """Whether the stroke's box meets the tile."""
+        _, _, mode, y, x, radius = stroke
+        return mode == "clear" or (self.y0 - radius <= y < self.y0 + self.shape[0] + radius and self.x0 - radius <= x < self.x0 + self.shape[1] + radius)
+
     def _covered(self, stroke):
         import numpy as np
 
@@ -82,6 +87,8 @@ class TileLabels:
         self.live = sorted([*self.live, stroke])
         while len(self.live) > UNDO_DEPTH:
             oldest = self.live.pop(0)
+            if not self._hits(oldest):
+                continue
             hit, value = self._covered(oldest)
             ts, ident = oldest[:2]
             hit &= (self.at[..., 0] < ts) | ((self.at[..., 0] == ts) & (self.at[..., 1] < ident))
@@ -89,7 +96,7 @@ class TileLabels:
 
     def raster(self):
         out = self.value.copy()
-        for stroke in self.live:
+        for stroke in filter(self._hits, self.live):
             hit, value = self._covered(stroke)
             # A late stroke may be older than what has settled below it.
             out[hit & ((self.at[..., 0] < stroke[0]) | ((self.at[..., 0] == stroke[0]) & (self.at[..., 1] < stroke[1])))] = value
@@ -131,10 +138,16 @@ def stroke_stream(strokes: DataFrame, height: int, width: int, tile: int = 256)
     return tiled.groupBy("image_id", "ty", "tx").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, schema: str, mode: str, label: str) -> DataFrame:
-    """Drain the available input; every micro-batch replaces its own folder, so a retried batch cannot double."""
+def new_base(spark, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, schema: str, mode: str, base: str) -> DataFrame:
+    """Drain the available input under the folder ``base``, going on from its last drain.
+
+    Every micro-batch replaces its own folder, so a retried batch cannot double.
+    """
     spark = stream.sparkSession
-    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
@@ -150,25 +163,29 @@ def latest_labels(changes: DataFrame) -> DataFrame:
     return last.filter("state > 0")
 
 
-def arrivals(df: DataFrame, batch: Column, label: str) -> DataFrame:
-    """``df`` as a stream of one micro-batch per value of ``batch``, in rising order of the values."""
+def in_turn(df: DataFrame, batch: Column, label: str, drain) -> DataFrame:
+    """``df`` as a stream whose input arrives in rising order of ``batch``; ``drain(stream, base)`` takes in what is there.
+
+    Each value's rows are written by Spark's own tasks and drained as one micro-batch before the next ones arrive.
+    """
     spark = df.sparkSession
-    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    for (value,) in df.select(batch.alias("b")).distinct().orderBy("b").collect():
-        df.filter(batch == value).coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    base = new_base(spark, label)
+    out = None
+    for (value,) in df.select(batch.alias("b")).distinct().orderBy("b").collect() or [(None,)]:
+        (df if value is None else df.filter(batch == value)).write.mode("append").parquet(f"{base}/arrived")
+        out = drain(spark.readStream.schema(df.schema).parquet(f"{base}/arrived"), base)
+    return out
 
 
-def ingest_drops(files: DataFrame, label: str = "drops") -> DataFrame:
-    """Drains a file-drop stream into a table with one row per content id.
+def ingest_drops(files: DataFrame, base: str) -> DataFrame:
+    """Drains a file-drop stream into a table under ``base`` with one row per content id, going on from the last drain.
 
     Each micro-batch is compared with what the table holds, so no ids are kept in stream state; a batch writes its own
     folder, so a retried batch reads the others' rows only.
     """
     spark = files.sparkSession
-    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = "ident string, epoch bigint"
-    spark.createDataFrame([], "ident string").write.parquet(f"{base}/rows/epoch=-1")
+    spark.createDataFrame([], "ident string").write.mode("ignore").parquet(f"{base}/rows/epoch=-1")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         held = spark.read.schema(schema).parquet(f"{base}/rows").filter(F.col("epoch") != epoch)

@@ -61,7 +61,7 @@ def test_stream_replays_like_the_batch_and_can_undo(spark, tmp_path):
     want = {tuple(r) for r in W.stroke_labels(batch, 10, 10).select("image_id", "y", "x", "state").collect()}
 
     def drain(df, name, batch):
-        out = W.run_to_table(W.stroke_stream(W.arrivals(df, batch, name), 10, 10, tile=4), W.CHANGES, "update", name)
+        out = W.in_turn(df, batch, name, lambda stream, base: W.run_to_table(W.stroke_stream(stream, 10, 10, tile=4), W.CHANGES, "update", base))
         return {tuple(r) for r in W.latest_labels(out).select("image_id", "y", "x", "state").collect()}
 
     assert drain(batch, "plain", F.lit(0)) == want
