@@ -27,9 +27,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: the links of op6's fingerprints, and those of five-word shingle sets at a
+    Jaccard similarity of 0.8 or more, which the fingerprints' three bits do not reach."""
     prepare(spark)
-    return simhash.one_of_each(docs, shingles.components(docs))
+    return simhash.one_of_each(docs, simhash.with_links(simhash.components(docs), shingles.components(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,6 +156,20 @@ def components(docs: DataFrame) -> DataFrame:
     return marked.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
+def with_links(found: DataFrame, more: DataFrame) -> DataFrame:
+    """(doc_id, version, root) of every row of ``found``, components that share a text in ``more`` being one.
+
+    Both give (doc_id, version, root), and rows of one version have one root in each.  A component is a node, so the graph
+    that is contracted has a row for each pair of components that share a text.
+    """
+    found = materialize(found.select("doc_id", "version", "root"), "found")
+    other = more.select("version", F.concat(F.lit("more:"), F.col("root").cast("string")).alias("v")).distinct()
+    met = found.select("version", F.concat(F.lit("found:"), F.col("root").cast("string")).alias("u")).distinct().join(other, "version")
+    named = connected(met.select("u", "v"))
+    whole = found.withColumn("node", F.concat(F.lit("found:"), F.col("root").cast("string"))).join(named.withColumnRenamed("root", "_all"), "node", "left")
+    return whole.select("doc_id", "version", F.coalesce("_all", "node").alias("root"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint as 16 hexadecimal digits, component_id)."""
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -337,6 +337,20 @@ def test_near_copies_by_shingles(spark):
     assert shingles.components(df.limit(0)).count() == 0
 
 
+def test_pipeline_links_by_fingerprints_too(spark):
+    """Links of op6 count in the pipeline, alone and in a chain with links by shingle sets."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    repeated = words[:59] * 40  # five-word sets see a repeated passage once, fingerprints count it
+    longer = repeated + words[100:160]
+    edited = [*longer[:-1], "other"]
+    data = [(0, " ".join(repeated)), (1, " ".join(longer)), (2, " ".join(edited)), (3, " ".join(words[300:])), (4, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    by_sets = {r["doc_id"]: r["root"] for r in shingles.components(df).collect()}
+    assert by_sets[0] != by_sets[1]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [0, 3, 4]
+
+
 def test_all_texts_of_a_key_meet(spark, monkeypatch):
     """Groups in which each text is like two neighbours only: centres miss links, blocks find what shares a key; blocks of any size agree."""
     rng = random.Random(12)
