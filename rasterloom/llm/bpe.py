@@ -222,8 +222,26 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
-    done = decode(encode(docs, path, pattern), path, pattern)
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to.
+
+    The ids are encoded and decoded by one worker, which holds the vocabulary once; neither ids nor texts go back.
+    """
+    def run(batches):
+        from hashlib import sha256
+
+        import numpy as np
+        import pyarrow as pa
+
+        codec = _codec(path, pattern)
+        for batch in batches:
+            n, coded, decoded = [], [], []
+            for text in batch.column(1):
+                ids = np.frombuffer(codec.encode(text.as_py() or ""), "<i4").tolist()
+                n.append(len(ids))
+                coded.append(sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                decoded.append(sha256(codec.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

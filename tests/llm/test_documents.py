@@ -351,6 +351,12 @@ def test_pipeline_links_by_fingerprints_too(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [0, 3, 4]
 
 
+def test_bpe_round_trip_takes_one_worker(spark, docs):
+    """One vocabulary an executor core: encoding and decoding are one step."""
+    plan = bpe.round_trip(docs, BPE, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_all_texts_of_a_key_meet(spark, monkeypatch):
     """Groups in which each text is like two neighbours only: centres miss links, blocks find what shares a key; blocks of any size agree."""
     rng = random.Random(12)
