@@ -149,3 +149,16 @@ def test_corrected_rows_and_their_columns(spark):
     for r in rows:
         i, j = (min(max(v / 2 - 0.5, 0), 1) for v in (r["y"], r["x"]))
         assert r["f"] == pytest.approx([r["y"] * 10.0, r["x"], *[c * 100 + i * 10 + j for c in range(3)]])
+
+
+def test_nested_samples_are_cut_from_one_ranking(spark):
+    """A row's rank in digest order gives every smaller cap's rows, and a cap without keys shuffles no row past the cut."""
+    df = spark.range(3000).selectExpr("id AS row_key", "id % 7 AS image_id", "CAST(id % 5 = 0 AS INT) AS label")
+    ranked = K.take_by_hash(df, ["image_id", "label"], K.hash_order("curve", "row_key"), 200, "_rank").localCheckpoint()
+    for n in (1, 20, 200):
+        want = {r.row_key for r in K.stratified_cap(df, n, "curve", ["row_key"]).collect()}
+        assert {r.row_key for r in ranked.filter(F.col("_rank") <= n).collect()} == want
+    few = K.take_by_hash(df, [], K.hash_order("train", "row_key"), 50)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    order = {r.row_key for r in df.orderBy(K.hash_order("train", "row_key")).limit(50).collect()}
+    assert {r.row_key for r in few.collect()} == order
