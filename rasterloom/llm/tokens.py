@@ -23,9 +23,10 @@ from rasterloom.llm.common import cut_at_spaces
 
 BLOCK = 1 << 15  # ids
 SEGMENT = 1 << 17  # ids at which a segment ends; a longer document is a segment
-MEMO = 600_000  # words of each of two generations that a worker remembers
+MEMO = 150_000  # words of each of two generations that a worker remembers
 GROUP = 500  # new words that the library encodes as one text
-TOGETHER = 16 << 20  # bytes of text whose words become one dictionary
+TOGETHER = 8 << 20  # bytes of text whose words become one dictionary
+STEP = 1 << 16  # words whose ids are put together at once
 CUT = "\0"  # stands for a space between words
 GLUE = "\1"  # begins a word that follows no space; a text that holds either goes to the library whole
 MARKS = string.punctuation
@@ -225,23 +226,30 @@ class Tokens:
         end = len(parts)
         parts.append(np.array([end_id], "<u4").tobytes())
         parts += [array("I", made.ids).tobytes() for made in self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)]
-        # parts in order: a word, the punctuation behind it, and the end behind a text's last
-        mark, last = mark_of[code], offsets[1:] - 1
-        k = 1 + (mark >= 0)
-        k[last] += 1
-        at = np.cumsum(k) - k
-        order = np.empty(int(k.sum()), np.int64)
-        order[at] = first_of[code]
-        order[at[mark >= 0] + 1] = mark[mark >= 0]
-        stop = at[last] + k[last] - 1
-        order[stop] = end
-        order[at[offsets[:-1][whole]]] = end + 1 + np.arange(len(whole))
         pool, size = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begin, n = np.cumsum(size) - size, size[order]
-        total = np.cumsum(n)
-        small = np.int32 if total[-1] < 1 << 31 else np.int64
-        ids = pool[np.repeat((begin[order] - (total - n)).astype(small), n) + np.arange(total[-1], dtype=small)]
-        return ids, np.diff(total[stop], prepend=0)
+        begin, whole = np.cumsum(size) - size, np.array(whole, np.int64)
+        made, counts, i = [], [], 0
+        while i < len(texts):  # a few texts at a time, since the arrays below take several times a text's size
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP, side="right")) - 1)
+            own = code[offsets[i]:offsets[j]]
+            # parts in order: a word, the punctuation behind it, and the end behind a text's last
+            mark, ends = mark_of[own], offsets[i:j + 1].astype(np.int64) - offsets[i]
+            last, taken = ends[1:] - 1, np.flatnonzero((whole >= i) & (whole < j))
+            k = 1 + (mark >= 0)
+            k[last] += 1
+            at = np.cumsum(k) - k
+            order = np.empty(int(k.sum()), np.int64)
+            order[at] = first_of[own]
+            order[at[mark >= 0] + 1] = mark[mark >= 0]
+            stop = at[last] + k[last] - 1
+            order[stop] = end
+            order[at[ends[:-1][whole[taken] - i]]] = end + 1 + taken
+            n = size[order]
+            total = np.cumsum(n)
+            made.append(pool[np.repeat(begin[order] - (total - n), n) + np.arange(total[-1])])
+            counts.append(np.diff(total[stop], prepend=0))
+            i = j
+        return np.concatenate(made), np.concatenate(counts)
 
 
 _LOADED: dict[str, Tokens] = {}

@@ -351,6 +351,17 @@ def test_pipeline_links_by_fingerprints_too(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [0, 3, 4]
 
 
+def test_token_parts_are_put_together_in_steps(monkeypatch):
+    """Few words at a time give the same ids, with texts that go to the library whole and texts beyond a step."""
+    coder = tokens.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b, c.", None, "see <|endoftext|> here", "word " * 50, "", "x\0y", "one\ntwo three"] * 3
+    want = coder.encode(texts, 2)
+    for step in (1, 4, 30):
+        monkeypatch.setattr(tokens, "STEP", step)
+        got = coder.encode(texts, 2)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_bpe_round_trip_takes_one_worker(spark, docs):
     """One vocabulary an executor core: encoding and decoding are one step."""
     plan = bpe.round_trip(docs, BPE, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
