@@ -23,9 +23,9 @@ from rasterloom.llm.common import cut_at_spaces
 
 BLOCK = 1 << 15  # ids
 SEGMENT = 1 << 17  # ids at which a segment ends; a longer document is a segment
-MEMO = 150_000  # words of each of two generations that a worker remembers
+MEMO = 400_000  # words of each of two generations that a worker remembers
 GROUP = 500  # new words that the library encodes as one text
-TOGETHER = 8 << 20  # bytes of text whose words become one dictionary
+TOGETHER = 16 << 20  # bytes of text whose words become one dictionary
 STEP = 1 << 16  # words whose ids are put together at once
 CUT = "\0"  # stands for a space between words
 GLUE = "\1"  # begins a word that follows no space; a text that holds either goes to the library whole
