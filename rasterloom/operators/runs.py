@@ -26,7 +26,8 @@ def from_pixels(px: DataFrame) -> DataFrame:
 
 
 def to_pixels(runs: DataFrame, *extra: str) -> DataFrame:
-    return runs.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *extra)
+    """Pixels of runs; joins sort and merge them, since a size estimate sees the few runs and would broadcast their many pixels."""
+    return runs.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *extra).hint("merge")
 
 
 def sweep(weighted: DataFrame, need: Column | int) -> DataFrame:

@@ -8,6 +8,7 @@ from rasterloom.operators import fragments as M
 from rasterloom.operators import regions as G
 from rasterloom.operators import runs as R
 from rasterloom.operators import shapes as H
+from rasterloom.session import materialize
 
 rng = np.random.default_rng(5)
 A, B = rng.random((17, 23)) < 0.45, rng.random((17, 23)) < 0.6
@@ -250,3 +251,11 @@ def test_painted_pixels_survive_pruning(spark):
     labels = spark.createDataFrame([("a", 0, 0, 1), ("a", 16, 22, 1), ("a", 8, 8, 2)], "image_id string, y int, x int, state int")
     got = to_array(effective_mask(runs_of(spark, A), labels, frames, 50), A.shape)
     assert got[0, 0] and got[16, 22] and not got[8, 8]
+
+
+def test_pixels_of_runs_are_not_broadcast(spark):
+    runs = materialize(spark.range(200).selectExpr("'a' AS image_id", "200 AS fh", "30 AS fw", "CAST(id AS INT) AS y", "0 AS x0", "29 AS x1"), "runs")
+    px = R.to_pixels(runs)
+    joined = px.join(px.selectExpr("image_id", "y", "x", "x * 2 AS v"), ["image_id", "y", "x"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 6000
