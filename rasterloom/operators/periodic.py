@@ -1,8 +1,7 @@
-"""Periodic banding in line profiles: detrending, partial spectra, stable periods and harmonics.
+"""Periodic banding in line profiles: detrending, spectra, stable periods and harmonics.
 
-A profile is the table ``(<keys>, pos, v, n)`` with one row per frame line.  A spectrum is a
-sum per requested frequency bin, so only the bins of the searched band are ever computed and
-every task combines its lines before the shuffle.
+A profile is the table ``(<keys>, pos, v, n)`` with one row per frame line, so it is as long as a
+frame's side.  Each of its residuals is transformed once, and all searches read bands of that spectrum.
 """
 
 from __future__ import annotations
@@ -42,37 +41,49 @@ def detrend(profile: DataFrame, keys: Sequence[str], windows: Sequence[int]) ->
     return q.select(*keys, "win", "pos", "n", ((F.col("v") - base) / F.greatest(F.abs(base), F.lit(1e-9))).alias("rel"))
 
 
-def spectrum(signal: DataFrame, keys: Sequence[str], value: str, lo: Column, hi: Column) -> DataFrame:
-    """Magnitude of the bins ``lo..hi`` of every signal: (keys, n, k, mag)."""
-    s = signal.withColumns({"_lo": lo.cast("int"), "_hi": hi.cast("int")}).filter("_lo <= _hi")
-    s = s.select(*keys, "n", "pos", value, F.explode(F.sequence("_lo", "_hi")).alias("k"))
-    angle = F.lit(2.0) * F.pi() * ((F.col("k").cast("long") * F.col("pos")) % F.col("n")) / F.col("n")
-    out = s.groupBy(*keys, "n", "k").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(F.col(value) * F.sin(angle)).alias("im"))
-    return out.select(*keys, "n", "k", F.hypot("re", "im").alias("mag"))
+def spectra(profile: DataFrame, keys: Sequence[str], base_win: int) -> DataFrame:
+    """Magnitudes (keys, win, n, k, mag) of every bin 0..n/2 under the three detrending windows; ``win`` 1 is ``base_win``."""
+    keys = list(keys)
+    rel = detrend(profile.select(*keys, "pos", "v", "n"), keys, [int(base_win * 0.6) | 1, base_win, int(base_win * 1.6) | 1])
+    kinds = dict(rel.dtypes)
+    group = keys + ["win", "n"]
 
+    def transform(pdf):
+        import numpy as np
 
-def stable_period(profile: DataFrame, keys: Sequence[str], min_period: Column, max_period: Column, base_win: int = 251, tol: float = 0.03) -> DataFrame:
-    """Period found at nearly the same place under three detrending windows, else the signal is absent from the result."""
+        line = np.zeros(int(pdf["n"].iloc[0]))
+        line[pdf["pos"].to_numpy()] = pdf["rel"].to_numpy()
+        return pdf.iloc[:1][group].assign(mags=[np.abs(np.fft.rfft(line))])
+
+    whole = rel.groupBy(*group).applyInPandas(transform, ", ".join(f"{c} {kinds[c]}" for c in group) + ", mags array<double>")
+    return whole.select(*group, F.posexplode("mags").alias("k", "mag"))
+
+
+def stable_in(mags: DataFrame, line: Sequence[str], bands: DataFrame, keys: Sequence[str], tol: float = 0.03) -> DataFrame:
+    """Period of each band (keys, n, _min, _max) of its line's spectra, found at nearly the same place under all windows, else absent."""
     keys = list(keys)
-    band = profile.withColumn("_max", F.least(max_period, F.floor(F.col("n") / 3))).withColumn("_min", min_period).filter("_max > _min")
-    lims = band.groupBy(*keys).agg(F.first("_min").alias("_min"), F.first("_max").alias("_max"))
-    wins = [int(base_win * 0.6) | 1, base_win, int(base_win * 1.6) | 1]
-    rel = detrend(band.select(*keys, "pos", "v", "n"), keys, wins).join(lims, keys)
-    mags = spectrum(rel, keys + ["win"], "rel", F.floor(F.col("n") / F.col("_max")) + 1, F.ceil(F.col("n") / F.col("_min")) - 1)
-    peak = mags.groupBy(*keys, "win").agg((F.first("n") / F.max_by("k", F.struct(F.round("mag", 9), -F.col("k")))).alias("_p"))
+    own = bands.withColumn("_max", F.least("_max", F.floor(F.col("n") / 3))).filter("_max > _min")
+    j = mags.join(own.drop("n"), list(line)).filter(F.col("k").between(F.floor(F.col("n") / F.col("_max")) + 1, F.ceil(F.col("n") / F.col("_min")) - 1))
+    peak = j.groupBy(*keys, "win").agg((F.first("n") / F.max_by("k", F.struct(F.round("mag", 9), -F.col("k")))).alias("_p"))
     out = peak.groupBy(*keys).agg(F.avg("_p").alias("period"), (F.max("_p") - F.min("_p")).alias("_spread"), F.count(F.lit(1)).alias("_c"))
     return out.filter((F.col("_c") == 3) & (F.col("_spread") / F.col("period") <= tol)).select(*keys, "period")
 
 
-def peak_snr(profile: DataFrame, keys: Sequence[str], freq: str, base_win: int = 251) -> DataFrame:
-    """Peak near ``freq`` against the median of the spectrum around it."""
+def stable_period(profile: DataFrame, keys: Sequence[str], min_period: Column, max_period: Column, base_win: int = 251, tol: float = 0.03) -> DataFrame:
+    """Period found at nearly the same place under three detrending windows, else the signal is absent from the result."""
+    keys = list(keys)
+    bands = profile.withColumns({"_min": min_period, "_max": max_period}).groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "_min", "_max")])
+    return stable_in(materialize(spectra(profile, keys, base_win), "spectra"), keys, bands, keys, tol)
+
+
+def peak_snr(mags: DataFrame, line: Sequence[str], asked: DataFrame, keys: Sequence[str], freq: str) -> DataFrame:
+    """Peak near ``freq`` of each (keys) against the median of the spectrum around it, under the middle window."""
     keys = list(keys)
-    rel = detrend(profile.select(*keys, "pos", "v", "n"), keys, [base_win])
-    at = profile.groupBy(*keys).agg(F.first(freq).alias("_f"))
     bins = F.floor(F.col("n") / 2) + 1
-    rel = rel.join(at, keys).withColumn("_i", F.greatest(F.lit(1), F.least(F.rint(F.col("_f") * F.col("n")), bins - 2)).cast("int"))
-    m = spectrum(rel, keys + ["_i"], "rel", F.greatest(F.lit(0), F.col("_i") - FLOOR_HALF), F.least(bins, F.col("_i") + FLOOR_HALF) - 1)
+    m = mags.filter("win = 1").join(asked.select(*keys, F.col(freq).alias("_f")), list(line))
+    m = m.withColumn("_i", F.greatest(F.lit(1), F.least(F.rint(F.col("_f") * F.col("n")), bins - 2)).cast("int"))
     off = F.col("k") - F.col("_i")
+    m = m.filter((off >= -FLOOR_HALF) & (off < FLOOR_HALF))
     near, around = F.abs(off) <= 1, (F.col("k") >= 1) & ((off < -FLOOR_SKIP) | (off > FLOOR_SKIP))
     peak = m.filter(near).groupBy(*keys).agg(F.max("mag").alias("_peak"))
     floor = bounded_percentiles(m.filter(around), keys, "mag", {"_floor": 0.5})
@@ -84,18 +95,19 @@ def analyze(profile: DataFrame, min_period: int = 80, base_win: int = 251, tol:
     """Validated period of each (image_id, axis): period, snr and the harmonics that pass the same tests on their own."""
     top = F.greatest(F.lit(min_period + 1), F.floor(F.col("n") / 3))
     profile = materialize(profile, "profile")
-    base = materialize(stable_period(profile, LINE, F.lit(min_period), top, base_win, tol), "period")
-    orders = base.select(*LINE, "period", F.explode(F.sequence(F.lit(1), F.lit(max_harmonics))).alias("h"))
+    mags = materialize(spectra(profile, LINE, base_win), "spectra")
+    lines = profile.groupBy(*LINE).agg(F.first("n").alias("n"))
+    base = stable_in(mags, LINE, lines.select(*LINE, "n", F.lit(min_period).alias("_min"), top.alias("_max")), LINE, tol)
+    orders = base.join(lines, LINE).select(*LINE, "n", "period", F.explode(F.sequence(F.lit(1), F.lit(max_harmonics))).alias("h"))
     orders = orders.withColumn("freq", F.col("h") / F.col("period")).filter((F.col("h") == 1) | (F.col("freq") < max_freq))
     goal = F.col("period") / F.col("h")
     orders = orders.withColumns({"goal": goal, "lo": F.greatest(F.lit(float(min_period)), goal * (1 - harmonic_band)),
                                  "hi": F.least(F.floor(F.col("period") * 1e6), goal * (1 + harmonic_band))})
     keys = LINE + ["h"]
-    asked = materialize(profile.join(orders, LINE), "asked")
-    orders = asked.select(*keys, "period", "freq", "goal").distinct()
-    snr = peak_snr(asked, keys, "freq", base_win)
-    again = asked.filter("h > 1 AND hi > lo")
-    own = stable_period(again, keys, F.col("lo"), F.col("hi"), base_win, tol).withColumnRenamed("period", "own")
+    orders = materialize(orders, "orders")
+    snr = peak_snr(mags, LINE, orders, keys, "freq")
+    again = orders.filter("h > 1 AND hi > lo").select(*keys, "n", F.col("lo").alias("_min"), F.col("hi").alias("_max"))
+    own = stable_in(mags, LINE, again, keys, tol).withColumnRenamed("period", "own")
     j = orders.join(snr, keys).join(own, keys, "left")
     first = j.filter("h = 1").filter(F.col("snr") >= fundamental_snr).select(*LINE, "period", "snr")
     good = j.filter("h > 1").filter((F.abs(F.col("own") - F.col("goal")) / F.col("goal") <= harmonic_band) & (F.col("snr") >= harmonic_snr))

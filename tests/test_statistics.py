@@ -162,3 +162,23 @@ def test_nested_samples_are_cut_from_one_ranking(spark):
     assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
     order = {r.row_key for r in df.orderBy(K.hash_order("train", "row_key")).limit(50).collect()}
     assert {r.row_key for r in few.collect()} == order
+
+
+@pytest.mark.parametrize("n", [30, 211, 20011])
+def test_spectra_equal_sums_over_the_line(spark, n):
+    from rasterloom.operators import periodic as P
+
+    pos = np.arange(n)
+    v = 1 + 0.3 * np.cos(2 * np.pi * pos / 10) + 0.1 * np.random.default_rng(n).random(n)
+    profile = spark.createDataFrame(pd.DataFrame({"image_id": "a", "pos": pos.astype("int32"), "n": np.int32(n), "v": v}))
+    got = P.spectra(profile, ["image_id"], 25).toPandas()
+    assert len(got) == 3 * (n // 2 + 1)
+    for win, width in enumerate((15, 25, 41)):
+        width = min(width, (n // 2) | 1)
+        base = np.convolve(np.pad(v, width // 2), np.ones(width), "valid") / width
+        rel = (v - base) / np.maximum(np.abs(base), 1e-9)
+        mine = got[got["win"] == win].set_index("k")["mag"]
+        for k in (0, 1, n // 10, n // 2):
+            assert mine[k] == pytest.approx(abs(np.sum(rel * np.exp(-2j * np.pi * (k * pos % n) / n))), abs=1e-8)
+    found = P.stable_period(profile, ["image_id"], F.lit(6), F.lit(40), 25).first()
+    assert found.period == pytest.approx(10, rel=0.05) if n > 30 else True
