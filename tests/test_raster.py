@@ -118,3 +118,31 @@ def test_axis_peaks_go_whole(spark):
     r = stats.first()
     assert (r.peaks_x, r.peaks_y, r.n_notched) == (2, 2, 12)
     assert np.abs(frame(fixed, "data") - np.real(np.fft.ifft2(z))).max() < 1e-9
+
+
+def test_line_terms_follow_the_tile_not_the_frame():
+    from rasterloom.functions import fourier as W
+
+    for size, pad in ((7, 3), (5, 11), (2, 5), (1, 2)):
+        line = rng.random(size)
+        turn = np.mod(np.arange(-pad, size + pad), max(2 * (size - 1), 1))
+        want = np.fft.fft(line[np.where(turn < size, turn, 2 * (size - 1) - turn)])
+        bins = tuple(range(size + 2 * pad))
+        got = sum(W.line_terms(size, pad, bins, at, min(3, size - at)) @ line[at:at + 3] for at in range(0, size, 3))
+        assert np.allclose(got, want, atol=1e-10)
+        assert W.line_terms(10 ** 9, 10 ** 8, (0, 1), 5, 3).shape == (2, 3)
+
+
+@pytest.mark.parametrize("strip", [1, 100])
+def test_low_pass_by_strips(spark, monkeypatch, strip):
+    monkeypatch.setattr(D, "STRIP", strip)
+    a = rng.random((21, 17))
+    periods = spark.createDataFrame([("a", 6, 5, 0.03, 0.05)], "image_id string, ph int, pw int, cut_r double, cut_c double")
+    full = np.fft.fft2(np.pad(a, ((6, 6), (5, 5)), mode="reflect"))
+    fr, fc = np.fft.fftfreq(33)[:, None] / 0.03, np.fft.fftfreq(27)[None, :] / 0.05
+    want = np.real(np.fft.ifft2(full * np.exp(-0.5 * (fr ** 2 + fc ** 2))))[6:27, 5:22]
+    got = np.full(a.shape, np.nan)
+    for r in D.macro_pieces(tiles_of(spark, {"a": a}, 8), periods).collect():
+        for p in r.pieces:
+            got[p.y0:p.y0 + p.h, p.x0:p.x0 + p.w] = np.reshape(p.data, (p.h, p.w))
+    assert np.abs(got - want).max() < 1e-12
