@@ -124,16 +124,16 @@ def fragment_match(fragments: DataFrame, names: DataFrame, gram: int = 3) -> Dat
 
     ``contains`` alone would force a nested-loop join.  Names are counted by their short character grams, each fragment
     meets them by its rarest one, and the full containment is then verified.  So fragments with a common
-    beginning don't share a key, and one with a gram that no name has meets none.
+    beginning don't share a key, and one with a gram that no name has meets none.  Frames of one name are one row throughout.
     """
     cuts = lambda c, sizes: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(
         sizes, lambda k: F.substring(F.col(c), i, k)))))
     frag = fragments.select("fragment", F.lower("fragment").alias("_f")).filter("_f <> ''").distinct()
-    low = names.select("image_id", F.lower("name").alias("_n")).filter("_n <> ''")
-    indexed = low.select("image_id", "_n", F.explode(cuts("_n", F.sequence(F.lit(1), F.lit(gram)))).alias("_g"))
+    low = names.groupBy(F.lower("name").alias("_n")).agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("_frames")).filter("_n <> ''")
+    indexed = low.select("image_id", "_frames", "_n", F.explode(cuts("_n", F.sequence(F.lit(1), F.lit(gram)))).alias("_g"))
     own = frag.select("fragment", "_f", F.explode(cuts("_f", F.array(F.least(F.lit(gram), F.length("_f"))))).alias("_g"))
     own = own.filter(F.length("_g") == F.least(F.lit(gram), F.length("_f")))
     held = indexed.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
     rarest = own.join(held, "_g", "left").groupBy("fragment", "_f").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), "_g")).alias("_k"))
     hits = rarest.select("fragment", "_f", F.col("_k._g").alias("_g")).join(indexed, "_g").filter(F.col("_n").contains(F.col("_f")))
-    return hits.groupBy("fragment").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("n_matches"))
+    return hits.groupBy("fragment").agg(F.min("image_id").alias("image_id"), F.sum("_frames").alias("n_matches"))

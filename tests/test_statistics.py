@@ -182,3 +182,13 @@ def test_spectra_equal_sums_over_the_line(spark, n):
             assert mine[k] == pytest.approx(abs(np.sum(rel * np.exp(-2j * np.pi * (k * pos % n) / n))), abs=1e-8)
     found = P.stable_period(profile, ["image_id"], F.lit(6), F.lit(40), 25).first()
     assert found.period == pytest.approx(10, rel=0.05) if n > 30 else True
+
+
+def test_frames_of_one_name_are_matched_once(spark):
+    from rasterloom.operators import labels as L
+
+    names = spark.range(1, 5001).selectExpr("id AS image_id", "concat('Plate_', id % 3) AS name")
+    out = L.fragment_match(spark.createDataFrame([("plate",), ("E_2",), ("x",)], "fragment string"), names)
+    assert {tuple(r) for r in out.collect()} == {("plate", 1, 5000), ("E_2", 2, 1667)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate") < plan.rindex("Aggregate")  # names are grouped before their grams are cut
