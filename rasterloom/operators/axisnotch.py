@@ -55,6 +55,26 @@ def axis_spectrum(tiles: DataFrame, band: int) -> DataFrame:
         transform, f"image_id {kind}, axis string, across int, n int, re array<double>, im array<double>")
 
 
+def running_median(values, half: int):
+    """Median of the up to ``2 * half + 1`` values around each place; the line is mirrored once at either end."""
+    from bisect import bisect_left, insort
+
+    import numpy as np
+
+    n, half = len(values), min(half, 2 * len(values))
+    v = np.concatenate([values[::-1], values, values[::-1]]).tolist()
+    held, out = sorted(v[max(0, n - half):min(3 * n, n + half)]), np.empty(n)
+    for f in range(n):
+        first, last = n + f - half, n + f + half
+        if last < 3 * n:
+            insort(held, v[last])
+        if f and first > 0:
+            del held[bisect_left(held, v[first - 1])]
+        size = len(held)
+        out[f] = (held[(size - 1) // 2] + held[size // 2]) / 2
+    return out
+
+
 def spectrum_peaks(mags: DataFrame, dc: int, peak_k: float) -> DataFrame:
     """Bins ``f`` of (image_id, axis, n, f, m) above the running median by ``peak_k`` robust deviations.
 
@@ -63,13 +83,16 @@ def spectrum_peaks(mags: DataFrame, dc: int, peak_k: float) -> DataFrame:
     of what exceeds the median stands in.
     """
     quiet = mags.withColumn("m", F.when((F.col("f") < dc) | (F.col("f") >= F.col("n") - dc), F.lit(0.0)).otherwise(F.col("m")))
-    half = F.expr("(greatest(9, n div 64) | 1) div 2")
-    places = F.explode(F.filter(F.array(F.col("f"), -1 - F.col("f"), 2 * F.col("n") - 1 - F.col("f")), lambda p: (p >= -half) & (p < F.col("n") + half)))
-    mirrored = quiet.withColumn("p", places)
     line = ["image_id", "axis"]
-    reach = quiet.select(*line, "n", "f", F.explode(F.sequence(F.col("f") - half, F.col("f") + half)).alias("p"))
-    floor = reach.join(mirrored.select(*line, "p", "m"), [*line, "p"]).groupBy(*line, "f").agg(F.percentile("m", 0.5).alias("floor"))
-    rest = quiet.join(floor, [*line, "f"]).withColumn("over", F.col("m") - F.col("floor"))
+
+    def settle(pdf):
+        pdf = pdf.sort_values("f")
+        return pdf.assign(floor=running_median(pdf["m"].to_numpy(), (max(9, int(pdf["n"].iloc[0]) // 64) | 1) // 2))
+
+    kinds = dict(quiet.dtypes)
+    columns = [*line, "n", "f", "m"]
+    floor = quiet.select(*columns).groupBy(*line).applyInPandas(settle, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", floor double")
+    rest = floor.withColumn("over", F.col("m") - F.col("floor"))
     whole = Window.partitionBy(*line)
     rest = rest.withColumn("mid", F.percentile("over", 0.5).over(whole))
     spread = F.percentile(F.abs(F.col("over") - F.col("mid")), 0.5).over(whole) * ROBUST
@@ -98,10 +121,28 @@ def axis_peak_notch(tiles: DataFrame, band: int = 2, peak_k: float = 3.0, half:
     gone = bins.join(cut.select("image_id", "axis", "n", F.pmod("s", "n").alias("f")).distinct(), ["image_id", "axis", "n", "f"])
     own = gone.withColumn("s", signed)
     # A bin near both axes may be removed by either; it goes once.
-    placed = own.select("image_id", F.when(F.col("axis") == "x", F.col("across")).otherwise(F.col("s")).cast("int").alias("u"),
-                        F.when(F.col("axis") == "x", F.col("s")).otherwise(F.col("across")).cast("int").alias("v"), "re", "im").dropDuplicates(["image_id", "u", "v"])
-    frame = materialize(placed.groupBy("image_id").agg(F.collect_list(F.struct("u", "v", "re", "im")).alias("cells")), "removed")
+    placed = own.select("image_id", "axis", "across", "n", "f", "re", "im", F.when(F.col("axis") == "x", F.col("across")).otherwise(F.col("s")).cast("int").alias("u"),
+                        F.when(F.col("axis") == "x", F.col("s")).otherwise(F.col("across")).cast("int").alias("v")).dropDuplicates(["image_id", "u", "v"])
+    sides = tiles.filter("ty = 0 AND tx = 0").select("image_id", F.col("h").alias("th"), F.col("w").alias("tw"))
+    placed = placed.join(sides, "image_id").select("image_id", "axis", "across", "n", "f", "re", "im", F.when(F.col("axis") == "x", F.col("tw")).otherwise(F.col("th")).alias("step"))
     kind = dict(tiles.dtypes)["image_id"]
+
+    def back(pdf):
+        """The removed bins of one line as waves along it, cut at tile borders."""
+        import numpy as np
+        import pandas as pd
+
+        first = pdf.iloc[0]
+        n, step = int(first["n"]), int(first["step"])
+        z = np.zeros(n, complex)
+        z[pdf["f"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        wave = np.fft.ifft(z)
+        cut = [wave[at:at + step] for at in range(0, n, step)]
+        return pd.DataFrame({"image_id": first["image_id"], "axis": first["axis"], "at": range(len(cut)), "across": int(first["across"]),
+                             "re": [c.real for c in cut], "im": [c.imag for c in cut]})
+
+    waves = placed.groupBy("image_id", "axis", "across").applyInPandas(back, f"image_id {kind}, axis string, at int, across int, re array<double>, im array<double>")
+    waves = materialize(waves.groupBy("image_id", "axis", "at").agg(F.collect_list(F.struct("across", "re", "im")).alias("waves")), "removed")
     schema = f"image_id {kind}, ty int, tx int, y0 int, x0 int, h int, w int, fh int, fw int, data array<double>, orig array<double>"
 
     def subtract(batches):
@@ -110,20 +151,21 @@ def axis_peak_notch(tiles: DataFrame, band: int = 2, peak_k: float = 3.0, half:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                a = np.asarray(r.data)
-                if r.u is not None:
-                    us, at_u = np.unique(np.asarray(r.u), return_inverse=True)
-                    vs, at_v = np.unique(np.asarray(r.v), return_inverse=True)
-                    z = np.zeros((len(us), len(vs)), complex)
-                    z[at_u, at_v] = np.asarray(r.re) + 1j * np.asarray(r.im)
-                    ey = np.exp(2j * np.pi * np.outer(r.y0 + np.arange(r.h), us) / r.fh) / r.fh
-                    ex = np.exp(2j * np.pi * np.outer(r.x0 + np.arange(r.w), vs) / r.fw) / r.fw
-                    a = a - np.real(ey @ z @ ex.T).ravel()
-                out.append(a)
+                a = np.asarray(r.data).reshape(r.h, r.w)
+                if r.yk is not None:
+                    for k, re, im in zip(r.yk, r.yre, r.yim):
+                        a = a - np.real(np.outer(re + 1j * im, np.exp(2j * np.pi * k * (r.x0 + np.arange(r.w)) / r.fw) / r.fw))
+                if r.xk is not None:
+                    for k, re, im in zip(r.xk, r.xre, r.xim):
+                        a = a - np.real(np.outer(np.exp(2j * np.pi * k * (r.y0 + np.arange(r.h)) / r.fh) / r.fh, re + 1j * im))
+                out.append(a.ravel())
             yield pdf[H.GEOMETRY].assign(data=out, orig=pdf["data"])
 
-    cells = [F.col(f"cells.{c}").alias(c) for c in ("u", "v", "re", "im")]
-    work = tiles.join(frame, "image_id", "left").select(*H.GEOMETRY, "data", *cells)
+    work = tiles
+    for axis, tile in (("y", "ty"), ("x", "tx")):
+        mine = waves.filter(F.col("axis") == axis).select("image_id", F.col("at").alias(tile), *[F.col(f"waves.{c}").alias(axis + n) for c, n in (("across", "k"), ("re", "re"), ("im", "im"))])
+        work = work.join(mine, ["image_id", tile], "left")
+    work = work.select(*H.GEOMETRY, "data", "yk", "yre", "yim", "xk", "xre", "xim")
     both = materialize(work.mapInPandas(subtract, schema), "axisout")
     px = pixels(both, "data", "orig")
     stat = px.groupBy("image_id").agg(F.corr("data", "orig").alias("corr"), (1 - F.try_divide(F.sum(F.col("data") * F.col("data")), F.sum(F.col("orig") * F.col("orig")))).alias("energy_removed"))

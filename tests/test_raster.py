@@ -146,3 +146,12 @@ def test_low_pass_by_strips(spark, monkeypatch, strip):
         for p in r.pieces:
             got[p.y0:p.y0 + p.h, p.x0:p.x0 + p.w] = np.reshape(p.data, (p.h, p.w))
     assert np.abs(got - want).max() < 1e-12
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40, 700])
+def test_running_median_mirrors_the_line(n):
+    for half in (4, 5):
+        v = np.round(rng.random(n), 1)
+        mirrored = {**{f: v[f] for f in range(n)}, **{-1 - f: v[f] for f in range(n)}, **{2 * n - 1 - f: v[f] for f in range(n)}}
+        want = [np.median([mirrored[p] for p in range(f - half, f + half + 1) if p in mirrored and -half <= p < n + half]) for f in range(n)]
+        assert np.allclose(X.running_median(v, half), want, atol=1e-15)
