@@ -7,6 +7,7 @@ operator.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from rasterloom.functions.scalars import content_id
 from rasterloom.session import scratch_dir
 
 UNDO_DEPTH = 30
+PAINTED = 1 << 20  # pixels times strokes that are painted at once
+GROUP_PIXELS, GROUP_FRAMES = 1 << 16, 64  # most that one row of stream state holds, one tile at least
 
 
 def brush_pixels(strokes: DataFrame, height: int, width: int) -> DataFrame:
@@ -52,14 +55,16 @@ class TileLabels:
 
         self.shape, self.y0, self.x0 = (h, w), y0, x0
         self.live: list[tuple] = []  # (ts, id, mode, y, x, radius)
+        self._old: list[tuple] = []  # pushed out of the live ones, not painted yet
         if saved is None:
             self.value, self.at = np.zeros((h, w), np.uint8), np.full((h, w, 2), np.iinfo(np.int64).min)
         else:
             self.value = np.frombuffer(saved[0], np.uint8).reshape(h, w).copy()
             self.at = np.frombuffer(saved[1], np.int64).reshape(h, w, 2).copy()
-            self.live = [tuple(r) for r in zip(*saved[2:])]
+            self.live = list(zip(*saved[2:]))
 
     def saved(self) -> tuple:
+        self._settle()
         columns = list(zip(*self.live)) if self.live else [()] * 6
         return (self.value.tobytes(), self.at.tobytes(), *[list(c) for c in columns])
 
@@ -68,42 +73,53 @@ class TileLabels:
         _, _, mode, y, x, radius = stroke
         return mode == "clear" or (self.y0 - radius <= y < self.y0 + self.shape[0] + radius and self.x0 - radius <= x < self.x0 + self.shape[1] + radius)
 
-    def _covered(self, stroke):
+    def _paint(self, strokes, value, at) -> None:
+        """Every pixel takes the latest of its writer in ``at`` and the strokes over it, all at once but for large tiles."""
         import numpy as np
 
-        _, _, mode, y, x, radius = stroke
-        if mode == "clear":
-            return np.ones(self.shape, bool), 0
-        dy, dx = np.arange(self.shape[0]) + self.y0 - y, np.arange(self.shape[1]) + self.x0 - x
-        return dy[:, None] ** 2 + dx[None, :] ** 2 <= radius * radius, 1 if mode == "crack" else 2
+        strokes = sorted(filter(self._hits, strokes))
+        ys, xs = np.arange(self.shape[0]) + self.y0, np.arange(self.shape[1]) + self.x0
+        for part in (strokes[i:i + self._at_once()] for i in range(0, len(strokes), self._at_once())):
+            stamps = np.array([s[:2] for s in part], np.int64)
+            clear = np.array([s[2] == "clear" for s in part])
+            cy, cx, radius = np.array([s[3:6] for s in part], np.int64).T
+            dy, dx = (ys - cy[:, None]) ** 2, (xs - cx[:, None]) ** 2
+            over = (dy[:, :, None] + dx[:, None, :] <= (radius * radius)[:, None, None]) | clear[:, None, None]
+            last = len(part) - 1 - over[::-1].argmax(0)
+            ts, ident = stamps[last, 0], stamps[last, 1]
+            # A late stroke may be older than what has settled below it.
+            hit = over.any(0) & ((at[..., 0] < ts) | ((at[..., 0] == ts) & (at[..., 1] < ident)))
+            wrote = np.array([0 if s[2] == "clear" else 1 if s[2] == "crack" else 2 for s in part], np.uint8)
+            value[hit], at[hit] = wrote[last[hit]], stamps[last[hit]]
+
+    def _at_once(self) -> int:
+        return max(1, PAINTED // (self.shape[0] * self.shape[1]))
+
+    def _settle(self) -> None:
+        if self._old:
+            self._paint(self._old, self.value, self.at)
+            self._old = []
 
     def add(self, stroke: tuple) -> None:
         """One event; undo takes the newest live stroke before it."""
         if stroke[2] == "undo":
-            before = [i for i, s in enumerate(self.live) if s[:2] < stroke[:2]]
+            before = bisect_left(self.live, stroke[:2])
             if before:
-                del self.live[before[-1]]
+                del self.live[before - 1]
             return
-        self.live = sorted([*self.live, stroke])
-        while len(self.live) > UNDO_DEPTH:
-            oldest = self.live.pop(0)
-            if not self._hits(oldest):
-                continue
-            hit, value = self._covered(oldest)
-            ts, ident = oldest[:2]
-            hit &= (self.at[..., 0] < ts) | ((self.at[..., 0] == ts) & (self.at[..., 1] < ident))
-            self.value[hit], self.at[hit] = value, (ts, ident)
+        insort(self.live, stroke)
+        if len(self.live) > UNDO_DEPTH:
+            self._old.append(self.live.pop(0))
 
     def raster(self):
+        self._settle()
         out = self.value.copy()
-        for stroke in filter(self._hits, self.live):
-            hit, value = self._covered(stroke)
-            # A late stroke may be older than what has settled below it.
-            out[hit & ((self.at[..., 0] < stroke[0]) | ((self.at[..., 0] == stroke[0]) & (self.at[..., 1] < stroke[1])))] = value
+        self._paint(self.live, out, self.at.copy())
         return out
 
 
-STATE = ("version bigint, value binary, at binary, ts array<bigint>, ids array<bigint>, modes array<string>, ys array<int>, xs array<int>, radii array<int>")
+STATE = ("version bigint, frames array<bigint>, counts array<int>, value binary, at binary, ts array<bigint>, ids array<bigint>, modes array<string>, "
+         "ys array<int>, xs array<int>, radii array<int>")
 CHANGES = "image_id bigint, version bigint, y int, x int, state int"
 
 
@@ -111,31 +127,51 @@ def stroke_stream(strokes: DataFrame, height: int, width: int, tile: int = 256)
     """Streaming label state with undo of a frame's last 30 strokes.
 
     State is held per tile and every stroke goes to all tiles of its frame as one small row.  A stroke that arrives late takes its
-    place by (ts, stroke_id), as in the batch form.  Emits the changed pixels of each micro-batch; state 0 is no label.
+    place by (ts, stroke_id), as in the batch form.  Small tiles at the same place of frames with neighbouring numbers share a state
+    row, up to ``GROUP_PIXELS`` and ``GROUP_FRAMES``, since a call costs far more than a small tile.  Emits the changed pixels of
+    each micro-batch; state 0 is no label.
     """
+    frames = max(1, min(GROUP_FRAMES, GROUP_PIXELS // (tile * tile)))
+
     def update(key, batches, state):
         import numpy as np
         import pandas as pd
 
-        _, ty, tx = (int(k) for k in key)
+        ty, tx = int(key[1]), int(key[2])
         y0, x0 = ty * tile, tx * tile
         h, w = min(tile, height - y0), min(tile, width - x0)
-        version, saved = (state.get[0], state.get[1:]) if state.exists else (0, None)
-        held = TileLabels(h, w, y0, x0, saved)
-        before = held.raster()
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "stroke_id"])
-        stamps = pdf["ts"].astype("datetime64[us]").astype("int64")
-        for ts, r in zip(stamps.tolist(), pdf.itertuples(index=False)):
-            held.add((ts, int(r.stroke_id), r.mode, int(r.y), int(r.x), int(r.radius)))
-        after = held.raster()
-        state.update((version + 1, *held.saved()))
-        ys, xs = np.nonzero(before != after)
-        yield pd.DataFrame({"image_id": key[0], "version": version + 1, "y": (ys + y0).astype("int32"), "x": (xs + x0).astype("int32"),
-                            "state": after[ys, xs].astype("int32")})
+        version, held = 0, {}
+        if state.exists:
+            version, names, counts, value, at, *live = state.get
+            ends, size = np.cumsum([0, *counts]).tolist(), h * w
+            held = {f: (value[i * size:(i + 1) * size], at[16 * i * size:16 * (i + 1) * size], *[c[ends[i]:ends[i + 1]] for c in live])
+                    for i, f in enumerate(names)}
+        events = {}
+        for pdf in batches:
+            stamps = pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            names = [None] * len(pdf) if pd.isna(key[0]) else pdf["image_id"].tolist()
+            for f, *event in zip(names, stamps, *(pdf[c].tolist() for c in ("stroke_id", "mode", "y", "x", "radius"))):
+                events.setdefault(f, []).append(tuple(event))
+        out = []
+        for f, new in events.items():
+            labels = TileLabels(h, w, y0, x0, held.get(f))
+            before = labels.raster()
+            for event in sorted(new):
+                labels.add(event)
+            after = labels.raster()
+            held[f] = labels.saved()
+            ys, xs = np.nonzero(before != after)
+            out.append((np.full(len(ys), f), ys + y0, xs + x0, after[ys, xs]))
+        live = [[v for s in held.values() for v in s[i]] for i in range(2, 8)]
+        state.update((version + 1, list(held), [len(s[2]) for s in held.values()], *[b"".join(s[i] for s in held.values()) for i in (0, 1)], *live))
+        names, ys, xs, states = (np.concatenate(c) for c in zip(*out))
+        if len(ys):
+            yield pd.DataFrame({"image_id": names, "version": version + 1, "y": ys.astype("int32"), "x": xs.astype("int32"), "state": states.astype("int32")})
 
     spread = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit((size - 1) // tile))).alias(name)
-    tiled = strokes.select("*", spread("ty", height)).select("*", spread("tx", width))
-    return tiled.groupBy("image_id", "ty", "tx").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
+    tiled = strokes.select("image_id", "ts", "stroke_id", "mode", "y", "x", "radius", spread("ty", height)).select("*", spread("tx", width))
+    keyed = tiled.withColumn("pack", F.expr(f"image_id div {frames}"))
+    return keyed.groupBy("pack", "ty", "tx").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
 
 
 def new_base(spark, label: str) -> str:

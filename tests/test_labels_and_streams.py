@@ -70,6 +70,23 @@ def test_stream_replays_like_the_batch_and_can_undo(spark, tmp_path):
     assert drain(undone, "undo", F.col("stroke_id")) == {tuple(r) for r in W.stroke_labels(stroke_rows(spark, rows[:-1]), 10, 10).select("image_id", "y", "x", "state").collect()}
 
 
+def test_small_tiles_of_neighbouring_frames_share_a_state_row(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(-70, 200)), str(rng.choice(["crack", "erase", "clear"], p=[0.5, 0.4, 0.1])), int(rng.integers(10)), int(rng.integers(10)), 1) for _ in range(900)]
+    df = stroke_rows(spark, rows)
+    want = {tuple(r) for r in W.stroke_labels(df, 10, 10).select("image_id", "y", "x", "state").collect()}
+    bases = []
+
+    def drain(stream, base):
+        bases.append(base)
+        return W.run_to_table(W.stroke_stream(stream, 10, 10, tile=8), W.CHANGES, "update", base)
+
+    out = W.in_turn(df, F.pmod("stroke_id", F.lit(3)), "shared", drain)
+    assert {tuple(r) for r in W.latest_labels(out).select("image_id", "y", "x", "state").collect()} == want
+    states = spark.read.format("statestore").load(f"{bases[0]}/state").count()
+    assert states <= 4 * 6  # four tiles, frames in groups of 64; one row a tile and frame would be about 1000
+
+
 def test_settled_and_live_strokes_replay_alike():
     rng = np.random.default_rng(3)
     events = [(t, t, rng.choice(["crack", "erase", "clear"], p=[0.5, 0.45, 0.05]), int(rng.integers(8)), int(rng.integers(8)), int(rng.integers(1, 4))) for t in range(120)]
