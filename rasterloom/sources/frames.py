@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalars import content_id, stem
+from rasterloom.session import in_parts
 
 # Readable raster extensions.
 READABLE = ("tif", "tiff", "png", "jpg", "jpeg", "bmp", "npy", "raw")
@@ -52,7 +53,7 @@ def decode_arrays(files: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        for pdf in batches:
+        for pdf in in_parts(batches, lambda p: [1 + len(c or b"") // 8 for c in p["content"]]):
             rows = []
             for ident, blob in zip(pdf["image_id"], pdf["content"]):
                 try:
@@ -77,7 +78,7 @@ def encode_arrays(tiles: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        for pdf in batches:
+        for pdf in in_parts(batches, lambda p: p["h"] * p["w"]):
             blobs = []
             for h, w, data in zip(pdf["h"], pdf["w"], pdf["data"]):
                 out = io.BytesIO()

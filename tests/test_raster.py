@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels as K
 from rasterloom.operators import axisnotch as X
@@ -155,3 +157,24 @@ def test_running_median_mirrors_the_line(n):
         mirrored = {**{f: v[f] for f in range(n)}, **{-1 - f: v[f] for f in range(n)}, **{2 * n - 1 - f: v[f] for f in range(n)}}
         want = [np.median([mirrored[p] for p in range(f - half, f + half + 1) if p in mirrored and -half <= p < n + half]) for f in range(n)]
         assert np.allclose(X.running_median(v, half), want, atol=1e-15)
+
+
+def test_a_worker_holds_a_bounded_part_of_a_batch(spark):
+    from rasterloom.operators import lookup as E
+    from rasterloom.session import PART_CELLS, in_parts
+
+    tiles = spark.range(3000).select(F.col("id").cast("string").alias("image_id"), *[F.lit(n).alias(c) for c, n in zip(H.GEOMETRY[1:], (0, 0, 0, 0, 8, 8, 8, 8))],
+                                     F.array_repeat(F.col("id").cast("double"), 64).alias("data")).coalesce(1)
+
+    def size(win):
+        return np.full_like(win.centre(), len(win.data))
+
+    out = H.apply_bands(tiles, 256, {"n": size}, 8).select("image_id", "data", F.get("n", F.lit(0)).alias("n")).toPandas()
+    assert len(out) == 3000 and (out["data"].map(lambda a: a[5]) == out["image_id"].astype(float)).all()
+    assert out["n"].max() <= PART_CELLS / (2 * 256 * 8) + 1
+    cut = list(in_parts([pd.DataFrame({"k": range(7)})], lambda p: [1, PART_CELLS, 1, 1, 5 * PART_CELLS, 1, 1]))
+    assert [k for c in cut for k in c["k"]] == list(range(7)) and len(cut) == 3 and list(in_parts([cut[0][:0]], lambda p: p["k"])) == []
+    one = [{"image_id": i, "tile_ord": 0, "y0": 0, "x0": 0, "c": 1, "gy": 2, "gx": 2, "e": [float(i)] * 4} for i in range(5)]
+    at = spark.createDataFrame([(i, y, 0) for i in range(5) for y in range(3)], "image_id int, y int, x int")
+    got = E.bilinear_lookup(at, spark.createDataFrame(one, "image_id int, tile_ord int, y0 int, x0 int, c int, gy int, gx int, e array<double>"), 4, 2.0).collect()
+    assert len(got) == 15 and all(r.vec == [float(r.image_id)] for r in got)
