@@ -192,3 +192,14 @@ def test_frames_of_one_name_are_matched_once(spark):
     assert {tuple(r) for r in out.collect()} == {("plate", 1, 5000), ("E_2", 2, 1667)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Generate") < plan.rindex("Aggregate")  # names are grouped before their grams are cut
+
+
+def test_training_rows_keep_every_core_busy(spark):
+    from rasterloom.plans import models as P
+    from rasterloom.sources import tables as T
+
+    root = "/root/testdata/sf0.01"
+    rows = P.training_rows(spark, root)
+    filled = rows.groupBy(F.spark_partition_id()).count().count()
+    assert filled >= spark.sparkContext.defaultParallelism  # one file of one row group is read by a single task
+    assert rows.count() == T.table(spark, root, "lineitem").count()
