@@ -259,3 +259,27 @@ def test_pixels_of_runs_are_not_broadcast(spark):
     joined = px.join(px.selectExpr("image_id", "y", "x", "x * 2 AS v"), ["image_id", "y", "x"])
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 6000
+
+
+def test_greedy_union_takes_few_rounds_for_many_proposals(spark, monkeypatch):
+    from rasterloom.operators import proposals as P
+
+    masks = {f"p{k:03d}": [(k, x) for x in range(1 + k % 9)] + [(k + 1, x) for x in range(k % 4)] for k in range(200)}
+    truth = {(k, x) for k in range(201) for x in range(k * 7 % 11)}
+    rows = [("a", name, y, x) for name, cells in masks.items() for y, x in cells]
+    t = spark.createDataFrame([("a", y, x) for y, x in truth], "image_id string, y int, x int")
+    written = []
+    monkeypatch.setattr(P, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    got = {r.proposal: r.iou for r in P.greedy_union(spark.createDataFrame(rows, "image_id string, proposal string, y int, x int"), t).collect()}
+    now, best, chosen = set(), 0.0, set()
+    iou = lambda cells: len(cells & truth) / max(len(cells | truth), 1)
+    purity = {name: len(set(cells) & truth) / len(cells) for name, cells in masks.items()}
+    for name in sorted(masks, key=lambda name: (-purity[name], name)):
+        if iou(now | set(masks[name])) > best:
+            now, chosen = now | set(masks[name]), chosen | {name}
+            best = iou(now)
+    major = {name for name in masks if purity[name] > 0.5}
+    if iou({c for name in major for c in masks[name]}) > best:
+        best, chosen = iou({c for name in major for c in masks[name]}), major
+    assert set(got) == chosen and all(v == pytest.approx(best) for v in got.values())
+    assert len(written) < 20  # ten proposals to a round were five tables for each ten
