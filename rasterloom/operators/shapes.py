@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import regions as G
-from rasterloom.session import materialize
+from rasterloom.session import by_key_stream, materialize
 from rasterloom.operators.regions import KEY
 
 THIN_TILE, THIN_HALO = 512, 64
@@ -167,56 +167,67 @@ def max_widths(labelled: DataFrame, skel: DataFrame, tile: int = THIN_TILE, halo
     return out.select(*KEY, (F.col("d") * 2).alias("max_width"))
 
 
-def _hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull of (y, x) points, counter-clockwise (monotone chain)."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 3:
-        return pts
+HULL_BLOCK = 4096  # rows of a region whose corners meet first
 
-    def chain(seq):
-        out = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    return np.array(chain(pts) + chain(pts[::-1]))
+def _sides(pdf):
+    """Convex chains of both sides of every region in a batch, as rows of their corners in order.
 
-
-def hull_runs(labelled: DataFrame) -> DataFrame:
-    """Rows of each region's convex hull ``(image_id, region_id, y, x0, x1)``; pixels reach half a unit each way."""
+    Coordinates are doubled, so corners are integers; the right side is mirrored (``v`` is minus its column), so both are lower chains.
+    """
+    import pandas as pd
+
+    keys = pdf[[*KEY, "_blk"] if "_blk" in pdf else KEY]
+    first = (keys != keys.shift()).any(axis=1).to_numpy()
+    code, side, t, v = np.cumsum(first) - 1, pdf["side"].to_numpy(np.int64), pdf["t"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)
+    order = np.lexsort((v, t, side, code))
+    keep, start, now, ts, vs = [], 0, None, [], []
+    for i, g, p, q in zip(order.tolist(), (code * 2 + side)[order].tolist(), t[order].tolist(), v[order].tolist()):
+        if g != now:
+            start, now = len(keep), g
+        elif ts[-1] == p:
+            continue
+        while len(keep) - start > 1 and (ts[-1] - ts[-2]) * (q - vs[-2]) <= (vs[-1] - vs[-2]) * (p - ts[-2]):
+            keep.pop(), ts.pop(), vs.pop()
+        keep.append(i), ts.append(p), vs.append(q)
+    return pdf.iloc[keep].reset_index(drop=True), (code * 2 + side)[keep]
+
+
+def _edges(pdf):
+    """Edges of both chains of every region in a batch."""
+    c, chain = _sides(pdf)
+    a, b = c.iloc[:-1].reset_index(drop=True), c.iloc[1:].reset_index(drop=True)
+    return a.assign(t1=b["t"], v1=b["v"])[chain[:-1] == chain[1:]]
+
+
+def hull_sides(labelled: DataFrame) -> DataFrame:
+    """Where both sides of every region's convex hull cut its rows: (image_id, region_id, side, y, e).
+
+    Pixels reach half a unit each way.  ``e`` is the first column on side 0 and minus the last on side 1.  Many regions share
+    a call, since a call costs more than a small hull; a tall region meets first in blocks of rows.
+    """
     kind = dict(labelled.dtypes)["image_id"]
     ends = labelled.groupBy(*KEY, "y").agg(F.min("x0").alias("a"), F.max("x1").alias("b"))
-    corners = ends.select(*KEY, F.floor(F.col("y") / 4096).alias("_blk"), F.inline(F.array(*[
-        F.struct((F.col("y") + dy).cast("double").alias("py"), (F.col(c) + dx).cast("double").alias("px"))
-        for c, offs in (("a", ((-0.5, 0.0), (0.5, 0.0), (0.0, -0.5))), ("b", ((-0.5, 0.0), (0.5, 0.0), (0.0, 0.5)))) for dy, dx in offs])))
+    t, left, right = 2 * F.col("y").cast("long"), 2 * F.col("a").cast("long"), -2 * F.col("b").cast("long")
+    corner = lambda side, dt, v: F.struct(F.lit(side).alias("side"), (t + dt).alias("t"), v.alias("v"))
+    corners = ends.select(*KEY, F.floor(F.col("y") / HULL_BLOCK).alias("_blk"), F.inline(F.array(*[
+        corner(side, dt, v if dt else v - 1) for side, v in ((0, left), (1, right)) for dt in (-1, 0, 1)])))
+    plain = f"image_id {kind}, region_id bigint, side int, t bigint, v bigint"
+    small = by_key_stream(corners, [*KEY, "_blk"], lambda pdf: _sides(pdf)[0].drop(columns="_blk"), plain)
+    edges = by_key_stream(small, KEY, _edges, plain + ", t1 bigint, v1 bigint")
+    rows = edges.withColumn("y", F.explode(F.expr("filter(sequence((t + pmod(t, 2)) div 2, t1 div 2), s -> 2 * s < t1)")))
+    at = F.col("v") + (2 * F.col("y") - F.col("t")) * (F.col("v1") - F.col("v")) / (F.col("t1") - F.col("t"))
+    return rows.select(*KEY, "side", F.col("y").cast("int").alias("y"), F.ceil(at / 2 - 1e-10).cast("int").alias("e"))
 
-    def reduce_(pdf):
-        import pandas as pd
 
-        h = _hull(pdf[["py", "px"]].to_numpy())
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "region_id": pdf["region_id"].iloc[0], "py": h[:, 0], "px": h[:, 1]})
+def hull_runs(labelled: DataFrame) -> DataFrame:
+    """Rows of each region's convex hull ``(image_id, region_id, y, x0, x1)``; pixels reach half a unit each way."""
+    return hull_sides(labelled).groupBy(*KEY, "y").agg(F.max(F.when(F.col("side") == 0, F.col("e"))).alias("x0"), F.max(F.when(F.col("side") == 1, -F.col("e"))).alias("x1"))
 
-    def raster(pdf):
-        import pandas as pd
 
-        h = _hull(pdf[["py", "px"]].to_numpy())
-        a, b = h, np.roll(h, -1, axis=0)
-        ys = np.arange(int(np.ceil(h[:, 0].min())), int(np.floor(h[:, 0].max())) + 1)
-        left, right = np.full(len(ys), np.inf), np.full(len(ys), -np.inf)
-        for (y0, x0), (y1, x1) in zip(a, b):
-            hit = (ys >= min(y0, y1)) & (ys <= max(y0, y1))
-            xs = np.array([min(x0, x1), max(x0, x1)]) if y0 == y1 else None
-            lo = xs[0] if xs is not None else x0 + (ys[hit] - y0) * (x1 - x0) / (y1 - y0)
-            hi = xs[1] if xs is not None else lo
-            left[hit], right[hit] = np.minimum(left[hit], lo), np.maximum(right[hit], hi)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "region_id": pdf["region_id"].iloc[0], "y": ys.astype(np.int32),
-                             "x0": np.ceil(left - 1e-10).astype(np.int32), "x1": np.floor(right + 1e-10).astype(np.int32)})
-
-    schema = f"image_id {kind}, region_id bigint, py double, px double"
-    small = corners.groupBy(*KEY, "_blk").applyInPandas(reduce_, schema)
-    return small.groupBy(*KEY).applyInPandas(raster, f"image_id {kind}, region_id bigint, y int, x0 int, x1 int")
+def hull_areas(labelled: DataFrame) -> DataFrame:
+    """Hull area per region, summed over its two sides."""
+    return hull_sides(labelled).groupBy(*KEY).agg((F.count_if(F.col("side") == 0) - F.sum("e")).alias("hull_area"))
 
 
 def hull_measures(labelled: DataFrame) -> DataFrame:

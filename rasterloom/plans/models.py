@@ -82,7 +82,7 @@ def mixture_split(spark, root):
     p = G.region_props(lb).filter("area >= 3")
     ves = R.to_pixels(lb, "region_id").join(grid_pixels(spark, root).select("image_id", "y", "x", "p"), ["image_id", "y", "x"]).groupBy(*G.KEY).agg(
         F.avg("p").alias("vesselness"))
-    hull = H.hull_measures(G.keep_regions(lb, p)).select(*G.KEY, "hull_area")
+    hull = H.hull_areas(G.keep_regions(lb, p))
     minor = F.when(F.col("minor") > 0, F.col("minor")).otherwise(0.5)
     cand = p.join(ves, G.KEY).join(hull, G.KEY).select(
         "image_id", F.col("region_id").alias("label"), "area", "major", (F.col("major") / minor).alias("elongation"),

@@ -340,7 +340,7 @@ SOLID = """, hr AS (SELECT image_id, region_id, y, min(x) AS a, max(x) AS b FROM
 def candidate_solidity(spark, root):
     """Share of its convex hull that every candidate fills."""
     lb = materialize(labelled(spark, root), "regions")
-    hull = H.hull_measures(lb).select(*G.KEY, "hull_area")
+    hull = H.hull_areas(G.keep_regions(lb, G.areas(lb).filter("area >= 4")))
     p = G.region_props(lb).filter("area >= 4").join(G.relabel_dense(lb, 4).select(*G.KEY, "label"), G.KEY).join(hull, G.KEY)
     return p.select("image_id", "label", "area", F.round(F.col("area") / F.col("hull_area"), 4).alias("solidity"))
 

@@ -283,3 +283,30 @@ def test_greedy_union_takes_few_rounds_for_many_proposals(spark, monkeypatch):
         best, chosen = iou({c for name in major for c in masks[name]}), major
     assert set(got) == chosen and all(v == pytest.approx(best) for v in got.values())
     assert len(written) < 20  # ten proposals to a round were five tables for each ten
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_hulls_of_many_regions_share_a_call(spark, monkeypatch, block):
+    from fractions import Fraction
+
+    monkeypatch.setattr(H, "HULL_BLOCK", block)
+    m = np.zeros((40, 37), bool)
+    m[:22] = rng.random((22, 37)) < 0.4
+    m[24:39, 2:4], m[30:32, 2:30], m[39, 36] = True, True, True
+    lab = C.label_runs(runs_of(spark, m), 8)
+    hull = H.hull_runs(lab)
+    assert "FlatMapGroupsInPandas" not in hull._jdf.queryExecution().executedPlan().toString()  # a call per region
+    got = {(r.region_id, r.y): (r.x0, r.x1) for r in hull.collect()}
+    ends, want = {}, {}
+    for r in R.to_pixels(lab, "region_id").collect():
+        a, b = ends.setdefault(r.region_id, {}).get(r.y, (r.x, r.x))
+        ends[r.region_id][r.y] = min(a, r.x), max(b, r.x)
+    for region, rows in ends.items():
+        pts = [(2 * y + d, 2 * a - (d == 0), 2 * b + (d == 0)) for y, (a, b) in rows.items() for d in (-1, 0, 1)]
+        for y in rows:
+            pairs = [(p, q) for p in pts for q in pts if p[0] <= 2 * y <= q[0]]
+            cut = [[p[s] + Fraction((q[s] - p[s]) * (2 * y - p[0]), max(q[0] - p[0], 1)) for p, q in pairs] for s in (1, 2)]
+            want[region, y] = -int(-min(cut[0]) // 2), int(max(cut[1]) // 2)
+    assert got == want
+    area = {r.region_id: r.hull_area for r in H.hull_areas(lab).collect()}
+    assert area == {region: sum(want[region, y][1] - want[region, y][0] + 1 for y in rows) for region, rows in ends.items()}
