@@ -84,20 +84,23 @@ def border_pixels(labelled: DataFrame) -> DataFrame:
     return R.to_pixels(own, "region_id")
 
 
-def perimeters(labelled: DataFrame) -> DataFrame:
-    """Crofton-style perimeter: border pixels weighted by how their border neighbours lie."""
-    b = border_pixels(labelled)
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(2 if dy == 0 or dx == 0 else 10).alias("w"))
-                       for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+def border_lengths(b: DataFrame) -> DataFrame:
+    """Length of every region's border pixels, weighted by how their border neighbours lie."""
+    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(10 if dy and dx else 2 if dy or dx else 1).alias("w"))
+                       for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     cast = b.withColumn("_o", F.explode(around)).select(
         *KEY, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), F.col("_o.w").alias("w"))
-    code = b.join(cast, KEY + ["y", "x"]).groupBy(*KEY, "y", "x").agg((F.sum("w") + 1).alias("code"))
+    code = cast.groupBy(*KEY, "y", "x").agg(F.sum("w").alias("code"), F.min("w").alias("_own")).filter("_own = 1")
     r2 = 2 ** 0.5
     # Contribution of each neighbour code to the length.
     length = (F.when(F.col("code").isin(5, 7, 15, 17, 25, 27), 1.0).when(F.col("code").isin(21, 33), r2)
               .when(F.col("code").isin(13, 23), (1 + r2) / 2).otherwise(0.0))
-    found = code.groupBy(*KEY).agg(F.sum(length).alias("_p"))
-    return areas(labelled).join(found, KEY, "left").select(*KEY, "area", F.coalesce("_p", F.lit(0.0)).alias("perimeter"))
+    return code.groupBy(*KEY).agg(F.sum(length).alias("length"))
+
+
+def perimeters(labelled: DataFrame) -> DataFrame:
+    """Crofton-style perimeter of every region."""
+    return areas(labelled).join(border_lengths(border_pixels(labelled)), KEY, "left").select(*KEY, "area", F.coalesce("length", F.lit(0.0)).alias("perimeter"))
 
 
 def circularity(area: Column, perimeter: Column) -> Column:

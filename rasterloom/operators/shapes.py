@@ -230,17 +230,23 @@ def hull_areas(labelled: DataFrame) -> DataFrame:
     return hull_sides(labelled).groupBy(*KEY).agg((F.count_if(F.col("side") == 0) - F.sum("e")).alias("hull_area"))
 
 
+def hull_border(hull: DataFrame) -> DataFrame:
+    """Pixels of a hull with a 4-neighbour outside it.  A hull has one run a row, so its rows above and below tell them."""
+    near = hull.select(*KEY, "y", "x0", "x1", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_d"))
+    own = lambda c: F.max(F.when(F.col("_d") == 0, F.col(c)))
+    rows = near.groupBy(*KEY, (F.col("y") + F.col("_d")).alias("y")).agg(
+        own("x0").alias("a"), own("x1").alias("b"), F.max("x0").alias("_lo"), F.min("x1").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("a IS NOT NULL")
+    rows = rows.withColumns({"_lo": F.greatest("_lo", F.col("a") + 1), "_hi": F.least("_hi", F.col("b") - 1)})
+    inner = (F.col("_n") == 3) & (F.col("_lo") <= F.col("_hi"))
+    edge = F.when(inner, F.concat(F.sequence("a", F.col("_lo") - 1), F.sequence(F.col("_hi") + 1, "b"))).otherwise(F.sequence("a", "b"))
+    return rows.select(*KEY, "y", F.explode(edge).alias("x"))
+
+
 def hull_measures(labelled: DataFrame) -> DataFrame:
     """Hull area and hull perimeter per region."""
     hull = materialize(hull_runs(labelled), "hulls")
-    box = hull.groupBy(*KEY).agg(F.min("y").alias("_y"), F.min("x0").alias("_x"), (F.max("y") - F.min("y") + 1).alias("fh"),
-                                 (F.max("x1") - F.min("x0") + 1).alias("fw"), F.sum(G.run_length()).alias("hull_area"))
-    # Hulls of one frame may overlap, so each becomes a frame of its own.
-    own = hull.join(box, KEY).select(
-        F.concat_ws("#", "image_id", "region_id").alias("image_id"), F.lit(0).cast("long").alias("region_id"), "fh", "fw",
-        (F.col("y") - F.col("_y")).alias("y"), (F.col("x0") - F.col("_x")).alias("x0"), (F.col("x1") - F.col("_x")).alias("x1"))
-    per = G.perimeters(own).select(F.col("image_id").alias("_k"), F.col("perimeter").alias("hull_perimeter"))
-    return box.select(*KEY, "hull_area", F.concat_ws("#", "image_id", "region_id").alias("_k")).join(per, "_k").drop("_k")
+    area = hull.groupBy(*KEY).agg(F.sum(G.run_length()).alias("hull_area"))
+    return area.join(G.border_lengths(hull_border(hull)).withColumnRenamed("length", "hull_perimeter"), KEY)
 
 
 def shape_measurements(labelled: DataFrame, **tiling) -> DataFrame:

@@ -310,3 +310,17 @@ def test_hulls_of_many_regions_share_a_call(spark, monkeypatch, block):
     assert got == want
     area = {r.region_id: r.hull_area for r in H.hull_areas(lab).collect()}
     assert area == {region: sum(want[region, y][1] - want[region, y][0] + 1 for y in rows) for region, rows in ends.items()}
+
+
+def test_hull_perimeter_from_neighbouring_rows(spark):
+    m = rng.random((30, 41)) < 0.35
+    m[3:20, 5:24] = True
+    lab = C.label_runs(runs_of(spark, m), 8)
+    hull = H.hull_runs(lab)
+    got = {(r.region_id, r.y, r.x) for r in H.hull_border(hull).collect()}
+    cells = {(r.region_id, r.y, x) for r in hull.collect() for x in range(r.x0, r.x1 + 1)}
+    assert got == {(k, y, x) for k, y, x in cells if not {(k, y - 1, x), (k, y + 1, x), (k, y, x - 1), (k, y, x + 1)} <= cells}
+    own = hull.select(F.concat_ws("#", "image_id", "region_id").alias("image_id"), "region_id", F.lit(30).alias("fh"), F.lit(41).alias("fw"), "y", "x0", "x1")
+    want = {r.image_id: r.perimeter for r in G.perimeters(own).collect()}
+    measured = H.hull_measures(lab).collect()
+    assert {f"{r.image_id}#{r.region_id}": r.hull_perimeter for r in measured} == pytest.approx(want)
