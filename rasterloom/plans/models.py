@@ -194,7 +194,7 @@ def three_axis_table(spark, root):
     train, test = split(rows)
     out = None
     for name in ("logistic", "tree3", "forest"):
-        s = M.score(M.estimators(4)[name].fit(train), test).withColumn("model", F.lit(name))
+        s = materialize(M.score(M.estimators(4)[name].fit(train), test).select("label", "p", F.lit(name).alias("model")), "scored")  # read twice below
         part = materialize(M.evaluate(s, ["model"]).join(s.filter("label = 0").groupBy("model").agg(F.avg((F.col("p") > 0.5).cast("int")).alias("clean_area")), "model"), "axes")
         out = part if out is None else out.union(part)
     return out.select("model", S.r6("iou").alias("iou"), S.r6("clean_area").alias("clean_area")).orderBy(F.desc("iou"))
